@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardframe.plans.fixtures import fixture, oracle_with
-from rewardframe.session import table
+from rewardframe.session import ship_package, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -22,7 +22,13 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__ = run.__qualname__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
         return fn
@@ -40,4 +46,4 @@ def join_doubles(c) -> F.Column:
 
 
 # Import the modules that register queries (order only affects listing).
-from rewardframe.plans import q_verify  # noqa: E402,F401
+from rewardframe.plans import q_reward, q_verify  # noqa: E402,F401
