@@ -102,6 +102,45 @@ select doc_id, case when doc_id % 7 = 0 then 1 else 0 end as exit_code,
   case when doc_id % 5 = 0 then 'no score' else concat('humaneval (base tests)', chr(10), 'pass@1:', chr(9), '0.', cast(n_chars % 900 + 100 as varchar(20)), chr(10),
   'humaneval+ (base + extra tests)', chr(10), 'pass@1:', chr(9), '0.', cast(n_chars % 800 + 100 as varchar(20)), chr(10)) end as log
 from {documents}
+""",
+    # ---- further views of ours, in the same style ----
+    # raw samples of mixed aliases: prompt/problem/description, code as the solution alias, test text
+    "fx_raw": """
+select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '   ' else concat('p', cast(doc_id as varchar(20))) end as prompt,
+  case when doc_id % 2 = 0 then '' else concat('q', cast(doc_id as varchar(20))) end as problem,
+  substr(text, 1, 40) as description,
+  case when doc_id % 4 = 0 then '' else concat('def f():', chr(10), '    return ', cast(doc_id as varchar(20))) end as code,
+  case cast(doc_id % 5 as int)
+    when 0 then '["assert a", " assert b "]' when 1 then '' when 2 then '[]'
+    when 3 then '{{"tests": ["assert c"]}}' else 'assert d' end as tests,
+  lang
+from {documents}
+""",
+    # HumanEval-style test programs: 0..7 assert lines among other lines
+    "fx_he_tests": """
+select doc_id, concat('def check(c):', chr(10), repeat(concat('    assert c(', cast(doc_id as varchar(20)), ') == 1', chr(10), '    x = 1', chr(10)), cast(doc_id % 8 as int)),
+  '  pass', chr(10)) as test
+from {documents}
+""",
+    # code to screen: banned imports, aliased modules, banned calls, clean code
+    "fx_screen": """
+select doc_id, case cast(doc_id % 6 as int)
+  when 0 then concat('import os', chr(10), 'os.system(', chr(39), 'ls', chr(39), ')', chr(10), 'os.system(', chr(39), 'ls', chr(39), ')')
+  when 1 then concat('import subprocess as sp', chr(10), 'sp.run([', chr(39), 'x', chr(39), '])')
+  when 2 then concat('from os import path as p', chr(10), 'p(1)', chr(10), 'data = open(', chr(39), 'f', chr(39), ')')
+  when 3 then concat('x = eval(', chr(39), cast(doc_id as varchar(20)), chr(39), ')')
+  when 4 then 'def f(:'
+  else concat('print(', cast(doc_id as varchar(20)), ')') end as code
+from {documents}
+""",
+    # test lists written as Python literals (single quotes, adjacent strings, tuples)
+    "fx_literal_tests": """
+select doc_id, case cast(doc_id % 4 as int)
+  when 0 then concat('[', chr(39), 'assert f(', cast(doc_id as varchar(20)), ')', chr(39), ', ', chr(39), 'assert g()', chr(39), ']')
+  when 1 then concat('[', chr(39), 'assert a', chr(39), ' ', chr(39), 'assert b', chr(39), ']')
+  when 2 then concat('(', chr(39), 'assert t', chr(39), ',)')
+  else concat('[x ', cast(doc_id as varchar(20)), ']') end as tests_text
+from {documents}
 """,
 }
 
