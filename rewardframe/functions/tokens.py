@@ -19,9 +19,20 @@ from rewardframe.functions.text import col_
 DEFAULT_TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
 
 
+_WORD_RUN = r"[A-Za-z0-9_]+"
+_NOT_SYMBOL = r"[\sA-Za-z0-9_]+"
+
+
 def count_tokens(text: str | Column) -> Column:
-    """Default counter: number of pattern matches; null or empty text counts 0."""
-    return F.coalesce(F.regexp_count(col_(text), F.lit(DEFAULT_TOKEN_PATTERN)), F.lit(0)).cast("bigint")
+    """Default counter: number of matches of ``DEFAULT_TOKEN_PATTERN``; null text counts 0.
+
+    Computed as word runs plus the characters left after removing spaces and word characters
+    (each is one single-character match): two single-class scans, which the regex engine runs
+    faster than one scan of the alternation. Same count.
+    """
+    c = col_(text)
+    n = F.regexp_count(c, F.lit(_WORD_RUN)) + F.length(F.regexp_replace(c, _NOT_SYMBOL, ""))
+    return F.coalesce(n, F.lit(0)).cast("bigint")
 
 
 def tokenizer_counter(encode: Callable[[str], list]) -> Callable[[str | Column], Column]:

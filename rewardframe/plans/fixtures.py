@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.session import table
+from rewardframe.session import spread, table
 
 FIXTURE_SQL: dict[str, str] = {
     # D3: samples, some lacking a solution or tests
@@ -151,10 +151,12 @@ def base_tables(name: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(FIXTURE_SQL[name])))
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture view as a Spark DataFrame over the parquet tables of ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+    """The fixture view as a Spark DataFrame over the parquet tables of ``sf_dir``; with
+    ``spread_rows`` the rows are spread for CPU-heavy work (see ``session.spread``)."""
     frames = {t: table(spark, sf_dir, t) for t in base_tables(name)}
-    return spark.sql(FIXTURE_SQL[name], **frames)
+    df = spark.sql(FIXTURE_SQL[name], **frames)
+    return spread(df) if spread_rows else df
 
 
 def oracle_with(*names: str) -> str:

@@ -8,13 +8,13 @@ from rewardframe.functions.code import ScreenCode, validate_code
 from rewardframe.operators import reward as RW
 from rewardframe.plans.fixtures import fixture
 from rewardframe.plans.registry import r6, register
-from rewardframe.session import table
+from rewardframe.session import spread
 
 
 @register("validate_code")
 def validate_code_q(spark, sf_dir):
     """Code of each response (last fence or parsable text), validated."""
-    r = fixture(spark, sf_dir, "fx_responses").withColumn("code", RW.extract_code("response"))
+    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True).withColumn("code", RW.extract_code("response"))
     v = r.withColumn("v", validate_code("code"))
     return v.select(
         "doc_id", "v.has_code", "v.syntax_valid", "v.compile_valid",
@@ -27,7 +27,7 @@ def validate_code_q(spark, sf_dir):
 def screen_code_q(spark, sf_dir):
     """Violations per script (UDTF, lateral) and the reference's message: distinct texts in
     first-seen order joined by '; ' (P16 A12). Clean and unparsable code give no violation."""
-    code = fixture(spark, sf_dir, "fx_screen")
+    code = fixture(spark, sf_dir, "fx_screen", spread_rows=True)
     found = code.lateralJoin(ScreenCode(F.col("code").outer()))
     per_script = found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_violations"),
@@ -51,11 +51,9 @@ def reward_score_responses(spark, sf_dir):
     """End-to-end scoring of raw responses and test texts (U1 U2): extraction, test parsing,
     validation, then shaping; no outcomes were run, so valid code with tests scores as having
     no execution results (0.2), as the reference does for an empty result list."""
-    d = table(spark, sf_dir, "documents")
     resp = fixture(spark, sf_dir, "fx_responses")
     tests = fixture(spark, sf_dir, "fx_tests")
-    joined = resp.join(tests, "doc_id")
+    joined = spread(resp.join(tests, "doc_id"))
     prepared = RW.prepare_responses(joined, "response", "tests_text")
     scored = RW.score(prepared.withColumnRenamed("doc_id", "sample_id"), None)
-    _ = d
     return scored.select("sample_id", *[r6(c).alias(c) for c in RW.REWARD_COLUMNS])

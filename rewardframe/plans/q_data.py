@@ -13,7 +13,7 @@ from rewardframe.operators import profile as PF
 from rewardframe.operators import sampling as SM
 from rewardframe.plans.fixtures import fixture, oracle_with
 from rewardframe.plans.registry import r6, register
-from rewardframe.session import table
+from rewardframe.session import spread, table
 
 TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -57,7 +57,7 @@ def extract_code_fallback(spark, sf_dir):
     """Full scoring extraction: fence, else whole text when it parses as Python (rows check)."""
     from rewardframe.operators.reward import extract_code
 
-    r = fixture(spark, sf_dir, "fx_responses")
+    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True)
     return r.select("doc_id", extract_code("response").alias("code"))
 
 
@@ -92,7 +92,7 @@ from c
 """,
 )
 def parse_tests_json(spark, sf_dir):
-    t = fixture(spark, sf_dir, "fx_tests").withColumn("tests", parse_tests("tests_text"))
+    t = fixture(spark, sf_dir, "fx_tests", spread_rows=True).withColumn("tests", parse_tests("tests_text"))
     return t.select(
         "doc_id", F.size("tests").alias("n_tests"), F.array_join("tests", "|").alias("tests"),
         F.array_join(EV.mbpp_tests("tests"), "|").alias("first5"),
@@ -102,7 +102,7 @@ def parse_tests_json(spark, sf_dir):
 @register("parse_tests_literal")
 def parse_tests_literal(spark, sf_dir):
     """Python-literal test lists (rows check; the unit tests compare with the plain rules)."""
-    t = fixture(spark, sf_dir, "fx_literal_tests")
+    t = fixture(spark, sf_dir, "fx_literal_tests", spread_rows=True)
     return t.select(
         "doc_id",
         F.array_join(parse_tests("tests_text"), "|").alias("tests"),
@@ -155,8 +155,10 @@ def truthy_fallback(spark, sf_dir):
     return a.select("doc_id", TX.truthy_first("prompt", "problem", "description").alias("text"))
 
 
-def _records(spark, sf_dir):
-    raw = fixture(spark, sf_dir, "fx_raw")
+def _records(spark, sf_dir, with_index: bool = True):
+    raw = fixture(spark, sf_dir, "fx_raw", spread_rows=True)
+    if not with_index:
+        return CV.training_records(raw.withColumn("_row", F.lit(None).cast("bigint")), "_row")
     indexed = SM.dense_index(raw, "doc_id", "_row")
     return CV.training_records(indexed, "_row")
 
@@ -211,7 +213,7 @@ from r
 """,
 )
 def conversion_report(spark, sf_dir):
-    rep = CV.conversion_report(_records(spark, sf_dir))
+    rep = CV.conversion_report(_records(spark, sf_dir, with_index=False))
     return rep.select("total", "with_solution", r6("with_solution_pct").alias("with_solution_pct"), r6("avg_tests").alias("avg_tests"))
 
 
@@ -272,7 +274,7 @@ def conversation_tokens(spark, sf_dir):
     f"select doc_id, n from (select doc_id, {_tok_sql('text')} as n from documents) where n <= 500",
 )
 def token_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", count_tokens("text").alias("n")).where(F.col("n") <= 500)
 
 
@@ -286,7 +288,7 @@ from (select {_tok_sql('text')} as n from documents)
 """,
 )
 def token_describe(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(count_tokens("text").alias("n"))
+    d = spread(table(spark, sf_dir, "documents")).select(count_tokens("text").alias("n"))
     desc = PF.describe(d, "n")
     return desc.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
@@ -463,7 +465,7 @@ _LOG_SQL = """coalesce(nullif(string_split_regex(regexp_replace(list_filter(flat
     + " end as plus_score from fx_eval_log",
 )
 def eval_log_scores(spark, sf_dir):
-    return EV.eval_log_scores(fixture(spark, sf_dir, "fx_eval_log"), keep=["doc_id"])
+    return EV.eval_log_scores(fixture(spark, sf_dir, "fx_eval_log", spread_rows=True), keep=["doc_id"])
 
 
 @register(
@@ -500,5 +502,5 @@ select prompt_id, count(distinct bigram) as n_distinct, count(bigram) as n_bigra
 from b group by prompt_id""",
 )
 def rollout_diversity(spark, sf_dir):
-    d = EV.distinct_2(fixture(spark, sf_dir, "fx_rollouts"))
+    d = EV.distinct_2(fixture(spark, sf_dir, "fx_rollouts", spread_rows=True))
     return d.select("prompt_id", "n_distinct", "n_bigrams", r6("distinct_2").alias("distinct_2"))

@@ -80,3 +80,14 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(id(sc))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin spread ahead of CPU-heavy row work (regex, parsing, Arrow UDFs) when the scan
+    yields fewer partitions than the session can run at once (one large row group, a few big
+    files). On a large input the scan already has thousands of splits and this is a no-op, so
+    the extra exchange only happens where it buys parallelism."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
