@@ -111,3 +111,20 @@ def variant_extra(v: str | Column, exclude: list[str]) -> Column:
     m = F.try_variant_get(c, "$", "map<string,variant>")
     kept = F.map_filter(m, lambda k, _: ~k.isin(*exclude))
     return F.transform_values(kept, lambda _, x: F.to_json(x))
+
+
+def prompt_text(v: str | Column) -> Column:
+    """Prompt of a VARIANT record as text (P4): a string stripped; an object's first present key
+    among ``PROMPT_TEXT_KEYS`` as text, stripped; anything else as its JSON text."""
+    from rewardframe.functions.text import PROMPT_TEXT_KEYS, py_strip
+
+    c = F.col(v) if isinstance(v, str) else v
+    kind = F.schema_of_variant(c)
+    obj = F.try_variant_get(c, "$", "map<string,variant>")
+    chosen = F.coalesce(*[F.when(F.map_contains_key(obj, k), obj.getItem(k)) for k in PROMPT_TEXT_KEYS])
+    chosen_text = F.when(F.schema_of_variant(chosen) == "STRING", F.try_variant_get(chosen, "$", "string")).otherwise(F.to_json(chosen))
+    return (
+        F.when(kind == "STRING", py_strip(F.try_variant_get(c, "$", "string")))
+        .when(kind.startswith("OBJECT") & chosen.isNotNull(), py_strip(chosen_text))
+        .otherwise(F.to_json(c))
+    )

@@ -81,3 +81,33 @@ def test_read_any_rejects_unknown_suffix(spark):
 
     with pytest.raises(ValueError):
         RD.read_any(spark, "/nowhere/file.csv")
+
+
+def test_prompt_text(spark):
+    vals = ['"  hi  "', '{"content": " c ", "text": "t"}', '{"question": "q"}', '{"x": 1}', "[1, 2]"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string").select(RD.prompt_text(F.parse_json("s")).alias("p"))
+    assert [r[0] for r in df.collect()] == ["hi", "t", "q", '{"x":1}', "[1,2]"]
+
+
+def test_read_strict_fails_on_bad_line(spark):
+    import pytest
+
+    base = tempfile.mkdtemp(prefix="rf-strict-")
+    with open(os.path.join(base, "a.jsonl"), "w") as f:
+        f.write('{"id": "1", "solution": "x", "tests": ["t"]}\n\n{"id": "2", "solution": "y", "tests": []}\n')
+    ok = RD.read_strict(spark, base, "id string, solution string, tests array<string>")
+    assert ok.count() == 2
+    with open(os.path.join(base, "b.jsonl"), "w") as f:
+        f.write("{not json\n")
+    with pytest.raises(Exception):
+        RD.read_strict(spark, base, "id string, solution string, tests array<string>").count()
+
+
+def test_replace_path_swaps_output(spark):
+    from rewardframe.sources import sinks as SK
+
+    base = tempfile.mkdtemp(prefix="rf-sink-")
+    out = os.path.join(base, "out")
+    spark.range(3).write.parquet(out)
+    SK.replace_path(spark.range(10), out)
+    assert spark.read.parquet(out).count() == 10
