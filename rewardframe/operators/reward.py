@@ -275,9 +275,27 @@ def pass_rate_of(outcomes: DataFrame, by: list[str]) -> DataFrame:
 def group_advantage(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6) -> DataFrame:
     """(reward - group mean) / (group sample std + eps); a group of one has advantage 0.
 
-    A window partitioned by prompt: rollouts of a prompt are few (the rollout count ``n``), so
-    each window partition is small; the one exchange is on the prompt key.
+    Group statistics are an aggregation (partial sums map-side, so a prompt with a huge share
+    of the rollouts never sits in one task) joined back on the prompt key; the join side is
+    one row per prompt, and AQE splits a skewed probe partition or broadcasts the statistics
+    when they are small at run time. A window partitioned by prompt would buffer a hot
+    prompt's rows in one task.
     """
+    stats = rollouts.groupBy(group_col).agg(
+        F.avg(reward_col).alias("group_mean"),
+        F.coalesce(F.stddev_samp(reward_col), F.lit(0.0)).alias("group_std"),
+    )
+    return rollouts.join(stats, group_col, "left").select(
+        *rollouts.columns,
+        "group_mean",
+        "group_std",
+        ((F.col(reward_col) - F.col("group_mean")) / (F.col("group_std") + F.lit(eps))).alias("advantage"),
+    )
+
+
+def group_advantage_window(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6) -> DataFrame:
+    """Same values with an unordered window (W2 as written): one exchange, fine when groups are
+    small (the rollout count per prompt); ``group_advantage`` is the skew-safe form."""
     w = Window.partitionBy(group_col)
     mean = F.avg(reward_col).over(w)
     std = F.coalesce(F.stddev_samp(reward_col).over(w), F.lit(0.0))

@@ -238,8 +238,10 @@ def failures(results: DataFrame, keep_status: Sequence[str] = ("pass",)) -> Data
 
 
 def unexecuted_samples(samples: DataFrame, outcomes: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Samples without any outcome row (no shuffle of outcome payload: keys only)."""
-    return samples.join(outcomes.select(id_col), id_col, "left_anti")
+    """Samples without any outcome row. The outcome keys are de-duplicated first (partial
+    aggregation map-side), so a sample with a huge share of the outcome rows arrives at the
+    anti-join as one row per map task instead of all its rows in one task."""
+    return samples.join(outcomes.select(id_col).distinct(), id_col, "left_anti")
 
 
 def failure_preview(

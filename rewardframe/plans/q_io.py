@@ -71,12 +71,12 @@ def convert_extra(spark, sf_dir):
 
 @register(
     "json_document_records",
-    "select doc_id, lang from documents where doc_id % 3 = 0",
+    "select doc_id, lang from documents",
 )
 def json_document_records(spark, sf_dir):
-    """Whole-JSON files (S3): documents of at most 20 records each, written as a top-level array
+    """Whole-JSON files (S3): documents of at most 500 records each, written as a top-level array
     or as ``{"data": [...]}`` (alternating), one document per file, read back."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0).withColumn("grp", F.floor(F.col("doc_id") / 60))
+    d = table(spark, sf_dir, "documents").withColumn("grp", F.floor(F.col("doc_id") / 500))
     recs = F.collect_list(F.struct("doc_id", "lang"))
     docs = d.groupBy("grp").agg(
         F.when(F.col("grp") % 2 == 0, F.to_json(recs)).otherwise(F.to_json(F.struct(recs.alias("data")))).alias("value")
