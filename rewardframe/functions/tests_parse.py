@@ -152,3 +152,30 @@ def parse_tests(text: str | Column, split_adjacent: bool = False) -> Column:
     t = col_(text)
     native = native_tests(t)
     return F.coalesce(native, _PARSE[split_adjacent](F.when(native.isNull(), t)), F.array().cast("array<string>"))
+
+
+def with_tests(df, text_col: str, out: str = "tests", split_adjacent: bool = False):
+    """DataFrame form of ``parse_tests``: the same rules, computed in stages of named columns so
+    the text is stripped once, parsed once and inspected once per row (small plans, no repeated
+    JSON parsing inside CASE branches). Use this on large inputs."""
+    t = F.col(text_col)
+    keep = df.columns
+    s1 = df.select("*", py_strip(t).alias("__wt_s"))
+    s2 = s1.select("*", F.try_parse_json("__wt_s").alias("__wt_v"))
+    s3 = s2.select("*", F.schema_of_variant("__wt_v").alias("__wt_k"), F.try_variant_get("__wt_v", "$", "map<string,variant>").alias("__wt_m"))
+    chosen = F.coalesce(*[F.when(F.map_contains_key("__wt_m", k), F.col("__wt_m").getItem(k)) for k in TEST_KEYS])
+    s4 = s3.select("*", F.when(F.col("__wt_k").startswith("OBJECT"), chosen).otherwise(F.col("__wt_v")).alias("__wt_g"))
+    s5 = s4.select("*", F.schema_of_variant("__wt_g").alias("__wt_gk"))
+    none = F.lit(None).cast("array<string>")
+    empty = F.array().cast("array<string>")
+    native = (
+        F.when(t.isNull() | (F.col("__wt_s") == ""), empty)
+        .when(F.col("__wt_v").isNull() | F.col("__wt_g").isNull(), none)
+        .when(F.col("__wt_gk") == "ARRAY<STRING>", _clean(F.try_variant_get("__wt_g", "$", "array<string>")))
+        .when(F.col("__wt_gk") == "STRING", _clean(F.array(F.try_variant_get("__wt_g", "$", "string"))))
+        .when(F.col("__wt_gk").isin("ARRAY<VOID>", "VOID"), empty)
+        .otherwise(none)
+    )
+    s6 = s5.select(*keep, native.alias("__wt_n"))
+    fallback = _PARSE[split_adjacent](F.when(F.col("__wt_n").isNull(), t))
+    return s6.select(*[c for c in keep if c != out], F.coalesce(F.col("__wt_n"), fallback, empty).alias(out))

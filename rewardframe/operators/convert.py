@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rewardframe.functions.tests_parse import parse_tests
+from rewardframe.functions.tests_parse import with_tests
 from rewardframe.functions.text import (
     PROMPT_ALIASES,
     SOLUTION_ALIASES,
@@ -31,21 +31,23 @@ CONSUMED_KEYS = ["prompt", "solution", "tests", "problem", "code", "answer"]
 DEFAULT_SYSTEM_PROMPT = "You are a helpful and expert programming assistant."
 
 
-def _tests_value(df: DataFrame) -> Column:
-    """First non-empty tests alias as ``array<string>``; text is parsed with the tests rules."""
+def _with_tests_value(df: DataFrame, out: str) -> DataFrame:
+    """First non-empty tests alias as ``array<string>`` in column ``out``; text is parsed with
+    the tests rules (staged, see ``tests_parse.with_tests``); arrays are kept as they are."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     present = [n for n in TESTS_ALIASES if n in fields]
     if not present:
-        return F.array().cast("array<string>")
+        return df.withColumn(out, F.array().cast("array<string>"))
     picked = first_non_empty(df.schema, present)
-    dtypes = {type(fields[n]) for n in present}
-    if dtypes == {T.StringType}:
-        return F.coalesce(F.when(picked.isNotNull(), parse_tests(picked)), F.array().cast("array<string>"))
     if all(isinstance(fields[n], T.ArrayType) for n in present):
-        return F.coalesce(F.transform(picked, lambda x: x.cast("string")), F.array().cast("array<string>"))
-    # mixed column types: compare as JSON text
-    as_text = [F.when(F.col(n).isNotNull(), F.to_json(F.col(n)) if not isinstance(fields[n], T.StringType) else F.col(n)) for n in present]
-    return F.coalesce(parse_tests(F.coalesce(*as_text)), F.array().cast("array<string>"))
+        return df.withColumn(out, F.coalesce(F.transform(picked, lambda x: x.cast("string")), F.array().cast("array<string>")))
+    if all(isinstance(fields[n], T.StringType) for n in present):
+        text = picked
+    else:  # mixed column types: resolve on JSON text
+        as_text = [F.when(F.col(n).isNotNull(), F.col(n) if isinstance(fields[n], T.StringType) else F.to_json(F.col(n))) for n in present]
+        text = F.coalesce(*as_text)
+    staged = with_tests(df.withColumn("_tests_text", text), "_tests_text", out)
+    return staged.drop("_tests_text")
 
 
 def training_records(
@@ -64,7 +66,6 @@ def training_records(
     cols = set(df.columns)
     prompt = first_non_empty(df.schema, PROMPT_ALIASES, default="")
     solution = first_non_empty(df.schema, SOLUTION_ALIASES, default="")
-    tests = _tests_value(df)
     extra_names = sorted(c for c in cols if c not in CONSUMED_KEYS and c != index_col and c not in ("index", "split"))
     extra = (
         F.create_map(*[x for n in extra_names for x in (F.lit(n), _json_text(F.col(n)))])
@@ -73,15 +74,16 @@ def training_records(
     )
     index = F.col("index").cast("bigint") if "index" in cols else F.col(index_col).cast("bigint")
     split_c = F.col("split").cast("string") if "split" in cols else F.lit(split)
-    return df.select(
+    staged = _with_tests_value(df, "_tests")
+    return staged.select(
         prompt.cast("string").alias("prompt"),
         F.lit(data_source).alias("data_source"),
         F.lit(ability).alias("ability"),
-        F.struct(F.lit(REWARD_STYLE).alias("style"), tests.alias("ground_truth")).alias("reward_model"),
+        F.struct(F.lit(REWARD_STYLE).alias("style"), F.col("_tests").alias("ground_truth")).alias("reward_model"),
         F.struct(
             index.alias("index"),
             split_c.alias("split"),
-            tests.alias("tests"),
+            F.col("_tests").alias("tests"),
             solution.cast("string").alias("solution"),
             extra.alias("extra"),
         ).alias("extra_info"),
@@ -133,3 +135,92 @@ def turn_token_counts(turns: DataFrame, conv_col: str = "conv_id", counter=count
     if generation_prompt:
         per_conv = per_conv.withColumn("n_tokens", F.col("n_tokens") + counter(F.lit("<|assistant|>\n")))
     return per_conv
+
+
+# ------------------------------------------------------------------ records of unknown shape (S1 -> P1 P2 P5 P6)
+
+def _variant_present(x: Column) -> Column:
+    """Presence test of the alias resolver on a VARIANT value: JSON null and absent are missing,
+    a blank string and an empty array too; anything else (0, false, {}) is present."""
+    kind = F.schema_of_variant(x)
+    s = F.try_variant_get(x, "$", "string")
+    arr = F.try_variant_get(x, "$", "array<variant>")
+    return (
+        F.when(x.isNull() | kind.isin("VOID", "NULL"), F.lit(False))
+        .when(kind == "STRING", F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "") != "")
+        .when(kind.startswith("ARRAY"), F.size(arr) > 0)
+        .otherwise(F.lit(True))
+    )
+
+
+def _variant_text(x: Column) -> Column:
+    """A string value as is (untrimmed), any other value as its JSON text."""
+    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
+
+
+def typed_record_fields(records: DataFrame, v: str = "v") -> DataFrame:
+    """``prompt``, ``solution`` (text) and ``tests`` (array<string>) resolved from VARIANT
+    records through the alias lists, plus ``extra`` (other keys as JSON text), ``src_index``
+    and ``src_split`` (a source ``index``/``split`` that replaces the computed one).
+
+    Built in stages of named columns so every extracted value is computed once per row and the
+    expression trees stay small (each alias is fetched once, tested once, picked once).
+    """
+    from rewardframe.sources.readers import variant_extra
+
+    c = F.col(v)
+    groups = {"prompt": PROMPT_ALIASES, "solution": SOLUTION_ALIASES, "tests": TESTS_ALIASES}
+    names = sorted({n for ns in groups.values() for n in ns})
+    fetched = records.select("*", *[F.try_variant_get(c, f"$.{n}", "variant").alias(f"_a_{n}") for n in names])
+    tested = fetched.select("*", *[_variant_present(F.col(f"_a_{n}")).alias(f"_p_{n}") for n in names])
+    picked = tested.select(
+        *records.columns,
+        *[F.coalesce(*[F.when(F.col(f"_p_{n}"), F.col(f"_a_{n}")) for n in ns]).alias(f"_v_{g}") for g, ns in groups.items()],
+    )
+    tv = F.col("_v_tests")
+    typed = picked.select(
+        *records.columns,
+        F.coalesce(_variant_text(F.col("_v_prompt")), F.lit("")).alias("prompt"),
+        F.coalesce(_variant_text(F.col("_v_solution")), F.lit("")).alias("solution"),
+        F.schema_of_variant(tv).alias("_tk"),
+        F.when(tv.isNotNull(), _variant_text(tv)).alias("_tt"),
+        tv,
+    )
+    parsed = with_tests(typed, "_tt", "_tp")
+    tests = F.when(F.col("_tk") == "ARRAY<STRING>", F.try_variant_get("_v_tests", "$", "array<string>")).when(
+        F.col("_tt").isNotNull(), F.col("_tp")
+    )
+    return parsed.select(
+        *records.columns,
+        "prompt",
+        "solution",
+        F.coalesce(tests, F.array().cast("array<string>")).alias("tests"),
+        variant_extra(c, CONSUMED_KEYS + ["index", "split"]).alias("extra"),
+        F.try_variant_get(c, "$.index", "bigint").alias("src_index"),
+        F.try_variant_get(c, "$.split", "string").alias("src_split"),
+    )
+
+
+def records_from_variant(
+    records: DataFrame,
+    index_col: str,
+    v: str = "v",
+    data_source: str = DEFAULT_DATA_SOURCE,
+    ability: str = DEFAULT_ABILITY,
+    split: str = DEFAULT_SPLIT,
+) -> DataFrame:
+    """Training records from VARIANT rows (as read by ``readers.read_lenient``/``read_any``)."""
+    t = typed_record_fields(records, v)
+    return t.select(
+        F.col("prompt"),
+        F.lit(data_source).alias("data_source"),
+        F.lit(ability).alias("ability"),
+        F.struct(F.lit(REWARD_STYLE).alias("style"), F.col("tests").alias("ground_truth")).alias("reward_model"),
+        F.struct(
+            F.coalesce(F.col("src_index"), F.col(index_col).cast("bigint")).alias("index"),
+            F.coalesce(F.col("src_split"), F.lit(split)).alias("split"),
+            F.col("tests").alias("tests"),
+            F.col("solution").alias("solution"),
+            F.col("extra").alias("extra"),
+        ).alias("extra_info"),
+    )

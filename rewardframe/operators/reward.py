@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardframe.functions.code import parses, validate_code
-from rewardframe.functions.tests_parse import parse_tests
+from rewardframe.functions.tests_parse import with_tests
 from rewardframe.functions.text import col_, fence_last, py_strip
 
 # The 17 reward columns, in the reference's order.
@@ -72,7 +72,7 @@ def extract_code(response: str | Column) -> Column:
 def prepare_responses(df: DataFrame, response_col: str = "response", tests_col: str = "tests_text") -> DataFrame:
     """Code, tests and validation flags of every response (one Arrow pass for the flags)."""
     code = extract_code(response_col)
-    staged = df.withColumn("code", code).withColumn("tests", parse_tests(tests_col))
+    staged = with_tests(df.withColumn("code", code), tests_col, "tests")
     v = validate_code("code")
     return (
         staged.withColumn("_v", v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rewardframe.functions import text as TX
-from rewardframe.functions.tests_parse import parse_tests
+from rewardframe.functions.tests_parse import with_tests
 from rewardframe.functions.tokens import DEFAULT_TOKEN_PATTERN, count_tokens
 from rewardframe.operators import convert as CV
 from rewardframe.operators import evaluation as EV
@@ -92,7 +92,7 @@ from c
 """,
 )
 def parse_tests_json(spark, sf_dir):
-    t = fixture(spark, sf_dir, "fx_tests", spread_rows=True).withColumn("tests", parse_tests("tests_text"))
+    t = with_tests(fixture(spark, sf_dir, "fx_tests", spread_rows=True), "tests_text", "tests")
     return t.select(
         "doc_id", F.size("tests").alias("n_tests"), F.array_join("tests", "|").alias("tests"),
         F.array_join(EV.mbpp_tests("tests"), "|").alias("first5"),
@@ -103,11 +103,8 @@ def parse_tests_json(spark, sf_dir):
 def parse_tests_literal(spark, sf_dir):
     """Python-literal test lists (rows check; the unit tests compare with the plain rules)."""
     t = fixture(spark, sf_dir, "fx_literal_tests", spread_rows=True)
-    return t.select(
-        "doc_id",
-        F.array_join(parse_tests("tests_text"), "|").alias("tests"),
-        F.array_join(parse_tests("tests_text", split_adjacent=True), "|").alias("tests_split_adjacent"),
-    )
+    t = with_tests(with_tests(t, "tests_text", "t1"), "tests_text", "t2", split_adjacent=True)
+    return t.select("doc_id", F.array_join("t1", "|").alias("tests"), F.array_join("t2", "|").alias("tests_split_adjacent"))
 
 
 @register(

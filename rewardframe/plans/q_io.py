@@ -162,3 +162,56 @@ def stream_stats(spark, sf_dir):
 
 
 _ = REWARD_COLUMNS
+
+
+def _mixed_jsonl(spark, sf_dir):
+    """documents -> JSON Lines whose records use different alias keys and value shapes."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    sid = i.cast("string")
+    head = F.substring("text", 1, 30)
+    k = i % 4
+    line = (
+        F.when(k == 0, F.to_json(F.struct(i.alias("doc_id"), head.alias("prompt"), F.concat(F.lit("x = "), sid).alias("solution"),
+                                          F.array(F.concat(F.lit("assert x == "), sid)).alias("tests"), F.col("lang"))))
+        .when(k == 1, F.to_json(F.struct(i.alias("doc_id"), head.alias("question"), F.concat(F.lit("y = "), sid).alias("code"),
+                                         F.lit('["assert 1", " "]').alias("test_cases"), F.col("lang"))))
+        .when(k == 2, F.to_json(F.struct(i.alias("doc_id"), F.lit("   ").alias("prompt"), head.alias("problem"), F.lit("").alias("answer"),
+                                         F.concat(F.lit("r"), sid).alias("response"), F.array().cast("array<string>").alias("tests"),
+                                         F.array(F.lit("c")).alias("checks"), F.col("lang"))))
+        .otherwise(F.to_json(F.struct(i.alias("doc_id"), head.alias("description"), F.col("lang"), F.lit(7).alias("index"),
+                                      F.lit("test").alias("split"))))
+    )
+    out = SK.scratch_dir(spark, "mixed")
+    d.select(line.alias("value")).write.text(out)
+    return out
+
+
+@register(
+    "convert_jsonl_records",
+    """
+select doc_id, substr(text, 1, 30) as prompt,
+  case doc_id % 4 when 0 then concat('x = ', cast(doc_id as varchar)) when 1 then concat('y = ', cast(doc_id as varchar))
+       when 2 then concat('r', cast(doc_id as varchar)) else '' end as solution,
+  case doc_id % 4 when 0 then concat('assert x == ', cast(doc_id as varchar)) when 1 then 'assert 1' when 2 then 'c' else '' end as tests,
+  case doc_id % 4 when 0 then 'doc_id,lang' when 1 then 'doc_id,lang,question,test_cases' when 2 then 'checks,doc_id,lang,response' else 'description,doc_id,lang' end as extra_keys,
+  case when doc_id % 4 = 3 then 'test' else 'train' end as split,
+  case when doc_id % 4 = 3 then 7 end as source_index
+from documents
+""",
+)
+def convert_jsonl_records(spark, sf_dir):
+    """Lenient JSON Lines -> VARIANT -> alias resolution -> training records."""
+    from rewardframe.operators.convert import records_from_variant
+
+    good, _ = RD.read_lenient(spark, _mixed_jsonl(spark, sf_dir))
+    rec = records_from_variant(good.withColumn("_pos", F.col("src_pos")), "_pos")
+    return rec.select(
+        F.col("extra_info.extra")["doc_id"].cast("bigint").alias("doc_id"),
+        "prompt",
+        F.col("extra_info.solution").alias("solution"),
+        F.array_join("reward_model.ground_truth", "|").alias("tests"),
+        F.array_join(F.array_sort(F.map_keys("extra_info.extra")), ",").alias("extra_keys"),
+        F.col("extra_info.split").alias("split"),
+        F.when(F.col("extra_info.split") == "test", F.col("extra_info.index")).alias("source_index"),
+    )
