@@ -69,10 +69,26 @@ def extract_code(response: str | Column) -> Column:
     )
 
 
+def with_code(df: DataFrame, response_col: str = "response", out: str = "code") -> DataFrame:
+    """DataFrame form of ``extract_code`` in stages: the fence search runs once per response,
+    and only responses without a fence are handed to the Python parser."""
+    r = F.col(response_col)
+    keep = df.columns
+    fenced = df.select("*", fence_last(r).alias("__wc_f"))
+    unfenced = F.when(r.isNotNull() & (r != "") & F.col("__wc_f").isNull(), r)
+    checked = fenced.select("*", parses(unfenced).alias("__wc_p"))
+    code = (
+        F.when(r.isNull() | (r == ""), F.lit(""))
+        .when(F.col("__wc_f").isNotNull(), F.col("__wc_f"))
+        .when(F.coalesce(F.col("__wc_p"), F.lit(False)), py_strip(r))
+        .otherwise(F.lit(""))
+    )
+    return checked.select(*[c for c in keep if c != out], code.alias(out))
+
+
 def prepare_responses(df: DataFrame, response_col: str = "response", tests_col: str = "tests_text") -> DataFrame:
     """Code, tests and validation flags of every response (one Arrow pass for the flags)."""
-    code = extract_code(response_col)
-    staged = with_tests(df.withColumn("code", code), tests_col, "tests")
+    staged = with_tests(with_code(df, response_col, "code"), tests_col, "tests")
     v = validate_code("code")
     return (
         staged.withColumn("_v", v)

@@ -14,7 +14,7 @@ from rewardframe.session import spread
 @register("validate_code")
 def validate_code_q(spark, sf_dir):
     """Code of each response (last fence or parsable text), validated."""
-    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True).withColumn("code", RW.extract_code("response"))
+    r = RW.with_code(fixture(spark, sf_dir, "fx_responses", spread_rows=True), "response", "code")
     v = r.withColumn("v", validate_code("code"))
     return v.select(
         "doc_id", "v.has_code", "v.syntax_valid", "v.compile_valid",

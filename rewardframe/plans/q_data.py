@@ -55,10 +55,10 @@ def extract_code_first(spark, sf_dir):
 @register("extract_code_fallback")
 def extract_code_fallback(spark, sf_dir):
     """Full scoring extraction: fence, else whole text when it parses as Python (rows check)."""
-    from rewardframe.operators.reward import extract_code
+    from rewardframe.operators.reward import with_code
 
     r = fixture(spark, sf_dir, "fx_responses", spread_rows=True)
-    return r.select("doc_id", extract_code("response").alias("code"))
+    return with_code(r, "response", "code").select("doc_id", "code")
 
 
 # ----------------------------------------------------------------------------- tests parsing
