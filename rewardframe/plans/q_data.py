@@ -258,7 +258,7 @@ def chat_render(spark, sf_dir):
     "conversation_tokens",
     f"""
 select conv_id, count(*) as n_turns,
-  sum({_tok_sql("concat('<|', role, '|>', chr(10), coalesce(text, ''), chr(10))")}) + {_tok_sql("concat('<|assistant|>', chr(10))")} as n_tokens
+  cast(sum({_tok_sql("concat('<|', role, '|>', chr(10), coalesce(text, ''), chr(10))")}) + {_tok_sql("concat('<|assistant|>', chr(10))")} as bigint) as n_tokens
 from conversations group by conv_id
 """,
 )

@@ -196,7 +196,7 @@ select doc_id, substr(text, 1, 30) as prompt,
   case doc_id % 4 when 0 then concat('assert x == ', cast(doc_id as varchar)) when 1 then 'assert 1' when 2 then 'c' else '' end as tests,
   case doc_id % 4 when 0 then 'doc_id,lang' when 1 then 'doc_id,lang,question,test_cases' when 2 then 'checks,doc_id,lang,response' else 'description,doc_id,lang' end as extra_keys,
   case when doc_id % 4 = 3 then 'test' else 'train' end as split,
-  case when doc_id % 4 = 3 then 7 end as source_index
+  case when doc_id % 4 = 3 then cast(7 as bigint) end as source_index
 from documents
 """,
 )

@@ -130,9 +130,9 @@ def verify_failure_preview(spark, sf_dir):
     _with_results()
     + """,
 counts as (select status, count(*) as n from results group by status)
-select sum(n) as total,
+select cast(sum(n) as bigint) as total,
   string_agg(concat(status, '=', cast(n as varchar)), ',' order by status) as status_counts,
-  coalesce(sum(case when status in ('pass') then n end), 0) as kept,
+  cast(coalesce(sum(case when status in ('pass') then n end), 0) as bigint) as kept,
   'pass' as filter_status
 from counts
 """,
