@@ -15,8 +15,9 @@ from rewardframe.session import ship_package
 _SQL_FUNCTIONS = [
     r"""CREATE OR REPLACE TEMPORARY FUNCTION py_strip(t STRING) RETURNS STRING
         RETURN regexp_replace(t, '(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '')""",
-    r"""CREATE OR REPLACE TEMPORARY FUNCTION count_tokens(t STRING) RETURNS BIGINT
-        RETURN CAST(coalesce(regexp_count(t, '[A-Za-z0-9_]+') + length(regexp_replace(t, '[\\sA-Za-z0-9_]+', '')), 0) AS BIGINT)""",
+    """CREATE OR REPLACE TEMPORARY FUNCTION count_tokens(t STRING) RETURNS BIGINT
+        RETURN CAST(coalesce(length(translate(regexp_replace(t, '[A-Za-z0-9_]+', char(1)),
+                                              concat(' ', char(9), char(10), char(11), char(12), char(13)), '')), 0) AS BIGINT)""",
 ]
 
 

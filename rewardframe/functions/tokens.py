@@ -20,18 +20,21 @@ DEFAULT_TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
 
 
 _WORD_RUN = r"[A-Za-z0-9_]+"
-_NOT_SYMBOL = r"[\sA-Za-z0-9_]+"
+_MARK = "\u0001"
+# the whitespace of the pattern's \s (Java's default class): space, tab, LF, VT, FF, CR
+_SPACE = " \t\n\x0b\x0c\r"
 
 
 def count_tokens(text: str | Column) -> Column:
     """Default counter: number of matches of ``DEFAULT_TOKEN_PATTERN``; null text counts 0.
 
-    Computed as word runs plus the characters left after removing spaces and word characters
-    (each is one single-character match): two single-class scans, which the regex engine runs
-    faster than one scan of the alternation. Same count.
+    One regex pass collapses every word run to a single marker character; every character left
+    that is not whitespace is then exactly one match (a marker or a symbol), counted with
+    ``translate`` (a character map, no regex). ``regexp_count`` would materialize every match
+    as a string; this gives the same count with one scan.
     """
     c = col_(text)
-    n = F.regexp_count(c, F.lit(_WORD_RUN)) + F.length(F.regexp_replace(c, _NOT_SYMBOL, ""))
+    n = F.length(F.translate(F.regexp_replace(c, _WORD_RUN, _MARK), _SPACE, ""))
     return F.coalesce(n, F.lit(0)).cast("bigint")
 
 
