@@ -70,10 +70,10 @@ def model_label(c: str | Column) -> Column:
 
 # ------------------------------------------------------------------ evaluator logs
 
-def log_score(log: str | Column, marker: str = BASE_MARKER) -> Column:
-    """Score after a marker line: among each marker line and the line after it, the first line
-    holding ``pass@`` (any case); its second blank-separated field. Null when none."""
-    lines = F.split(F.coalesce(col_(log), F.lit("")), "\n")
+def log_score_from_lines(lines: Column, marker: str = BASE_MARKER) -> Column:
+    """Score after a marker line, given the log's lines as an array column: among each marker
+    line and the line after it, the first line holding ``pass@`` (any case); its second
+    blank-separated field. Null when none."""
     hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.instr(F.element_at(lines, i), marker) > 0)
     cand = F.flatten(F.transform(hits, lambda i: F.array(F.element_at(lines, i), F.try_element_at(lines, i + 1))))
     found = F.try_element_at(F.filter(cand, lambda s: F.instr(F.lower(s), SCORE_TAG) > 0), F.lit(1))
@@ -81,12 +81,26 @@ def log_score(log: str | Column, marker: str = BASE_MARKER) -> Column:
     return F.nullif(F.try_element_at(fields, F.lit(2)), F.lit(""))
 
 
+def log_lines(log: str | Column) -> Column:
+    return F.split(F.coalesce(col_(log), F.lit("")), "\n")
+
+
+def log_score(log: str | Column, marker: str = BASE_MARKER) -> Column:
+    """Column form of the score extraction (see ``eval_log_scores`` for the staged form)."""
+    return log_score_from_lines(log_lines(log), marker)
+
+
 def eval_log_scores(logs: DataFrame, log_col: str = "log", exit_col: str = "exit_code", keep: Sequence[str] = ()) -> DataFrame:
-    """Base and plus scores per evaluator log: ``Error`` on a non-zero exit, ``N/A`` when missing."""
+    """Base and plus scores per evaluator log: ``Error`` on a non-zero exit, ``N/A`` when missing.
+    The log is split into lines once (a named column), then both markers are searched."""
+    staged = logs.select(*keep, exit_col, log_lines(log_col).alias("_lines"))
+
     def shown(marker: str) -> Column:
-        return F.when(F.col(exit_col) != 0, F.lit("Error")).otherwise(F.coalesce(log_score(log_col, marker), F.lit("N/A")))
+        return F.when(F.col(exit_col) != 0, F.lit("Error")).otherwise(
+            F.coalesce(log_score_from_lines(F.col("_lines"), marker), F.lit("N/A"))
+        )
 
-    return logs.select(*keep, shown(BASE_MARKER).alias("base_score"), shown(PLUS_MARKER).alias("plus_score"))
+    return staged.select(*keep, shown(BASE_MARKER).alias("base_score"), shown(PLUS_MARKER).alias("plus_score"))
 
 
 # ------------------------------------------------------------------ metric log
@@ -115,16 +129,14 @@ def rollout_metrics(rollouts: DataFrame, group_col: str = "prompt_id", reward_co
 def distinct_2(rollouts: DataFrame, group_col: str = "prompt_id", text_col: str = "response") -> DataFrame:
     """Distinct word bigrams / all word bigrams per group (0.0 without bigrams).
 
-    Bigrams are exploded per response (narrow); the distinct count is Spark's two-phase
-    distinct aggregation, so a very large group is de-duplicated across tasks first.
+    Words are split once into a column, bigrams paired with ``zip_with`` over the two shifted
+    slices (no per-element re-split) and exploded (narrow); the distinct count is Spark's
+    two-phase distinct aggregation, so a very large group is de-duplicated across tasks first.
     """
-    words = F.split(py_strip(F.col(text_col)), r"(?U)\s+")
-    bigrams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1)),
-    )
-    safe = F.when(F.size(words) >= 2, bigrams).otherwise(F.array().cast("array<string>"))
-    exploded = rollouts.select(group_col, F.explode_outer(safe).alias("bigram"))
+    words = rollouts.select(group_col, F.split(py_strip(F.col(text_col)), r"(?U)\s+").alias("_w"))
+    n = F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_w", 1, n), F.slice("_w", 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+    exploded = words.select(group_col, F.explode_outer(pairs).alias("bigram"))
     agg = exploded.groupBy(group_col).agg(F.count_distinct("bigram").alias("n_distinct"), F.count("bigram").alias("n_bigrams"))
     return agg.select(
         group_col, "n_distinct", "n_bigrams",
