@@ -180,23 +180,45 @@ def status_expr(has_solution: Column, n_tests: Column, mean: Column, stable: Col
     )
 
 
+def run_pass_rates_any(outcomes: DataFrame, samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """Per-run pass rates in run order when the run numbering is not known in advance: a
+    (sample, run) aggregation, then the few runs of each sample gathered in order (a sample has
+    as many entries as runs, a small configured number)."""
+    per_run = outcomes.groupBy(id_col, "run").agg(F.count_if(F.col("status") == "success").alias("_ok"))
+    n = samples.select(id_col, "n_tests")
+    rated = per_run.join(n, id_col).select(id_col, "run", (F.col("_ok").cast("double") / F.col("n_tests").cast("double")).alias("_r"))
+    return rated.groupBy(id_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("run", "_r"))), lambda x: x["_r"]).alias("_rates")
+    )
+
+
 def verify_results(
-    samples: DataFrame, outcomes: DataFrame, n_runs: int = DEFAULT_N_RUNS, id_col: str = "sample_id"
+    samples: DataFrame, outcomes: DataFrame, n_runs: int | None = DEFAULT_N_RUNS, id_col: str = "sample_id"
 ) -> DataFrame:
     """Per-sample verification result: status, mean pass rate, stability, run pass rates.
 
     Samples without solution or tests keep a status with null rates (left join from samples).
-    A run without outcome rows counts as zero passed.
+    With ``n_runs`` given (runs numbered 0..n_runs-1, as ``plan_executions`` makes them) one
+    aggregation does it and a run without outcome rows counts as zero passed; with
+    ``n_runs=None`` the runs present in the outcomes are used, in run order.
     """
-    samples = _sample_flags(samples)
-    counts = run_pass_counts(outcomes, n_runs, id_col)
-    joined = samples.select(id_col, "has_solution", "n_tests").join(counts, id_col, "left")
+    samples = _sample_flags(samples).select(id_col, "has_solution", "n_tests")
     executable = F.col("has_solution") & (F.col("n_tests") > 0)
-    passed = F.coalesce(F.col("run_passed"), F.array_repeat(F.lit(0).cast("bigint"), n_runs))
-    rates = F.transform(passed, lambda p: p.cast("double") / F.col("n_tests").cast("double"))
+    if n_runs is None:
+        joined = samples.join(run_pass_rates_any(outcomes, samples, id_col), id_col, "left")
+        rates = F.coalesce(F.col("_rates"), F.array().cast("array<double>"))
+        n_div = F.size("pass_rates").cast("double")
+    else:
+        counts = run_pass_counts(outcomes, n_runs, id_col)
+        joined = samples.join(counts, id_col, "left")
+        passed = F.coalesce(F.col("run_passed"), F.array_repeat(F.lit(0).cast("bigint"), n_runs))
+        rates = F.transform(passed, lambda p: p.cast("double") / F.col("n_tests").cast("double"))
+        n_div = F.lit(float(n_runs))
     with_rates = joined.select(id_col, "has_solution", "n_tests", F.when(executable, rates).alias("pass_rates"))
-    mean = F.aggregate("pass_rates", F.lit(0.0), lambda acc, x: acc + x) / F.lit(float(n_runs))
-    spread = F.array_max("pass_rates") - F.array_min("pass_rates")
+    # a sample whose runs left no outcome at all has mean 0.0 (nothing passed)
+    mean = F.coalesce(F.try_divide(F.aggregate("pass_rates", F.lit(0.0), lambda acc, x: acc + x), F.nullif(n_div, F.lit(0.0))),
+                      F.when(F.col("pass_rates").isNotNull(), F.lit(0.0)))
+    spread = F.coalesce(F.array_max("pass_rates") - F.array_min("pass_rates"), F.when(F.col("pass_rates").isNotNull(), F.lit(0.0)))
     stable = spread < STABLE_SPREAD
     return with_rates.select(
         id_col,

@@ -101,10 +101,6 @@ from k
     )
 
 
-def _typed(sql: str) -> str:
-    return sql
-
-
 def _shaping(spark, sf_dir, timeout_as: str, cfg: RW.RewardConfig):
     scored, outs = _scored(spark, sf_dir)
     res = RW.score(scored, outs, cfg, timeout_as=timeout_as)

@@ -111,3 +111,59 @@ def test_replace_path_swaps_output(spark):
     spark.range(3).write.parquet(out)
     SK.replace_path(spark.range(10), out)
     assert spark.read.parquet(out).count() == 10
+
+
+def test_verify_results_unknown_runs(spark):
+    from rewardframe.operators import verify as V
+    from rewardframe.plans.fixtures import fixture
+
+    s = fixture(spark, SF, "fx_samples")
+    v = fixture(spark, SF, "fx_verdicts")
+    a = {r.sample_id: (r.status, r.pass_rate) for r in V.verify_results(s, v, n_runs=4).collect()}
+    b = {r.sample_id: (r.status, r.pass_rate) for r in V.verify_results(s, v, n_runs=None).collect()}
+    assert a == b
+
+
+def test_pluggable_tokenizer(spark):
+    from rewardframe.functions.tokens import tokenizer_counter
+
+    counter = tokenizer_counter(str.split)
+    df = spark.createDataFrame([("a b  c",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(counter("t")).collect()] == [3, 0, 0]
+
+
+def test_json_array_is_bounded(spark):
+    import pytest
+
+    from rewardframe.sources import sinks as SK
+
+    base = tempfile.mkdtemp(prefix="rf-arr-")
+    SK.write_json_array(spark.range(3), f"{base}/ok")
+    text = "".join(r[0] for r in spark.read.text(f"{base}/ok").collect())
+    assert json.loads(text) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    with pytest.raises(ValueError):
+        SK.write_json_array(spark.range(10), f"{base}/big", max_rows=5)
+
+
+def test_position_ids_and_splits(spark):
+    d = table(spark, SF, "documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")).alias("id"), "doc_id")
+    got = {r.doc_id: r.id for r in SM.with_position_id(d, "id", "doc_id").collect()}
+    assert all(got[k] == str(k) for k in got)  # position of doc k is k (ids 0..n-1)
+    base = tempfile.mkdtemp(prefix="rf-splits-")
+    table(spark, SF, "region").write.parquet(f"{base}/train.parquet")
+    table(spark, SF, "region").write.parquet(f"{base}/test.parquet")
+    both = RD.read_splits(spark, {"train": f"{base}/train.parquet", "test": f"{base}/test.parquet"})
+    assert {r.split for r in both.select("split").distinct().collect()} == {"train", "test"}
+
+
+def test_write_verify_report(spark):
+    from rewardframe.operators import verify as V
+    from rewardframe.plans.fixtures import fixture
+
+    s = fixture(spark, SF, "fx_samples")
+    res = V.verify_results(s, fixture(spark, SF, "fx_verdicts"))
+    base = tempfile.mkdtemp(prefix="rf-report-")
+    V.write_verify_report(V.verify_report(res, ("pass", "partial")), res, base)
+    rep = spark.read.json(f"{base}/report").first()
+    assert rep.total == 125 and rep.kept == 32 + 24 and rep.filter_status == ["pass", "partial"]
+    assert rep.status_counts["no_tests"] == 12
