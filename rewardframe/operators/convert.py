@@ -224,3 +224,15 @@ def records_from_variant(
             F.col("extra").alias("extra"),
         ).alias("extra_info"),
     )
+
+
+MESSAGES_TYPE = "array<struct<role string, content string>>"
+
+
+def prompt_tokens(prompt: str | Column, counter=count_tokens, generation_prompt: bool = True) -> Column:
+    """Tokens of a prompt stored as JSON text of chat messages (statistics variant of P9):
+    rendered with the generation prompt and counted; text that is not a JSON list of messages
+    (or a null) counts 0."""
+    v = F.try_parse_json(col_(prompt))
+    msgs = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", MESSAGES_TYPE))
+    return F.coalesce(F.when(msgs.isNotNull(), counter(render_messages(msgs, generation_prompt))), F.lit(0)).cast("bigint")

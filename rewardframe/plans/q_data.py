@@ -290,6 +290,30 @@ def token_describe(spark, sf_dir):
     return desc.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+_PT = f"""case when (conv_id + turn) % 5 = 0 then cast(0 as bigint) else {_tok_sql(_RENDER_SQL)} end"""
+
+
+@register(
+    "prompt_token_describe",
+    oracle_with("fx_sft")
+    + f"""
+select count(n) as count, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as std, min(n)::double as min,
+  round(quantile_cont(n, 0.25), 6) as p25, round(quantile_cont(n, 0.5), 6) as p50, round(quantile_cont(n, 0.75), 6) as p75,
+  max(n)::double as max
+from (select {_PT} as n from fx_sft)
+""",
+)
+def prompt_token_describe(spark, sf_dir):
+    """Prompts stored as JSON message text (every fifth one plain text, which counts 0), token
+    counts by ``prompt_tokens``, described (P9 statistics variant, A7)."""
+    s = fixture(spark, sf_dir, "fx_sft")
+    as_json = F.to_json(CV.sft_messages("instruction", "output"))
+    prompt = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.col("instruction")).otherwise(as_json)
+    d = s.select(CV.prompt_tokens(prompt).alias("n"))
+    desc = PF.describe(d, "n")
+    return desc.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
 # ----------------------------------------------------------------------------- SFT filtering and sampling
 
 _REASON_SQL = """case when {b_i} or {b_o} then 'empty'
