@@ -15,17 +15,11 @@ from pyspark.sql import functions as F
 from rewardframe.operators import convert as CV
 from rewardframe.operators import sampling as SM
 from rewardframe.operators import verify as V
-from rewardframe.session import ensure_checkpoint_dir
+from rewardframe.session import materialize
 from rewardframe.sources import readers as RD
 from rewardframe.sources import sinks as SK
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never ``localCheckpoint``)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def verify_job(
     samples: DataFrame,
     out_dir: str,

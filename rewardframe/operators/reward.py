@@ -288,20 +288,24 @@ def pass_rate_of(outcomes: DataFrame, by: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ group-relative advantage
 
-def group_advantage(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6) -> DataFrame:
+def group_advantage(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6,
+                    hot_rows: int | None = None) -> DataFrame:
     """(reward - group mean) / (group sample std + eps); a group of one has advantage 0.
 
     Group statistics are an aggregation (partial sums map-side, so a prompt with a huge share
-    of the rollouts never sits in one task) joined back on the prompt key; the join side is
-    one row per prompt, and AQE splits a skewed probe partition or broadcasts the statistics
-    when they are small at run time. A window partitioned by prompt would buffer a hot
-    prompt's rows in one task.
+    of the rollouts never sits in one task) joined back on the prompt key with selective
+    salting (``skew.join_group_summary``): rows of a hot prompt are spread over several join
+    tasks. A window partitioned by prompt would buffer a hot prompt's rows in one task.
     """
+    from rewardframe.operators.skew import join_group_summary
+
     stats = rollouts.groupBy(group_col).agg(
         F.avg(reward_col).alias("group_mean"),
         F.coalesce(F.stddev_samp(reward_col), F.lit(0.0)).alias("group_std"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    return rollouts.join(stats, group_col, "left").select(
+    joined = join_group_summary(rollouts, stats, group_col, "_n", **({"hot_rows": hot_rows} if hot_rows else {}))
+    return joined.select(
         *rollouts.columns,
         "group_mean",
         "group_std",

@@ -1,0 +1,53 @@
+"""Skew-safe join of rows to their group's one-row summary (selective salting).
+
+A key that owns a large share of the rows would put all of them in one join task. Keys with
+more than ``hot_rows`` rows are few by construction (at most N / ``hot_rows`` of them for N
+rows: 10^5 keys for 10^12 rows at the default), so that list is broadcast; rows of a hot key
+are spread over ``salts`` sub-keys and the hot key's summary row is replicated once per
+sub-key. Every other key joins as usual (sub-key 0). The result is exact: each row meets its
+group's summary once. The threshold is absolute, so no extra pass over the data computes it;
+the summary aggregation is planned once and its exchange reused by both sides.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_SALTS = 64
+DEFAULT_HOT_ROWS = 10_000_000
+
+
+def join_group_summary(
+    rows: DataFrame,
+    summary: DataFrame,
+    key: str,
+    count_col: str,
+    salts: int = DEFAULT_SALTS,
+    hot_rows: int = DEFAULT_HOT_ROWS,
+    materialize_summary: bool = True,
+) -> DataFrame:
+    """Left-join ``summary`` (one row per ``key``, with the group's row count in ``count_col``)
+    to every row of ``rows``. The summary is read twice (hot-key list, join side), so by
+    default it is checkpointed once (it is one row per key, far smaller than ``rows``)."""
+    if materialize_summary:
+        from rewardframe.session import materialize
+
+        summary = materialize(summary)
+    # at most N / hot_rows keys can pass this test: a proven bound for the broadcast
+    hot = summary.where(F.col(count_col) > F.lit(hot_rows)).select(key, F.lit(True).alias("_hot"))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+    big = (
+        rows.join(F.broadcast(hot), key, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0).cast("bigint")))
+        .drop("_hot")
+    )
+    replicas = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
+        F.array(F.lit(0).cast("bigint"))
+    )
+    small = (
+        summary.join(F.broadcast(hot), key, "left")
+        .withColumn("_salt", F.explode(replicas))
+        .drop("_hot")
+    )
+    return big.join(small, [key, "_salt"], "left").drop("_salt")
