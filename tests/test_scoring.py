@@ -215,3 +215,15 @@ def test_stream_totals_across_batches(spark):
     got = spark.read.parquet(out).first().asDict()
     want = RW.manager_stats(ST.score_stream(ST.event_flags(ev))).first().asDict()
     assert got == want
+
+
+def test_salted_join_exact_with_hot_keys(spark):
+    from rewardframe.operators.skew import join_group_summary
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") % 50 + 1).alias("k"), F.col("id"))
+    summary = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("mx"))
+    salted = join_group_summary(rows, summary, "k", "n", salts=8, hot_rows=100)
+    plain = rows.join(summary, "k", "left")
+    a = sorted((r.id, r.k, r.n, r.mx) for r in salted.collect())
+    b = sorted((r.id, r.k, r.n, r.mx) for r in plain.collect())
+    assert a == b and len(a) == 5000
