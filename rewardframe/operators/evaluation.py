@@ -156,3 +156,23 @@ def mbpp_tests(test_list: str | Column, limit: int = MAX_BENCH_TESTS) -> Column:
 
 def with_tests_only(df: DataFrame, tests_col: str = "tests") -> DataFrame:
     return df.where(F.size(tests_col) > 0)
+
+
+# ------------------------------------------------------------------ formatted summaries (K8)
+
+def benchmark_summary(results: DataFrame, model_col: str = "model_name", name_col: str = "name",
+                      p1_col: str = "pass_at_1", pk_col: str = "pass_at_k", temp_col: str = "temperature") -> DataFrame:
+    """Benchmark summary table: model (last path component), benchmark, pass@1 and pass@k as
+    percent text with one decimal, temperature with two decimals."""
+    return results.select(
+        basename(model_col).alias("model"),
+        F.col(name_col).alias("benchmark"),
+        pct1(p1_col).alias("pass_at_1"),
+        pct1(pk_col).alias("pass_at_k"),
+        F.format_string("%.2f", F.col(temp_col).cast("double")).alias("temp"),
+    )
+
+
+def eval_results_table(res: DataFrame, bench_col: str = "bench") -> DataFrame:
+    """Evaluation results table: benchmark, pass@1 and pass@k as percent text."""
+    return res.select(F.col(bench_col).alias("benchmark"), pct1("pass_at_1").alias("pass_at_1"), pct1("pass_at_k").alias("pass_at_k"))

@@ -470,6 +470,21 @@ def benchmark_compare(spark, sf_dir):
     return EV.compare_models(fixture(spark, sf_dir, "fx_bench"), _MODELS)
 
 
+@register(
+    "benchmark_summary",
+    oracle_with("fx_bench")
+    + """select regexp_extract(model_name, '[^/]*$') as model, name as benchmark,
+  concat(cast(round(pass_at_1 * 100, 1) as varchar), '%') as pass_at_1,
+  concat(cast(round(pass_at_1 * 100, 1) as varchar), '%') as pass_at_k,
+  '0.00' as temp
+from fx_bench""",
+)
+def benchmark_summary(spark, sf_dir):
+    """Formatted summary of benchmark results (K8 P26 P27); greedy runs: pass@k = pass@1, temperature 0."""
+    b = fixture(spark, sf_dir, "fx_bench").withColumn("pass_at_k", F.col("pass_at_1")).withColumn("temperature", F.lit(0.0))
+    return EV.benchmark_summary(b)
+
+
 _LOG_SQL = """coalesce(nullif(string_split_regex(regexp_replace(list_filter(flatten(list_transform(
     list_filter(range(1, len(string_split(coalesce(log, ''), chr(10))) + 1), lambda i: strpos(string_split(coalesce(log, ''), chr(10))[i], '{m}') > 0),
     lambda i: [string_split(coalesce(log, ''), chr(10))[i], string_split(coalesce(log, ''), chr(10))[i + 1]])),
