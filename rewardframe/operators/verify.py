@@ -181,14 +181,12 @@ def status_expr(has_solution: Column, n_tests: Column, mean: Column, stable: Col
 
 
 def run_pass_rates_any(outcomes: DataFrame, samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Per-run pass rates in run order when the run numbering is not known in advance: a
+    """Per-run success counts in run order when the run numbering is not known in advance: a
     (sample, run) aggregation, then the few runs of each sample gathered in order (a sample has
     as many entries as runs, a small configured number)."""
     per_run = outcomes.groupBy(id_col, "run").agg(F.count_if(F.col("status") == "success").alias("_ok"))
-    n = samples.select(id_col, "n_tests")
-    rated = per_run.join(n, id_col).select(id_col, "run", (F.col("_ok").cast("double") / F.col("n_tests").cast("double")).alias("_r"))
-    return rated.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("run", "_r"))), lambda x: x["_r"]).alias("_rates")
+    return per_run.groupBy(id_col).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("run", "_ok"))), lambda x: x["_ok"]).alias("run_passed")
     )
 
 
@@ -206,24 +204,26 @@ def verify_results(
     executable = F.col("has_solution") & (F.col("n_tests") > 0)
     if n_runs is None:
         joined = samples.join(run_pass_rates_any(outcomes, samples, id_col), id_col, "left")
-        rates = F.coalesce(F.col("_rates"), F.array().cast("array<double>"))
-        n_div = F.size("pass_rates").cast("double")
+        passed = F.coalesce(F.col("run_passed"), F.array().cast("array<bigint>"))
     else:
-        counts = run_pass_counts(outcomes, n_runs, id_col)
-        joined = samples.join(counts, id_col, "left")
+        joined = samples.join(run_pass_counts(outcomes, n_runs, id_col), id_col, "left")
         passed = F.coalesce(F.col("run_passed"), F.array_repeat(F.lit(0).cast("bigint"), n_runs))
-        rates = F.transform(passed, lambda p: p.cast("double") / F.col("n_tests").cast("double"))
-        n_div = F.lit(float(n_runs))
-    with_rates = joined.select(id_col, "has_solution", "n_tests", F.when(executable, rates).alias("pass_rates"))
-    # a sample whose runs left no outcome at all has mean 0.0 (nothing passed)
-    mean = F.coalesce(F.try_divide(F.aggregate("pass_rates", F.lit(0.0), lambda acc, x: acc + x), F.nullif(n_div, F.lit(0.0))),
-                      F.when(F.col("pass_rates").isNotNull(), F.lit(0.0)))
+    staged = joined.select(id_col, "has_solution", "n_tests", F.when(executable, passed).alias("_passed"))
+    n = F.col("n_tests").cast("double")
+    rates = F.transform("_passed", lambda p: p.cast("double") / n)
+    # the mean is total passed / (tests x runs): one division of exact integers, so it is the
+    # correctly rounded mean (a left-to-right sum of rounded rates can fall just below 0.5)
+    total = F.aggregate("_passed", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    mean = F.when(F.size("_passed") > 0, total.cast("double") / (n * F.size("_passed").cast("double"))).when(
+        F.col("_passed").isNotNull(), F.lit(0.0)
+    )
+    with_rates = staged.select(id_col, "has_solution", "n_tests", rates.alias("pass_rates"), mean.alias("_mean"))
     spread = F.coalesce(F.array_max("pass_rates") - F.array_min("pass_rates"), F.when(F.col("pass_rates").isNotNull(), F.lit(0.0)))
     stable = spread < STABLE_SPREAD
     return with_rates.select(
         id_col,
-        status_expr(F.col("has_solution"), F.col("n_tests"), mean, stable).alias("status"),
-        mean.alias("pass_rate"),
+        status_expr(F.col("has_solution"), F.col("n_tests"), F.col("_mean"), stable).alias("status"),
+        F.col("_mean").alias("pass_rate"),
         stable.alias("stable"),
         "pass_rates",
         F.lit(None).cast("string").alias("error"),

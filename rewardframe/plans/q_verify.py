@@ -16,7 +16,7 @@ runs as (
   from fx_verdicts group by sample_id, run),
 agg as (
   select r.sample_id, s.n_tests,
-    avg(r.passed / s.n_tests) as mean_rate,
+    sum(r.passed) / (s.n_tests * count(*)) as mean_rate,
     max(r.passed / s.n_tests) - min(r.passed / s.n_tests) as spread,
     string_agg(cast(round(r.passed / s.n_tests, 6) as varchar), ',' order by r.run) as rates
   from runs r join fx_samples s on s.sample_id = r.sample_id

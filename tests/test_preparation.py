@@ -167,3 +167,25 @@ def test_write_verify_report(spark):
     rep = spark.read.json(f"{base}/report").first()
     assert rep.total == 125 and rep.kept == 32 + 24 and rep.filter_status == ["pass", "partial"]
     assert rep.status_counts["no_tests"] == 12
+
+
+def test_missing_input_raises(spark):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    for fmt in ("jsonl", "json", "parquet"):
+        with pytest.raises(AnalysisException):
+            RD.read_any(spark, f"/nonexistent/dir/input.{fmt}").count()
+
+
+def test_mean_of_run_rates_is_exact(spark):
+    """Rates 0, 2/3, 1, 1/3 average to exactly 0.5 ('partial'); a left-to-right double sum
+    would give 0.49999999999999994 and 'flaky'."""
+    from rewardframe.operators import verify as V
+
+    samples = spark.createDataFrame([(1, True, 3)], "sample_id long, has_solution boolean, n_tests int")
+    outs = [(1, run, t, "success" if t < k else "error") for run, k in enumerate([0, 2, 3, 1]) for t in range(3)]
+    outcomes = spark.createDataFrame(outs, "sample_id long, run long, test_idx long, status string")
+    for n_runs in (4, None):
+        row = V.verify_results(samples, outcomes, n_runs=n_runs).first()
+        assert row.status == "partial" and row.pass_rate == 0.5
