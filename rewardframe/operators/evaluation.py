@@ -64,10 +64,6 @@ def compare_models(results: DataFrame, model_names: Sequence[str], name_col: str
     return out.select(*cols).orderBy(name_col)
 
 
-def model_label(c: str | Column) -> Column:
-    return basename(c)
-
-
 # ------------------------------------------------------------------ evaluator logs
 
 def log_score_from_lines(lines: Column, marker: str = BASE_MARKER) -> Column:

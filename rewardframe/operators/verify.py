@@ -22,7 +22,6 @@ SCRIPT_HEADER = "# -*- coding: utf-8 -*-"
 STABLE_SPREAD = 0.1  # max - min of run pass rates must stay below this
 DEFAULT_N_RUNS = 4
 VERIFY_TIMEOUT_S = 8.0
-STATUS_ORDER = ["no_solution", "no_tests", "pass", "partial", "flaky", "fail", "error"]
 
 
 def _sample_flags(samples: DataFrame) -> DataFrame:
