@@ -129,22 +129,26 @@ def sample_accepted(
 def dense_index(df: DataFrame, order_col: str, out: str = "index", n_buckets: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_col`` order (numeric, unique), exact.
 
-    Rows are bucketed by approximate quantiles of the key (a deterministic function of the
-    key, computed once); bucket offsets come from a count per bucket and a running sum over
-    that small table, broadcast back (bounded by the bucket count); inside a bucket, a
-    ``row_number`` window. No single-partition window over the data.
+    Rows are bucketed by approximate quantiles of the key (computed once; the bucket is found by
+    binary search, a deterministic function of the key); bucket offsets come from a count per
+    bucket and a running sum over that small table, broadcast back (bounded by the bucket
+    count); inside a bucket, a ``row_number`` window. No single-partition window over the data.
     """
     spark = df.sparkSession
     if n_buckets is None:
         n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n_buckets)))) if probs else []
-    key = F.col(order_col)
     if bounds:
-        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < key))
+        from pyspark.ml.feature import Bucketizer
+
+        # JVM binary search over the bounds (a monotone, deterministic function of the key);
+        # the double cast is monotone, so equal doubles share a bucket and order is kept
+        splits = [float("-inf"), *[float(b) for b in bounds], float("inf")]
+        keyed = df.withColumn("_bkey", F.col(order_col).cast("double"))
+        tagged = Bucketizer(splits=splits, inputCol="_bkey", outputCol="_bk").transform(keyed).drop("_bkey")
     else:
-        bucket = F.lit(0)
-    tagged = df.withColumn("_bk", bucket)
+        tagged = df.withColumn("_bk", F.lit(0.0))
     counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select("_bk", (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
