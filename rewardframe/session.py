@@ -37,8 +37,8 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; only when the cluster names none (tests, local runs)
-    is a scratch folder set."""
+    """Return the shared checkpoint folder named by the session (``spark.checkpoint.dir``). Only a
+    local-mode session without one (tests, local runs) gets a scratch folder of its own."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
@@ -46,6 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder is not visible to other executors and is lost with them
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
     local = tempfile.mkdtemp(prefix="rf-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
