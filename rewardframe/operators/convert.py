@@ -236,3 +236,14 @@ def prompt_tokens(prompt: str | Column, counter=count_tokens, generation_prompt:
     v = F.try_parse_json(col_(prompt))
     msgs = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", MESSAGES_TYPE))
     return F.coalesce(F.when(msgs.isNotNull(), counter(render_messages(msgs, generation_prompt))), F.lit(0)).cast("bigint")
+
+
+def sample_tokens(df: DataFrame, col: str, counter=count_tokens) -> Column:
+    """Token length of a sample column as the overlong filter measures it: a messages array is
+    rendered with the generation prompt; a plain string is first wrapped as one user message."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.StringType):
+        msgs = F.array(F.struct(F.lit("user").alias("role"), F.col(col).alias("content")))
+    else:
+        msgs = F.col(col)
+    return counter(render_messages(msgs, generation_prompt=True))

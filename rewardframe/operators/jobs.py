@@ -107,13 +107,13 @@ def sft_job(
     return funnel
 
 
-def token_filter_job(df: DataFrame, text: str, max_tokens: int, out_path: str, counter=None, replace: bool = False) -> DataFrame:
-    """Keep rows whose token count is at most ``max_tokens``; the count column is dropped after.
-    ``replace=True`` swaps the output in with write-then-rename (safe when out = in)."""
+def token_filter_job(df: DataFrame, col: str, max_tokens: int, out_path: str, counter=None, replace: bool = False) -> DataFrame:
+    """Keep rows whose sample (messages, or a string taken as one user message) renders to at
+    most ``max_tokens`` tokens; the length is not kept. ``replace=True`` swaps the output in with
+    write-then-rename (safe when the output path is the input path)."""
     from rewardframe.functions.tokens import count_tokens
 
-    count = (counter or count_tokens)(F.col(text))
-    kept = df.where(count <= max_tokens)
+    kept = df.where(CV.sample_tokens(df, col, counter or count_tokens) <= max_tokens)
     if replace:
         SK.replace_path(kept, out_path, "parquet")
     else:

@@ -266,13 +266,18 @@ def conversation_tokens(spark, sf_dir):
     return CV.turn_token_counts(table(spark, sf_dir, "conversations")).select("conv_id", "n_turns", "n_tokens")
 
 
+_USER_RENDER = "concat('<|user|>', chr(10), coalesce(text, ''), chr(10), '<|assistant|>', chr(10))"
+
+
 @register(
     "token_filter",
-    f"select doc_id, n from (select doc_id, {_tok_sql('text')} as n from documents) where n <= 500",
+    f"select doc_id, n from (select doc_id, {_tok_sql(_USER_RENDER)} as n from documents) where n <= 500",
 )
 def token_filter(spark, sf_dir):
+    """Documents whose text, rendered as one user message with the generation prompt, has at
+    most 500 tokens (F4)."""
     d = spread(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", count_tokens("text").alias("n")).where(F.col("n") <= 500)
+    return d.select("doc_id", CV.sample_tokens(d, "text").alias("n")).where(F.col("n") <= 500)
 
 
 @register(
