@@ -139,17 +139,17 @@ def turn_token_counts(turns: DataFrame, conv_col: str = "conv_id", counter=count
 
 # ------------------------------------------------------------------ records of unknown shape (S1 -> P1 P2 P5 P6)
 
-def _variant_present(x: Column) -> Column:
-    """Presence test of the alias resolver on a VARIANT value: JSON null and absent are missing,
-    a blank string and an empty array too; anything else (0, false, {}) is present."""
-    kind = F.schema_of_variant(x)
-    s = F.try_variant_get(x, "$", "string")
-    arr = F.try_variant_get(x, "$", "array<variant>")
+def _present_sql(x: str) -> str:
+    """SQL text of the alias resolver's presence test on a VARIANT column reference ``x``: JSON
+    null and absent are missing, a blank string and an empty array too; anything else (0,
+    false, {}) is present."""
+    k = f"schema_of_variant({x})"
+    strip = r"'(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$'"
     return (
-        F.when(x.isNull() | kind.isin("VOID", "NULL"), F.lit(False))
-        .when(kind == "STRING", F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "") != "")
-        .when(kind.startswith("ARRAY"), F.size(arr) > 0)
-        .otherwise(F.lit(True))
+        f"(CASE WHEN {x} IS NULL OR {k} IN ('VOID', 'NULL') THEN false "
+        f"WHEN {k} = 'STRING' THEN regexp_replace(try_variant_get({x}, '$', 'string'), {strip}, '') <> '' "
+        f"WHEN {k} LIKE 'ARRAY%' THEN size(try_variant_get({x}, '$', 'array<variant>')) > 0 "
+        f"ELSE true END)"
     )
 
 
@@ -171,11 +171,12 @@ def typed_record_fields(records: DataFrame, v: str = "v") -> DataFrame:
     c = F.col(v)
     groups = {"prompt": PROMPT_ALIASES, "solution": SOLUTION_ALIASES, "tests": TESTS_ALIASES}
     names = sorted({n for ns in groups.values() for n in ns})
-    fetched = records.select("*", *[F.try_variant_get(c, f"$.{n}", "variant").alias(f"_a_{n}") for n in names])
-    tested = fetched.select("*", *[_variant_present(F.col(f"_a_{n}")).alias(f"_p_{n}") for n in names])
-    picked = tested.select(
-        *records.columns,
-        *[F.coalesce(*[F.when(F.col(f"_p_{n}"), F.col(f"_a_{n}")) for n in ns]).alias(f"_v_{g}") for g, ns in groups.items()],
+    # built as SQL text: one parse per projection instead of one driver round trip per node
+    fetched = records.selectExpr("*", *[f"try_variant_get(`{v}`, '$.{n}', 'variant') AS `_a_{n}`" for n in names])
+    picked = fetched.selectExpr(
+        *[f"`{c}`" for c in records.columns],
+        *[f"coalesce({', '.join(f'CASE WHEN {_present_sql(f"`_a_{n}`")} THEN `_a_{n}` END' for n in ns)}) AS `_v_{g}`"
+          for g, ns in groups.items()],
     )
     tv = F.col("_v_tests")
     typed = picked.select(
