@@ -54,8 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One of the given (read-only) input tables. The DataFrame is reused per session and path,
+    so its file listing and footer schema are read once; it holds no data."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 _SHIPPED: set[int] = set()
