@@ -50,18 +50,22 @@ def compare_models(results: DataFrame, model_names: Sequence[str], name_col: str
     """One row per benchmark (every benchmark, sorted), one column per chosen model named by
     its last path component: pass@1 of the model's first result as a percent, ``N/A`` if none.
 
-    The model list is passed to ``pivot`` so Spark runs no extra distinct job; formatting
-    happens after the pivot so a missing cell is ``N/A``, not a formatted null.
+    One aggregation over the results: per model a conditional ``min_by`` (the ordering value is
+    null for other models' rows, which ``min_by`` skips). Grouping all results by benchmark keeps
+    the benchmarks without any chosen model, so no separate distinct or join is needed; the
+    percent text is formatted after aggregation so a missing cell is ``N/A``.
     """
-    chosen = results.where(F.col(model_col).isin(*model_names))
-    wide = chosen.groupBy(name_col).pivot(model_col, list(model_names)).agg(F.min_by(F.col(value_col), F.col(seq_col)))
-    names = results.select(name_col).distinct()
-    out = names.join(wide, name_col, "left")
+    is_m = {m: F.col(model_col) == F.lit(m) for m in model_names}
+    firsts = [
+        F.min_by(F.when(is_m[m], F.col(value_col)), F.when(is_m[m], F.col(seq_col))).alias(f"_m{i}")
+        for i, m in enumerate(model_names)
+    ]
+    wide = results.groupBy(name_col).agg(*firsts)
     cols = [F.col(name_col)]
-    for m in model_names:
+    for i, m in enumerate(model_names):
         label = m.rstrip("/").rsplit("/", 1)[-1]
-        cols.append(F.coalesce(pct1(F.col(f"`{m}`")), F.lit("N/A")).alias(label))
-    return out.select(*cols).orderBy(name_col)
+        cols.append(F.coalesce(pct1(F.col(f"_m{i}")), F.lit("N/A")).alias(label))
+    return wide.select(*cols).orderBy(name_col)
 
 
 # ------------------------------------------------------------------ evaluator logs
