@@ -36,6 +36,8 @@ def join_group_summary(
         summary = materialize(summary)
     # at most N / hot_rows keys can pass this test: a proven bound for the broadcast
     hot = summary.where(F.col(count_col) > F.lit(hot_rows)).select(key, F.lit(True).alias("_hot"))
+    # any sub-key works: every sub-key of a hot key carries the same summary row, so a retried
+    # task that numbers its rows differently still yields the same joined rows
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
     big = (
         rows.join(F.broadcast(hot), key, "left")
