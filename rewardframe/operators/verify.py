@@ -22,6 +22,7 @@ SCRIPT_HEADER = "# -*- coding: utf-8 -*-"
 STABLE_SPREAD = 0.1  # max - min of run pass rates must stay below this
 DEFAULT_N_RUNS = 4
 VERIFY_TIMEOUT_S = 8.0
+RUNNER_ERROR = "RUNNER_ERROR"  # error type a runner reports when it could not verify a sample
 
 
 def _sample_flags(samples: DataFrame) -> DataFrame:
@@ -163,11 +164,17 @@ def run_pass_counts(outcomes: DataFrame, n_runs: int = DEFAULT_N_RUNS, id_col: s
     per_run = [F.count_if(ok & (F.col("run") == r)).alias(f"_p{r}") for r in range(n_runs)]
     return (
         outcomes.groupBy(id_col)
-        .agg(*per_run)
-        .select(id_col, F.array(*[F.col(f"_p{r}") for r in range(n_runs)]).alias("run_passed"))
+        .agg(*per_run, _runner_errors(outcomes))
+        .select(id_col, F.array(*[F.col(f"_p{r}") for r in range(n_runs)]).alias("run_passed"), "_runner_err")
     )
 
 
+def _runner_errors(outcomes: DataFrame) -> Column:
+    if "error_type" in outcomes.columns:
+        return F.count_if(F.col("error_type") == RUNNER_ERROR).alias("_runner_err")
+    return F.lit(0).cast("bigint").alias("_runner_err")
+
+
 def status_expr(has_solution: Column, n_tests: Column, mean: Column, stable: Column) -> Column:
     return (
         F.when(~has_solution, "no_solution")
@@ -183,9 +190,12 @@ def run_pass_rates_any(outcomes: DataFrame, samples: DataFrame, id_col: str = "s
     """Per-run success counts in run order when the run numbering is not known in advance: a
     (sample, run) aggregation, then the few runs of each sample gathered in order (a sample has
     as many entries as runs, a small configured number)."""
-    per_run = outcomes.groupBy(id_col, "run").agg(F.count_if(F.col("status") == "success").alias("_ok"))
+    per_run = outcomes.groupBy(id_col, "run").agg(
+        F.count_if(F.col("status") == "success").alias("_ok"), _runner_errors(outcomes)
+    )
     return per_run.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("run", "_ok"))), lambda x: x["_ok"]).alias("run_passed")
+        F.transform(F.array_sort(F.collect_list(F.struct("run", "_ok"))), lambda x: x["_ok"]).alias("run_passed"),
+        F.sum("_runner_err").alias("_runner_err"),
     )
 
 
@@ -207,7 +217,8 @@ def verify_results(
     else:
         joined = samples.join(run_pass_counts(outcomes, n_runs, id_col), id_col, "left")
         passed = F.coalesce(F.col("run_passed"), F.array_repeat(F.lit(0).cast("bigint"), n_runs))
-    staged = joined.select(id_col, "has_solution", "n_tests", F.when(executable, passed).alias("_passed"))
+    failed = executable & (F.coalesce(F.col("_runner_err"), F.lit(0)) > 0)
+    staged = joined.select(id_col, "has_solution", "n_tests", F.when(executable, passed).alias("_passed"), failed.alias("_failed"))
     n = F.col("n_tests").cast("double")
     rates = F.transform("_passed", lambda p: p.cast("double") / n)
     # the mean is total passed / (tests x runs): one division of exact integers, so it is the
@@ -216,16 +227,18 @@ def verify_results(
     mean = F.when(F.size("_passed") > 0, total.cast("double") / (n * F.size("_passed").cast("double"))).when(
         F.col("_passed").isNotNull(), F.lit(0.0)
     )
-    with_rates = staged.select(id_col, "has_solution", "n_tests", rates.alias("pass_rates"), mean.alias("_mean"))
+    with_rates = staged.select(id_col, "has_solution", "n_tests", "_failed", rates.alias("pass_rates"), mean.alias("_mean"))
     spread = F.coalesce(F.array_max("pass_rates") - F.array_min("pass_rates"), F.when(F.col("pass_rates").isNotNull(), F.lit(0.0)))
     stable = spread < STABLE_SPREAD
+    failed = F.col("_failed")
+    # a sample the runner could not verify: status error, rate 0.0, not stable, no run rates
     return with_rates.select(
         id_col,
-        status_expr(F.col("has_solution"), F.col("n_tests"), F.col("_mean"), stable).alias("status"),
-        F.col("_mean").alias("pass_rate"),
-        stable.alias("stable"),
-        "pass_rates",
-        F.lit(None).cast("string").alias("error"),
+        F.when(failed, F.lit("error")).otherwise(status_expr(F.col("has_solution"), F.col("n_tests"), F.col("_mean"), stable)).alias("status"),
+        F.when(failed, F.lit(0.0)).otherwise(F.col("_mean")).alias("pass_rate"),
+        F.when(failed, F.lit(False)).otherwise(stable).alias("stable"),
+        F.when(~failed, F.col("pass_rates")).alias("pass_rates"),
+        F.when(failed, F.lit("runner could not verify the sample")).cast("string").alias("error"),
     )
 
 

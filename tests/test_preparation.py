@@ -189,3 +189,14 @@ def test_mean_of_run_rates_is_exact(spark):
     for n_runs in (4, None):
         row = V.verify_results(samples, outcomes, n_runs=n_runs).first()
         assert row.status == "partial" and row.pass_rate == 0.5
+
+
+def test_runner_error_status(spark):
+    from rewardframe.operators import verify as V
+
+    samples = spark.createDataFrame([(1, True, 1), (2, True, 1)], "sample_id long, has_solution boolean, n_tests int")
+    outs = [(1, r, 0, "success", None) for r in range(4)] + [(2, 0, 0, "error", V.RUNNER_ERROR)]
+    outcomes = spark.createDataFrame(outs, "sample_id long, run long, test_idx long, status string, error_type string")
+    for n_runs in (4, None):
+        got = {r.sample_id: (r.status, r.pass_rate, r.stable) for r in V.verify_results(samples, outcomes, n_runs=n_runs).collect()}
+        assert got == {1: ("pass", 1.0, True), 2: ("error", 0.0, False)}
