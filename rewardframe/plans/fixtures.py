@@ -115,6 +115,19 @@ select doc_id, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '   '
     when 3 then '{{"tests": ["assert c"]}}' else 'assert d' end as tests,
   lang
 from {documents}
+""",
+    # responses and test texts of the same documents in one scan (fx_responses + fx_tests)
+    "fx_scoring": """
+select doc_id, case cast(doc_id % 6 as int)
+  when 0 then substr(text, 1, 200)
+  when 1 then concat('Plan.', chr(10), repeat(chr(96),3), 'python', chr(10), 'x = ', cast(n_chars as varchar(20)), chr(10), repeat(chr(96),3), chr(10))
+  when 2 then concat(repeat(chr(96),3), chr(10), 'a = 1', chr(10), repeat(chr(96),3), ' then ', repeat(chr(96),3), 'python', chr(10), 'b = ', cast(doc_id as varchar(20)), chr(10), repeat(chr(96),3))
+  when 3 then concat('y = ', cast(doc_id as varchar(20)))
+  when 4 then '' else concat(' ', chr(10)) end as response,
+  case cast(doc_id % 5 as int)
+  when 0 then '["assert a", " assert b "]' when 1 then '' when 2 then '[]'
+  when 3 then '{{"tests": ["assert c"]}}' else 'assert d' end as tests_text
+from {documents}
 """,
     # HumanEval-style test programs: 0..7 assert lines among other lines
     "fx_he_tests": """

@@ -8,7 +8,6 @@ from rewardframe.functions.code import ScreenCode, validate_code
 from rewardframe.operators import reward as RW
 from rewardframe.plans.fixtures import fixture
 from rewardframe.plans.registry import r6, register
-from rewardframe.session import spread
 
 
 @register("validate_code")
@@ -51,9 +50,6 @@ def reward_score_responses(spark, sf_dir):
     """End-to-end scoring of raw responses and test texts (U1 U2): extraction, test parsing,
     validation, then shaping; no outcomes were run, so valid code with tests scores as having
     no execution results (0.2), as the reference does for an empty result list."""
-    resp = fixture(spark, sf_dir, "fx_responses")
-    tests = fixture(spark, sf_dir, "fx_tests")
-    joined = spread(resp.join(tests, "doc_id"))
-    prepared = RW.prepare_responses(joined, "response", "tests_text")
+    prepared = RW.prepare_responses(fixture(spark, sf_dir, "fx_scoring", spread_rows=True), "response", "tests_text")
     scored = RW.score(prepared.withColumnRenamed("doc_id", "sample_id"), None)
     return scored.select("sample_id", *[r6(c).alias(c) for c in RW.REWARD_COLUMNS])

@@ -227,3 +227,23 @@ def test_salted_join_exact_with_hot_keys(spark):
     a = sorted((r.id, r.k, r.n, r.mx) for r in salted.collect())
     b = sorted((r.id, r.k, r.n, r.mx) for r in plain.collect())
     assert a == b and len(a) == 5000
+
+
+def test_reward_score_responses_matches_python(spark):
+    from rewardframe.plans.fixtures import fixture
+
+    got = {r.sample_id: (r.reward, r.total, r.code_length) for r in entry.queries()["reward_score_responses"](spark, SF).collect()}
+    want = {}
+    for r in fixture(spark, SF, "fx_scoring").collect():
+        code = py_extract(r.response)
+        tests = parse_tests_py(r.tests_text)
+        syn, comp, _, _ = check_code(code)
+        if not code.strip():
+            want[r.doc_id] = (-1.5, 0.0, float(len(code)))
+        elif not syn:
+            want[r.doc_id] = (-1.0, float(len(tests)), float(len(code)))
+        elif not comp:
+            want[r.doc_id] = (-0.5, float(len(tests)), float(len(code)))
+        else:  # nothing was run: no execution results
+            want[r.doc_id] = (0.2, 0.0, float(len(code)))
+    assert got == want
