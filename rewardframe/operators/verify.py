@@ -289,13 +289,27 @@ def failure_preview(
 ) -> DataFrame:
     """First ``n_examples`` failures by id, with the first-run outcomes of their first ``n_tests``
     tests (only for samples that have a solution and tests). A top-k report: the limit is the feature."""
-    head = failures(results, keep_status).orderBy(id_col).limit(n_examples)
-    base = head.join(_sample_flags(samples).select(id_col, "has_solution", "n_tests"), id_col, "left")
-    first_run = outcomes.where((F.col("run") == 0) & (F.col("test_idx") < n_tests)).select(
-        F.col(id_col).alias("_oid"),
-        F.col("test_idx"),
-        F.col("status").alias("test_status"),
-        F.col("error_type").alias("test_error_type"),
+    from rewardframe.session import materialize
+
+    # the head is at most n_examples rows: materialized once (so the results are not computed
+    # twice) and broadcast to pick the outcomes of those samples without shuffling the outcomes
+    head = materialize(failures(results, keep_status).orderBy(id_col).limit(n_examples))
+    ids = F.broadcast(head.select(F.col(id_col).alias("_oid")))
+    flags = (
+        _sample_flags(samples)
+        .select(id_col, "has_solution", "n_tests")
+        .join(F.broadcast(head.select(id_col)), id_col, "left_semi")
+    )
+    base = head.join(flags, id_col, "left")
+    first_run = (
+        outcomes.where((F.col("run") == 0) & (F.col("test_idx") < n_tests))
+        .select(
+            F.col(id_col).alias("_oid"),
+            F.col("test_idx"),
+            F.col("status").alias("test_status"),
+            F.col("error_type").alias("test_error_type"),
+        )
+        .join(ids, "_oid", "left_semi")
     )
     cond = (F.col(id_col) == F.col("_oid")) & F.col("has_solution") & (F.col("n_tests") > 0)
     return base.join(first_run, cond, "left").select(
