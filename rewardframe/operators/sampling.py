@@ -25,14 +25,19 @@ def seeded_key(id_col: str | Column, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col_(id_col).cast("string")))
 
 
-def _cutoff(keyed: DataFrame, n: Column) -> DataFrame:
+def _cutoff(keyed: DataFrame, n: Column | None = None, ratio: float | None = None) -> DataFrame:
     """One row (``_key``, ``_tie``) of rank ``n`` (1-based) in order of (_key, _tie); no row if
-    ``n`` is beyond the data or below 1. ``keyed`` has columns _key (hex text) and _tie."""
+    ``n`` is beyond the data or below 1. With ``ratio`` instead, n = floor(total * ratio), the
+    total taken from the histogram itself (no separate count pass). ``keyed`` has columns
+    _key (hex text) and _tie."""
     bucket = F.substring("_key", 1, PREFIX_HEX)
     hist = keyed.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     # running sum over <= 65,536 histogram rows (bounded single-partition window)
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    if ratio is not None:
+        total = F.sum("_c").over(Window.partitionBy(F.lit(0)))
+        n = F.floor(total.cast("double") * F.lit(float(ratio))).cast("bigint")
     target = cum.withColumn("_n", n).where((F.col("_lo") < F.col("_n")) & (F.col("_n") <= F.col("_hi")))
     target = target.select("_b", (F.col("_n") - F.col("_lo")).alias("_r"))
     # rows of the single boundary bucket only (~1/65,536 of the data); the boundary table is
@@ -70,13 +75,12 @@ def split_exact(
 
     Train and validation are complementary filters on the same cut-off (no ``exceptAll``).
     """
+    if not 0.0 <= train_ratio <= 1.0:
+        raise ValueError("train_ratio must be within [0, 1]")
     keyed = _key_cols(df, id_col, seed)
-    total = keyed.agg(F.count(F.lit(1)).alias("t")).select(
-        F.floor(F.col("t").cast("double") * F.lit(float(train_ratio))).cast("bigint").alias("n")
-    )
-    n_train = total.select("n").scalar()
-    cut = _cutoff(keyed, n_train)
-    in_train = F.coalesce(_le_cut(cut), n_train > 0)
+    cut = _cutoff(keyed, ratio=train_ratio)
+    # no cut-off row means int(total * ratio) == 0: nothing goes to train
+    in_train = F.coalesce(_le_cut(cut), F.lit(False))
     return keyed.where(in_train).drop("_key", "_tie"), keyed.where(~in_train).drop("_key", "_tie")
 
 

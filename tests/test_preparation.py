@@ -200,3 +200,11 @@ def test_runner_error_status(spark):
     for n_runs in (4, None):
         got = {r.sample_id: (r.status, r.pass_rate, r.stable) for r in V.verify_results(samples, outcomes, n_runs=n_runs).collect()}
         assert got == {1: ("pass", 1.0, True), 2: ("error", 0.0, False)}
+
+
+def test_split_edge_ratios(spark):
+    d = table(spark, SF, "documents").select("doc_id")
+    n = d.count()
+    for ratio, want in ((0.0, 0), (1.0, n), (0.5, int(n * 0.5))):
+        train, val = SM.split_exact(d, "doc_id", ratio)
+        assert train.count() == want and val.count() == n - want
