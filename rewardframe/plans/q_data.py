@@ -153,10 +153,11 @@ def truthy_fallback(spark, sf_dir):
 
 
 def _records(spark, sf_dir, with_index: bool = True):
-    raw = fixture(spark, sf_dir, "fx_raw", spread_rows=True)
     if not with_index:
+        raw = fixture(spark, sf_dir, "fx_raw", spread_rows=True)
         return CV.training_records(raw.withColumn("_row", F.lit(None).cast("bigint")), "_row")
-    indexed = SM.dense_index(raw, "doc_id", "_row")
+    # the index's bucket exchange already spreads the rows for the parsing that follows
+    indexed = SM.dense_index(fixture(spark, sf_dir, "fx_raw"), "doc_id", "_row")
     return CV.training_records(indexed, "_row")
 
 
