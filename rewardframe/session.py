@@ -54,23 +54,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given (read-only) input tables. The DataFrame is reused per session and path,
-    so its file listing and footer schema are read once; it holds no data."""
+    """One of the given (read-only) input tables. The DataFrame is reused per session and path
+    (kept on the session object, so a new session starts empty), so its file listing and
+    footer schema are read once; it holds no data."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    df = _TABLES.get(key)
+    cache = spark.__dict__.setdefault("_rf_tables", {})
+    df = cache.get(path)
     if df is None:
-        df = _TABLES[key] = spark.read.parquet(path)
+        df = cache[path] = spark.read.parquet(path)
     return df
 
 
-_SHIPPED: set[int] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make ``rewardframe`` importable in Python workers (Arrow UDFs, UDTFs, mapInPandas).
 
@@ -78,7 +73,7 @@ def ship_package(spark: SparkSession) -> None:
     distributes it to every executor through Spark's own file server.
     """
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if getattr(sc, "_rf_shipped", False):  # flag on the context itself: a new context ships again
         return
     import zipfile
 
@@ -92,7 +87,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
-    _SHIPPED.add(id(sc))
+    sc._rf_shipped = True
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
