@@ -141,6 +141,15 @@ BANNED_ATTR_CALLS = [
     ("socket", "socket"),
 ]
 
+# violation message texts, by kind
+SCREEN_MESSAGES = {
+    "import": "import '{}' is not allowed",
+    "from": "from '{}' import ... is not allowed",
+    "call": "call '{}(...)' is not allowed",
+    "aliased": "use of aliased dangerous module '{}' is not allowed",
+    "attr": "call '{}(...)' is not allowed",
+}
+
 SCREEN_SCHEMA = "ord int, kind string, name string, message string"
 
 
@@ -161,32 +170,35 @@ def screen_findings(code: str | None, roots=BANNED_IMPORT_ROOTS, calls=BANNED_CA
     bound: dict[str, str] = {}  # local name -> module root
     found: list[tuple[str, str, str]] = []
 
+    def add(kind: str, name: str) -> None:
+        found.append((kind, name, SCREEN_MESSAGES[kind].format(name)))
+
     def note(node: ast.AST) -> None:
         if isinstance(node, ast.Import):
             for a in node.names:
                 root = a.name.split(".", 1)[0]
                 bound[a.asname or root] = root
                 if root in roots:
-                    found.append(("import", root, f"import '{root}' is not allowed"))
+                    add("import", root)
         elif isinstance(node, ast.ImportFrom):
             root = (node.module or "").split(".", 1)[0]
             if root:
                 for a in node.names:
                     bound[a.asname or a.name] = root
             if root in roots:
-                found.append(("from", root, f"from '{root}' import ... is not allowed"))
+                add("from", root)
         elif isinstance(node, ast.Call):
             fn = node.func
             if isinstance(fn, ast.Name):
                 if fn.id in calls:
-                    found.append(("call", fn.id, f"call '{fn.id}(...)' is not allowed"))
+                    add("call", fn.id)
                 via = bound.get(fn.id)
                 if via in roots:
-                    found.append(("aliased", via, f"use of aliased dangerous module '{via}' is not allowed"))
+                    add("aliased", via)
             elif isinstance(fn, ast.Attribute) and isinstance(fn.value, ast.Name):
                 root = bound.get(fn.value.id, fn.value.id)
                 if (root, fn.attr) in attrs:
-                    found.append(("attr", f"{root}.{fn.attr}", f"call '{root}.{fn.attr}(...)' is not allowed"))
+                    add("attr", f"{root}.{fn.attr}")
 
     stack = [tree]
     while stack:

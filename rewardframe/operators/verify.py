@@ -19,6 +19,15 @@ from rewardframe.functions.text import is_blank, pct1, py_strip
 # Fixed values that must equal the reference's for equal results.
 SENTINEL_PREFIX = "__TESTS_COMPLETED__:"
 SCRIPT_HEADER = "# -*- coding: utf-8 -*-"
+# outcome classes in the order they are tested: (message text used when the output is empty, error type)
+OUTCOME_BLOCKED = ("Security violation", "SECURITY_VIOLATION")
+OUTCOME_TIMEOUT = ("Timeout", "TIMEOUT")
+OUTCOME_INCOMPLETE = ("Program exited before tests completed", "INCOMPLETE_TEST_RUN")
+OUTCOME_SUCCESS = ("All tests passed", None)
+OUTCOME_ASSERTION = ("Test failed", "ASSERTION_ERROR")  # output mentions AssertionError
+OUTCOME_SYNTAX = ("Syntax error", "SYNTAX_ERROR")  # output mentions SyntaxError
+OUTCOME_NO_SANDBOX = ("", "FIREJAIL_NOT_AVAILABLE")  # output mentions FIREJAIL_NOT_AVAILABLE
+OUTCOME_OTHER = ("Execution failed", "RUNTIME_ERROR")
 STABLE_SPREAD = 0.1  # max - min of run pass rates must stay below this
 DEFAULT_N_RUNS = 4
 VERIFY_TIMEOUT_S = 8.0
@@ -131,14 +140,14 @@ def classify_outcome(
 
     none = F.lit(None).cast("string")
     return (
-        F.when(F.coalesce(blocked, F.lit(False)), res("error", msg_or("Security violation"), F.coalesce(given, F.lit("SECURITY_VIOLATION"))))
-        .when(F.coalesce(timed_out, F.lit(False)), res("error", F.lit("Timeout"), F.lit("TIMEOUT")))
-        .when(rc0 & ~saw_sentinel, res("error", F.lit("Program exited before tests completed"), F.lit("INCOMPLETE_TEST_RUN")))
-        .when(rc0 & saw_sentinel, res("success", F.lit("All tests passed"), none))
-        .when(F.instr(out, "AssertionError") > 0, res("error", msg_or("Test failed"), F.lit("ASSERTION_ERROR")))
-        .when(F.instr(out, "SyntaxError") > 0, res("error", msg_or("Syntax error"), F.lit("SYNTAX_ERROR")))
-        .when(F.instr(out, "FIREJAIL_NOT_AVAILABLE") > 0, res("error", cleaned, F.lit("FIREJAIL_NOT_AVAILABLE")))
-        .otherwise(res("error", msg_or("Execution failed"), F.coalesce(given, F.lit("RUNTIME_ERROR"))))
+        F.when(F.coalesce(blocked, F.lit(False)), res("error", msg_or(OUTCOME_BLOCKED[0]), F.coalesce(given, F.lit(OUTCOME_BLOCKED[1]))))
+        .when(F.coalesce(timed_out, F.lit(False)), res("error", F.lit(OUTCOME_TIMEOUT[0]), F.lit(OUTCOME_TIMEOUT[1])))
+        .when(rc0 & ~saw_sentinel, res("error", F.lit(OUTCOME_INCOMPLETE[0]), F.lit(OUTCOME_INCOMPLETE[1])))
+        .when(rc0 & saw_sentinel, res("success", F.lit(OUTCOME_SUCCESS[0]), none))
+        .when(F.instr(out, "AssertionError") > 0, res("error", msg_or(OUTCOME_ASSERTION[0]), F.lit(OUTCOME_ASSERTION[1])))
+        .when(F.instr(out, "SyntaxError") > 0, res("error", msg_or(OUTCOME_SYNTAX[0]), F.lit(OUTCOME_SYNTAX[1])))
+        .when(F.instr(out, "FIREJAIL_NOT_AVAILABLE") > 0, res("error", cleaned, F.lit(OUTCOME_NO_SANDBOX[1])))
+        .otherwise(res("error", msg_or(OUTCOME_OTHER[0]), F.coalesce(given, F.lit(OUTCOME_OTHER[1]))))
     )
 
 
