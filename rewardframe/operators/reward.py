@@ -26,8 +26,14 @@ REWARD_COLUMNS = [
     "compile_valid", "format_error", "syntax_error", "compile_error", "timeout_count",
     "runtime_error_count", "code_length", "is_markdown", "execution_time",
 ]
+# Fixed values that must equal the reference's for equal results.
 CRASH_REWARD = -2.0
 NO_TESTS_BONUS = 0.2
+# validator failure reasons, in the order they are tested
+FAILURE_REASONS = ("empty_or_format", "syntax", "compile", "none")
+# shaper reasons: early exits in order, then the execution outcomes (the last assignment wins)
+SHAPER_REASONS = ("format_or_empty_error", "syntax_error", "compile_error", "no_tests",
+                  "timeout", "runtime_error", "zero_pass", "partial_pass", "full_pass")
 
 
 @dataclass(frozen=True)
@@ -208,19 +214,19 @@ def reason_columns() -> list[Column]:
     rt = F.coalesce(F.col("runtime_errors_n"), F.lit(0))
     ran = F.coalesce(F.col("outcomes_n"), F.lit(0)) > 0
     n = F.col("n_tests")
-    failure = (
-        F.when(~has_code, "empty_or_format").when(~syn, "syntax").when(~comp, "compile").otherwise("none")
-    )
+    f_empty, f_syntax, f_compile, f_none = FAILURE_REASONS
+    failure = F.when(~has_code, f_empty).when(~syn, f_syntax).when(~comp, f_compile).otherwise(f_none)
+    r_format, r_syntax, r_compile, r_no_tests, r_timeout, r_runtime, r_zero, r_partial, r_full = SHAPER_REASONS
     reason = (
-        F.when(~has_code, "format_or_empty_error")
-        .when(~syn, "syntax_error")
-        .when(~comp, "compile_error")
-        .when((n == 0) | ~ran, "no_tests")
-        .when((passed == n), "full_pass")
-        .when(passed > 0, "partial_pass")
-        .when(timeouts > 0, "timeout")
-        .when(rt > 0, "runtime_error")
-        .otherwise("zero_pass")
+        F.when(~has_code, r_format)
+        .when(~syn, r_syntax)
+        .when(~comp, r_compile)
+        .when((n == 0) | ~ran, r_no_tests)
+        .when((passed == n), r_full)
+        .when(passed > 0, r_partial)
+        .when(timeouts > 0, r_timeout)
+        .when(rt > 0, r_runtime)
+        .otherwise(r_zero)
     )
     return [failure.alias("failure_reason"), reason.alias("reason")]
 

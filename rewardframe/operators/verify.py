@@ -32,6 +32,8 @@ STABLE_SPREAD = 0.1  # max - min of run pass rates must stay below this
 DEFAULT_N_RUNS = 4
 VERIFY_TIMEOUT_S = 8.0
 RUNNER_ERROR = "RUNNER_ERROR"  # error type a runner reports when it could not verify a sample
+# verification statuses, in the order they are decided (error: the sample could not be verified)
+STATUSES = ("no_solution", "no_tests", "pass", "partial", "flaky", "fail", "error")
 
 
 def _sample_flags(samples: DataFrame) -> DataFrame:
@@ -185,13 +187,14 @@ def _runner_errors(outcomes: DataFrame) -> Column:
 
 
 def status_expr(has_solution: Column, n_tests: Column, mean: Column, stable: Column) -> Column:
+    no_solution, no_tests, passed, partial, flaky, fail, _ = STATUSES
     return (
-        F.when(~has_solution, "no_solution")
-        .when(n_tests == 0, "no_tests")
-        .when((mean >= 1.0) & stable, "pass")
-        .when(mean >= 0.5, "partial")
-        .when(~stable, "flaky")
-        .otherwise("fail")
+        F.when(~has_solution, no_solution)
+        .when(n_tests == 0, no_tests)
+        .when((mean >= 1.0) & stable, passed)
+        .when(mean >= 0.5, partial)
+        .when(~stable, flaky)
+        .otherwise(fail)
     )
 
 
@@ -243,7 +246,7 @@ def verify_results(
     # a sample the runner could not verify: status error, rate 0.0, not stable, no run rates
     return with_rates.select(
         id_col,
-        F.when(failed, F.lit("error")).otherwise(status_expr(F.col("has_solution"), F.col("n_tests"), F.col("_mean"), stable)).alias("status"),
+        F.when(failed, F.lit(STATUSES[-1])).otherwise(status_expr(F.col("has_solution"), F.col("n_tests"), F.col("_mean"), stable)).alias("status"),
         F.when(failed, F.lit(0.0)).otherwise(F.col("_mean")).alias("pass_rate"),
         F.when(failed, F.lit(False)).otherwise(stable).alias("stable"),
         F.when(~failed, F.col("pass_rates")).alias("pass_rates"),
