@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import mixing
+from rewardframe.llm import mixing, simhash
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,3 +19,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_mix_sources"] = op4_mix_sources
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the components of those within 4 bits."""
+    return simhash.op8_near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_near_duplicates"] = op8_near_duplicates
