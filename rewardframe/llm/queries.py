@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import mixing, quality, simhash
+from rewardframe.llm import ann, mixing, quality, simhash, topk
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_quality"] = op9_quality
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest whole-number inner products for every 50th vector, against all others."""
+    return topk.op2_top_k(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op2_top_k"] = op2_top_k
+ORACLE["op2_top_k"] = topk.ORACLE
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector, against all others."""
+    return ann.op10_nearest(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op10_nearest"] = op10_nearest
