@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, mixing, quality, simhash, topk
+from rewardframe.llm import ann, chat, mixing, quality, simhash, topk
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_nearest"] = op10_nearest
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and digests read back from the formatted strings."""
+    return chat.op1_chat(read(spark, sf_dir, "conversations"))
+
+
+QUERIES["op1_chat"] = op1_chat
+ORACLE["op1_chat"] = chat.ORACLE
