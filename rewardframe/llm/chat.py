@@ -222,8 +222,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(24 + length(regexp_replace(text, '<(\*)\|', '<\|', 'g'))
-    + length(regexp_replace(replace(replace(role, '', '\'), chr(10), '
-'), '<(\*)\|', '<\|', 'g'))) AS BIGINT) AS formatted_chars
+  CAST(sum(24 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))
+    + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g'))) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
