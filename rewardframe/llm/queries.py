@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, mixing, quality, simhash, topk
+from rewardframe.llm import ann, chat, html_text, mixing, quality, simhash, topk
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_chat"] = op1_chat
 ORACLE["op1_chat"] = chat.ORACLE
+
+
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.op3_extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op3_extract"] = op3_extract
