@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, html_text, mixing, quality, simhash, topk
+from rewardframe.llm import ann, chat, html_text, mixing, quality, simhash, topk, urls
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,11 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_extract"] = op3_extract
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages: rules first, then boosted trees."""
+    return urls.op7_urls(read(spark, sf_dir, "pages"))
+
+
+QUERIES["op7_urls"] = op7_urls
