@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, html_text, mixing, quality, simhash, topk, urls
+from rewardframe.llm import ann, chat, html_text, mixing, pieces, quality, simhash, topk, urls
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_urls"] = op7_urls
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of all documents, with inclusion scores, decoded again."""
+    return pieces.op6_encode(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_sentencepiece"] = op6_sentencepiece
