@@ -31,8 +31,11 @@ K = 20
 QUERY_EVERY = 20
 PROJECTIONS = 64
 THRESHOLD = 0.6
-FIRST_RADIUS, GROWTH = 0.4, 1.3
+FIRST_RADIUS, GROWTH = 0.8, 1.2
+#: Rings that add fewer collisions than this for each row are counted row by row.
+SPARSE = 4
 SEED = 77
+BLOCK = 8192
 COLUMNS = ["ids", "vectors", "order", "sorted"]
 
 
@@ -64,6 +67,8 @@ def search(k: int, largest: float, size: int):
         rows = np.frombuffer(block["vectors"]).reshape(n, size)
         order = np.frombuffer(block["order"], np.int32).reshape(PROJECTIONS, n).astype(np.int64)
         line = np.frombuffer(block["sorted"], np.float32).reshape(PROJECTIONS, n)
+        rank = np.empty((PROJECTIONS, n), dtype=np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(rank, order, np.arange(n, dtype=rank.dtype)[None, :], axis=1)
         given = np.zeros((len(queries), size))
         given[:, : queries.shape[1]] = queries
         norms = np.sqrt((given**2).sum(axis=1))
@@ -75,22 +80,27 @@ def search(k: int, largest: float, size: int):
             high = [np.searchsorted(x, c, "right") for x, c in zip(line, (centres[open_] + radius).T.astype(np.float32))]
             return np.array(low).T, np.array(high).T
 
-        counts = np.zeros((len(queries), n), dtype=np.int32)
+        counts = np.zeros((len(queries), n), dtype=np.uint8)
         verified: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
         open_ = np.arange(len(queries))
         radius = FIRST_RADIUS * largest
         low = high = edges(open_, 0.0)[0]  # empty windows at first
         while len(open_):
             new_low, new_high = edges(open_, radius)
+            added = (new_high - new_low - high + low).sum(axis=1)
             left = []
             for at, q in enumerate(open_.tolist()):
-                rings = [
-                    piece
-                    for o, a, b, c, d in zip(order, new_low[at].tolist(), low[at].tolist(), high[at].tolist(), new_high[at].tolist())
-                    for piece in (o[a:b], o[c:d])
-                ]
                 before = counts[q] >= needed
-                counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.int32)
+                if added[at] < SPARSE * n:  # narrow rings: count the rows that they add
+                    rings = [
+                        piece
+                        for o, a, b, c, d in zip(order, new_low[at], low[at], high[at], new_high[at])
+                        for piece in (o[a:b], o[c:d])
+                    ]
+                    counts[q] += np.bincount(np.concatenate(rings), minlength=n).astype(np.uint8)
+                else:  # wide windows: compare every row's place in order with the window
+                    inside = rank - new_low[at].astype(rank.dtype)[:, None] < (new_high - new_low)[at].astype(rank.dtype)[:, None]
+                    counts[q] = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
                 new = np.flatnonzero((counts[q] >= needed) & ~before)
                 rows_seen, scores = verified[q]
                 rows_seen = np.concatenate((rows_seen, new))
@@ -120,7 +130,7 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = K, id_col: str = "vec_
     rows = sound(vectors, id_col, vector_col).filter(square > 0)
     found = rows.agg(F.sqrt(F.max(square)), F.max(F.size("vector"))).first()
     largest, size = found[0] or 1.0, found[1] or 1
-    return best_of_all(rows, query, indexed(largest, size), COLUMNS, search(k, largest, size), k, "double")
+    return best_of_all(rows, query, indexed(largest, size), COLUMNS, search(k, largest, size), k, "double", BLOCK)
 
 
 def op10_nearest(vectors: DataFrame) -> DataFrame:

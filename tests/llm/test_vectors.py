@@ -35,7 +35,6 @@ def odd_rows():
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_top_k_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
     monkeypatch.setattr(vectors.best_of_all, "__defaults__", (block,))
     rows = odd_rows()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA).repartition(3)
@@ -49,9 +48,10 @@ def test_empty_tables(spark):
     assert ann.op10_nearest(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 100])
-def test_recall_and_scores(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors.best_of_all, "__defaults__", (block,))
+@pytest.mark.parametrize(("block", "sparse"), [(8192, 4), (100, 4), (8192, 10**6)])
+def test_recall_and_scores(spark, monkeypatch, block, sparse):
+    monkeypatch.setattr(ann, "BLOCK", block)
+    monkeypatch.setattr(ann, "SPARSE", sparse)
     df = read(spark, SF, "embeddings")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     ids = np.array([i for i, _ in rows])
