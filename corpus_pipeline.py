@@ -1,11 +1,25 @@
-"""Corpus pipeline: quality filter, near-duplicate removal, source mixing, subword encoding."""
+"""Corpus pipeline: quality filter, near-duplicate removal, source mixing, subword encoding.
+
+Each stage is a function of (spark, docs, sf_dir) whose result is written as Parquet and read back
+as the next one's ``docs``; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import mixing
-from rewardframe.llm.common import written
+from rewardframe.llm import mixing, pieces, quality, simhash
+from rewardframe.llm.common import read, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    return simhash.first_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,13 +27,24 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(mixing.mix_sources(docs, mixing.cycled_weights(docs)))
 
 
-STAGES = [("mixing sources to target weights", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document: doc_id, sample, ids and their scores."""
+    return pieces.op6_encode(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("SimHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
 
+#: The stages are models, components and samples that SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
