@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, html_text, mixing, pieces, quality, simhash, topk, urls
+from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, quality, simhash, topk, urls
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_sentencepiece"] = op6_sentencepiece
+
+
+def op5_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under the language model learned from four folds."""
+    return pitman_yor.op5_score(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_score"] = op5_score
