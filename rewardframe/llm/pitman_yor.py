@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,9 @@ from rewardframe.llm.pieces import Numbers
 
 FOLDS, HELD_OUT = 5, 1
 OWN, ENDINGS = 768, 253
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 8_000_000
+#: Tokens of texts that are looked up together.
+STRETCH = 1 << 19
 SWEEPS, BURN = 4, 1
 DISCOUNT, STRENGTH = 0.5, 1.0
 SINGLY = 32
@@ -134,10 +137,18 @@ class Words:
 
 
 def _sums(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(flat, starts) if len(starts) else np.zeros(0)
+    """Sums of the stretches that begin at ``starts`` (none is empty)."""
+    return np.add.reduceat(flat, starts)
 
 
-def _resolved(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
+def _stretches(sizes: np.ndarray, first: int, last: int, tokens: int) -> Iterator[tuple[int, int]]:
+    """Cut rows first..last into runs of at most so many tokens, or one row."""
+    while first < last:
+        upto = int(np.searchsorted(np.cumsum(sizes[first:last]), tokens, "right"))
+        yield first, (first := min(last, first + max(1, upto)))
+
+
+def _resolved(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) -> Iterator[pa.RecordBatch]:
     """Blocks come as dictionary rows (count, class) and then texts; out go rows for texts, with
     their classes, and the class pairs of the task's training texts, a row for each class before."""
     classes = words.classes
@@ -149,6 +160,34 @@ def _resolved(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.Re
     base = inner = np.empty(0)
     pending: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def look_up(texts: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal pairs
+        n = texts.num_rows
+        ids = texts.column("words").to_pylist()
+        local = np.frombuffer(b"".join(ids), dtype=np.int32)
+        starts = np.cumsum([0, *(len(t) // 4 for t in ids[:-1])])
+        kind = kind_of[local]
+        seen = count[local] > 0
+        before = np.empty_like(kind)
+        before[1:] = kind[:-1]
+        before[starts] = classes
+        held = np.asarray(texts.column("held")).astype(bool)
+        lengths = np.diff(np.append(starts, len(local)))
+        learned = np.repeat(~held, lengths)
+        pairs += np.bincount((before * classes + kind)[learned], minlength=len(pairs))
+        marked = (kind + np.where(seen, 0, UNKNOWN)).astype("<u2").tobytes()
+        ends = (2 * np.append(starts, len(local))).tolist()
+        return pa.RecordBatch.from_arrays(
+            [
+                texts.column("doc_id"), pa.array(held, pa.bool_()), pa.array(lengths),
+                pa.array(_sums(seen.astype(np.int64), starts)), pa.array(_sums(base[local], starts)),
+                pa.array(_sums(inner[local], starts)),
+                pa.array([marked[x:y] for x, y in zip(ends, ends[1:])], pa.binary()),
+                pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+            ],
+            names=names,
+        )
+
     for batch in batches:
         id_type = batch.schema.field("doc_id").type
         blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
@@ -171,30 +210,10 @@ def _resolved(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.Re
                     (count > 0) & (kind_of >= words.own),
                     np.log10(np.maximum(count - words.discount, 1e-9) / (STRENGTH + words.class_tokens[kind_of])), 0.0,
                 )
-            texts = batch.column("words").slice(a, b - a).to_pylist()
-            local = np.frombuffer(b"".join(texts), dtype=np.int32)
-            starts = np.cumsum([0, *(len(t) // 4 for t in texts[:-1])])
-            kind = kind_of[local]
-            seen = count[local] > 0
-            before = np.empty_like(kind)
-            before[1:] = kind[:-1]
-            before[starts] = classes
-            held = np.asarray(batch.column("held").slice(a, b - a))
-            lengths = np.diff(np.append(starts, len(local)))
-            learned = np.repeat(~held.astype(bool), lengths)
-            pairs += np.bincount((before * classes + kind)[learned], minlength=len(pairs))
-            marked = (kind + np.where(seen, 0, UNKNOWN)).astype("<u2").tobytes()
-            ends = (2 * np.append(starts, len(local))).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(a, b - a), pa.array(held, pa.bool_()), pa.array(lengths),
-                    pa.array(_sums(seen.astype(np.int64), starts)), pa.array(_sums(base[local], starts)),
-                    pa.array(_sums(inner[local], starts)),
-                    pa.array([marked[x:y] for x, y in zip(ends, ends[1:])], pa.binary()),
-                    pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
-                ],
-                names=names,
-            )
+            words_of = batch.column("words")
+            sizes = pc.fill_null(pc.binary_length(words_of), 0).to_numpy(zero_copy_only=False) // 4
+            for x, y in _stretches(sizes, a, b, stretch):
+                yield look_up(batch.slice(x, y - x))
     table = pairs.reshape(classes + 1, classes)
     some = np.flatnonzero(table.any(axis=1))
     if len(some):
@@ -281,30 +300,31 @@ def gibbs(restaurants: DataFrame, classes: int) -> np.ndarray:
     return total / (SWEEPS - BURN)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], probs: np.ndarray, new_word: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], probs: np.ndarray, new_word: np.ndarray, stretch: int) -> Iterator[pa.RecordBatch]:
     with np.errstate(divide="ignore"):
         log = np.log10(probs)
         unknown = np.log10(probs @ new_word)
     classes = probs.shape[1]
-    for batch in batches:
-        texts = batch.column("classes").to_pylist()
-        marked = np.frombuffer(b"".join(texts), dtype="<u2")
-        starts = np.cumsum([0, *(len(t) // 2 for t in texts[:-1])])
-        kind = (marked & (UNKNOWN - 1)).astype(np.int64)
-        before = np.empty_like(kind)
-        before[1:] = kind[:-1]
-        if len(texts):
+    for whole in batches:
+        sizes = pc.binary_length(whole.column("classes")).to_numpy(zero_copy_only=False) // 2
+        for first, last in _stretches(sizes, 0, whole.num_rows, stretch):
+            batch = whole.slice(first, last - first)
+            texts = batch.column("classes").to_pylist()
+            marked = np.frombuffer(b"".join(texts), dtype="<u2")
+            starts = np.cumsum([0, *(len(t) // 2 for t in texts[:-1])])
+            kind = (marked & (UNKNOWN - 1)).astype(np.int64)
+            before = np.empty_like(kind)
+            before[1:] = kind[:-1]
             before[starts] = classes
-        score = np.where(marked >= UNKNOWN, unknown[before], log.ravel()[before * classes + kind])
-        sums = _sums(score, starts) if len(texts) else np.zeros(0)
-        columns = [batch.column(c) for c in ("doc_id", "held", "n_tokens", "n_known", "base")]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(sums + np.asarray(batch.column("words")))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
+            score = np.where(marked >= UNKNOWN, unknown[before], log.ravel()[before * classes + kind])
+            columns = [batch.column(c) for c in ("doc_id", "held", "n_tokens", "n_known", "base")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(_sums(score, starts) + np.asarray(batch.column("words")))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
 
 
-def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, stretch: int = STRETCH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
     (doc_id, text), learned from the rows that ``held_out`` does not hold for."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -348,7 +368,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     blocks = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "local")
     resolved = written(
         blocks.mapInArrow(
-            lambda it: _resolved(it, words),
+            lambda it: _resolved(it, words, stretch),
             f"doc_id {kind}, held boolean, n_tokens long, n_known long, base double, words double, classes binary, before int, pairs binary",
         )
     )
@@ -356,7 +376,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     probs = gibbs(written(restaurants.mapInArrow(_summed, "before int, pairs binary").repartition(32, "before")), words.classes)
     model = spark.sparkContext.broadcast((probs, words.new_word()))
     scored = resolved.filter("before IS NULL").drop("before", "pairs").mapInArrow(
-        lambda it: _scored(it, *model.value),
+        lambda it: _scored(it, *model.value, stretch),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(words.tokens).cast("long"))

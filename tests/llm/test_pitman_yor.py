@@ -33,12 +33,12 @@ def check_base(rows, docs):
     assert got == want
 
 
-@pytest.mark.parametrize("block_tokens", [pitman_yor.BLOCK_TOKENS, 20000])
-def test_documents(spark, block_tokens):
+@pytest.mark.parametrize(("block_tokens", "stretch"), [(pitman_yor.BLOCK_TOKENS, pitman_yor.STRETCH), (20000, 300)])
+def test_documents(spark, block_tokens, stretch):
     docs = read(spark, SF, "documents")
     given = [(r.doc_id, r.text) for r in docs.collect()]
     rule = pitman_yor.fold(docs["doc_id"], 5) == 1
-    rows = pitman_yor.score_texts(docs, rule, block_tokens).collect()
+    rows = pitman_yor.score_texts(docs, rule, block_tokens, stretch).collect()
     check_base(rows, given)
     mine = sum(r.score for r in rows if r.held_out)
     base = sum(r.base_score for r in rows if r.held_out)
