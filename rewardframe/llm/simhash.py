@@ -183,9 +183,9 @@ def _forest(fps: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key come in; links (a, b) go out, and (a, null) for members of buckets that
-    are too large to compare."""
+def _bucket_links(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key come in; links (a, b) go out, and (a, null) for members of buckets of
+    more than ``bucket`` fingerprints."""
     keys = np.empty(0, dtype=np.int64)
     fps = np.empty(0, dtype=np.int64)
     large = None  # the key of a bucket found too large, whose members go out as they come
@@ -205,7 +205,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             b += fps[pairs[near] + 1].tolist()
         for at, size in zip(edges[:-1][sizes > 2], sizes[sizes > 2]):
             members = fps[at : at + size]
-            if size > BUCKET:
+            if size > bucket:
                 a += members.tolist()
                 b += [None] * len(members)
                 continue
@@ -231,7 +231,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield done(keys[:cut], fps[:cut])
             keys, fps = keys[cut:], fps[cut:]
         large = None
-        if len(keys) > BUCKET:
+        if len(keys) > bucket:
             large = keys[0]
             yield rows(fps.tolist(), [None] * len(fps))
             keys, fps = keys[:0], fps[:0]
@@ -252,11 +252,11 @@ def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``fps``: distinct fp. Links a, b that connect all fingerprints within MAX_BITS of each
     other (a spanning forest of each bucket, with repeats)."""
     keyed = fps.mapInArrow(_keyed, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp")
-    found = written(keyed.mapInArrow(_bucket_links, "a long, b long").distinct())
+    found = written(keyed.mapInArrow(lambda it: _bucket_links(it, bucket), "a long, b long").distinct())
     crowded = found.filter(F.col("b").isNull()).select(F.col("a").alias("fp"))
     words = crowded.mapInArrow(_midpoints, "word long, fp long")
     # whoever shares a midpoint is linked to the least of them
@@ -265,11 +265,11 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return found.filter(F.col("b").isNotNull()).unionByName(through)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text_key, fp, root (the component's own fingerprint), component_id of every row."""
     marked = written(with_fingerprints(docs, shingle))
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    links = connected_components(fingerprint_links(groups.select("fp")))
+    links = connected_components(fingerprint_links(groups.select("fp"), bucket))
     roots = written(
         groups.join(links, groups["fp"] == links["node"], "left").select(
             "fp", F.coalesce("root", "fp").alias("root"), "first"

@@ -74,12 +74,12 @@ def corpus():
 
 
 @pytest.mark.parametrize("bucket", [2048, 3])
-def test_matches_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+def test_matches_brute_force(spark, bucket):
     texts = corpus()
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_near_duplicates(docs).collect()}
+    rows_of = simhash.near_duplicates(docs, bucket=bucket).collect()
+    got = {r.doc_id: (f"{r.fp % 2**64:016x}", r.component_id) for r in rows_of}
     fps = [plain_fingerprint(t) for _, t in rows]
     roots = plain_components(fps)
     least = {}
@@ -88,6 +88,30 @@ def test_matches_brute_force(spark, monkeypatch, bucket):
     assert got == {doc: (f"{f:016x}", least[root]) for (doc, _), f, root in zip(rows, fps, roots)}
 
 
+def test_crowded_buckets_are_linked_through_midpoints(spark):
+    """A large group around one fingerprint, all pairs of it in crowded buckets."""
+    rng = random.Random(3)
+    centre = rng.getrandbits(64)
+    fps = {centre}
+    while len(fps) < 120:
+        x = rng.choice(sorted(fps))
+        for bit in rng.sample(range(64), rng.choice([1, 2, 3, 4])):
+            x ^= 1 << bit
+        fps.add(x)
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    fps = sorted(fps)
+    rows = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
+    df = spark.createDataFrame(rows, "fp long").repartition(4)
+    links = simhash.fingerprint_links(df, bucket=4)
+    linked = {frozenset((r.a % 2**64, r.b % 2**64)) for r in links.collect()}
+    assert all((a ^ b).bit_count() <= 4 for a, b in map(tuple, linked))
+    roots = {r.node % 2**64: r.root % 2**64 for r in connected_components(links).collect()}
+    want = plain_components(fps)
+    got = [roots.get(f, f) for f in fps]
+    assert len(set(got)) == len(set(want))
+    assert len(set(zip(got, want))) == len(set(want))
+
+
 def test_null_ids_repeats_and_empty_tables(spark):
     schema = "doc_id long, text string, fp string"
     docs = spark.createDataFrame(

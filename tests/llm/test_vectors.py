@@ -48,10 +48,22 @@ def test_empty_tables(spark):
     assert ann.op10_nearest(none).count() == 0
 
 
-@pytest.mark.parametrize(("block", "sparse"), [(8192, 4), (100, 4), (8192, 10**6)])
-def test_recall_and_scores(spark, monkeypatch, block, sparse):
-    monkeypatch.setattr(ann, "BLOCK", block)
+@pytest.mark.parametrize("sparse", [0, 10**6])
+def test_both_ways_of_counting_agree(monkeypatch, sparse):
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(300, 12))
+    ids = np.arange(300)
+    largest = float(np.sqrt((matrix**2).sum(axis=1).max()))
+    block = dict(zip(ann.COLUMNS, ann.indexed(largest, 12)(ids, matrix)))
+    want = ann.search(7, largest, 12)(block, ids[::9], matrix[::9])
     monkeypatch.setattr(ann, "SPARSE", sparse)
+    got = ann.search(7, largest, 12)(block, ids[::9], matrix[::9])
+    assert all((a == b).all() for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("block", [8192, 100])
+def test_recall_and_scores(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
     df = read(spark, SF, "embeddings")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     ids = np.array([i for i, _ in rows])
