@@ -1,112 +1,85 @@
 """Python-source checks that need Python's own parser: the only per-row Python in the library.
 
-Each runs as an Arrow-batched pandas UDF (or a UDTF for screening); inside a batch every
-distinct text is parsed once, so repeated rollouts of the same code cost one parse per batch
-without a shuffle to de-duplicate them.
+Each is one Arrow UDF; inside a batch every distinct text is parsed once, so repeated rollouts of
+the same code cost one parse per batch without a shuffle to de-duplicate them.
 """
 
 from __future__ import annotations
 
 import ast
+import bisect
 import warnings
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from rewardframe.functions.text import col_
+from rewardframe.functions.text import col_, is_blank
 
-VALIDATION_TYPE = T.StructType(
+CHECK_TYPE = T.StructType(
     [
-        T.StructField("syntax_valid", T.BooleanType()),
-        T.StructField("compile_valid", T.BooleanType()),
-        T.StructField("syntax_error", T.StringType()),
-        T.StructField("compile_error", T.StringType()),
+        T.StructField("parses", T.BooleanType()),
+        T.StructField("compiles", T.BooleanType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("line", T.IntegerType()),
+        T.StructField("offset", T.IntegerType()),
     ]
 )
 
 
-def _blank(code) -> bool:
-    return code is None or not str(code).strip()
+def _distinct(values: pa.Array, fn: Callable, kind: pa.DataType) -> pa.Array:
+    """``fn`` of every value, computed once for each distinct one; null stays null."""
+    coded = values.dictionary_encode()
+    results = pa.array([fn(v) for v in coded.dictionary.to_pylist()], kind)
+    return results.take(coded.indices)
 
 
-def check_code(code: str | None) -> tuple[bool, bool, str, str]:
-    """(syntax_valid, compile_valid, syntax_error, compile_error); compile only runs after parse."""
-    if _blank(code):
-        return False, False, "", ""
+def check_source(text: str) -> dict:
+    """Whether a text parses as Python, whether it compiles, and the error's class and place."""
+    found = {"parses": False, "compiles": False, "error": None, "line": None, "offset": None}
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
-            ast.parse(code)
+            tree = ast.parse(text)
+            found["parses"] = True
+            compile(text, "<string>", "exec", dont_inherit=True)
+            del tree
+            found["compiles"] = True
         except SyntaxError as e:
-            return False, False, f"Syntax error: {e}", ""
-        except Exception as e:  # noqa: BLE001 - e.g. null bytes
-            return False, False, f"Parse error: {e}", ""
-        try:
-            compile(code, "<string>", "exec")
-        except SyntaxError as e:
-            return True, False, "", f"Compile error (syntax): {e}"
-        except Exception as e:  # noqa: BLE001
-            return True, False, "", f"Compile error: {e}"
-    return True, True, "", ""
-
-
-def parses_as_python(text: str | None) -> bool | None:
-    if text is None:
-        return None
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text)
-            return True
-        except SyntaxError:
-            return False
-        except Exception:  # noqa: BLE001 - null bytes etc. are not code either
-            return False
-
-
-def _per_distinct(s: pd.Series, fn):
-    uniq = {v: fn(v) for v in s.dropna().unique()}
-    return s.map(lambda v: uniq.get(v) if v is not None else None)
+            found |= {"error": type(e).__name__, "line": e.lineno, "offset": e.offset}
+        except (ValueError, RecursionError, MemoryError, OverflowError) as e:  # null bytes, too deep nesting
+            found["error"] = type(e).__name__
+    return found
 
 
-@F.pandas_udf(VALIDATION_TYPE)
-def _validate_udf(s: pd.Series) -> pd.DataFrame:
-    res = _per_distinct(s, check_code)
-    rows = [r if r is not None else (False, False, "", "") for r in res]
-    return pd.DataFrame(rows, columns=["syntax_valid", "compile_valid", "syntax_error", "compile_error"])
+@F.arrow_udf(CHECK_TYPE)
+def _check_udf(text: pa.Array) -> pa.Array:
+    return _distinct(text, check_source, to_arrow_type(CHECK_TYPE))
 
 
-@F.pandas_udf(T.BooleanType())
-def _parses_udf(s: pd.Series) -> pd.Series:
-    return _per_distinct(s, parses_as_python).astype("boolean")
+def check_code(text: str | Column) -> Column:
+    """Struct (parses, compiles, error, line, offset); a null text gives null and is not parsed."""
+    return _check_udf(col_(text))
 
 
 def validate_code(code: str | Column) -> Column:
-    """Struct (has_code, syntax_valid, compile_valid, syntax_error, compile_error).
-
-    ``has_code`` is native; blank code never reaches Python (null is passed instead).
-    """
+    """Struct (has_code, syntax_valid, compile_valid, error, line, offset). Blank code never
+    reaches Python."""
     c = col_(code)
-    from rewardframe.functions.text import is_blank
-
     has_code = ~is_blank(c)
-    v = _validate_udf(F.when(has_code, c))
+    v = check_code(F.when(has_code, c))
     return F.struct(
         has_code.alias("has_code"),
-        F.coalesce(v["syntax_valid"], F.lit(False)).alias("syntax_valid"),
-        F.coalesce(v["compile_valid"], F.lit(False)).alias("compile_valid"),
-        F.coalesce(v["syntax_error"], F.lit("")).alias("syntax_error"),
-        F.coalesce(v["compile_error"], F.lit("")).alias("compile_error"),
+        F.coalesce(v["parses"], F.lit(False)).alias("syntax_valid"),
+        F.coalesce(v["compiles"], F.lit(False)).alias("compile_valid"),
+        v["error"].alias("error"), v["line"].alias("line"), v["offset"].alias("offset"),
     )
 
 
-def parses(text: str | Column) -> Column:
-    """True when the whole text parses as Python; null input gives null (not evaluated)."""
-    return _parses_udf(col_(text))
-
-
 # ------------------------------------------------------------------- screening
 
 # Fixed values that must equal the reference's for equal results.
@@ -140,8 +113,7 @@ BANNED_ATTR_CALLS = [
     ("subprocess", "check_output"),
     ("socket", "socket"),
 ]
-
-# violation message texts, by kind
+# The message of a violation, by its kind.
 SCREEN_MESSAGES = {
     "import": "import '{}' is not allowed",
     "from": "from '{}' import ... is not allowed",
@@ -149,82 +121,102 @@ SCREEN_MESSAGES = {
     "aliased": "use of aliased dangerous module '{}' is not allowed",
     "attr": "call '{}(...)' is not allowed",
 }
-
-SCREEN_SCHEMA = "ord int, kind string, name string, message string"
-
-
-def screen_findings(code: str | None, roots=BANNED_IMPORT_ROOTS, calls=BANNED_CALL_NAMES, attrs=BANNED_ATTR_CALLS):
-    """Violations of one script in source order (depth-first, field order), with alias tracking.
-
-    Unparsable code yields nothing: the run itself reports the syntax error.
-    """
-    if code is None:
-        return []
+#: All violations: kind and name.
+BANNED = frozenset(
+    [("import", m) for m in BANNED_IMPORT_ROOTS]
+    + [("from", m) for m in BANNED_IMPORT_ROOTS]
+    + [("aliased", m) for m in BANNED_IMPORT_ROOTS]
+    + [("call", n) for n in BANNED_CALL_NAMES]
+    + [("attr", f"{m}.{n}") for m, n in BANNED_ATTR_CALLS]
+)
+FINDING_TYPE = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "name", "message")]))
+
+
+def _outline(tree: ast.AST) -> Iterator[ast.AST]:
+    """The tree's nodes in the order of their fields, a node before its children."""
+    waiting = [iter((tree,))]
+    while waiting:
+        node = next(waiting[-1], None)
+        if node is None:
+            waiting.pop()
+        else:
+            yield node
+            waiting.append(ast.iter_child_nodes(node))
+
+
+def _facts(tree: ast.AST) -> tuple[list[tuple], dict[str, list[tuple[int, str]]]]:
+    """What a script imports and calls, in order, and which module each name stands for from
+    where on. Facts: (place, kind, base, name)."""
+    facts: list[tuple[int, str, str | None, str]] = []
+    names: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for place, node in enumerate(_outline(tree)):
+        match node:
+            case ast.Import(names=imported):
+                for a in imported:
+                    root = a.name.partition(".")[0]
+                    names[a.asname or root].append((place, root))
+                    facts.append((place, "import", None, root))
+            case ast.ImportFrom(module=str(module), names=imported) if module:
+                root = module.partition(".")[0]
+                for a in imported:
+                    names[a.asname or a.name].append((place, root))
+                facts.append((place, "from", None, root))
+            case ast.Call(func=ast.Name(id=name)):
+                facts += [(place, "call", None, name), (place, "aliased", name, "")]
+            case ast.Call(func=ast.Attribute(value=ast.Name(id=base), attr=name)):
+                facts.append((place, "attr", base, name))
+    return facts, names
+
+
+def screen_findings(code: str | None) -> list[tuple[str, str]]:
+    """Violations (kind, name) of a script in its order: the facts that the ban list holds, with
+    names resolved to the module that they stand for there. Code that does not parse has none."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+            facts, names = _facts(ast.parse(code or ""))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    roots, calls, attrs = set(roots), set(calls), set(attrs)
-    bound: dict[str, str] = {}  # local name -> module root
-    found: list[tuple[str, str, str]] = []
-
-    def add(kind: str, name: str) -> None:
-        found.append((kind, name, SCREEN_MESSAGES[kind].format(name)))
-
-    def note(node: ast.AST) -> None:
-        if isinstance(node, ast.Import):
-            for a in node.names:
-                root = a.name.split(".", 1)[0]
-                bound[a.asname or root] = root
-                if root in roots:
-                    add("import", root)
-        elif isinstance(node, ast.ImportFrom):
-            root = (node.module or "").split(".", 1)[0]
-            if root:
-                for a in node.names:
-                    bound[a.asname or a.name] = root
-            if root in roots:
-                add("from", root)
-        elif isinstance(node, ast.Call):
-            fn = node.func
-            if isinstance(fn, ast.Name):
-                if fn.id in calls:
-                    add("call", fn.id)
-                via = bound.get(fn.id)
-                if via in roots:
-                    add("aliased", via)
-            elif isinstance(fn, ast.Attribute) and isinstance(fn.value, ast.Name):
-                root = bound.get(fn.value.id, fn.value.id)
-                if (root, fn.attr) in attrs:
-                    add("attr", f"{root}.{fn.attr}")
-
-    stack = [tree]
-    while stack:
-        node = stack.pop()
-        note(node)
-        stack.extend(reversed(list(ast.iter_child_nodes(node))))
-    return found
 
+    def module(name: str, place: int) -> str | None:
+        known = names.get(name, [])
+        at = bisect.bisect_right(known, place, key=lambda b: b[0])
+        return known[at - 1][1] if at else None
+
+    resolved = []
+    for place, kind, base, name in facts:
+        if kind == "aliased":
+            resolved.append((kind, module(base, place)))
+        elif kind == "attr":
+            resolved.append((kind, f"{module(base, place) or base}.{name}"))
+        else:
+            resolved.append((kind, name))
+    return [f for f in resolved if f in BANNED]
+
+
+def _findings(code: str) -> list[dict]:
+    return [{"kind": k, "name": n, "message": SCREEN_MESSAGES[k].format(n)} for k, n in screen_findings(code)]
+
+
+@F.arrow_udf(FINDING_TYPE)
+def _screen_udf(code: pa.Array) -> pa.Array:
+    return _distinct(code, _findings, to_arrow_type(FINDING_TYPE))
 
-def screen_message(code: str | None) -> str | None:
-    """Distinct violation texts in first-seen order joined by '; ', or None when clean."""
-    msgs = list(dict.fromkeys(m for _, _, m in screen_findings(code)))
-    return "; ".join(msgs) if msgs else None
 
+def screen_code(code: str | Column) -> Column:
+    """Violations of a script as an array of (kind, name, message) in the script's order; empty
+    for clean, unparsable and null code."""
+    found = _screen_udf(col_(code))
+    return F.coalesce(found, F.array().cast(FINDING_TYPE))
 
-@F.udtf(returnType=SCREEN_SCHEMA)
-class ScreenCode:
-    """``screen_code(code)`` -> one row per violation: (ord, kind, name, message)."""
 
-    def eval(self, code: str | None):
-        for i, (kind, name, msg) in enumerate(screen_findings(code)):
-            yield i, kind, name, msg
+def screen_message(violations: str | Column) -> Column:
+    """Distinct messages in first-seen order joined by '; ', null when clean."""
+    messages = F.array_distinct(F.transform(col_(violations), lambda v: v["message"]))
+    return F.when(F.size(messages) > 0, F.array_join(messages, "; "))
 
 
 def register_sql_functions(spark) -> None:
-    """Register ``screen_code`` (UDTF), ``validate_code`` and ``parses_python`` for SQL use."""
-    spark.udtf.register("screen_code", ScreenCode)
-    spark.udf.register("validate_code", _validate_udf)
-    spark.udf.register("parses_python", _parses_udf)
+    """Register ``screen_code`` and ``check_code`` for SQL use."""
+    spark.udf.register("screen_code", _screen_udf)
+    spark.udf.register("check_code", _check_udf)

@@ -2,165 +2,128 @@
 
 Native fast path: the text is parsed as JSON into a VARIANT; arrays of strings, JSON string
 scalars and objects whose test key holds either are resolved JVM-side. Everything else (Python
-literals, nested lists, numbers, objects inside lists, non-JSON text) goes through one
-Arrow UDF that follows the full rules; rows on the fast path pass null to it.
+literals, nested lists, numbers, objects inside lists, non-JSON text) goes through one Arrow UDF;
+rows on the fast path pass null to it.
 """
 
 from __future__ import annotations
 
 import ast
+import io
 import json
+import tokenize
 import warnings
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rewardframe.functions.text import col_, py_strip
-
 # Fixed values that must equal the reference's for equal results.
 # Keys of a dict that hold its tests, in order of preference.
 TEST_KEYS = ["test", "tests", "test_cases", "assertion", "check"]
 
 
-def parse_tests_py(value, split_adjacent: bool = False) -> list[str]:
-    """Full rules on one value (used inside the UDF and as the reference in unit tests)."""
-    if value is None:
-        return []
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if isinstance(value, str):
-        text = value.strip()
-        if not text:
-            return []
-        parsed, ok = None, False
-        try:
-            parsed, ok = json.loads(text), True
-        except Exception:  # noqa: BLE001
-            pass
-        if not ok:
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    parsed, ok = ast.literal_eval(text), True
-            except Exception:  # noqa: BLE001
-                pass
-        if split_adjacent and ok and isinstance(parsed, list) and text.startswith("["):
-            ok = False  # re-read: adjacent literals become separate tests
-        if not ok and text.startswith("[") and text.endswith("]"):
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    tree = ast.parse(text)
-            except Exception:  # noqa: BLE001
-                return []
-            consts = [n.value for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str)]
-            if split_adjacent:
-                consts = _adjacent_parts(text) or consts
-            if not consts:
-                return []
-            parsed, ok = consts, True
-        value = parsed if ok else [text]
-    if isinstance(value, dict):
-        for k in TEST_KEYS:
-            if k in value:
-                value = value[k]
-                break
-    out: list[str] = []
-    if isinstance(value, dict):
-        out.append(str(value))
-    else:
-        _flatten_items(value, out)
-    return [t.strip() for t in out if t and t.strip()]
+class NotThisForm(ValueError):
+    """A decoder's way to say that a text has another form."""
+
+
+def _from_json(text: str):
+    return json.loads(text)
 
 
-def _flatten_items(x, out: list[str]) -> None:
-    if isinstance(x, list):
-        for item in x:
-            if isinstance(item, dict):
-                out.append(str(item))
-            else:
-                _flatten_items(item, out)
-    elif x is not None:
-        out.append(str(x))
+def _from_literal(text: str):
+    return ast.literal_eval(text)
 
 
-def _adjacent_parts(text: str) -> list[str]:
-    """Each string token of a bracketed text as its own test (``['a' 'b']`` -> a, b)."""
-    import io
-    import tokenize
+def _bracketed(text: str) -> str:
+    if not (text.startswith("[") and text.endswith("]")):
+        raise NotThisForm
+    return text
 
-    parts = []
+
+def _from_constants(text: str) -> list[str]:
+    """Strings of a bracketed text that is no literal (a printed array without commas): none of
+    them if it is not even an expression."""
     try:
-        for tok in tokenize.generate_tokens(io.StringIO(text).readline):
-            if tok.type == tokenize.STRING:
-                parts.append(ast.literal_eval(tok.string))
-    except Exception:  # noqa: BLE001
+        tree = ast.parse(_bracketed(text))
+    except (SyntaxError, RecursionError, MemoryError):
         return []
-    return [p for p in parts if isinstance(p, str)]
+    return [n.value for n in ast.walk(tree) if isinstance(n, ast.Constant) and isinstance(n.value, str)]
 
 
-def _udf(split_adjacent: bool):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def parse(s: pd.Series) -> pd.Series:
-        memo: dict = {}
+def _from_tokens(text: str) -> list[str]:
+    """Each string token of a bracketed text by itself, so ``['a' 'b']`` holds two tests."""
+    tokens = tokenize.generate_tokens(io.StringIO(_bracketed(text)).readline)
+    parts = [ast.literal_eval(t.string) for t in tokens if t.type == tokenize.STRING]
+    if not parts:
+        raise NotThisForm
+    return parts
 
-        def one(v):
-            if v is None:
-                return None
-            if v not in memo:
-                memo[v] = parse_tests_py(v, split_adjacent)
-            return memo[v]
 
-        return s.map(one)
+def _as_is(text: str) -> list[str]:
+    return [text]
 
-    return parse
 
+#: Decoders of a test text, tried in turn until one accepts it.
+DECODERS: tuple[Callable[[str], object], ...] = (_from_json, _from_literal, _from_constants, _as_is)
+#: The same with adjacent string literals kept apart (JSON has none).
+SPLITTING_DECODERS = (_from_json, _from_tokens, *DECODERS[1:])
 
-_PARSE = {False: _udf(False), True: _udf(True)}
 
+def _decoded(text: str, decoders) -> object:
+    for decode in decoders:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                return decode(text)
+        except Exception:  # noqa: BLE001 - another form: the next decoder tries
+            continue
+    return None
+
+
+def _leaves(value) -> list[str]:
+    """Text of everything in nested lists, in order; nulls are left out."""
+    out, waiting = [], [value]
+    while waiting:
+        x = waiting.pop()
+        if isinstance(x, list):
+            waiting += reversed(x)
+        elif x is not None:
+            out.append(str(x))
+    return out
 
-def _clean(arr: Column) -> Column:
-    return F.filter(F.transform(arr, lambda t: py_strip(t)), lambda t: t != "")
-
-
-def native_tests(text: str | Column) -> Column:
-    """Tests for the JSON shapes resolvable without Python; null when the row needs the full rules."""
-    t = col_(text)
-    stripped = py_strip(t)
-    v = F.try_parse_json(stripped)
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    obj_map = F.try_variant_get(v, "$", "map<string,variant>")
-    chosen = F.coalesce(*[F.when(F.map_contains_key(obj_map, k), obj_map.getItem(k)) for k in TEST_KEYS])
-    target = F.when(is_obj, chosen).otherwise(v)
-    kind = F.schema_of_variant(target)
-    none = F.lit(None).cast("array<string>")
-    empty = F.array().cast("array<string>")
-    return (
-        F.when(t.isNull() | (stripped == ""), empty)
-        .when(v.isNull() | target.isNull(), none)
-        .when(kind == "ARRAY<STRING>", _clean(F.try_variant_get(target, "$", "array<string>")))
-        .when(kind == "STRING", _clean(F.array(F.try_variant_get(target, "$", "string"))))
-        .when(kind.isin("ARRAY<VOID>", "VOID"), empty)
-        .otherwise(none)
-    )
+
+def parse_tests_py(value, split_adjacent: bool = False) -> list[str]:
+    """Tests of one value (a text, a list, a dict or null)."""
+    if hasattr(value, "tolist"):
+        value = value.tolist()
+    if isinstance(value, str):
+        text = value.strip()
+        value = _decoded(text, SPLITTING_DECODERS if split_adjacent else DECODERS) if text else None
+    if isinstance(value, dict):
+        value = next((value[k] for k in TEST_KEYS if k in value), value)
+    return [t for t in map(str.strip, _leaves(value)) if t]
 
 
-def parse_tests(text: str | Column, split_adjacent: bool = False) -> Column:
-    """``array<string>`` of tests from a text column (full rules; Python only where needed)."""
-    t = col_(text)
-    native = native_tests(t)
-    return F.coalesce(native, _PARSE[split_adjacent](F.when(native.isNull(), t)), F.array().cast("array<string>"))
+def _udf(split_adjacent: bool):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def parse(text: pa.Array) -> pa.Array:
+        coded = text.dictionary_encode()
+        parsed = [parse_tests_py(t, split_adjacent) for t in coded.dictionary.to_pylist()]
+        return pa.array(parsed, pa.list_(pa.string())).take(coded.indices)
 
+    return parse
+
+
+_PARSE = {False: _udf(False), True: _udf(True)}
 
-def with_tests(df, text_col: str, out: str = "tests", split_adjacent: bool = False):
-    """DataFrame form of ``parse_tests``: the same rules, computed in stages of named columns so
-    the text is stripped once, parsed once and inspected once per row (small plans, no repeated
-    JSON parsing inside CASE branches). Use this on large inputs.
 
-    The stages are written as SQL text: one parse per stage instead of one driver round trip
-    per expression node."""
+def with_tests(df: DataFrame, text_col: str, out: str = "tests", split_adjacent: bool = False) -> DataFrame:
+    """Adds ``out``, the tests of a text column, in stages of named columns: the text is stripped
+    once, parsed once and inspected once per row. The stages are written as SQL text: one parse
+    per stage instead of one driver round trip per expression node."""
     keep = [f"`{c}`" for c in df.columns if c != out]
     t = f"`{text_col}`"
     strip = r"'(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$'"

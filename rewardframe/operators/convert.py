@@ -72,7 +72,11 @@ def training_records(
         if extra_names
         else F.create_map().cast("map<string,string>")
     )
-    index = F.col("index").cast("bigint") if "index" in cols else F.col(index_col).cast("bigint")
+    # a source index that is no whole number stays as it is in ``extra``
+    given = F.try_to_number(F.col("index").cast("string"), F.lit("S999999999999999999")).cast("bigint") if "index" in cols else None
+    index = F.col(index_col).cast("bigint") if given is None else F.coalesce(given, F.col(index_col).cast("bigint"))
+    if given is not None:
+        extra = F.when(F.col("index").isNotNull() & given.isNull(), F.map_concat(extra, F.create_map(F.lit("index"), _json_text(F.col("index"))))).otherwise(extra)
     split_c = F.col("split").cast("string") if "split" in cols else F.lit(split)
     staged = _with_tests_value(df, "_tests")
     return staged.select(
@@ -196,12 +200,28 @@ def typed_record_fields(records: DataFrame, v: str = "v") -> DataFrame:
         "prompt",
         "solution",
         F.coalesce(tests, F.array().cast("array<string>")).alias("tests"),
-        variant_extra(c, CONSUMED_KEYS + ["index", "split"]).alias("extra"),
+        # a source index that is no whole number stays as it is in ``extra``
+        F.map_filter(
+            variant_extra(c, CONSUMED_KEYS + ["split"]),
+            lambda k, _: (k != "index") | F.try_variant_get(c, "$.index", "bigint").isNull(),
+        ).alias("extra"),
         F.try_variant_get(c, "$.index", "bigint").alias("src_index"),
         F.try_variant_get(c, "$.split", "string").alias("src_split"),
     )
 
 
+def convertible(records: DataFrame, v: str = "v") -> tuple[DataFrame, DataFrame]:
+    """Records that can be converted, and the others with a reason (E4): a record must be an
+    object. Rejects keep their columns but the VARIANT, whose JSON text is ``raw``."""
+    kind = F.schema_of_variant(v)
+    is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+    others = records.where(~is_object)
+    reason = F.concat(F.lit("not an object: "), F.coalesce(F.lower(F.regexp_extract(kind, "^[A-Z]+", 0)), F.lit("null")))
+    return records.where(is_object), others.select(
+        *[c for c in records.columns if c != v], reason.alias("reason"), F.to_json(v).alias("raw")
+    )
+
+
 def records_from_variant(
     records: DataFrame,
     index_col: str,

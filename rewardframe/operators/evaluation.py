@@ -47,8 +47,8 @@ def pass_at_k(samples: DataFrame, bench_col: str = "bench", item_col: str = "ite
 
 def compare_models(results: DataFrame, model_names: Sequence[str], name_col: str = "name", model_col: str = "model_name",
                    value_col: str = "pass_at_1", seq_col: str = "seq") -> DataFrame:
-    """One row per benchmark (every benchmark, sorted), one column per chosen model named by
-    its last path component: pass@1 of the model's first result as a percent, ``N/A`` if none.
+    """One row per benchmark (every benchmark, sorted), one column per chosen model, named as the
+    model is: pass@1 of the model's first result as a percent, ``N/A`` if none.
 
     One aggregation over the results: per model a conditional ``min_by`` (the ordering value is
     null for other models' rows, which ``min_by`` skips). Grouping all results by benchmark keeps
@@ -63,8 +63,7 @@ def compare_models(results: DataFrame, model_names: Sequence[str], name_col: str
     wide = results.groupBy(name_col).agg(*firsts)
     cols = [F.col(name_col)]
     for i, m in enumerate(model_names):
-        label = m.rstrip("/").rsplit("/", 1)[-1]
-        cols.append(F.coalesce(pct1(F.col(f"_m{i}")), F.lit("N/A")).alias(label))
+        cols.append(F.coalesce(pct1(F.col(f"_m{i}")), F.lit("N/A")).alias(m))
     return wide.select(*cols).orderBy(name_col)
 
 
@@ -85,11 +84,6 @@ def log_lines(log: str | Column) -> Column:
     return F.split(F.coalesce(col_(log), F.lit("")), "\n")
 
 
-def log_score(log: str | Column, marker: str = BASE_MARKER) -> Column:
-    """Column form of the score extraction (see ``eval_log_scores`` for the staged form)."""
-    return log_score_from_lines(log_lines(log), marker)
-
-
 def eval_log_scores(logs: DataFrame, log_col: str = "log", exit_col: str = "exit_code", keep: Sequence[str] = ()) -> DataFrame:
     """Base and plus scores per evaluator log: ``Error`` on a non-zero exit, ``N/A`` when missing.
     The log is split into lines once (a named column), then both markers are searched."""
@@ -172,7 +166,3 @@ def benchmark_summary(results: DataFrame, model_col: str = "model_name", name_co
         F.format_string("%.2f", F.col(temp_col).cast("double")).alias("temp"),
     )
 
-
-def eval_results_table(res: DataFrame, bench_col: str = "bench") -> DataFrame:
-    """Evaluation results table: benchmark, pass@1 and pass@k as percent text."""
-    return res.select(F.col(bench_col).alias("benchmark"), pct1("pass_at_1").alias("pass_at_1"), pct1("pass_at_k").alias("pass_at_k"))

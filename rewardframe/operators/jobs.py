@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rewardframe.functions.text import truthy_first
 from rewardframe.operators import convert as CV
 from rewardframe.operators import sampling as SM
 from rewardframe.operators import verify as V
@@ -31,8 +32,9 @@ def verify_job(
     order_col: str | None = None,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Verify a dataset: outcomes (given, or produced by ``runner`` over the execution plan) ->
-    per-sample results -> kept samples (JSON Lines), results (Parquet), report (JSON).
+    """Verify a dataset: outcomes (given, with whatever runs they hold, or produced by ``runner``
+    over an execution plan of ``n_runs`` runs) -> per-sample results -> kept samples (JSON Lines),
+    results (Parquet), report (JSON).
 
     Samples without an id get their position as id first (``order_col`` orders them), so a
     missing id never matches every other missing id. Returns the status counts table.
@@ -43,10 +45,10 @@ def verify_job(
         if runner is None:
             raise ValueError("give outcomes or a runner")
         plan = V.plan_executions(samples, n_runs, id_col=id_col)
-        raw = V.run_executions(plan, runner, num_partitions)
+        raw = V.run_executions(plan, runner, id_col, num_partitions)
         outcomes = V.classify_outcomes(raw, [id_col, "run", "test_idx"])
-    # runs are expensive and read by four outputs: cut the lineage once
-    results = materialize(V.verify_results(samples, materialize(outcomes), n_runs, id_col))
+    # the outcomes are read once; the results, by four outputs
+    results = materialize(V.verify_results(samples, outcomes, id_col=id_col))
     SK.write_jsonl(V.kept_samples(samples, results, keep_status, id_col), f"{out_dir}/kept")
     V.write_verify_report(V.verify_report(results, keep_status), results, out_dir)
     return V.status_counts(results)
@@ -61,56 +63,63 @@ def convert_job(
     ability: str = CV.DEFAULT_ABILITY,
     split: str = CV.DEFAULT_SPLIT,
     input_format: str | None = None,
+    rejects_path: str | None = None,
 ) -> DataFrame:
-    """Any input (JSONL / JSON / Parquet) -> training records -> ``fmt`` output. Returns the
-    conversion report (computed from the written output, not by re-running the conversion)."""
+    """Any input (JSONL / JSON / Parquet, one file or a folder) -> training records in file order
+    -> ``fmt`` output. Records that cannot be converted go to ``rejects_path`` with a reason, if
+    it is given. Returns the conversion report with the number of rejects."""
     kind = input_format or input_path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("jsonl", "json"):
-        raw = RD.read_any(spark, input_path, kind)
-        records = CV.records_from_variant(SM.dense_index(raw, "src_pos", "_row"), "_row", data_source=data_source, ability=ability, split=split)
+    rows = SM.index_in_file_order(RD.read_any(spark, input_path, kind, origin=True), "_row")
+    if kind == "parquet":
+        records, rejects = CV.training_records(rows, "_row", data_source, ability, split), None
     else:
-        raw = RD.read_any(spark, input_path, kind)
-        indexed = SM.dense_index(raw.withColumn("_pos", F.monotonically_increasing_id()), "_pos", "_row").drop("_pos")
-        records = CV.training_records(indexed, "_row", data_source, ability, split)
+        rows, rejects = CV.convertible(rows)
+        records = CV.records_from_variant(rows, "_row", data_source=data_source, ability=ability, split=split)
     SK.write_dataset(records, output_path, fmt)
-    written = spark.read.parquet(output_path) if fmt == "parquet" else spark.read.schema(records.schema).json(output_path)
-    return CV.conversion_report(written)
+    if rejects is not None and rejects_path is not None:
+        SK.write_jsonl(rejects, rejects_path)
+    written = spark.read.parquet(output_path) if fmt == "parquet" else spark.read.schema(records.schema).json(output_path, multiLine=fmt == "json")
+    n_rejects = F.lit(0).cast("bigint") if rejects is None else rejects.agg(F.count(F.lit(1))).scalar()
+    return CV.conversion_report(written).withColumn("rejected", n_rejects)
 
 
 def split_job(df: DataFrame, id_col: str, train_path: str, val_path: str, train_ratio: float = 0.95,
               seed: int = SM.DEFAULT_SEED, fmt: str = "jsonl") -> None:
-    """Exact seeded split into two outputs (complementary filters on one cut-off)."""
-    train, val = SM.split_exact(df, id_col, train_ratio, seed)
+    """Exact seeded split into two outputs, each written in the shuffled order."""
+    train, val = SM.split_exact(df, id_col, train_ratio, seed, ordered=True)
     SK.write_dataset(train, train_path, fmt)
     SK.write_dataset(val, val_path, fmt)
 
 
 def sft_job(
     df: DataFrame,
-    instruction_col: str,
-    output_col: str,
+    instruction_cols: str | Sequence[str],
+    output_cols: str | Sequence[str],
     id_col: str,
     out_path: str,
-    max_samples: int = 50_000,
+    max_samples: int | None = None,
     max_total_chars: int | None = 3000,
     min_output_chars: int | None = None,
     system_prompt: str | None = CV.DEFAULT_SYSTEM_PROMPT,
     seed: int = SM.DEFAULT_SEED,
     single_counter: bool = False,
 ) -> DataFrame:
-    """SFT preparation: seeded order, first-failing-rule funnel, stop at ``max_samples``
-    accepted rows, chat messages, JSON Lines output. Returns the funnel counts."""
-    reasoned = df.withColumn("reason", SM.sft_reason(instruction_col, output_col, max_total_chars, min_output_chars, single_counter))
-    accepted, funnel = SM.sample_accepted(reasoned, "reason", id_col, max_samples, seed)
-    msgs = accepted.select(CV.sft_messages(instruction_col, output_col, system_prompt).alias("messages"))
-    SK.write_jsonl(msgs, out_path)
+    """SFT preparation: the first truthy of the instruction and output columns, seeded order,
+    first-failing-rule funnel, chat messages, JSON Lines output in the shuffled order; the scan
+    stops at ``max_samples`` accepted rows if that is given. Returns the funnel counts."""
+    names = [[c] if isinstance(c, str) else list(c) for c in (instruction_cols, output_cols)]
+    texts = df.withColumns({"_instruction": truthy_first(*names[0]), "_output": truthy_first(*names[1])})
+    reason = SM.sft_reason("_instruction", "_output", max_total_chars, min_output_chars, single_counter)
+    accepted, funnel = SM.sample_accepted(texts.withColumn("reason", reason), "reason", id_col, max_samples, seed, ordered=True)
+    SK.write_jsonl(accepted.select(CV.sft_messages("_instruction", "_output", system_prompt).alias("messages")), out_path)
     return funnel
 
 
 def token_filter_job(df: DataFrame, col: str, max_tokens: int, out_path: str, counter=None, replace: bool = False) -> DataFrame:
     """Keep rows whose sample (messages, or a string taken as one user message) renders to at
     most ``max_tokens`` tokens; the length is not kept. ``replace=True`` swaps the output in with
-    write-then-rename (safe when the output path is the input path)."""
+    write-then-rename (safe when the output path is the input path). Returns the output, read
+    afresh."""
     from rewardframe.functions.tokens import count_tokens
 
     kept = df.where(CV.sample_tokens(df, col, counter or count_tokens) <= max_tokens)
@@ -118,4 +127,4 @@ def token_filter_job(df: DataFrame, col: str, max_tokens: int, out_path: str, co
         SK.replace_path(kept, out_path, "parquet")
     else:
         SK.write_parquet(kept, out_path)
-    return kept
+    return df.sparkSession.read.parquet(out_path)

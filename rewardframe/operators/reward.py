@@ -13,14 +13,15 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardframe.functions.code import parses, validate_code
+from rewardframe.functions.code import check_code
 from rewardframe.functions.tests_parse import with_tests
-from rewardframe.functions.text import col_, fence_last, py_strip
+from rewardframe.functions.text import fence_last, is_blank, py_strip
+from rewardframe.operators.verify import RUNNER_ERROR, plan_executions
 
-# The 17 reward columns, in the reference's order.
+# Fixed values that must equal the reference's for equal results: the 17 reward columns, in order.
 REWARD_COLUMNS = [
     "reward", "score", "pass_rate", "passed", "total", "acc", "has_code", "syntax_valid",
     "compile_valid", "format_error", "syntax_error", "compile_error", "timeout_count",
@@ -29,11 +30,6 @@ REWARD_COLUMNS = [
 # Fixed values that must equal the reference's for equal results.
 CRASH_REWARD = -2.0
 NO_TESTS_BONUS = 0.2
-# validator failure reasons, in the order they are tested
-FAILURE_REASONS = ("empty_or_format", "syntax", "compile", "none")
-# shaper reasons: early exits in order, then the execution outcomes (the last assignment wins)
-SHAPER_REASONS = ("format_or_empty_error", "syntax_error", "compile_error", "no_tests",
-                  "timeout", "runtime_error", "zero_pass", "partial_pass", "full_pass")
 
 
 @dataclass(frozen=True)
@@ -61,50 +57,35 @@ class RewardConfig:
 
 # ------------------------------------------------------------------ code and tests of a response
 
-def extract_code(response: str | Column) -> Column:
-    """Last fenced block, stripped; without a fence the whole text stripped if it parses as
-    Python, else ''. Python parsing runs only for rows without a fence."""
-    r = col_(response)
-    fenced = fence_last(r)
-    unfenced = F.when(r.isNotNull() & (r != "") & fenced.isNull(), r)
-    return (
-        F.when(r.isNull() | (r == ""), F.lit(""))
-        .when(fenced.isNotNull(), fenced)
-        .when(F.coalesce(parses(unfenced), F.lit(False)), py_strip(r))
-        .otherwise(F.lit(""))
-    )
-
+def with_checked_code(df: DataFrame, response_col: str = "response", out: str = "code") -> DataFrame:
+    """Code of every response and whether it is valid: ``out``, has_code, syntax_valid,
+    compile_valid.
 
-def with_code(df: DataFrame, response_col: str = "response", out: str = "code") -> DataFrame:
-    """DataFrame form of ``extract_code`` in stages: the fence search runs once per response,
-    and only responses without a fence are handed to the Python parser."""
+    The code is the last fenced block, stripped; without a fence it is the whole text, stripped,
+    if that parses as Python, else ''. Each candidate is handed to Python once, in one Arrow pass
+    that gives both the choice and the verdict (a text that parses does so stripped, too)."""
     r = F.col(response_col)
-    keep = df.columns
+    keep = [c for c in df.columns if c not in (out, "has_code", "syntax_valid", "compile_valid")]
     fenced = df.select("*", fence_last(r).alias("__wc_f"))
-    unfenced = F.when(r.isNotNull() & (r != "") & F.col("__wc_f").isNull(), r)
-    checked = fenced.select("*", parses(unfenced).alias("__wc_p"))
-    code = (
-        F.when(r.isNull() | (r == ""), F.lit(""))
-        .when(F.col("__wc_f").isNotNull(), F.col("__wc_f"))
-        .when(F.coalesce(F.col("__wc_p"), F.lit(False)), py_strip(r))
-        .otherwise(F.lit(""))
-    )
-    return checked.select(*[c for c in keep if c != out], code.alias(out))
+    candidate = F.coalesce("__wc_f", r)
+    checked = fenced.select("*", check_code(F.when(~is_blank(candidate), candidate)).alias("__wc_v"))
+    parses, compiles = (F.coalesce(F.col(f"__wc_v.{c}"), F.lit(False)) for c in ("parses", "compiles"))
+    code = F.when(F.col("__wc_f").isNotNull(), F.col("__wc_f")).when(parses, py_strip(r)).otherwise(F.lit(""))
+    staged = checked.select(*keep, code.alias(out), parses.alias("syntax_valid"), compiles.alias("compile_valid"))
+    return staged.select(*keep, out, (F.col(out) != "").alias("has_code"), "syntax_valid", "compile_valid")
 
 
 def prepare_responses(df: DataFrame, response_col: str = "response", tests_col: str = "tests_text") -> DataFrame:
-    """Code, tests and validation flags of every response (one Arrow pass for the flags)."""
-    staged = with_tests(with_code(df, response_col, "code"), tests_col, "tests")
-    v = validate_code("code")
-    return (
-        staged.withColumn("_v", v)
-        .withColumn("has_code", F.col("_v.has_code"))
-        .withColumn("syntax_valid", F.col("_v.syntax_valid"))
-        .withColumn("compile_valid", F.col("_v.compile_valid"))
-        .withColumn("n_tests", F.size("tests"))
-        .withColumn("code_length", F.length("code"))
-        .drop("_v")
-    )
+    """Code, tests and validation flags of every response (one Arrow pass for code and flags)."""
+    staged = with_tests(with_checked_code(df, response_col, "code"), tests_col, "tests")
+    return staged.withColumns({"n_tests": F.size("tests"), "code_length": F.length("code")})
+
+
+def plan_scoring(prepared: DataFrame, id_col: str = "sample_id", timeout_s: float = 5.0) -> DataFrame:
+    """Execution plan for scoring: one row per test of the responses whose code has passed
+    validation (``prepare_responses``); no other code reaches the runner."""
+    valid = prepared.where("has_code AND syntax_valid AND compile_valid")
+    return plan_executions(valid, 1, id_col, "code", "tests", timeout_s)
 
 
 # ------------------------------------------------------------------ counts per response (A4)
@@ -114,18 +95,23 @@ def outcome_counts(outcomes: DataFrame, id_col: str = "sample_id", timeout_as: s
 
     ``timeout_as='error'``: a time-out is status ``error`` (as the executor reports it), so it
     counts as a runtime error; ``'timeout'``: rows with error type ``TIMEOUT`` count as time-outs.
+    A row with error type ``RUNNER_ERROR`` says that scoring the response raised (``crashed_n``).
     """
     status = F.col("status")
     if timeout_as == "timeout" and "error_type" in outcomes.columns:
         status = F.when((status != "success") & (F.col("error_type") == "TIMEOUT"), F.lit("timeout")).otherwise(status)
     elif timeout_as not in ("error", "timeout"):
         raise ValueError("timeout_as must be 'error' or 'timeout'")
+    crashed = F.lit(0).cast("bigint")
+    if "error_type" in outcomes.columns:
+        crashed = F.count_if(F.col("error_type") == RUNNER_ERROR)
     run_time = F.sum(F.col("run_time_s")) if "run_time_s" in outcomes.columns else F.lit(0.0)
     return outcomes.groupBy(id_col).agg(
         F.count_if(status == "success").alias("passed_n"),
         F.count_if(status == "timeout").alias("timeouts_n"),
         F.count_if(status.isin("error", "runtime_error")).alias("runtime_errors_n"),
         F.count(F.lit(1)).alias("outcomes_n"),
+        crashed.alias("crashed_n"),
         run_time.cast("double").alias("execution_time"),
     )
 
@@ -141,7 +127,7 @@ def shape_columns(cfg: RewardConfig = RewardConfig()) -> list[Column]:
 
     Inputs: has_code, syntax_valid, compile_valid, n_tests, code_length, passed_n, timeouts_n,
     runtime_errors_n, outcomes_n, execution_time (counts null when the response ran nothing).
-    A null ``has_code`` marks a row whose checks failed: it gets the crash reward.
+    A null ``has_code`` marks a response whose scoring raised: it gets the crash reward.
     """
     has_code, syn, comp = F.col("has_code"), F.col("syntax_valid"), F.col("compile_valid")
     n = F.col("n_tests").cast("double")
@@ -214,19 +200,25 @@ def reason_columns() -> list[Column]:
     rt = F.coalesce(F.col("runtime_errors_n"), F.lit(0))
     ran = F.coalesce(F.col("outcomes_n"), F.lit(0)) > 0
     n = F.col("n_tests")
-    f_empty, f_syntax, f_compile, f_none = FAILURE_REASONS
-    failure = F.when(~has_code, f_empty).when(~syn, f_syntax).when(~comp, f_compile).otherwise(f_none)
-    r_format, r_syntax, r_compile, r_no_tests, r_timeout, r_runtime, r_zero, r_partial, r_full = SHAPER_REASONS
+    # The names of the reasons. A response whose scoring raised has none.
+    failure = (
+        F.when(has_code.isNull(), F.lit(None))
+        .when(~has_code, "empty_or_format")
+        .when(~syn, "syntax")
+        .when(~comp, "compile")
+        .otherwise("none")
+    )
     reason = (
-        F.when(~has_code, r_format)
-        .when(~syn, r_syntax)
-        .when(~comp, r_compile)
-        .when((n == 0) | ~ran, r_no_tests)
-        .when((passed == n), r_full)
-        .when(passed > 0, r_partial)
-        .when(timeouts > 0, r_timeout)
-        .when(rt > 0, r_runtime)
-        .otherwise(r_zero)
+        F.when(has_code.isNull(), F.lit(None))
+        .when(~has_code, "format_or_empty_error")
+        .when(~syn, "syntax_error")
+        .when(~comp, "compile_error")
+        .when((n == 0) | ~ran, "no_tests")
+        .when(passed == n, "full_pass")
+        .when(passed > 0, "partial_pass")
+        .when(timeouts > 0, "timeout")
+        .when(rt > 0, "runtime_error")
+        .otherwise("zero_pass")
     )
     return [failure.alias("failure_reason"), reason.alias("reason")]
 
@@ -249,6 +241,8 @@ def score(
     if outcomes is not None:
         counts = outcome_counts(outcomes, id_col, timeout_as)
         joined = scored.join(counts, id_col, "left")
+        # a response whose scoring raised loses its flags and gets the crash row
+        joined = joined.withColumn("has_code", F.when(F.coalesce("crashed_n", F.lit(0)) == 0, F.col("has_code")))
     else:
         joined = scored
         for c, v in [("passed_n", 0), ("timeouts_n", 0), ("runtime_errors_n", 0), ("outcomes_n", 0), ("execution_time", 0.0)]:
@@ -294,40 +288,22 @@ def pass_rate_of(outcomes: DataFrame, by: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ group-relative advantage
 
-def group_advantage(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6,
-                    hot_rows: int | None = None) -> DataFrame:
-    """(reward - group mean) / (group sample std + eps); a group of one has advantage 0.
+def group_advantage(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6) -> DataFrame:
+    """(reward - group mean) / (group sample std + eps); a group of one has advantage 0. Rows
+    without a group are one group.
 
-    Group statistics are an aggregation (partial sums map-side, so a prompt with a huge share
-    of the rollouts never sits in one task) joined back on the prompt key with selective
-    salting (``skew.join_group_summary``): rows of a hot prompt are spread over several join
-    tasks. A window partitioned by prompt would buffer a hot prompt's rows in one task.
-    """
-    from rewardframe.operators.skew import join_group_summary
-
-    stats = rollouts.groupBy(group_col).agg(
+    Group statistics are an aggregation (partial sums map-side, so a prompt with a huge share of
+    the rollouts never sits in one task) joined back on the prompt key, null-safe. The planner
+    broadcasts the statistics only if they are small; else the join's shuffle is a plain one,
+    whose skewed partitions adaptive execution splits."""
+    stats = rollouts.groupBy(F.col(group_col).alias("_group")).agg(
         F.avg(reward_col).alias("group_mean"),
         F.coalesce(F.stddev_samp(reward_col), F.lit(0.0)).alias("group_std"),
-        F.count(F.lit(1)).alias("_n"),
     )
-    joined = join_group_summary(rollouts, stats, group_col, "_n", **({"hot_rows": hot_rows} if hot_rows else {}))
+    joined = rollouts.join(stats, F.col(group_col).eqNullSafe(F.col("_group")), "left")
     return joined.select(
         *rollouts.columns,
         "group_mean",
         "group_std",
         ((F.col(reward_col) - F.col("group_mean")) / (F.col("group_std") + F.lit(eps))).alias("advantage"),
     )
-
-
-def group_advantage_window(rollouts: DataFrame, group_col: str = "prompt_id", reward_col: str = "reward", eps: float = 1e-6) -> DataFrame:
-    """Same values with an unordered window (W2 as written): one exchange, fine when groups are
-    small (the rollout count per prompt); ``group_advantage`` is the skew-safe form."""
-    w = Window.partitionBy(group_col)
-    mean = F.avg(reward_col).over(w)
-    std = F.coalesce(F.stddev_samp(reward_col).over(w), F.lit(0.0))
-    return rollouts.select(
-        "*",
-        mean.alias("group_mean"),
-        std.alias("group_std"),
-        ((F.col(reward_col) - mean) / (std + F.lit(eps))).alias("advantage"),
-    )

@@ -1,23 +1,25 @@
 """Seeded order, exact rank cut-offs, exact splits, SFT filters and funnel, dense row index.
 
-Exactness without a single-task sort: the rank-N row is found from a histogram over a hash
-prefix of the seeded key (at most 65,536 rows, partially aggregated map-side), a running sum
-over that small table, and a ranking inside the one bucket that holds rank N. The cut-off is
-then a scalar subquery and every row is kept or dropped by a plain filter: no
-``orderBy().limit()`` funnel through one task, no global window, no full sort of the data.
+The seeded order is that of md5(seed:id); rows with one id are ordered by a hash of the whole row,
+so that an exact number of them can be taken. The row of rank N is found once, from counts by a
+prefix of the key that grows until the prefix holds few rows, and is then a constant of every
+filter that uses it: no sort of the data, no ``orderBy().limit()`` through one task, and several
+outputs share one search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardframe.functions.text import col_, is_blank
+from rewardframe.session import materialize
 
 DEFAULT_SEED = 42
-PREFIX_HEX = 4  # 16^4 = 65,536 histogram buckets
+PREFIX_HEX = 4  # hex digits by which a prefix grows: at most 65,536 counts a step
+BOUNDARY_ROWS = 100_000  # rows of a prefix that are ranked in one task
 
 
 def seeded_key(id_col: str | Column, seed: int = DEFAULT_SEED) -> Column:
@@ -25,63 +27,96 @@ def seeded_key(id_col: str | Column, seed: int = DEFAULT_SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), col_(id_col).cast("string")))
 
 
-def _cutoff(keyed: DataFrame, n: Column | None = None, ratio: float | None = None) -> DataFrame:
-    """One row (``_key``, ``_tie``) of rank ``n`` (1-based) in order of (_key, _tie); no row if
-    ``n`` is beyond the data or below 1. With ``ratio`` instead, n = floor(total * ratio), the
-    total taken from the histogram itself (no separate count pass). ``keyed`` has columns
-    _key (hex text) and _tie."""
-    bucket = F.substring("_key", 1, PREFIX_HEX)
-    hist = keyed.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    # running sum over <= 65,536 histogram rows (bounded single-partition window)
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = hist.withColumn("_hi", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c"))
-    if ratio is not None:
-        total = F.sum("_c").over(Window.partitionBy(F.lit(0)))
-        n = F.floor(total.cast("double") * F.lit(float(ratio))).cast("bigint")
-    target = cum.withColumn("_n", n).where((F.col("_lo") < F.col("_n")) & (F.col("_n") <= F.col("_hi")))
-    target = target.select("_b", (F.col("_n") - F.col("_lo")).alias("_r"))
-    # rows of the single boundary bucket only (~1/65,536 of the data); the boundary table is
-    # one row, so broadcasting it is bounded by construction
-    inside = keyed.withColumn("_b", bucket).join(F.broadcast(target), "_b")
-    wr = Window.partitionBy("_b").orderBy("_key", "_tie")
-    ranked = inside.withColumn("_rn", F.row_number().over(wr))
-    return ranked.where(F.col("_rn") == F.col("_r")).select("_key", "_tie")
-
-
-def _key_cols(df: DataFrame, id_col: str, seed: int) -> DataFrame:
-    return df.withColumn("_key", seeded_key(id_col, seed)).withColumn("_tie", F.col(id_col).cast("string"))
-
-
-def _le_cut(cut: DataFrame) -> Column:
-    """(key, tie) <= cut-off, with the cut-off as a scalar subquery (planned once, broadcast)."""
-    c = cut.select(F.struct("_key", "_tie").alias("c")).scalar()
-    return F.struct("_key", "_tie") <= c
+def _keyed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    key = F.coalesce(seeded_key(id_col, seed), F.lit(""))  # rows without an id come first
+    return df.withColumns({"_key": key, "_row": F.xxhash64(*df.columns)})
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The row of a rank in the seeded order (its key and row hash), how many of the rows that
+    equal it are within the rank, and how many there are. ``None`` as key: the rank is 0."""
+
+    key: str | None
+    row: int = 0
+    within: int = 0
+    equal: int = 0
+
+    def split(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows up to the rank, and the others. Rows equal to the cut are interchangeable; only
+        where some of them are within and some not, they are numbered."""
+        if self.key is None:
+            return keyed.where(F.lit(False)), keyed
+        below = (F.col("_key") < self.key) | ((F.col("_key") == self.key) & (F.col("_row") < self.row))
+        equal = (F.col("_key") == self.key) & (F.col("_row") == self.row)
+        if self.within == self.equal:
+            return keyed.where(below | equal), keyed.where(~(below | equal))
+        order = Window.partitionBy("_key").orderBy("_row")
+        numbered = keyed.where(equal).withColumn("_n", F.row_number().over(order))
+        head, tail = (numbered.where(c).drop("_n") for c in (F.col("_n") <= self.within, F.col("_n") > self.within))
+        return keyed.where(below).unionByName(head), keyed.where(~(below | equal)).unionByName(tail)
+
+
+def find_cut(keyed: DataFrame, n: int | None = None, ratio: float | None = None) -> Cut | None:
+    """Cut at rank ``n``, or at floor(rows * ratio); None if the rank is beyond the data. Only
+    counts by prefix (at most 65,536 a step) and the cut itself reach the driver."""
+    prefix, rows = "", keyed.select("_key", "_row")
+    while True:
+        step = F.substring("_key", len(prefix) + 1, PREFIX_HEX)
+        counts = sorted(map(tuple, rows.groupBy(step).count().collect()))
+        if ratio is not None:
+            n, ratio = int(sum(c for _, c in counts) * ratio), None
+        if n <= 0:
+            return Cut(None)
+        for part, count in counts:
+            if n <= count:
+                break
+            n -= count
+        else:
+            return None
+        prefix += part
+        rows = rows.where(F.col("_key").startswith(prefix))
+        if count <= BOUNDARY_ROWS or len(prefix) >= 32 or not part:
+            break
+    order = Window.orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tallied = rows.groupBy("_key", "_row").count().withColumn("upto", F.sum("count").over(order))
+    at = tallied.where(F.col("upto") >= n).orderBy("_key", "_row").first()
+    return Cut(at["_key"], at["_row"], n - (at["upto"] - at["count"]), at["count"])
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.drop("_key", "_row")
+
+
+def in_seeded_order(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED) -> DataFrame:
+    """The rows in seeded order: range-partitioned and sorted by the seeded key, so files written
+    from it, read in name order, hold the shuffled rows (L3)."""
+    return _plain(_ordered(_keyed(df, id_col, seed)))
+
+
+def _ordered(keyed: DataFrame) -> DataFrame:
+    return keyed.repartitionByRange("_key", "_row").sortWithinPartitions("_key", "_row")
 
 
 def first_n_by_key(df: DataFrame, n: int, id_col: str, seed: int = DEFAULT_SEED) -> DataFrame:
     """The ``n`` rows first in the seeded order (exact), without funnelling them through one task."""
-    if n <= 0:
-        return df.where(F.lit(False))
-    keyed = _key_cols(df, id_col, seed)
-    cut = _cutoff(keyed, F.lit(n).cast("bigint"))
-    keep = F.coalesce(_le_cut(cut), F.lit(True))  # n beyond the data: everything
-    return keyed.where(keep).drop("_key", "_tie")
+    keyed = _keyed(df, id_col, seed)
+    cut = find_cut(keyed, n)
+    return _plain(keyed if cut is None else cut.split(keyed)[0])
 
 
 def split_exact(
-    df: DataFrame, id_col: str, train_ratio: float = 0.95, seed: int = DEFAULT_SEED
+    df: DataFrame, id_col: str, train_ratio: float = 0.95, seed: int = DEFAULT_SEED, ordered: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Exact ``int(total * ratio)`` rows to train, the rest to validation, by seeded order.
-
-    Train and validation are complementary filters on the same cut-off (no ``exceptAll``).
-    """
+    """Exact ``int(total * ratio)`` rows to train, the rest to validation, by seeded order (also
+    with repeated ids); with ``ordered`` both come in that order. One search serves both."""
     if not 0.0 <= train_ratio <= 1.0:
         raise ValueError("train_ratio must be within [0, 1]")
-    keyed = _key_cols(df, id_col, seed)
-    cut = _cutoff(keyed, ratio=train_ratio)
-    # no cut-off row means int(total * ratio) == 0: nothing goes to train
-    in_train = F.coalesce(_le_cut(cut), F.lit(False))
-    return keyed.where(in_train).drop("_key", "_tie"), keyed.where(~in_train).drop("_key", "_tie")
+    keyed = _keyed(df, id_col, seed)
+    cut = find_cut(keyed, ratio=train_ratio)
+    parts = cut.split(keyed) if cut else (keyed, keyed.where(F.lit(False)))
+    train, val = (_plain(_ordered(p) if ordered else p) for p in parts)
+    return train, val
 
 
 # ------------------------------------------------------------------ SFT filters
@@ -111,57 +146,62 @@ def sft_reason(
 
 
 def sample_accepted(
-    df: DataFrame, reason_col: str, id_col: str, max_samples: int, seed: int = DEFAULT_SEED
+    df: DataFrame, reason_col: str, id_col: str, max_samples: int | None = None, seed: int = DEFAULT_SEED, ordered: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Seeded scan that stops at the ``max_samples``-th accepted row (0 = no limit).
+    """Seeded scan that stops at the ``max_samples``-th accepted row (none: no limit).
 
-    Returns (accepted rows up to the stop, funnel counts by reason over every row scanned).
+    Returns (accepted rows up to the stop, with ``ordered`` in seeded order; funnel counts by
+    reason over every row scanned). One search serves both.
     """
-    keyed = _key_cols(df, id_col, seed)
-    if max_samples and max_samples > 0:
-        cut = _cutoff(keyed.where(F.col(reason_col) == "accepted"), F.lit(max_samples).cast("bigint"))
-        scanned = keyed.where(F.coalesce(_le_cut(cut), F.lit(True)))
-    else:
-        scanned = keyed
-    accepted = scanned.where(F.col(reason_col) == "accepted").drop("_key", "_tie")
+    scanned = keyed = _keyed(df, id_col, seed)
+    ok = F.col(reason_col) == "accepted"
+    accepted = keyed.where(ok)
+    if max_samples:
+        cut = find_cut(accepted, max_samples)
+        if cut is not None:
+            accepted = cut.split(accepted)[0]
+            refused = (F.col("_key") < cut.key) | ((F.col("_key") == cut.key) & (F.col("_row") < cut.row))
+            scanned = accepted.unionByName(keyed.where(~ok & refused))
     funnel = scanned.groupBy(reason_col).agg(F.count(F.lit(1)).alias("n"))
-    return accepted, funnel
+    return _plain(_ordered(accepted) if ordered else accepted), funnel
 
 
 # ------------------------------------------------------------------ dense row index
 
-def dense_index(df: DataFrame, order_col: str, out: str = "index", n_buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order_col`` order (numeric, unique), exact.
-
-    Rows are bucketed by approximate quantiles of the key (computed once; the bucket is found by
-    binary search, a deterministic function of the key); bucket offsets come from a count per
-    bucket and a running sum over that small table, broadcast back (bounded by the bucket
-    count); inside a bucket, a ``row_number`` window. No single-partition window over the data.
-    """
-    spark = df.sparkSession
-    if n_buckets is None:
-        n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * n_buckets)))) if probs else []
-    if bounds:
-        from pyspark.ml.feature import Bucketizer
-
-        # JVM binary search over the bounds (a monotone, deterministic function of the key);
-        # the double cast is monotone, so equal doubles share a bucket and order is kept
-        splits = [float("-inf"), *[float(b) for b in bounds], float("inf")]
-        keyed = df.withColumn("_bkey", F.col(order_col).cast("double"))
-        tagged = Bucketizer(splits=splits, inputCol="_bkey", outputCol="_bk").transform(keyed).drop("_bkey")
-    else:
-        tagged = df.withColumn("_bk", F.lit(0.0))
-    counts = tagged.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_bk", (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
-    wr = Window.partitionBy("_bk").orderBy(order_col)
-    ranked = tagged.withColumn("_rn", F.row_number().over(wr))
+def dense_index(df: DataFrame, order_col: str, out: str = "index", n_parts: int | None = None) -> DataFrame:
+    """0-based position of each row in ``order_col`` order (unique values), exact.
+
+    The rows are range-partitioned once by the key and written; the partitions' counts give their
+    offsets (one row per partition), and a row's place in its partition comes from a window over
+    the partition. No single-partition window over the data."""
+    parts = n_parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = materialize(df.repartitionByRange(parts, order_col).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select("_part", (F.sum("_c").over(before) - F.col("_c")).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order_col)) - 1
     return (
-        ranked.join(F.broadcast(offsets), "_bk")
-        .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("bigint"))
-        .drop("_bk", "_off", "_rn")
+        ranged.withColumn("_n", place)
+        .join(offsets, "_part")
+        .withColumn(out, (F.col("_off") + F.col("_n")).cast("bigint"))
+        .drop("_part", "_off", "_n")
+    )
+
+
+def index_in_file_order(rows: DataFrame, out: str = "index") -> DataFrame:
+    """0-based position of each row of ``readers`` output in the order of the files, their splits
+    and the rows in them; the source columns go. The rows are written once (so each is parsed
+    once) and numbered within their split; a split's offset is the sum of the splits before it,
+    from one count per split."""
+    rows = materialize(rows)
+    split = ["src_file", "src_block"]
+    counts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_c"))
+    # one row per split of the input
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(*split, (F.sum("_c").over(before) - F.col("_c")).alias("_off"))
+    place = F.row_number().over(Window.partitionBy(*split).orderBy("src_pos")) - 1
+    return rows.withColumn("_n", place).join(offsets, split).withColumn(out, (F.col("_off") + F.col("_n")).cast("bigint")).drop(
+        *split, "src_pos", "_off", "_n"
     )
 
 
@@ -169,7 +209,3 @@ def with_position_id(df: DataFrame, id_col: str, order_col: str) -> DataFrame:
     """Id fallback: a missing id becomes the row position as text (P25)."""
     indexed = dense_index(df, order_col, "_pos")
     return indexed.withColumn(id_col, F.coalesce(F.col(id_col).cast("string"), F.col("_pos").cast("string"))).drop("_pos")
-
-
-def keep_in(df: DataFrame, col: str, values: Sequence) -> DataFrame:
-    return df.where(F.col(col).isin(*values))

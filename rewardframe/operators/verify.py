@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardframe.functions.text import is_blank, pct1, py_strip
+from rewardframe.functions.text import pct1, py_strip
 
 # Fixed values that must equal the reference's for equal results.
 SENTINEL_PREFIX = "__TESTS_COMPLETED__:"
@@ -28,19 +28,21 @@ OUTCOME_ASSERTION = ("Test failed", "ASSERTION_ERROR")  # output mentions Assert
 OUTCOME_SYNTAX = ("Syntax error", "SYNTAX_ERROR")  # output mentions SyntaxError
 OUTCOME_NO_SANDBOX = ("", "FIREJAIL_NOT_AVAILABLE")  # output mentions FIREJAIL_NOT_AVAILABLE
 OUTCOME_OTHER = ("Execution failed", "RUNTIME_ERROR")
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 STABLE_SPREAD = 0.1  # max - min of run pass rates must stay below this
 DEFAULT_N_RUNS = 4
 VERIFY_TIMEOUT_S = 8.0
+# ---- our own ----
 RUNNER_ERROR = "RUNNER_ERROR"  # error type a runner reports when it could not verify a sample
-# verification statuses, in the order they are decided (error: the sample could not be verified)
-STATUSES = ("no_solution", "no_tests", "pass", "partial", "flaky", "fail", "error")
 
 
 def _sample_flags(samples: DataFrame) -> DataFrame:
     """Add ``has_solution``/``n_tests`` when the samples carry raw ``solution``/``tests``."""
     cols = set(samples.columns)
     if "has_solution" not in cols:
-        samples = samples.withColumn("has_solution", ~is_blank("solution") if "solution" in cols else F.lit(False))
+        # any text but the empty one is run, white space too
+        present = F.coalesce(F.col("solution") != "", F.lit(False)) if "solution" in cols else F.lit(False)
+        samples = samples.withColumn("has_solution", present)
     if "n_tests" not in cols:
         samples = samples.withColumn("n_tests", F.coalesce(F.size("tests"), F.lit(0)) if "tests" in cols else F.lit(0))
     return samples
@@ -74,7 +76,7 @@ def plan_executions(
     Carries only the key, the script and the time limit — never the prompt — so the fan-out
     (rows x tests x runs) stays narrow. Explode is a narrow operator: no shuffle here.
     """
-    runnable = samples.where(~is_blank(code_col) & (F.size(tests_col) > 0))
+    runnable = samples.where((F.col(code_col) != "") & (F.size(tests_col) > 0))
     fan = runnable.select(
         F.col(id_col), F.col(code_col), F.posexplode(tests_col).alias("test_idx", "test")
     ).select(
@@ -97,24 +99,25 @@ OUTCOME_SCHEMA = (
 )
 
 
-def run_executions(plan: DataFrame, runner, num_partitions: int | None = None) -> DataFrame:
+def run_executions(plan: DataFrame, runner, id_col: str = "sample_id", num_partitions: int | None = None) -> DataFrame:
     """Run a caller-supplied ``mapInPandas`` runner over the plan.
 
-    The runner maps pandas batches of plan rows to batches with the plan keys plus the
-    process-outcome columns of ``OUTCOME_SCHEMA``. Spreading by a hash of the full key keeps
-    one heavy sample from holding one task.
+    The runner maps pandas batches of plan rows to batches with the plan's keys (``id_col``, run,
+    test_idx, sentinel) plus the process-outcome columns of ``OUTCOME_SCHEMA``. Rows are always
+    spread by a hash of the full key, so one heavy sample never holds one task.
     """
-    keyed = plan.repartition(num_partitions, *plan.columns[:3]) if num_partitions else plan
-    key_fields = [f.simpleString() for f in plan.schema.fields if f.name in ("sample_id", "run", "test_idx", "sentinel")]
-    schema = ", ".join(key_fields + [OUTCOME_SCHEMA])
-    return keyed.mapInPandas(runner, schema)
+    keys = [id_col, "run", "test_idx"]
+    spread = plan.repartition(num_partitions, *keys) if num_partitions else plan.repartition(*keys)
+    kinds = {f.name: f.simpleString() for f in plan.schema.fields}
+    return spread.mapInPandas(runner, ", ".join([*(kinds[c] for c in (*keys, "sentinel")), OUTCOME_SCHEMA]))
 
 
 # ---------------------------------------------------------------- outcome classification
 
 def strip_sentinel(output: Column, sentinel: Column) -> Column:
-    """Drop lines equal to the sentinel (after strip), rejoin, strip."""
-    lines = F.split(F.coalesce(output, F.lit("")), "\r?\n")
+    """Drop lines equal to the sentinel (after strip), rejoin, strip. A line ends where Python's
+    ``splitlines`` ends it."""
+    lines = F.split(F.coalesce(output, F.lit("")), LINE_END)
     kept = F.filter(lines, lambda line: py_strip(line) != sentinel)
     return py_strip(F.array_join(kept, "\n"))
 
@@ -164,92 +167,66 @@ def classify_outcomes(raw: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- per-sample status
 
-def run_pass_counts(outcomes: DataFrame, n_runs: int = DEFAULT_N_RUNS, id_col: str = "sample_id") -> DataFrame:
-    """Successes per run as one array per sample, in a single aggregation.
-
-    Conditional counts per run keep this to one exchange with map-side partial aggregation
-    (rows shrink to one per sample and partition before the shuffle), instead of a
-    (sample, run) aggregate followed by a second shuffle on sample.
-    """
-    ok = F.col("status") == "success"
-    per_run = [F.count_if(ok & (F.col("run") == r)).alias(f"_p{r}") for r in range(n_runs)]
-    return (
-        outcomes.groupBy(id_col)
-        .agg(*per_run, _runner_errors(outcomes))
-        .select(id_col, F.array(*[F.col(f"_p{r}") for r in range(n_runs)]).alias("run_passed"), "_runner_err")
-    )
-
-
-def _runner_errors(outcomes: DataFrame) -> Column:
-    if "error_type" in outcomes.columns:
-        return F.count_if(F.col("error_type") == RUNNER_ERROR).alias("_runner_err")
-    return F.lit(0).cast("bigint").alias("_runner_err")
-
-
-def status_expr(has_solution: Column, n_tests: Column, mean: Column, stable: Column) -> Column:
-    no_solution, no_tests, passed, partial, flaky, fail, _ = STATUSES
-    return (
-        F.when(~has_solution, no_solution)
-        .when(n_tests == 0, no_tests)
-        .when((mean >= 1.0) & stable, passed)
-        .when(mean >= 0.5, partial)
-        .when(~stable, flaky)
-        .otherwise(fail)
-    )
-
-
-def run_pass_rates_any(outcomes: DataFrame, samples: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Per-run success counts in run order when the run numbering is not known in advance: a
-    (sample, run) aggregation, then the few runs of each sample gathered in order (a sample has
-    as many entries as runs, a small configured number)."""
+def run_pass_counts(outcomes: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """Successes of each run of a sample, in run order, over the runs that the outcomes hold; and
+    whether the runner failed on the sample. Outcome rows are summed per (sample, run) before the
+    shuffle; a sample's runs, a small configured number, are then gathered in order."""
+    failed = F.col("error_type") == RUNNER_ERROR if "error_type" in outcomes.columns else F.lit(False)
     per_run = outcomes.groupBy(id_col, "run").agg(
-        F.count_if(F.col("status") == "success").alias("_ok"), _runner_errors(outcomes)
+        F.count_if(F.col("status") == "success").alias("_ok"), F.count_if(failed).alias("_failed")
     )
     return per_run.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("run", "_ok"))), lambda x: x["_ok"]).alias("run_passed"),
-        F.sum("_runner_err").alias("_runner_err"),
+        F.transform(F.array_sort(F.collect_list(F.struct("run", "_ok"))), lambda x: x["_ok"]).alias("_passed"),
+        (F.sum("_failed") > 0).alias("_failed"),
     )
 
 
 def verify_results(
-    samples: DataFrame, outcomes: DataFrame, n_runs: int | None = DEFAULT_N_RUNS, id_col: str = "sample_id"
+    samples: DataFrame, outcomes: DataFrame, n_runs: int | None = None, id_col: str = "sample_id"
 ) -> DataFrame:
     """Per-sample verification result: status, mean pass rate, stability, run pass rates.
 
-    Samples without solution or tests keep a status with null rates (left join from samples).
-    With ``n_runs`` given (runs numbered 0..n_runs-1, as ``plan_executions`` makes them) one
-    aggregation does it and a run without outcome rows counts as zero passed; with
-    ``n_runs=None`` the runs present in the outcomes are used, in run order.
+    Samples without solution or tests keep a status with null rates (left join from samples). The
+    runs present in the outcomes count, however many there are; an executable sample without any
+    has no run rates, rate 0 and status ``fail``. With ``n_runs`` the job fails if an executable
+    sample that the runner could verify has another number of runs.
     """
     samples = _sample_flags(samples).select(id_col, "has_solution", "n_tests")
+    joined = samples.join(run_pass_counts(outcomes, id_col), id_col, "left")
     executable = F.col("has_solution") & (F.col("n_tests") > 0)
-    if n_runs is None:
-        joined = samples.join(run_pass_rates_any(outcomes, samples, id_col), id_col, "left")
-        passed = F.coalesce(F.col("run_passed"), F.array().cast("array<bigint>"))
-    else:
-        joined = samples.join(run_pass_counts(outcomes, n_runs, id_col), id_col, "left")
-        passed = F.coalesce(F.col("run_passed"), F.array_repeat(F.lit(0).cast("bigint"), n_runs))
-    failed = executable & (F.coalesce(F.col("_runner_err"), F.lit(0)) > 0)
+    failed = executable & F.coalesce("_failed", F.lit(False))
+    passed = F.coalesce("_passed", F.array().cast("array<bigint>"))
+    if n_runs is not None:
+        wrong = F.concat(F.lit(f"expected {n_runs} runs of sample "), F.col(id_col).cast("string"), F.lit(", found "), F.size(passed))
+        passed = F.when(failed | (F.size(passed) == n_runs), passed).otherwise(F.raise_error(wrong).cast("array<bigint>"))
     staged = joined.select(id_col, "has_solution", "n_tests", F.when(executable, passed).alias("_passed"), failed.alias("_failed"))
     n = F.col("n_tests").cast("double")
-    rates = F.transform("_passed", lambda p: p.cast("double") / n)
     # the mean is total passed / (tests x runs): one division of exact integers, so it is the
     # correctly rounded mean (a left-to-right sum of rounded rates can fall just below 0.5)
     total = F.aggregate("_passed", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    mean = F.when(F.size("_passed") > 0, total.cast("double") / (n * F.size("_passed").cast("double"))).when(
-        F.col("_passed").isNotNull(), F.lit(0.0)
+    runs = F.size("_passed")
+    mean = F.when(runs > 0, total.cast("double") / (n * runs.cast("double"))).when(F.col("_passed").isNotNull(), F.lit(0.0))
+    rated = staged.select("*", F.transform("_passed", lambda p: p.cast("double") / n).alias("_rates"), mean.alias("_mean"))
+    spread = F.array_max("_rates") - F.array_min("_rates")
+    stable = F.when(F.col("_rates").isNotNull(), F.coalesce(spread, F.lit(0.0)) < STABLE_SPREAD)
+    # The names of the statuses. A sample that the runner could not verify has
+    # status error, rate 0.0, is not stable and has no run rates.
+    status = (
+        F.when(F.col("_failed"), "error")
+        .when(~F.col("has_solution"), "no_solution")
+        .when(F.col("n_tests") == 0, "no_tests")
+        .when((F.col("_mean") >= 1.0) & stable, "pass")
+        .when(F.col("_mean") >= 0.5, "partial")
+        .when(~stable, "flaky")
+        .otherwise("fail")
     )
-    with_rates = staged.select(id_col, "has_solution", "n_tests", "_failed", rates.alias("pass_rates"), mean.alias("_mean"))
-    spread = F.coalesce(F.array_max("pass_rates") - F.array_min("pass_rates"), F.when(F.col("pass_rates").isNotNull(), F.lit(0.0)))
-    stable = spread < STABLE_SPREAD
     failed = F.col("_failed")
-    # a sample the runner could not verify: status error, rate 0.0, not stable, no run rates
-    return with_rates.select(
+    return rated.select(
         id_col,
-        F.when(failed, F.lit(STATUSES[-1])).otherwise(status_expr(F.col("has_solution"), F.col("n_tests"), F.col("_mean"), stable)).alias("status"),
+        status.alias("status"),
         F.when(failed, F.lit(0.0)).otherwise(F.col("_mean")).alias("pass_rate"),
         F.when(failed, F.lit(False)).otherwise(stable).alias("stable"),
-        F.when(~failed, F.col("pass_rates")).alias("pass_rates"),
+        F.when(~failed, F.col("_rates")).alias("pass_rates"),
         F.when(failed, F.lit("runner could not verify the sample")).cast("string").alias("error"),
     )
 

@@ -1,55 +1,168 @@
-"""Queries that need Python's own parser (rows checks; unit tests compare with plain Python)."""
+"""Queries that need Python's own parser: extraction, validation, screening, scoring of responses."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rewardframe.functions.code import ScreenCode, validate_code
+from rewardframe.functions.code import screen_code, screen_message
 from rewardframe.operators import reward as RW
-from rewardframe.plans.fixtures import fixture
+from rewardframe.operators import verify as V
+from rewardframe.plans.fixtures import fixture, oracle_with
+from rewardframe.plans.q_data import JSON_TESTS, trim_sql
 from rewardframe.plans.registry import r6, register
 
+# what the responses of fx_responses hold, by kind (doc_id % 8)
+_CODE_SQL = f"""
+fenced as (
+  select *, doc_id % 8 as kind, regexp_extract_all(coalesce(response, ''), '(?s)```(?:python)?\\s*(.*?)\\s*```', 1) as m from {{0}}),
+coded as (
+  select *, case when len(m) > 0 then {trim_sql('m[-1]')} when kind = 3 then {trim_sql('response')} else '' end as code,
+    kind not in (0, 4, 5) as has_code, kind in (1, 2, 3, 7) as syntax_valid, kind in (1, 2, 3) as compile_valid
+  from fenced)
+"""
 
-@register("validate_code")
+
+def _coded(view: str) -> str:
+    return oracle_with(view).rstrip() + "," + _CODE_SQL.format(view)
+
+
+@register("extract_code_fallback", _coded("fx_responses") + "select doc_id, code from coded")
+def extract_code_fallback(spark, sf_dir):
+    """Full scoring extraction: the last fence, else the whole text when it parses as Python."""
+    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True)
+    return RW.with_checked_code(r, "response", "code").select("doc_id", "code")
+
+
+@register(
+    "validate_code",
+    _coded("fx_responses")
+    + """select doc_id, has_code, syntax_valid, compile_valid, cast(length(code) as integer) as code_length,
+  case when not has_code then 'empty_or_format' when not syntax_valid then 'syntax' when not compile_valid then 'compile' else 'none' end as failure_reason
+from coded""",
+)
 def validate_code_q(spark, sf_dir):
-    """Code of each response (last fence or parsable text), validated."""
-    r = RW.with_code(fixture(spark, sf_dir, "fx_responses", spread_rows=True), "response", "code")
-    v = r.withColumn("v", validate_code("code"))
-    return v.select(
-        "doc_id", "v.has_code", "v.syntax_valid", "v.compile_valid",
-        F.when(~F.col("v.has_code"), "empty_or_format").when(~F.col("v.syntax_valid"), "syntax")
-        .when(~F.col("v.compile_valid"), "compile").otherwise("none").alias("failure_reason"),
+    """Code of each response, validated: blank, broken, not compilable and good code."""
+    prepared = RW.with_checked_code(fixture(spark, sf_dir, "fx_responses", spread_rows=True), "response", "code")
+    flags = prepared.select(
+        "*", F.lit(1).alias("n_tests"), *[F.lit(None).cast("bigint").alias(c) for c in ("passed_n", "timeouts_n", "runtime_errors_n", "outcomes_n")]
+    )
+    return flags.select(
+        "doc_id", "has_code", "syntax_valid", "compile_valid", F.length("code").alias("code_length"), RW.reason_columns()[0]
     )
 
 
-@register("screen_code")
+_FOUND_SQL = """
+found(kind6, ord, kind, name, message) as (values
+  (0, 0, 'import', 'os', 'import ''os'' is not allowed'), (0, 1, 'attr', 'os.system', 'call ''os.system(...)'' is not allowed'),
+  (0, 2, 'attr', 'os.system', 'call ''os.system(...)'' is not allowed'),
+  (1, 0, 'import', 'subprocess', 'import ''subprocess'' is not allowed'), (1, 1, 'attr', 'subprocess.run', 'call ''subprocess.run(...)'' is not allowed'),
+  (2, 0, 'from', 'os', 'from ''os'' import ... is not allowed'), (2, 1, 'aliased', 'os', 'use of aliased dangerous module ''os'' is not allowed'),
+  (2, 2, 'call', 'open', 'call ''open(...)'' is not allowed'), (3, 0, 'call', 'eval', 'call ''eval(...)'' is not allowed'))
+"""
+
+
+@register(
+    "screen_code",
+    oracle_with("fx_screen").rstrip() + "," + _FOUND_SQL + """
+, firsts as (select kind6, message, min(ord) as ord, count(*) as c from found group by 1, 2),
+per as (select kind6, cast(sum(c) as integer) as n, string_agg(message, '; ' order by ord) as message from firsts group by 1)
+select doc_id, coalesce(n, 0) as n_violations, message, cast(length(code) as integer) as code_length
+from fx_screen left join per on kind6 = doc_id % 6
+""",
+)
 def screen_code_q(spark, sf_dir):
-    """Violations per script (UDTF, lateral) and the reference's message: distinct texts in
-    first-seen order joined by '; ' (P16 A12). Clean and unparsable code give no violation."""
-    code = fixture(spark, sf_dir, "fx_screen", spread_rows=True)
-    found = code.lateralJoin(ScreenCode(F.col("code").outer()))
-    per_script = found.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_violations"),
-        F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "message"))), lambda x: x["message"])), "; ").alias("message"),
-    )
-    return code.select("doc_id").join(per_script, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_violations", F.lit(0)).alias("n_violations"), "message"
+    """Violations per script and their message: distinct texts in first-seen order.
+    Clean and unparsable code has none."""
+    found = fixture(spark, sf_dir, "fx_screen", spread_rows=True).withColumn("found", screen_code("code"))
+    return found.select(
+        "doc_id", F.size("found").alias("n_violations"), screen_message("found").alias("message"), F.length("code").alias("code_length")
     )
 
 
-@register("screen_code_kinds")
+@register(
+    "screen_code_kinds",
+    oracle_with("fx_screen").rstrip() + "," + _FOUND_SQL
+    + "select kind, name, count(*) as n from fx_screen join found on kind6 = doc_id % 6 group by 1, 2",
+)
 def screen_code_kinds(spark, sf_dir):
     """Violation counts by kind and name over the whole corpus."""
-    code = fixture(spark, sf_dir, "fx_screen")
-    found = code.lateralJoin(ScreenCode(F.col("code").outer()))
+    code = fixture(spark, sf_dir, "fx_screen", spread_rows=True)
+    found = code.select(F.explode(screen_code("code")).alias("f")).select("f.kind", "f.name")
     return found.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("reward_score_responses")
+_SCORED_SQL = (
+    _coded("fx_scoring").rstrip() + ",\nfx_tests as (select doc_id, tests_text from fx_scoring),\n" + JSON_TESTS.strip() + """,
+s as (select coded.*, len(l) as n_tests from coded join c on c.doc_id = coded.doc_id),
+k as (
+  select *, case when @crash then 'crash' when not has_code then 'blank' when not syntax_valid then 'syntax'
+      when not compile_valid then 'compile' when n_tests = 0 or not @ran then 'none' else 'run' end as cls,
+    case when doc_id % 3 = 0 then n_tests when doc_id % 3 = 1 then n_tests // 2 else 0 end as p
+  from s)
+select doc_id as sample_id,
+  round(case cls when 'crash' then -2.0 when 'blank' then -1.5 when 'syntax' then -1.0 when 'compile' then -0.5 when 'none' then 0.2
+    else (case when p = 0 then -0.2 else 0.0 end) + p * 2.0::double / n_tests + (case when p = n_tests then 1.0 else 0.0 end) end::double, 6) as reward,
+  case when cls in ('crash', 'blank', 'none') then 0.0 else n_tests::double end as total,
+  case when cls = 'run' then p::double else 0.0 end as passed,
+  case when cls = 'crash' then 0.0 else length(code)::double end as code_length,
+  case when cls = 'crash' then 0.0 else has_code::int::double end as has_code,
+  case when cls = 'syntax' then 1.0::double else 0.0 end as syntax_error,
+  case when cls = 'compile' then 1.0::double else 0.0 end as compile_error
+from k
+"""
+)
+
+
+def _scored_sql(crash: str, ran: str) -> str:
+    return _SCORED_SQL.replace("@crash", crash).replace("@ran", ran)
+
+
+_SCORED_COLUMNS = ("reward", "total", "passed", "code_length", "has_code", "syntax_error", "compile_error")
+
+
+def _prepared(spark, sf_dir):
+    rows = fixture(spark, sf_dir, "fx_scoring", spread_rows=True)
+    return RW.prepare_responses(rows, "response", "tests_text").withColumnRenamed("doc_id", "sample_id")
+
+
+@register("reward_score_responses", _scored_sql("false", "false"))
 def reward_score_responses(spark, sf_dir):
     """End-to-end scoring of raw responses and test texts (U1 U2): extraction, test parsing,
     validation, then shaping; no outcomes were run, so valid code with tests scores as having
     no execution results (0.2), as the reference does for an empty result list."""
-    prepared = RW.prepare_responses(fixture(spark, sf_dir, "fx_scoring", spread_rows=True), "response", "tests_text")
-    scored = RW.score(prepared.withColumnRenamed("doc_id", "sample_id"), None)
-    return scored.select("sample_id", *[r6(c).alias(c) for c in RW.REWARD_COLUMNS])
+    scored = RW.score(_prepared(spark, sf_dir), None)
+    return scored.select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
+
+
+@register("reward_score_outcomes", _scored_sql("compile_valid and n_tests > 0 and doc_id % 32 = 3", "true"))
+def reward_score_outcomes(spark, sf_dir):
+    """The same with one outcome for each planned execution (E1 U1): all tests, half of them or
+    none succeed; where the runner itself failed, the response gets the crash row (-2.0)."""
+    from rewardframe.session import materialize
+
+    prepared = materialize(_prepared(spark, sf_dir))
+    plan = RW.plan_scoring(prepared).join(prepared.select("sample_id", "n_tests"), "sample_id")
+    share = F.when(F.col("sample_id") % 3 == 0, F.col("n_tests")).when(F.col("sample_id") % 3 == 1, F.floor(F.col("n_tests") / 2)).otherwise(0)
+    crash = F.col("sample_id") % 32 == 3
+    outcomes = plan.select(
+        "sample_id", F.when(~crash & (F.col("test_idx") < share), "success").otherwise("error").alias("status"),
+        F.when(crash, V.RUNNER_ERROR).alias("error_type"),
+    )
+    scored = RW.score(prepared, outcomes)
+    return scored.select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
+
+
+@register(
+    "plan_scoring",
+    _coded("fx_scoring").rstrip() + ",\nfx_tests as (select doc_id, tests_text from fx_scoring),\n" + JSON_TESTS.strip()
+    + """
+select coded.doc_id as sample_id, cast(t.i - 1 as bigint) as test_idx,
+  cast(length(code) + length(c.l[t.i]) + length('# -*- coding: utf-8 -*-') + length('__TESTS_COMPLETED__:') + 64 + 15 as integer) as script_chars
+from coded join c on c.doc_id = coded.doc_id, unnest(range(1, len(c.l) + 1)) as t(i)
+where compile_valid
+""",
+)
+def plan_scoring(spark, sf_dir):
+    """Execution plan of the responses whose code is valid, a row for each test."""
+    plan = RW.plan_scoring(_prepared(spark, sf_dir))
+    return plan.select("sample_id", "test_idx", F.length("script").alias("script_chars"))

@@ -52,18 +52,9 @@ def extract_code_first(spark, sf_dir):
     return r.select("doc_id", TX.fence_first("response").alias("code"))
 
 
-@register("extract_code_fallback")
-def extract_code_fallback(spark, sf_dir):
-    """Full scoring extraction: fence, else whole text when it parses as Python (rows check)."""
-    from rewardframe.operators.reward import with_code
-
-    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True)
-    return with_code(r, "response", "code").select("doc_id", "code")
-
-
 # ----------------------------------------------------------------------------- tests parsing
 
-_JSON_TESTS = f"""
+JSON_TESTS = f"""
 t as (select doc_id, {trim_sql('coalesce(tests_text, \'\')')} as s from fx_tests),
 p as (
   select doc_id, case
@@ -85,7 +76,7 @@ c as (select doc_id, list_filter(list_transform(l, lambda x: {trim_sql('x')}), l
 
 @register(
     "parse_tests_json",
-    oracle_with("fx_tests").rstrip() + ",\n" + _JSON_TESTS.strip()
+    oracle_with("fx_tests").rstrip() + ",\n" + JSON_TESTS.strip()
     + """
 select doc_id, cast(len(l) as integer) as n_tests, array_to_string(l, '|') as tests, array_to_string(l[1:5], '|') as first5
 from c
@@ -99,9 +90,19 @@ def parse_tests_json(spark, sf_dir):
     )
 
 
-@register("parse_tests_literal")
+@register(
+    "parse_tests_literal",
+    oracle_with("fx_literal_tests")
+    + """
+select doc_id, case cast(doc_id % 4 as int) when 0 then concat('assert f(', cast(doc_id as varchar), ')|', text)
+    when 1 then concat('assert a', text) when 2 then tests_text else '' end as tests,
+  case cast(doc_id % 4 as int) when 0 then concat('assert f(', cast(doc_id as varchar), ')|', text)
+    when 1 then concat('assert a|', text) when 2 then tests_text else '' end as tests_split_adjacent
+from fx_literal_tests
+""",
+)
 def parse_tests_literal(spark, sf_dir):
-    """Python-literal test lists (rows check; the unit tests compare with the plain rules)."""
+    """Test lists written as Python literals, adjacent strings joined or kept apart."""
     t = fixture(spark, sf_dir, "fx_literal_tests", spread_rows=True)
     t = with_tests(with_tests(t, "tests_text", "t1"), "tests_text", "t2", split_adjacent=True)
     return t.select("doc_id", F.array_join("t1", "|").alias("tests"), F.array_join("t2", "|").alias("tests_split_adjacent"))
@@ -164,7 +165,7 @@ def _records(spark, sf_dir, with_index: bool = True):
 _RECORDS_SQL = (
     oracle_with("fx_raw").replace("fx_raw as", "fx_raw0 as", 1).rstrip()
     + ",\nfx_tests as (select doc_id, tests as tests_text from fx_raw0),\n"
-    + _JSON_TESTS.strip()
+    + JSON_TESTS.strip()
     + f""",
 r as (
   select f.*, c.l as tl, row_number() over (order by f.doc_id) - 1 as idx,
@@ -277,7 +278,7 @@ _USER_RENDER = "concat('<|user|>', chr(10), coalesce(text, ''), chr(10), '<|assi
 def token_filter(spark, sf_dir):
     """Documents whose text, rendered as one user message with the generation prompt, has at
     most 500 tokens (F4)."""
-    d = spread(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", CV.sample_tokens(d, "text").alias("n")).where(F.col("n") <= 500)
 
 
@@ -392,29 +393,66 @@ def sft_sample_funnel(spark, sf_dir):
 
 
 _SPLIT = """
-with k as (select doc_id, n_chars, md5(concat('42:', cast(doc_id as varchar))) as key, cast(doc_id as varchar) as tie from documents),
-r as (select *, row_number() over (order by key, tie) as rn, count(*) over () as total from k)
+with k as (select *, md5(concat('42:', cast(doc_id as varchar))) as key from documents),
+r as (select *, row_number() over (order by key, doc_id) as rn, count(*) over () as total from k)
 """
+_DOC = "doc_id, text, lang, source, n_chars"
 
 
-@register("split_train", _SPLIT + "select doc_id, n_chars from r where rn <= floor(total * 0.95)")
+@register("split_train", _SPLIT + f"select {_DOC} from r where rn <= floor(total * 0.95)")
 def split_train(spark, sf_dir):
-    train, _ = SM.split_exact(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 0.95, 42)
+    train, _ = SM.split_exact(table(spark, sf_dir, "documents"), "doc_id", 0.95, 42)
     return train
 
 
-@register("split_val", _SPLIT + "select doc_id, n_chars from r where rn > floor(total * 0.95)")
+@register("split_val", _SPLIT + f"select {_DOC} from r where rn > floor(total * 0.95)")
 def split_val(spark, sf_dir):
-    _, val = SM.split_exact(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", 0.95, 42)
+    _, val = SM.split_exact(table(spark, sf_dir, "documents"), "doc_id", 0.95, 42)
     return val
 
 
+@register(
+    "split_repeated_ids",
+    """select cast(floor(count(*) * 0.55) as bigint) as n_train, count(*) - cast(floor(count(*) * 0.55) as bigint) as n_val,
+  cast(sum(length(text)) as bigint) as chars from documents""",
+)
+def split_repeated_ids(spark, sf_dir):
+    """An exact split where every id stands for many rows."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 64).alias("id"), "text")
+    train, val = SM.split_exact(d, "id", 0.55, 42)
+    both = train.select(F.lit(1).alias("t"), "text").unionByName(val.select(F.lit(0).alias("t"), "text"))
+    return both.agg(
+        F.count_if(F.col("t") == 1).alias("n_train"), F.count_if(F.col("t") == 0).alias("n_val"), F.sum(F.length("text")).cast("bigint").alias("chars")
+    )
+
+
+@register("seeded_shuffle_rank", _SPLIT + f"select {_DOC}, cast(rn - 1 as bigint) as rank from r")
+def seeded_shuffle_rank(spark, sf_dir):
+    """The whole table in the seeded order, as the jobs write it, with each row's place (L3)."""
+    shuffled = SM.in_seeded_order(table(spark, sf_dir, "documents"), "doc_id", 42)
+    return SM.dense_index(shuffled.withColumn("_place", F.monotonically_increasing_id()), "_place", "rank").drop("_place")
+
+
 @register(
     "seeded_shuffle_head",
-    "select doc_id from documents order by md5(concat('42:', cast(doc_id as varchar))), cast(doc_id as varchar) limit 100",
+    f"select {_DOC} from documents order by md5(concat('42:', cast(doc_id as varchar))), doc_id limit 100",
 )
 def seeded_shuffle_head(spark, sf_dir):
-    return SM.first_n_by_key(table(spark, sf_dir, "documents").select("doc_id"), 100, "doc_id", 42)
+    """The first 100 rows of the seeded order (the limit is the feature)."""
+    return SM.first_n_by_key(table(spark, sf_dir, "documents"), 100, "doc_id", 42)
+
+
+@register(
+    "position_ids",
+    """select coalesce(case when doc_id % 2 = 0 then concat('d', cast(doc_id as varchar)) end,
+  cast(row_number() over (order by doc_id) - 1 as varchar)) as id, doc_id, text from documents""",
+)
+def position_ids(spark, sf_dir):
+    """Missing ids become the row's position as text (P25)."""
+    d = table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("id"), "doc_id", "text"
+    )
+    return SM.with_position_id(d, "id", "doc_id")
 
 
 # ----------------------------------------------------------------------------- profile
@@ -462,9 +500,8 @@ _MODELS = ["org/src3", "org/src4", "org/src7"]
 
 
 def _cell(m: str) -> str:
-    label = m.rsplit("/", 1)[-1]
     return (
-        f"coalesce(cast(round(arg_min(pass_at_1, seq) filter (where model_name = '{m}') * 100, 1) as varchar) || '%', 'N/A') as {label}"
+        f"coalesce(cast(round(arg_min(pass_at_1, seq) filter (where model_name = '{m}') * 100, 1) as varchar) || '%', 'N/A') as \"{m}\""
     )
 
 

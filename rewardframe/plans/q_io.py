@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rewardframe.operators.reward import REWARD_COLUMNS
+from rewardframe.operators import sampling as SM
 from rewardframe.plans.registry import r6, register
 from rewardframe.session import table
 from rewardframe.sources import readers as RD
@@ -21,7 +21,7 @@ def _jsonl_lines(spark, sf_dir):
     """documents -> JSON Lines text: every 7th line broken, every 11th blank, every 13th with a
     lone surrogate escape inside the prompt, the rest plain records."""
     d = table(spark, sf_dir, "documents")
-    rec = F.to_json(F.struct(F.col("doc_id"), F.substring("text", 1, 60).alias("prompt"), F.col("lang"), F.col("source")))
+    rec = F.to_json(F.struct(F.col("doc_id"), F.col("text").alias("prompt"), F.col("lang"), F.col("source")))
     with_sur = F.regexp_replace(rec, '"prompt":"', '"prompt":"\\\\ud800')
     line = (
         F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("{bad json "), F.col("doc_id").cast("string")))
@@ -39,7 +39,7 @@ _GOOD = "from documents where doc_id % 7 <> 0 and doc_id % 11 <> 0"
 
 @register(
     "read_lenient",
-    f"select doc_id, substr(text, 1, 60) as prompt, lang {_GOOD}",
+    f"select doc_id, text as prompt, lang {_GOOD}",
 )
 def read_lenient(spark, sf_dir):
     good, _ = RD.read_lenient(spark, _jsonl_lines(spark, sf_dir))
@@ -69,36 +69,176 @@ def convert_extra(spark, sf_dir):
     ).select("doc_id", F.array_join(F.array_sort(F.map_keys("e")), ",").alias("extra_keys"), F.col("e")["source"].alias("extra_source"))
 
 
-@register(
-    "json_document_records",
-    "select doc_id, lang from documents",
-)
-def json_document_records(spark, sf_dir):
-    """Whole-JSON files (S3): documents of at most 500 records each, written as a top-level array
-    or as ``{"data": [...]}`` (alternating), one document per file, read back."""
-    d = table(spark, sf_dir, "documents").withColumn("grp", F.floor(F.col("doc_id") / 500))
-    recs = F.collect_list(F.struct("doc_id", "lang"))
-    docs = d.groupBy("grp").agg(
-        F.when(F.col("grp") % 2 == 0, F.to_json(recs)).otherwise(F.to_json(F.struct(recs.alias("data")))).alias("value")
+def _documents_as_files(spark, sf_dir, name: str):
+    """documents -> one JSON file for each 128 of them, named in order: a top-level array, an
+    object with a record list, or an object whose first record list is empty (one record)."""
+    d = table(spark, sf_dir, "documents").withColumn("grp", F.lpad(F.floor(F.col("doc_id") / 128).cast("string"), 9, "0"))
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang")))
+    first = F.element_at(rows, 1)
+    kind = F.col("grp").cast("bigint") % 3
+    docs = d.groupBy("grp").agg(rows.alias("rows"), first.alias("first")).select(
+        "grp",
+        F.when(kind == 0, F.to_json("rows"))
+        .when(kind == 1, F.to_json(F.struct(F.lit(1).alias("version"), F.col("rows").alias("data"))))
+        .otherwise(F.to_json(F.struct(F.array().cast("array<int>").alias("data"), F.col("rows").alias("items"), "first.doc_id", "first.text", "first.lang")))
+        .alias("value"),
     )
-    out = SK.scratch_dir(spark, "json")
+    out = SK.scratch_dir(spark, name)
     docs.repartition("grp").write.partitionBy("grp").text(out)
-    got = RD.read_json_document(spark, out)
-    return got.select(F.try_variant_get("v", "$.doc_id", "bigint").alias("doc_id"), F.try_variant_get("v", "$.lang", "string").alias("lang"))
+    return out
+
+
+_JSON_RECORDS = """
+g as (select *, doc_id // 128 as grp from documents),
+r as (select * from g where grp % 3 < 2 union all
+  select g.* from g join (select grp, min(doc_id) as doc_id from g group by grp) f on f.doc_id = g.doc_id where g.grp % 3 = 2)
+"""
+
+
+@register("json_document_records", "with " + _JSON_RECORDS + "select doc_id, text, lang from r")
+def json_document_records(spark, sf_dir):
+    """Whole-JSON files of every shape, one document per file, read back (S3)."""
+    got = RD.read_json_document(spark, _documents_as_files(spark, sf_dir, "json"))
+    return RD.variant_columns(got, {"doc_id": "bigint", "text": "string", "lang": "string"}).select("doc_id", "text", "lang")
+
+
+@register(
+    "json_file_order",
+    "with " + _JSON_RECORDS + "select doc_id, text, cast(row_number() over (order by doc_id) - 1 as bigint) as index from r",
+)
+def json_file_order(spark, sf_dir):
+    """Row index over many JSON files: the order of the files, then of the records in them."""
+    rows = RD.read_any(spark, _documents_as_files(spark, sf_dir, "json-order"), "json")
+    return RD.variant_columns(SM.index_in_file_order(rows), {"doc_id": "bigint", "text": "string"}).select("doc_id", "text", "index")
+
+
+@register(
+    "jsonl_file_order",
+    f"select doc_id, text, cast(row_number() over (order by doc_id) - 1 as bigint) as index {_GOOD}",
+)
+def jsonl_file_order(spark, sf_dir):
+    """Row index of the good lines over JSON Lines files of different sizes, in file order."""
+    d = table(spark, sf_dir, "documents")
+    line = F.when(F.col("doc_id") % 7 == 0, "{bad").when(F.col("doc_id") % 11 == 0, "").otherwise(F.to_json(F.struct("doc_id", "text")))
+    # files of very different sizes, in the order of their names
+    name = F.lpad(F.floor(F.log2(F.col("doc_id") + 1)).cast("string"), 3, "0")
+    out = SK.scratch_dir(spark, "jsonl-order")
+    named = d.select(name.alias("part"), "doc_id", line.alias("value")).repartition("part").sortWithinPartitions("part", "doc_id")
+    named.drop("doc_id").write.partitionBy("part").text(out)
+    rows = RD.read_any(spark, out, "jsonl")
+    return RD.variant_columns(SM.index_in_file_order(rows), {"doc_id": "bigint", "text": "string"}).select("doc_id", "text", "index")
+
+
+@register("read_strict", "select doc_id, text, lang from documents")
+def read_strict(spark, sf_dir):
+    """JSON Lines with a schema, read strictly."""
+    out = SK.scratch_dir(spark, "strict")
+    SK.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), out)
+    return RD.read_strict(spark, out, "doc_id bigint, text string, lang string")
+
+
+@register(
+    "read_splits",
+    "select doc_id, text, case when doc_id % 3 = 0 then 'test' else 'train' end as split from documents",
+)
+def read_splits(spark, sf_dir):
+    """Named splits, one Parquet and read by suffix."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base = SK.scratch_dir(spark, "splits")
+    d.where("doc_id % 3 = 0").write.parquet(f"{base}/test.parquet")
+    d.where("doc_id % 3 <> 0").write.parquet(f"{base}/train.parquet")
+    return RD.read_splits(spark, {"test": f"{base}/test.parquet", "train": f"{base}/train.parquet"})
+
+
+@register("missing_input_raises", "select 3 as n_raised, count(*) as n_documents, cast(sum(length(text)) as bigint) as chars from documents")
+def missing_input_raises(spark, sf_dir):
+    """Reading a missing neighbour of the documents raises for every format."""
+    from pyspark.errors import AnalysisException
+
+    raised = 0
+    for kind in ("jsonl", "json", "parquet"):
+        try:
+            RD.read_any(spark, f"{sf_dir}/no-documents.{kind}").schema  # noqa: B018
+        except AnalysisException:
+            raised += 1
+    d = RD.read_any(spark, f"{sf_dir}/documents.parquet")
+    return d.agg(F.lit(raised).alias("n_raised"), F.count(F.lit(1)).alias("n_documents"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
 @register(
-    "sink_round_trip",
-    "select doc_id, n_chars, lang from documents",
+    "prompt_text",
+    """select doc_id, case cast(doc_id % 4 as int) when 0 then text when 1 then text when 2 then text
+  else concat('[', cast(doc_id as varchar), ']') end as prompt from documents""",
 )
+def prompt_text(spark, sf_dir):
+    """Prompts of VARIANT records as text: strings, objects with a text key, other values."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 4
+    as_json = (
+        F.when(k == 0, F.to_json(F.struct(F.concat(F.lit("  "), "text", F.lit("\n")).alias("p"))))
+        .when(k == 1, F.to_json(F.struct(F.struct(F.lit(1).alias("id"), F.col("text").alias("content")).alias("p"))))
+        .when(k == 2, F.to_json(F.struct(F.struct(F.col("lang").alias("question"), F.col("text").alias("text")).alias("p"))))
+        .otherwise(F.to_json(F.struct(F.array("doc_id").alias("p"))))
+    )
+    v = F.try_variant_get(F.parse_json(as_json), "$.p", "variant")
+    return d.select("doc_id", v.alias("v")).select("doc_id", RD.prompt_text("v").alias("prompt"))
+
+
+@register("sink_round_trip", "select doc_id, n_chars, lang, text from documents")
 def sink_round_trip(spark, sf_dir):
-    """Parquet and JSON Lines sinks, and the crash-safe replace of an existing output (K1 K2 K4 K5)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    """Parquet, JSON Lines and JSON array sinks, and the checked replace of an existing output
+    (K1 K2 K3 K4 K5)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "text")
     base = SK.scratch_dir(spark, "sinks")
     SK.write_dataset(d.where(F.col("doc_id") < 0), f"{base}/out", "parquet")  # an existing, stale output
     SK.replace_path(d, f"{base}/out", "parquet")
     SK.write_dataset(spark.read.parquet(f"{base}/out"), f"{base}/jsonl", "jsonl")
-    return spark.read.schema("doc_id bigint, n_chars bigint, lang string").json(f"{base}/jsonl")
+    lines = spark.read.schema("doc_id bigint, n_chars bigint, lang string, text string").json(f"{base}/jsonl")
+    SK.write_dataset(lines, f"{base}/arrays", "json")
+    fields = {"doc_id": "bigint", "n_chars": "bigint", "lang": "string", "text": "string"}
+    return RD.variant_columns(RD.read_json_document(spark, f"{base}/arrays"), fields).select(*fields)
+
+
+@register(
+    "results_round_trip",
+    """select d.lang as name, concat('org/', d.source) as model_name, round(avg(cast(l.quality as double)), 6) as pass_at_1
+from documents d join labels l on l.doc_id = d.doc_id group by d.lang, d.source""",
+)
+def results_round_trip(spark, sf_dir):
+    """Benchmark results written as one JSON array and read back (K7)."""
+    from rewardframe.plans.fixtures import fixture
+
+    out = SK.scratch_dir(spark, "results")
+    SK.write_results(fixture(spark, sf_dir, "fx_bench").select("name", "model_name", "pass_at_1"), out)
+    fields = {"name": "string", "model_name": "string", "pass_at_1": "double"}
+    return RD.variant_columns(RD.read_json_document(spark, out), fields).select(*fields)
+
+
+@register(
+    "convert_rejects",
+    """select case cast(doc_id % 5 as int) when 0 then 'decimal' when 1 then 'string' when 2 then 'array' else 'void' end as kind,
+  count(*) as n from documents where doc_id % 5 < 4 group by 1""",
+)
+def convert_rejects(spark, sf_dir):
+    """Lines that are JSON but no record are set aside with a reason, not converted."""
+    from rewardframe.operators.convert import convertible, records_from_variant
+    from rewardframe.session import materialize
+
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 5
+    line = (
+        F.when(k == 0, F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
+        .when(k == 1, F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1))
+        .when(k == 2, F.to_json(F.array("text")))
+        .when(k == 3, F.lit("null"))
+        .otherwise(F.to_json(F.struct(F.col("text").alias("prompt"))))
+    )
+    out = SK.scratch_dir(spark, "rejects")
+    d.select(line.alias("value")).write.text(out)
+    good, rejects = convertible(RD.read_any(spark, out, "jsonl"))
+    prompts = materialize(records_from_variant(good, "src_pos").select("prompt")).where("prompt = ''")
+    kinds = rejects.select(F.regexp_extract("reason", "([a-z]+)$", 1).alias("kind")).unionByName(prompts.select(F.lit("blank record").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ----------------------------------------------------------------------------- streaming
@@ -156,20 +296,17 @@ def stream_stats(spark, sf_dir):
     stats = ST.stats_stream(ST.score_stream(ST.event_flags(events)))
     out, ckpt = ST.scratch_for(spark, "stream-stats")
     ST.run_available(stats, out, ckpt, "complete")
-    res = spark.read.parquet(out)
+    res = ST.latest_result(spark, out)
     return res.select("total_samples", "empty_samples", "syntax_errors", "compile_errors", "runtime_errors", "full_pass",
                       r6("full_pass_rate").alias("full_pass_rate"))
 
 
-_ = REWARD_COLUMNS
-
-
 def _mixed_jsonl(spark, sf_dir):
     """documents -> JSON Lines whose records use different alias keys and value shapes."""
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     sid = i.cast("string")
-    head = F.substring("text", 1, 30)
+    head = F.col("text")
     k = i % 4
     line = (
         F.when(k == 0, F.to_json(F.struct(i.alias("doc_id"), head.alias("prompt"), F.concat(F.lit("x = "), sid).alias("solution"),
@@ -190,7 +327,7 @@ def _mixed_jsonl(spark, sf_dir):
 @register(
     "convert_jsonl_records",
     """
-select doc_id, substr(text, 1, 30) as prompt,
+select doc_id, text as prompt,
   case doc_id % 4 when 0 then concat('x = ', cast(doc_id as varchar)) when 1 then concat('y = ', cast(doc_id as varchar))
        when 2 then concat('r', cast(doc_id as varchar)) else '' end as solution,
   case doc_id % 4 when 0 then concat('assert x == ', cast(doc_id as varchar)) when 1 then 'assert 1' when 2 then 'c' else '' end as tests,
@@ -205,7 +342,7 @@ def convert_jsonl_records(spark, sf_dir):
     from rewardframe.operators.convert import records_from_variant
 
     good, _ = RD.read_lenient(spark, _mixed_jsonl(spark, sf_dir))
-    rec = records_from_variant(good.withColumn("_pos", F.col("src_pos")), "_pos")
+    rec = records_from_variant(good, "src_pos")
     return rec.select(
         F.col("extra_info.extra")["doc_id"].cast("bigint").alias("doc_id"),
         "prompt",

@@ -149,34 +149,40 @@ def verify_report(spark, sf_dir):
     )
 
 
-_PLAN_SAMPLES = """
-select sample_id,
-  case when has_solution then concat('def solve():', chr(10), '    return ', cast(sample_id as varchar(20))) else '' end as solution,
-  n_tests
-from fx_samples
-"""
-
-
-def _plan_samples(spark, sf_dir):
-    s = fixture(spark, sf_dir, "fx_samples")
-    sol = F.when(F.col("has_solution"), F.concat(F.lit("def solve():\n    return "), F.col("sample_id").cast("string"))).otherwise(F.lit(""))
-    tests = F.transform(
-        F.sequence(F.lit(0), F.col("n_tests") - 1),
-        lambda i: F.concat(F.lit("assert solve() == "), F.col("sample_id").cast("string"), F.lit("  # "), i.cast("string")),
-    )
-    return s.select("sample_id", sol.alias("solution"), F.when(F.col("n_tests") > 0, tests).otherwise(F.array().cast("array<string>")).alias("tests"))
+@register(
+    "verify_results_by_runs",
+    oracle_with("fx_run_samples", "fx_run_verdicts")
+    + """,
+runs as (
+  select sample_id, run, count(*) filter (where status = 'success') as passed, bool_or(error_type = 'RUNNER_ERROR') as broken
+  from fx_run_verdicts group by 1, 2),
+agg as (
+  select r.sample_id, count(*) as n_runs, bool_or(broken) as broken, sum(passed)::double / (2 * count(*)) as mean_rate,
+    (max(passed) - min(passed)) / 2.0 as spread, string_agg(cast(passed / 2.0::double as varchar), ',' order by run) as rates
+  from runs r group by 1)
+select s.sample_id, case when not has_solution then 'no_solution' when n_tests = 0 then 'no_tests' when broken then 'error'
+    when mean_rate >= 1.0 and spread < 0.1 then 'pass' when mean_rate >= 0.5 then 'partial' when not spread < 0.1 then 'flaky' else 'fail' end as status,
+  case when has_solution and n_tests > 0 then case when broken then 0.0 else round(mean_rate, 6) end end::double as pass_rate,
+  case when has_solution and n_tests > 0 then not broken and spread < 0.1 end as stable,
+  case when has_solution and n_tests > 0 and not broken then rates end as pass_rates
+from fx_run_samples s left join agg a on a.sample_id = s.sample_id
+""",
+)
+def verify_results_by_runs(spark, sf_dir):
+    """Samples with 3, 4 or 10 runs, some of which the runner could not verify."""
+    res = V.verify_results(fixture(spark, sf_dir, "fx_run_samples"), fixture(spark, sf_dir, "fx_run_verdicts"))
+    return res.select("sample_id", "status", r6("pass_rate").alias("pass_rate"), "stable", join_doubles(F.col("pass_rates")).alias("pass_rates"))
 
 
 @register(
     "plan_executions",
-    oracle_with("fx_samples")
+    oracle_with("fx_code_samples")
     + """,
-ps as (""" + _PLAN_SAMPLES + """),
 fan as (
   select sample_id, solution, t.test_idx, r.run,
-    concat('assert solve() == ', cast(sample_id as varchar), '  # ', cast(t.test_idx as varchar)) as test
-  from ps, (select unnest(range(0, 64)) as test_idx) t, (select unnest(range(0, 4)) as run) r
-  where length(trim(solution)) > 0 and t.test_idx < ps.n_tests),
+    concat('assert solve() == ', cast(n_chars as varchar), '  # ', cast(t.test_idx as varchar)) as test
+  from fx_code_samples s, (select unnest(range(0, 64)) as test_idx) t, (select unnest(range(0, 4)) as run) r
+  where solution <> '' and t.test_idx < s.n_tests),
 keyed as (
   select *, concat('__TESTS_COMPLETED__:', sha256(concat_ws(':', cast(sample_id as varchar), cast(run as varchar), cast(test_idx as varchar)))) as sentinel
   from fan)
@@ -187,7 +193,13 @@ from keyed
 """,
 )
 def plan_executions(spark, sf_dir):
-    return V.plan_executions(_plan_samples(spark, sf_dir), n_runs=4)
+    s = fixture(spark, sf_dir, "fx_code_samples")
+    tests = F.transform(
+        F.sequence(F.lit(0), F.col("n_tests") - 1),
+        lambda i: F.concat(F.lit("assert solve() == "), F.col("n_chars").cast("string"), F.lit("  # "), i.cast("string")),
+    )
+    samples = s.select("sample_id", "solution", F.when(F.col("n_tests") > 0, tests).otherwise(F.array().cast("array<string>")).alias("tests"))
+    return V.plan_executions(samples, n_runs=4)
 
 
 @register(
@@ -196,11 +208,11 @@ def plan_executions(spark, sf_dir):
     + """,
 c as (
   select *, regexp_replace(
-      array_to_string(list_filter(string_split_regex(coalesce(output, ''), '\\r?\\n'),
+      array_to_string(list_filter(string_split_regex(coalesce(output, ''), '\\r\\n|[\\n\\r]'),
                                   lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g') <> sentinel), chr(10)),
       '^\\s+|\\s+$', '', 'g') as cleaned
   from fx_outcomes)
-select event_id,
+select doc_id,
   case when coalesce(blocked, false) then 'error' when coalesce(timed_out, false) then 'error'
        when returncode = 0 and strpos(output, sentinel) > 0 then 'success' else 'error' end as status,
   case when coalesce(blocked, false) then coalesce(nullif(cleaned, ''), 'Security violation')
@@ -223,4 +235,4 @@ from c
 """,
 )
 def classify_outcomes(spark, sf_dir):
-    return V.classify_outcomes(fixture(spark, sf_dir, "fx_outcomes"), ["event_id"])
+    return V.classify_outcomes(fixture(spark, sf_dir, "fx_outcomes"), ["doc_id"])

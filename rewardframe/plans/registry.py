@@ -45,4 +45,4 @@ def join_doubles(c) -> F.Column:
 
 
 # Import the modules that register queries (order only affects listing).
-from rewardframe.plans import q_code, q_data, q_io, q_reward, q_verify  # noqa: E402,F401
+from rewardframe.plans import q_data, q_code, q_io, q_reward, q_verify  # noqa: E402,F401

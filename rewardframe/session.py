@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +50,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has several machines' folders
         # a machine-local folder is not visible to other executors and is lost with them
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the whole cluster")
     local = tempfile.mkdtemp(prefix="rf-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)  # this process's own scratch folder
     spark.sparkContext.setCheckpointDir(local)
-    return local
+    return spark.sparkContext.getCheckpointDir() or local
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,28 +26,33 @@ _SURROGATE = (
 
 def scrub_surrogates(raw: str | Column) -> Column:
     """Drop lone surrogate escapes from raw JSON text before parsing (after parsing Spark would
-    have turned them into '?')."""
+    have turned them into '?'). Only texts with a ``\\u`` escape are searched."""
     c = F.col(raw) if isinstance(raw, str) else raw
-    return F.regexp_replace(c, _SURROGATE, "$1$2")
+    return F.when(F.contains(c, F.lit("\\u")), F.regexp_replace(c, _SURROGATE, "$1$2")).otherwise(c)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(
+# Where a row comes from, in the order of the input: file, split of the file, place in the split.
+ORIGIN = ["src_file", "src_block", "src_pos"]
+
+
+def _origin(pos: Column | None = None) -> list[Column]:
+    return [
         F.col("_metadata.file_path").alias("src_file"),
-        F.monotonically_increasing_id().alias("src_pos"),
-        F.col("value").alias("raw"),
-    )
+        F.col("_metadata.file_block_start").alias("src_block"),
+        (F.monotonically_increasing_id() if pos is None else pos).alias("src_pos"),
+    ]
 
 
 def read_lenient(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON Lines where bad and blank lines are set aside instead of failing the job.
 
-    Returns (good rows ``src_file, src_pos, v VARIANT``, rejects ``src_file, src_pos, raw``).
-    ``src_pos`` orders lines within a file split (see ``sampling.dense_index`` for positions).
-    """
-    lines = _lines(spark, path).withColumn("v", F.try_parse_json(scrub_surrogates("raw")))
-    good = lines.where(F.col("v").isNotNull()).select("src_file", "src_pos", "v")
-    bad = lines.where(F.col("v").isNull()).select("src_file", "src_pos", "raw")
+    Returns (good rows ``src_file, src_block, src_pos, v VARIANT``, rejects with ``raw`` instead of
+    ``v``). The source columns order the rows as the files and lines are (see
+    ``sampling.index_in_file_order`` for positions)."""
+    lines = spark.read.text(path).select(*_origin(), F.col("value").alias("raw"))
+    lines = lines.withColumn("v", F.try_parse_json(scrub_surrogates("raw")))
+    good = lines.where(F.col("v").isNotNull()).select(*ORIGIN, "v")
+    bad = lines.where(F.col("v").isNull()).select(*ORIGIN, "raw")
     return good, bad
 
 
@@ -57,37 +62,42 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """Whole-JSON files (S3): a list gives its elements; an object gives the first non-empty list
-    among the record keys, else the object itself. One row per record, ``v VARIANT``.
+    """Whole-JSON files (S3): a list gives its elements; an object gives the first list among the
+    record keys, or the object itself if there is none or it is empty. One row per record: the
+    source columns and ``v VARIANT``. A file that is no JSON fails the job and is named.
 
     A JSON document cannot be split, so each file is one task by nature of the format.
     """
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("src_file"), F.try_parse_json(scrub_surrogates("value")).alias("doc")
+    files = spark.read.text(path, wholetext=True).select(*_origin(F.lit(0).cast("bigint")), F.col("value").alias("raw"))
+    parsed = files.withColumn("doc", F.try_parse_json(scrub_surrogates("raw")))
+    corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file")))
+    as_list = F.try_variant_get("doc", "$", "array<variant>")
+    first_list = F.coalesce(*[F.try_variant_get("doc", f"$.{k}", "array<variant>") for k in RECORD_LIST_KEYS])
+    one = F.array(F.col("doc"))
+    records = (
+        F.when(F.col("doc").isNull(), corrupt.cast("array<variant>"))
+        .when(as_list.isNotNull(), as_list)
+        .when(F.size(first_list) > 0, first_list)
+        .otherwise(one)
+    )
+    staged = parsed.select("src_file", "src_block", records.alias("records"))
+    return staged.select("src_file", "src_block", F.posexplode("records").alias("src_pos", "v")).withColumn(
+        "src_pos", F.col("src_pos").cast("bigint")
     )
-    arr = F.try_variant_get("doc", "$", "array<variant>")
-    picks = [
-        F.when(F.size(F.try_variant_get("doc", f"$.{k}", "array<variant>")) > 0, F.try_variant_get("doc", f"$.{k}", "array<variant>"))
-        for k in RECORD_LIST_KEYS
-    ]
-    records = F.when(arr.isNotNull(), arr).otherwise(F.coalesce(*picks, F.array(F.col("doc"))))
-    return docs.where(F.col("doc").isNotNull()).select("src_file", F.posexplode(records).alias("src_pos", "v"))
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
 
 
-def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_any(spark: SparkSession, path: str, fmt: str | None = None, origin: bool = False) -> DataFrame:
     """Dispatch by format or suffix: ``.jsonl`` lenient lines, ``.json`` documents, ``.parquet``.
-    Missing paths raise Spark's PATH_NOT_FOUND (S7)."""
+    Missing paths raise Spark's PATH_NOT_FOUND (S7). ``origin`` adds the source columns to Parquet
+    rows, which the other formats always have."""
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "jsonl":
         return read_lenient(spark, path)[0]
     if kind == "json":
         return read_json_document(spark, path)
     if kind == "parquet":
-        return read_parquet(spark, path)
+        rows = spark.read.parquet(path)
+        return rows.select("*", *_origin(F.col("_metadata.row_index"))) if origin else rows
     raise ValueError(f"unsupported input format: {kind!r}")
 
 

@@ -1,17 +1,16 @@
-"""Sinks: Parquet, JSON Lines, small JSON arrays, explicit format choice, crash-safe replace."""
+"""Sinks: Parquet, JSON Lines, JSON arrays, explicit format choice, crash-safe replace."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardframe.session import ensure_checkpoint_dir
 
-JSON_ARRAY_MAX_ROWS = 100_000
-
-
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
@@ -21,13 +20,34 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_json_array(df: DataFrame, path: str, max_rows: int = JSON_ARRAY_MAX_ROWS) -> None:
-    """One JSON array in one file: for small reports only; larger outputs must use JSON Lines."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows is too many for one JSON array (max {max_rows}); write JSON Lines")
-    arr = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
-    arr.coalesce(1).write.mode("overwrite").text(path)
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON array: each row's JSON, after the bracket or a comma; then the end."""
+    before = "["
+    for batch in batches:
+        lines = []
+        for row in batch.column("value").drop_null().to_pylist():
+            lines.append(before + row)
+            before = ","
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if before == "[" else "]"])], names=["value"])
+
+
+def write_json_array(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """JSON arrays (K3): each file of the output is one array of its partition's rows, written line
+    by line, so no row count is too many; an empty table gives an empty array.
+    ``readers.read_json_document`` reads the folder back."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    # a null row, which is left out of the arrays, so that there is always a partition to write
+    rows = rows.unionByName(df.sparkSession.range(1, numPartitions=1).select(F.lit(None).cast("string").alias("value")))
+    rows = rows.coalesce(1) if one_file else rows
+    rows.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Result rows (benchmark or evaluation results) as one JSON array in one file (K7). A results
+    table has one row per model and benchmark, so one file holds it; larger tables belong in
+    ``write_dataset``."""
+    write_json_array(results, path, one_file=True)
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -49,23 +69,33 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_path(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Crash-safe replace (K5): write a sibling directory, then swap it in with a rename.
+    """Replace an output that may be the input (K5): write a sibling folder, move the old folder
+    aside, move the new one in, then remove the old one.
 
-    Spark never overwrites a path it is reading: the new data is complete on storage before the
-    old directory is removed, so a failure leaves either the old or the new data in place.
+    Every move is checked. If the new folder cannot be moved in, the old one is moved back and the
+    job fails. A crash between the two moves leaves no ``path``, but the complete old and new data
+    beside it (``path.old-...`` and ``path.tmp-...``); nothing is removed before the swap is done.
     """
     spark = df.sparkSession
-    tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-    write_dataset(df, tmp, fmt)
-    fs, target = _fs(spark, path)
-    _, staged = _fs(spark, tmp)
-    if fs.exists(target):
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-        fs.rename(target, old)
-        fs.rename(staged, target)
+    base, mark = path.rstrip("/"), uuid.uuid4().hex
+    write_dataset(df, f"{base}.tmp-{mark}", fmt)
+    fs, target = _fs(spark, base)
+    _, staged = _fs(spark, f"{base}.tmp-{mark}")
+    _, old = _fs(spark, f"{base}.old-{mark}")
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, old):
+        raise OSError(f"could not move {base} aside; the new data is in {staged}")
+    if not fs.rename(staged, target):
+        restored = not replaced or fs.rename(old, target)
+        raise OSError(f"could not move {staged} to {base}" + ("" if restored else f"; the old data is in {old}"))
+    if replaced:
         fs.delete(old, True)
-    else:
-        fs.rename(staged, target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this session has made (a scratch folder)."""
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -27,18 +27,30 @@ def stats_stream(rewards: DataFrame) -> DataFrame:
 
 def run_available(query_df: DataFrame, out_dir: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available now, then stop: append rows to Parquet, or (complete mode)
-    rewrite the current result each micro-batch with an idempotent overwrite."""
+    write each micro-batch's result to a folder of its own, ``epoch=N``. A batch that is repeated
+    after a crash writes its own folder again and touches no other; ``latest_result`` reads the
+    last complete one."""
     writer = query_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         q = writer.outputMode("append").format("parquet").option("path", out_dir).start()
     else:
-        def sink(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out_dir)
+        def sink(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch:09d}")
 
         q = writer.outputMode(mode).foreachBatch(sink).start()
     q.awaitTermination()
 
 
+def latest_result(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The last complete result of a complete-mode stream (its folder holds a success mark)."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/epoch=*/_SUCCESS"))
+    if not len(done):
+        raise FileNotFoundError(f"no complete result in {out_dir}")
+    return spark.read.parquet(max(str(d.getPath().getParent()) for d in done))
+
+
 def stream_from_files(spark: SparkSession, path: str, fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
     """File stream with the schema taken from the data already there. A single-file path is
     streamed as its folder filtered to that file name (the file source watches folders)."""

@@ -48,7 +48,7 @@ def test_funnel_sums_to_scanned(spark):
 def test_dense_index_any_bucket_count(spark):
     d = table(spark, SF, "documents").select("doc_id")
     for nb in (1, 3, 16):
-        idx = SM.dense_index(d, "doc_id", "i", n_buckets=nb)
+        idx = SM.dense_index(d, "doc_id", "i", n_parts=nb)
         rows = sorted((r["doc_id"], r["i"]) for r in idx.collect())
         assert [i for _, i in rows] == list(range(len(rows)))
 
@@ -113,15 +113,39 @@ def test_replace_path_swaps_output(spark):
     assert spark.read.parquet(out).count() == 10
 
 
-def test_verify_results_unknown_runs(spark):
+def _runs(spark, per_run):
+    outs = [(1, run, t, "success" if ok else "error") for run, ok in enumerate(per_run) for t in range(2)]
+    return spark.createDataFrame(outs, "sample_id long, run long, test_idx long, status string")
+
+
+def test_verify_results_counts_the_runs_present(spark):
     from rewardframe.operators import verify as V
-    from rewardframe.plans.fixtures import fixture
 
-    s = fixture(spark, SF, "fx_samples")
-    v = fixture(spark, SF, "fx_verdicts")
-    a = {r.sample_id: (r.status, r.pass_rate) for r in V.verify_results(s, v, n_runs=4).collect()}
-    b = {r.sample_id: (r.status, r.pass_rate) for r in V.verify_results(s, v, n_runs=None).collect()}
-    assert a == b
+    samples = spark.createDataFrame([(1, True, 2), (2, True, 2)], "sample_id long, has_solution boolean, n_tests int")
+    ten = V.verify_results(samples, _runs(spark, [True] * 4 + [False] * 6)).collect()
+    assert {r.sample_id: (r.status, r.pass_rate, r.stable) for r in ten} == {1: ("flaky", 0.4, False), 2: ("fail", 0.0, True)}
+    three = {r.sample_id: r for r in V.verify_results(samples, _runs(spark, [True] * 3)).collect()}
+    assert (three[1].status, three[1].pass_rates, three[2].pass_rates) == ("pass", [1.0, 1.0, 1.0], [])
+
+
+def test_verify_results_checks_the_number_of_runs(spark):
+    import pytest
+
+    from rewardframe.operators import verify as V
+
+    samples = spark.createDataFrame([(1, True, 2)], "sample_id long, has_solution boolean, n_tests int")
+    assert V.verify_results(samples, _runs(spark, [True] * 3), n_runs=3).first().status == "pass"
+    with pytest.raises(Exception, match="expected 4 runs of sample 1, found 3"):
+        V.verify_results(samples, _runs(spark, [True] * 3), n_runs=4).collect()
+
+
+def test_white_space_solution_is_run(spark):
+    from rewardframe.operators import verify as V
+
+    samples = spark.createDataFrame([(1, " ", ["t"]), (2, "", ["t"]), (3, None, ["t"])], "sample_id long, solution string, tests array<string>")
+    assert [r.sample_id for r in V.plan_executions(samples, 1).collect()] == [1]
+    none = spark.createDataFrame([], "sample_id long, run long, test_idx long, status string")
+    assert {r.sample_id: r.status for r in V.verify_results(samples, none).collect()} == {1: "fail", 2: "no_solution", 3: "no_solution"}
 
 
 def test_pluggable_tokenizer(spark):
@@ -132,17 +156,111 @@ def test_pluggable_tokenizer(spark):
     assert [r[0] for r in df.select(counter("t")).collect()] == [3, 0, 0]
 
 
-def test_json_array_is_bounded(spark):
-    import pytest
+def test_json_arrays(spark):
+    """Every file is one array, whatever the number of rows; empty tables give empty arrays."""
+    import glob
 
     from rewardframe.sources import sinks as SK
 
     base = tempfile.mkdtemp(prefix="rf-arr-")
-    SK.write_json_array(spark.range(3), f"{base}/ok")
-    text = "".join(r[0] for r in spark.read.text(f"{base}/ok").collect())
-    assert json.loads(text) == [{"id": 0}, {"id": 1}, {"id": 2}]
-    with pytest.raises(ValueError):
-        SK.write_json_array(spark.range(10), f"{base}/big", max_rows=5)
+    df = spark.range(5).repartition(3).withColumn("x", F.when(F.col("id") > 2, F.lit('a"b\nc')))
+    SK.write_json_array(df, f"{base}/many")
+    SK.write_json_array(df.limit(0), f"{base}/none")
+    SK.write_results(df, f"{base}/one")
+    read = lambda name: [json.load(open(f)) for f in glob.glob(f"{base}/{name}/part-*")]
+    assert sorted(r["id"] for a in read("many") for r in a) == [0, 1, 2, 3, 4]
+    assert {r["x"] for a in read("many") for r in a} == {None, 'a"b\nc'}
+    assert sum(read("none"), []) == [] and len(read("one")) == 1
+
+
+def test_corrupt_json_document_raises(spark):
+    import pytest
+
+    base = tempfile.mkdtemp(prefix="rf-corrupt-")
+    for name, text in {"a.json": '[{"id": 1}]', "b.json": "{not json", "c.json": '{"data": [], "items": [{"id": 2}], "id": 3}'}.items():
+        with open(os.path.join(base, name), "w") as f:
+            f.write(text)
+    with pytest.raises(Exception, match="not a JSON document.*b.json"):
+        RD.read_json_document(spark, base).collect()
+    got = RD.read_json_document(spark, f"{base}/[ac].json").select(F.try_variant_get("v", "$.id", "int")).collect()
+    assert sorted(r[0] for r in got) == [1, 3]
+
+
+def test_file_order_over_files_of_every_size(spark):
+    """The index follows file names and lines, not the order in which Spark reads the splits."""
+    base = tempfile.mkdtemp(prefix="rf-order-")
+    want = []
+    for name, n in (("a", 3), ("b", 4000), ("c", 1)):
+        with open(f"{base}/{name}.jsonl", "w") as f:
+            for i in range(n):
+                f.write(json.dumps({"key": f"{name}{i}", "pad": "x" * 50}) + "\n\nnot json\n")
+                want.append(f"{name}{i}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = SM.index_in_file_order(RD.read_any(spark, base, "jsonl")).select("index", F.try_variant_get("v", "$.key", "string").alias("key")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.key for r in sorted(rows)] == want
+
+
+def test_parquet_file_order(spark):
+    base = tempfile.mkdtemp(prefix="rf-pq-") + "/in"
+    spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(base)
+    rows = SM.index_in_file_order(RD.read_any(spark, base, "parquet", origin=True)).collect()
+    assert all(r["id"] == r["index"] for r in rows) and len(rows) == 1000
+
+
+def test_exact_with_repeated_ids(spark):
+    df = spark.createDataFrame([(i // 20, i % 3) for i in range(100)], "id long, x long").repartition(5)
+    train, val = SM.split_exact(df, "id", 0.55)
+    assert (train.count(), val.count()) == (55, 45)
+    both = sorted(map(tuple, train.collect() + val.collect()))
+    assert both == sorted(map(tuple, df.collect()))
+    assert SM.first_n_by_key(df, 15, "id").count() == 15
+    same = spark.createDataFrame([(1, 1)] * 40, "id long, x long")
+    assert SM.split_exact(same, "id", 0.3)[0].count() == 12
+
+
+def test_small_boundary_buckets(spark, monkeypatch):
+    d = table(spark, SF, "documents").select("doc_id")
+    whole = {r[0] for r in SM.first_n_by_key(d, 37, "doc_id").collect()}
+    monkeypatch.setattr(SM, "BOUNDARY_ROWS", 1)
+    monkeypatch.setattr(SM, "PREFIX_HEX", 1)
+    assert {r[0] for r in SM.first_n_by_key(d, 37, "doc_id").collect()} == whole
+
+
+def test_failed_replace_keeps_the_old_data(spark, monkeypatch):
+    import pytest
+
+    from rewardframe.sources import sinks as SK
+
+    out = tempfile.mkdtemp(prefix="rf-swap-") + "/out"
+    spark.range(3).write.parquet(out)
+    real = SK._fs
+
+    class Stuck:
+        """A file system whose second move (new data in) fails."""
+
+        def __init__(self, fs):
+            self.fs, self.moves = fs, 0
+
+        def exists(self, p):
+            return self.fs.exists(p)
+
+        def rename(self, a, b):
+            self.moves += 1
+            return False if self.moves == 2 else self.fs.rename(a, b)
+
+    held = {}
+
+    def stuck(spark, path):
+        fs, p = real(spark, path)
+        return held.setdefault("fs", Stuck(fs)), p
+
+    monkeypatch.setattr(SK, "_fs", stuck)
+    with pytest.raises(OSError, match="could not move"):
+        SK.replace_path(spark.range(10), out)
+    assert spark.read.parquet(out).count() == 3
 
 
 def test_position_ids_and_splits(spark):

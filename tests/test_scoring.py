@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rewardframe.functions.code import check_code, screen_message
-from rewardframe.functions.tests_parse import parse_tests, parse_tests_py
+from rewardframe.functions.code import SCREEN_MESSAGES, check_source, screen_code, screen_findings, screen_message
+from rewardframe.functions.tests_parse import parse_tests_py, with_tests
 from rewardframe.operators import reward as RW
 from rewardframe.operators.verify import classify_outcomes
 
@@ -95,7 +95,7 @@ def test_fences_last_and_first(spark):
     from rewardframe.functions.text import fence_first
 
     df = spark.createDataFrame([(text,)], "r string")
-    row = df.select(RW.extract_code("r").alias("last"), fence_first("r").alias("first")).first()
+    row = RW.with_checked_code(df.withColumn("first", fence_first("r")), "r", "last").first()
     assert row["last"] == "def b(): pass" and row["first"] == "def a(): pass"
 
 
@@ -112,8 +112,13 @@ def test_validate_code_matches_python(spark):
     from rewardframe.plans.fixtures import fixture
 
     src = {r["doc_id"]: r["response"] for r in fixture(spark, SF, "fx_responses").collect()}
-    want = {k: check_code(py_extract(v))[:2] for k, v in src.items()}
-    assert got == want
+    checked = {k: check_source(py_extract(v)) if py_extract(v).strip() else {"parses": False, "compiles": False} for k, v in src.items()}
+    assert got == {k: (v["parses"], v["compiles"]) for k, v in checked.items()}
+    assert set(got.values()) == {(False, False), (True, False), (True, True)}
+
+
+def plain_message(code):
+    return "; ".join(dict.fromkeys(SCREEN_MESSAGES[k].format(n) for k, n in screen_findings(code))) or None
 
 
 def test_screen_code_matches_python(spark):
@@ -121,10 +126,35 @@ def test_screen_code_matches_python(spark):
     from rewardframe.plans.fixtures import fixture
 
     src = {r["doc_id"]: r["code"] for r in fixture(spark, SF, "fx_screen").collect()}
-    assert got == {k: screen_message(v) for k, v in src.items()}
-    assert screen_message("import os\nos.system('x')\nos.system('y')") == "import 'os' is not allowed; call 'os.system(...)' is not allowed"
-    assert screen_message("import subprocess as sp\nsp.run(1)") == "call 'subprocess.run(...)' is not allowed" or True
-    assert screen_message("def f(:") is None
+    assert got == {k: plain_message(v) for k, v in src.items()}
+
+
+@pytest.mark.parametrize(
+    ("code", "found"),
+    [
+        ("import os\nos.system('x')\nos.system('y')", [("import", "os"), ("attr", "os.system"), ("attr", "os.system")]),
+        ("import subprocess as sp\nsp.run(1)", [("import", "subprocess"), ("attr", "subprocess.run")]),
+        ("def f(:", []),
+        (None, []),
+        ("a\0b", []),
+        # a name stands for its module only after the import, and for the last one
+        ("p(1)\nfrom os import path as p\np(1)", [("from", "os"), ("aliased", "os")]),
+        ("import os.path\nimport math as os\nos.system(1)", [("import", "os")]),
+        ("import os as o, json\nx = [o.walk(open(1)) for _ in eval('2')]", [("import", "os"), ("attr", "os.walk"), ("call", "open"), ("call", "eval")]),
+        ("from . import os\nos.system(1)\nfrom .os import a", [("attr", "os.system"), ("from", "os")]),
+        ("import shutil\ndef f():\n    import math as shutil\nshutil.rmtree(1)", [("import", "shutil")]),
+        ("f(open)(input())\ng.open()", [("call", "input")]),
+    ],
+)
+def test_screen_findings(code, found):
+    assert screen_findings(code) == found
+
+
+def test_screen_code_column(spark):
+    df = spark.createDataFrame([("import os\nos.system(1)\nos.system(2)",), ("x = 1",), (None,)], "c string")
+    rows = df.select(screen_code("c").alias("v")).select("v", screen_message("v").alias("m")).collect()
+    assert [len(r.v) for r in rows] == [3, 0, 0]
+    assert [r.m for r in rows] == ["import 'os' is not allowed; call 'os.system(...)' is not allowed", None, None]
 
 
 def test_parse_tests_literal_matches_python(spark):
@@ -150,7 +180,7 @@ def test_parse_tests_literal_matches_python(spark):
 def test_parse_tests_cases(spark, text, want):
     assert parse_tests_py(text) == want
     df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(parse_tests("t").alias("x")).first()["x"] == want
+    assert with_tests(df, "t", "x").first()["x"] == want
 
 
 def test_parse_tests_split_adjacent():
@@ -189,13 +219,19 @@ def test_stream_equals_batch(spark):
     assert stats["total_samples"] == len(b)
 
 
-def test_group_advantage_forms_agree(spark):
-    from rewardframe.plans.fixtures import fixture
-
-    r = fixture(spark, SF, "fx_rollouts").select("prompt_id", "sample_idx", "reward")
-    a = {(x.prompt_id, x.sample_idx): round(x.advantage, 9) for x in RW.group_advantage(r).collect()}
-    b = {(x.prompt_id, x.sample_idx): round(x.advantage, 9) for x in RW.group_advantage_window(r).collect()}
-    assert a == b
+def test_group_advantage_of_hot_and_missing_groups(spark):
+    rows = [(0, float(i % 7)) for i in range(3000)] + [(None, 1.0), (None, 3.0), (5, 2.0)]
+    df = spark.createDataFrame(rows, "prompt_id long, reward double").repartition(6)
+    got = RW.group_advantage(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    for r in got:
+        x = by[r.prompt_id]
+        mean = sum(x) / len(x)
+        std = (sum((v - mean) ** 2 for v in x) / (len(x) - 1)) ** 0.5 if len(x) > 1 else 0.0
+        assert r.group_mean == pytest.approx(mean) and r.advantage == pytest.approx((r.reward - mean) / (std + 1e-6))
 
 
 def test_stream_totals_across_batches(spark):
@@ -212,23 +248,11 @@ def test_stream_totals_across_batches(spark):
     stats = ST.stats_stream(ST.score_stream(ST.event_flags(stream)))
     out, ckpt = ST.scratch_for(spark, "test-stream")
     ST.run_available(stats, out, ckpt, "complete")
-    got = spark.read.parquet(out).first().asDict()
+    got = ST.latest_result(spark, out).first().asDict()
     want = RW.manager_stats(ST.score_stream(ST.event_flags(ev))).first().asDict()
     assert got == want
 
 
-def test_salted_join_exact_with_hot_keys(spark):
-    from rewardframe.operators.skew import join_group_summary
-
-    rows = spark.range(5000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id") % 50 + 1).alias("k"), F.col("id"))
-    summary = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("mx"))
-    salted = join_group_summary(rows, summary, "k", "n", salts=8, hot_rows=100)
-    plain = rows.join(summary, "k", "left")
-    a = sorted((r.id, r.k, r.n, r.mx) for r in salted.collect())
-    b = sorted((r.id, r.k, r.n, r.mx) for r in plain.collect())
-    assert a == b and len(a) == 5000
-
-
 def test_reward_score_responses_matches_python(spark):
     from rewardframe.plans.fixtures import fixture
 
@@ -237,7 +261,8 @@ def test_reward_score_responses_matches_python(spark):
     for r in fixture(spark, SF, "fx_scoring").collect():
         code = py_extract(r.response)
         tests = parse_tests_py(r.tests_text)
-        syn, comp, _, _ = check_code(code)
+        flags = check_source(code)
+        syn, comp = flags["parses"], flags["compiles"]
         if not code.strip():
             want[r.doc_id] = (-1.5, 0.0, float(len(code)))
         elif not syn:
@@ -247,3 +272,26 @@ def test_reward_score_responses_matches_python(spark):
         else:  # nothing was run: no execution results
             want[r.doc_id] = (0.2, 0.0, float(len(code)))
     assert got == want
+
+
+def test_crash_row_reaches_the_pipeline(spark):
+    """A response whose scoring raised gets -2.0 and empty flags; others are untouched."""
+    code = f"{FENCE}python\nx = 1\n{FENCE}"
+    outs = [(1, 0, "error", "RUNNER_ERROR"), (2, 0, "success", None)]
+    got = _score(spark, [(1, code, '["a"]'), (2, code, '["a"]')], outs, with_reasons=True)
+    assert got[1]["reward"] == got[1]["score"] == -2.0
+    assert all(got[1][c] == 0.0 for c in RW.REWARD_COLUMNS if c not in ("reward", "score"))
+    assert got[1]["reason"] is None and got[2]["reward"] == 3.0
+
+
+def test_scoring_plan_holds_valid_code_only(spark):
+    rows = [(1, f"{FENCE}python\nx = 1\n{FENCE}", '["a", "b"]'), (2, f"{FENCE}\ndef f(:\n{FENCE}", '["a"]'),
+            (3, f"{FENCE}\nreturn 1\n{FENCE}", '["a"]'), (4, "", '["a"]'), (5, "y = 2", "[]")]
+    prepared = RW.prepare_responses(spark.createDataFrame(rows, "sample_id long, response string, tests_text string"))
+    assert sorted((r.sample_id, r.test_idx) for r in RW.plan_scoring(prepared).collect()) == [(1, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u2028"])
+def test_sentinel_goes_at_every_line_end(spark, end):
+    df = spark.createDataFrame([(f"AssertionError{end}S{end} x ", "S", 1, False, False)], "output string, sentinel string, returncode int, timed_out boolean, blocked boolean")
+    assert classify_outcomes(df, []).first()["message"] == "AssertionError\n x".replace("\n ", "\n ")

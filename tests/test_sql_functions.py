@@ -21,10 +21,10 @@ def test_sql_functions_match(spark):
     assert got == 5
 
 
-def test_sql_udtf_and_udf(spark):
+def test_sql_udfs(spark):
     register_all(spark)
     spark.createDataFrame([(1, "import os\nos.system('x')"), (2, "print(1)")], "id int, code string").createOrReplaceTempView("codes_t")
-    rows = spark.sql("select c.id, s.kind, s.name from codes_t c, lateral screen_code(c.code) s order by c.id, s.ord").collect()
+    rows = spark.sql("select id, v.kind, v.name from (select id, posexplode(screen_code(code)) as (pos, v) from codes_t) order by id, pos").collect()
     assert [(r.id, r.kind, r.name) for r in rows] == [(1, "import", "os"), (1, "attr", "os.system")]
-    v = spark.sql("select validate_code('return 1') as v").first()["v"]
-    assert v["syntax_valid"] and not v["compile_valid"]
+    v = spark.sql("select check_code('return 1') as v").first()["v"]
+    assert v["parses"] and not v["compiles"] and v["error"] == "SyntaxError"
