@@ -1,8 +1,8 @@
 """SQL names for the library's functions, for use in ``spark.sql``.
 
 ``count_tokens`` and ``py_strip`` are SQL-bodied temporary functions: the analyzer inlines
-their bodies, so they stay native expressions inside whole-stage codegen. ``validate_code``
-and ``parses_python`` are Arrow UDFs and ``screen_code`` a Python UDTF (use it with LATERAL).
+their bodies, so they stay native expressions inside whole-stage codegen. ``check_code`` and
+``screen_code`` (an array of violations) are Arrow UDFs.
 """
 
 from __future__ import annotations

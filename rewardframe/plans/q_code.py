@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from rewardframe.functions.code import screen_code, screen_message
 from rewardframe.operators import reward as RW
 from rewardframe.operators import verify as V
-from rewardframe.plans.fixtures import fixture, oracle_with
+from rewardframe.plans.fixtures import FIXTURE_SQL, fixture, oracle_with
 from rewardframe.plans.q_data import JSON_TESTS, trim_sql
 from rewardframe.plans.registry import r6, register
+from rewardframe.session import materialize
+from rewardframe.streaming import scoring as ST
 
 # what the responses of fx_responses hold, by kind (doc_id % 8)
 _CODE_SQL = f"""
@@ -134,24 +136,41 @@ def reward_score_responses(spark, sf_dir):
     return scored.select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
 
 
-@register("reward_score_outcomes", _scored_sql("compile_valid and n_tests > 0 and doc_id % 32 = 3", "true"))
-def reward_score_outcomes(spark, sf_dir):
-    """The same with one outcome for each planned execution (E1 U1): all tests, half of them or
-    none succeed; where the runner itself failed, the response gets the crash row (-2.0)."""
-    from rewardframe.session import materialize
+_CRASH = "compile_valid and n_tests > 0 and doc_id % 32 = 3"
 
-    prepared = materialize(_prepared(spark, sf_dir))
+
+def _outcomes(prepared):
+    """One outcome for each planned execution: all tests, half of them or none succeed; for some
+    responses the runner itself fails."""
     plan = RW.plan_scoring(prepared).join(prepared.select("sample_id", "n_tests"), "sample_id")
     share = F.when(F.col("sample_id") % 3 == 0, F.col("n_tests")).when(F.col("sample_id") % 3 == 1, F.floor(F.col("n_tests") / 2)).otherwise(0)
     crash = F.col("sample_id") % 32 == 3
-    outcomes = plan.select(
+    return plan.select(
         "sample_id", F.when(~crash & (F.col("test_idx") < share), "success").otherwise("error").alias("status"),
         F.when(crash, V.RUNNER_ERROR).alias("error_type"),
     )
-    scored = RW.score(prepared, outcomes)
+
+
+@register("reward_score_outcomes", _scored_sql(_CRASH, "true"))
+def reward_score_outcomes(spark, sf_dir):
+    """End-to-end scoring with outcomes (E1 U1); where the runner failed, the crash row (-2.0)."""
+    prepared = materialize(_prepared(spark, sf_dir))
+    scored = RW.score(prepared, _outcomes(prepared))
     return scored.select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
 
 
+@register("stream_score_responses", _scored_sql(_CRASH, "true"))
+def stream_score_responses(spark, sf_dir):
+    """The same over a stream of raw responses, joined to the outcomes of each (ST1)."""
+    outcomes = materialize(_outcomes(materialize(_prepared(spark, sf_dir))))
+    documents = ST.stream_from_files(spark, f"{sf_dir}/documents.parquet")
+    responses = spark.sql(FIXTURE_SQL["fx_scoring"], documents=documents)
+    prepared = RW.prepare_responses(responses, "response", "tests_text").withColumnRenamed("doc_id", "sample_id")
+    out, checkpoint = ST.scratch_for(spark, "stream-responses")
+    ST.run_available(RW.score(prepared, outcomes), out, checkpoint, "append")
+    return spark.read.parquet(out).select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
+
+
 @register(
     "plan_scoring",
     _coded("fx_scoring").rstrip() + ",\nfx_tests as (select doc_id, tests_text from fx_scoring),\n" + JSON_TESTS.strip()
