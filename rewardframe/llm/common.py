@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardframe.session import ensure_checkpoint_dir, ship_package
+from rewardframe.session import ship_package
+from rewardframe.sources.sinks import scratch_dir
 
 #: White space of the word rule: words are runs of anything but these six ASCII characters.
 #: ``bytes.split()`` without arguments splits on exactly this set.
@@ -22,11 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the session's shared checkpoint folder and read it back: the
     lineage is cut, an executor's loss costs nothing, and the planner knows the table's size (so
-    it broadcasts it only when it is below the broadcast threshold)."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    it broadcasts it only when it is below the broadcast threshold). The application's tables go
+    when its JVM ends."""
+    path = scratch_dir(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words_in(text: Column) -> Column:
@@ -41,3 +40,11 @@ def fold(id_column: Column, parts: int = 5) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number

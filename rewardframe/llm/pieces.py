@@ -21,7 +21,7 @@ number, so a row gets the same samples wherever it is processed.
 
 Defined results: a null or empty text has the one empty segmentation; a text with fewer distinct
 segmentations than asked for has them all (kappa is then minus infinity and the score 1); a stretch
-of more than ``WORD_CHARS`` characters without a space or line feed is cut there, and no piece
+of more than ``WORD_CHARS`` spaces, or characters without white space, is cut there, and no piece
 crosses the cut; rows with equal keys and texts get equal samples; tables may be empty.
 """
 
@@ -31,9 +31,11 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +44,28 @@ SAMPLES = 2
 THETA = 0.3
 ZIPF = 10.0
 DEPTH = 40.0
+#: Edges of a text that are searched for branches at first.
+HEAD = 512
 SEED = 4242
 WORD_CHARS = 32
 SPACE = "▁"
 #: Characters of text that are drawn together, and lattice cells kept for reuse.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 KEPT_EDGES = 6_000_000
-CELLS = 1 << 19
 #: Log probabilities are whole multiples of 1 / GRAIN: their sums are exact, whatever else is summed.
 GRAIN = 2.0**40
 MAX_PIECE = 16
 
 
+#: Stands for a U+2581 of the text itself: a lone surrogate, which no text holds.
+ALIEN = "\udc81"
+# Lattice words: a character of some of these stands alone, as no piece holds it; the others are
+# spaces and what follows them.
+WORDS = re.compile(rf"[\n\r\t]|{SPACE}{{0,{WORD_CHARS}}}[^{SPACE}\n\r\t]{{1,{WORD_CHARS}}}|{SPACE}{{1,{WORD_CHARS}}}")
+#: Texts between single spaces that are more than one lattice word after a space.
+UNFIT = re.compile(rf"^\n?\Z|[\r\t{SPACE}]|^\n?[^\n]{{{WORD_CHARS + 1}}}")
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """pieces by id; first_byte: id of the piece of byte 0; normal: whether an id is a plain piece."""
@@ -75,12 +87,14 @@ def load(path: str = MODEL) -> Vocabulary:
 def mix_bits(x: np.ndarray) -> np.ndarray:
     """Uniform draws in (0, 1) from 64-bit counters."""
     x = x * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    for factor in (0xD6E8FEB86659FD93, 0xD6E8FEB86659FD93):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(factor)
+    x >>= np.uint64(11)
+    out = x.astype(np.float64)
+    out += 0.5
+    out *= 2.0**-53
+    return out
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -90,19 +104,34 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-class Numbers(dict):
-    """Numbers its keys in the order in which they are first asked for."""
+class WordNumbers(dict):
+    """Numbers of words in the order in which they are first asked for; ``fresh`` are the new ones. A
+    text between spaces that is no lattice word (see ``Lattices.words``) gets none; ``refused`` tells
+    that one was asked for."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+        self.refused = False
 
     def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
+        if UNFIT.search(key):
+            self.refused = True
+            return -1
+        return self.number(key)
+
+    def number(self, key: str) -> int:
+        got = self.get(key)
+        if got is None:
+            self[key] = got = len(self)
+            self.fresh.append(key)
+        return got
 
 
 class Lattices:
     """Lattices of distinct words: nodes, and for each node its edges in a row.
 
-    edge arrays: share (running sum of probabilities within the node, 1 at its last edge), log_prob,
-    follow (the next node, -1 at the word's end), piece (id, or SPECIAL + code point of a character
+    edge arrays: share (running sum of probabilities within the node, 1 at its last edge), grains (log
+    probability in 1 / GRAIN), follow (the next node, -1 at the word's end), piece (id, or SPECIAL + code point of a character
     of several byte pieces).
     """
 
@@ -115,13 +144,17 @@ class Lattices:
         total = math.log((1 / (ranks + ZIPF)).sum())
         self.scores = theta * np.where(vocabulary.normal, -np.log(np.maximum(order, 0) + ZIPF) - total, 0.0)
         self.byte_score = theta * (-math.log(len(ranks) + ZIPF) - total)
+        self.weights, self.byte_weight = np.exp(self.scores), math.exp(self.byte_score)
+        self.stretch = np.exp(theta * 7.0 * np.arange(MAX_PIECE + 1))
         self._trie()
+        # the columns grow in rooms that are kept when the lattices are cleared
+        self.room = {name: np.empty(1 << 16, dtype=kind) for name, kind in self.COLUMNS.items()}
         self.clear()
 
     def _trie(self) -> None:
         pieces = [(p, i) for i, (p, n) in enumerate(zip(self.vocabulary.pieces, self.vocabulary.normal)) if n]
         letters = sorted({c for p, _ in pieces for c in p})
-        self.symbol = np.zeros(0x110000, dtype=np.int64)
+        self.symbol = np.zeros(0x110000, dtype=np.int32)
         self.symbol[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.alphabet = len(letters) + 1
         moves: dict[tuple[int, str], int] = {}
@@ -134,10 +167,10 @@ class Lattices:
         self.ends = np.full(len(moves) + 1, -1, dtype=np.int32)
         self.ends[list(ends)] = list(ends.values())
         # moves as a hash table with open addressing
-        keys = np.array([s * self.alphabet + int(self.symbol[ord(c)]) for s, c in moves], dtype=np.int64)
+        keys = np.array([s * self.alphabet + int(self.symbol[ord(c)]) for s, c in moves], dtype=np.int32)
         values = np.array(list(moves.values()), dtype=np.int32)
-        self.bits = max(4, int(len(moves) * 4).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        self.bits = max(4, int(len(moves) * 3).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int32), np.zeros(1 << self.bits, dtype=np.int32)
         slots, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             free = todo[self.keys[slots[todo]] == -1]
@@ -148,12 +181,12 @@ class Lattices:
             slots[todo] = (slots[todo] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        mixed = keys.astype(np.uint32) * np.uint32(0x9E3779B1)
+        return (mixed >> np.uint32(32 - self.bits)).astype(np.int32)
 
     def _move(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The next state, or 0 where there is none."""
-        keys = states * self.alphabet + symbols
+        keys = states * np.int32(self.alphabet) + symbols
         slots = self._slot(keys)
         found = self.keys[slots]
         out = np.where(found == keys, self.values[slots], 0)
@@ -166,103 +199,132 @@ class Lattices:
             open_ = open_[~hit & (found != -1)]
         return out
 
+    COLUMNS = {"word_node": np.int32, "first": np.int32, "degree": np.int32, "share": np.float64, "grains": np.int64, "follow": np.int32, "piece": np.int32}
+
     def clear(self) -> None:
-        self.known = Numbers()
-        self.word_node = np.empty(0, dtype=np.int32)
-        self.first = np.empty(0, dtype=np.int32)
-        self.share = np.empty(0, dtype=np.float64)
-        self.log_prob = np.empty(0, dtype=np.float64)
-        self.follow = np.empty(0, dtype=np.int32)
-        self.piece = np.empty(0, dtype=np.int32)
+        self.known = WordNumbers()
+        for name in self.COLUMNS:
+            setattr(self, name, self.room[name][:0])
+
+    def _append(self, **columns: np.ndarray) -> None:
+        for name, values in columns.items():
+            n, room = len(getattr(self, name)), self.room[name]
+            if n + len(values) > len(room):
+                self.room[name] = np.empty(max(2 * len(room), n + len(values)), dtype=room.dtype)
+                self.room[name][:n] = room[:n]
+            self.room[name][n : n + len(values)] = values
+            setattr(self, name, self.room[name][: n + len(values)])
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all words of the texts in a row, and how many words each text has."""
+        """Numbers of all words of the texts in a row, and how many words each text has.
+
+        In the dictionary a word after a space goes by itself, another one after a line feed, and a
+        line feed or a word that holds further spaces after two of them."""
         if len(self.share) > KEPT_EDGES:
             self.clear()
         known, number_of = self.known, self.known.__getitem__
         numbers: list[int] = []
         counts = np.empty(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if not text:
-                counts[i] = 0
-                continue
-            words = WORDS.findall(SPACE + text.replace(SPACE, ALIEN).replace(" ", SPACE))
-            counts[i] = len(words)
-            numbers.extend(map(number_of, words))
-        if len(known) > len(self.word_node):
-            self._add(list(known)[len(self.word_node) :])
+            first = len(numbers)
+            if text:
+                numbers.extend(map(number_of, text.replace("\n", " \n\n \n").split(" ")))
+            if known.refused:
+                known.refused = False
+                del numbers[first:]
+                numbers.extend(map(known.number, self._spelled(text)))
+            counts[i] = len(numbers) - first
+        if known.fresh:
+            self._add([w[2:] if w[:2] == "\n\n" and len(w) > 2 else w[1:] if w[0] == "\n" else SPACE + w for w in known.fresh])
+            known.fresh = []
         return np.array(numbers, dtype=np.int64), counts
 
+    @staticmethod
+    def _spelled(text: str) -> list[str]:
+        """Dictionary words of a text of whatever characters."""
+        units = WORDS.findall(SPACE + text.replace(SPACE, ALIEN).replace(" ", SPACE))
+        keys = []
+        for u in units:
+            after = u.removeprefix(SPACE)
+            if SPACE in after or not after:
+                keys.append("\n\n" + u)
+            else:
+                keys.append(after if u != after else "\n" + u)
+        return keys
+
     def _add(self, words: list[str]) -> None:
+        """Append the lattices of new words."""
         lengths = np.array([len(w) for w in words])
-        starts = np.empty(len(words), dtype=np.int32)
-        made: list[tuple[np.ndarray, ...]] = []
-        nodes, edges = len(self.first), len(self.share)
-        for length in np.unique(lengths).tolist():
-            group = np.flatnonzero(lengths == length)
-            size = max(1, CELLS // (length * min(length, MAX_PIECE)))
-            for at in range(0, len(group), size):
-                part = group[at : at + size]
-                firsts, *rest = self._group([words[i] for i in part], length, nodes, edges)
-                starts[part] = nodes + length * np.arange(len(part))
-                made.append((firsts, *rest))
-                nodes += len(firsts)
-                edges += len(rest[0])
-        columns = [np.concatenate(x) for x in zip(*made)]
-        self.word_node = np.concatenate((self.word_node, starts))
-        self.first = np.concatenate((self.first, columns[0]))
-        self.share = np.concatenate((self.share, columns[1]))
-        self.log_prob = np.concatenate((self.log_prob, columns[2]))
-        self.follow = np.concatenate((self.follow, columns[3]))
-        self.piece = np.concatenate((self.piece, columns[4]))
-
-    def _group(self, words: list[str], length: int, node: int, edge: int) -> tuple[np.ndarray, ...]:
-        """Lattices of words of one length; their nodes are numbered from ``node``, edges from ``edge``."""
-        n, widest = len(words), min(length, MAX_PIECE)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, length).astype(np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+        total = len(codes)
+        starts = np.cumsum(lengths) - lengths
+        # a cell is a character of a word; how many characters it is from the word's end
+        left = (np.repeat(starts + lengths, lengths) - np.arange(total)).astype(np.int32)
         symbols = self.symbol[codes]
-        # found[word, place, widest - size]: the piece of that size there; longer ones come first
-        found = np.full((n, length, widest), -1, dtype=np.int32)
-        word, place = (x.ravel() for x in np.indices((n, length)))
-        state = np.zeros(len(word), dtype=np.int64)
-        for size in range(1, widest + 1):
-            inside = place + size <= length
-            word, place, state = word[inside], place[inside], state[inside]
-            state = self._move(state, symbols[word, place + size - 1]).astype(np.int64)
-            alive = state > 0
-            word, place, state = word[alive], place[alive], state[alive]
-            found[word, place, widest - size] = self.ends[state]
-        missing = found[:, :, widest - 1] < 0
-        if missing.any():
-            lost = codes[missing]
-            wide = 1 + (lost > 0x7F) + (lost > 0x7FF) + (lost > 0xFFFF)
-            lost = np.where(lost == ord(ALIEN), ord(SPACE), lost)
-            wide = np.where(lost == ord(SPACE), 3, wide)
-            found[:, :, widest - 1][missing] = np.where(wide == 1, self.vocabulary.first_byte + lost, self.SPECIAL + lost)
-        scores = np.where(found >= 0, self.scores[np.where(found < self.SPECIAL, found, 0)], -np.inf)
-        if missing.any():
-            scores[:, :, widest - 1][missing] = self.byte_score * wide
-        # log sums from each place to the word's end
-        ahead = np.zeros((n, length + 1))
-        for at in range(length - 1, -1, -1):
-            reach = min(widest, length - at)
-            onward = ahead[:, at + reach : at : -1]
-            values = scores[:, at, widest - reach :] + onward
-            top = values.max(axis=1)
-            ahead[:, at] = top + np.log(np.exp(values - top[:, None]).sum(axis=1))
-            scores[:, at, widest - reach :] = values - ahead[:, at, None]
-        word, place, column = np.nonzero(found >= 0)
-        log_prob = np.round(scores[word, place, column] * GRAIN) / GRAIN
-        cell = word * length + place
-        firsts = np.searchsorted(cell, np.arange(n * length))
-        share = np.cumsum(np.exp(scores), axis=2)[word, place, column]
-        share[np.concatenate((firsts[1:], [len(cell)])) - 1] = 1.0
-        target = place + widest - column
-        follow = np.where(target < length, node + word * length + target, -1)
-        return (
-            (edge + firsts).astype(np.int32), share, log_prob, follow.astype(np.int32), found[word, place, column].astype(np.int32)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        cell, state = np.arange(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
+        for size in range(1, MAX_PIECE + 1):
+            state = self._move(state, symbols[cell + size - 1])
+            ends = self.ends[state]
+            ended = np.flatnonzero(ends >= 0)
+            found.append((cell[ended], ends[ended]))
+            # on with those that a longer piece may begin like, if the word goes on
+            alive = np.flatnonzero((state > 0) & (left[cell] > size))
+            cell, state = cell[alive], state[alive]
+        alone = np.full(total, -1, dtype=np.int32)
+        alone[found[0][0]] = found[0][1]
+        missing = np.flatnonzero(alone < 0)
+        lost = np.where(codes[missing] == ord(ALIEN), ord(SPACE), codes[missing])
+        alone[missing] = np.where(lost < 0x80, self.vocabulary.first_byte + lost, self.SPECIAL + lost)
+        found[0] = (np.arange(total, dtype=np.int32), alone)
+        # edges by cell, longer ones first
+        degree = sum(np.bincount(cells, minlength=total) for cells, _ in found)
+        firsts = np.cumsum(degree) - degree
+        n = int(degree.sum())
+        source, piece, reach = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
+        slot = firsts.copy()
+        for size in range(MAX_PIECE, 0, -1):
+            cells, ids = found[size - 1]
+            at = slot[cells]
+            slot[cells] += 1
+            source[at], piece[at], reach[at] = cells, ids, size
+        # every path covers a word's characters once: a factor for each keeps sums in range
+        weight = self.weights[np.minimum(piece, len(self.weights) - 1)] * self.stretch[reach]
+        weight[firsts[missing] + degree[missing] - 1] = self.byte_weight * self.stretch[1]
+        remaining = left[source]
+        final = remaining == reach
+        target = source + reach
+        target[final] = total
+        # sums over the paths from each cell to its word's end, the last cells first
+        sums = np.ones(total + 1)
+        distance = remaining.astype(np.uint16)
+        order = np.argsort(distance, kind="stable")
+        bounds = np.searchsorted(distance[order], np.arange(1, int(lengths.max()) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            part = order[a:b]
+            if len(part):
+                cells = source[part]
+                heads = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1))
+                sums[cells[heads]] = np.add.reduceat(weight[part] * sums[target[part]], heads)
+        chance = weight * sums[target] / sums[source]
+        share = chance.copy()
+        nodes, depth = np.arange(total), 1
+        while len(nodes := nodes[degree[nodes] > depth]):
+            share[firsts[nodes] + depth] += share[firsts[nodes] + depth - 1]
+            depth += 1
+        share[firsts + degree - 1] = 1.0
+        base, edge = len(self.first), len(self.share)
+        follow = target + base
+        follow[final] = -1
+        self._append(
+            word_node=base + starts, first=edge + firsts, degree=degree, share=share, grains=np.rint(np.log(chance) * GRAIN),
+            follow=follow, piece=piece,
         )
 
+    def chance(self, edges: np.ndarray) -> np.ndarray:
+        """Probabilities of edges within their nodes; 0 for -1."""
+        return np.where(edges >= 0, np.exp(self.grains[edges] / GRAIN), 0.0)
+
     def walk(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from the nodes to their words' ends: all edges in a row, and how many each
         path has. ``seeds`` has a 64-bit counter for each path."""
@@ -288,12 +350,6 @@ class Lattices:
         return out, lengths
 
 
-# White space and word ends: no piece holds a line feed, carriage return or tab, so they stand alone.
-#: Stands for a U+2581 of the text itself: a lone surrogate, which no text holds.
-ALIEN = "\udc81"
-WORDS = re.compile(rf"{SPACE}{{0,{WORD_CHARS}}}[^{SPACE}\n\r\t]{{1,{WORD_CHARS}}}|{SPACE}{{1,{WORD_CHARS}}}|[\n\r\t]")
-
-
 @dataclass
 class Sample:
     """One sample of each row (rows without a further segmentation left out): edges in a row and
@@ -349,19 +405,31 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
                since: np.ndarray, taken: np.ndarray) -> tuple[Sample, Branches]:
         """The sample and the branches that leave it at or after edge ``since``; ``taken`` are the
         edges already taken at ``since`` itself."""
-        row = np.repeat(np.arange(len(rows)), counts)
         start = np.cumsum(counts) - counts
-        at = np.arange(len(edges)) - start[row]
-        grains = np.concatenate(([0], np.cumsum((lattices.log_prob[edges] * GRAIN).astype(np.int64))))
-        mass = (grains[:-1] - grains[start][row]) / GRAIN
-        total = (grains[start + counts] - grains[start]) / GRAIN
-        head = np.flatnonzero((mass > -DEPTH) & (at >= since[row]))
-        row, at, mass = row[head], at[head], mass[head]
+        grains = lattices.grains[edges]
+        total = np.zeros(len(rows))
+        some = np.flatnonzero(counts)
+        total[some] = np.add.reduceat(grains, start[some]) / GRAIN if len(some) else 0.0
+        # branches leave near the text's begin: look as far as any log mass is above -DEPTH
+        depth, open_ = HEAD, True
+        while open_:
+            near = np.minimum(counts, depth)
+            span = _spans(start, near)
+            row = np.repeat(np.arange(len(rows)), near)
+            summed = np.concatenate(([0], np.cumsum(grains[span])))
+            first_of = np.cumsum(near) - near
+            mass = (summed[:-1] - summed[first_of][row]) / GRAIN
+            last = (summed[first_of + near] - summed[first_of]) / GRAIN
+            open_ = bool(((counts > near) & (last > -DEPTH)).any())
+            depth *= 4
+        at = np.arange(len(span)) - first_of[row]
+        keep = np.flatnonzero((mass > -DEPTH) & (at >= since[row]))
+        head, row, at, mass = span[keep], row[keep], at[keep], mass[keep]
         gone = np.full((len(head), k), -1, dtype=np.int32)
         first = at == since[row]
         gone[first] = taken[row[first]]
         gone[:, number] = edges[head]
-        left = 1 - np.where(gone >= 0, np.exp(lattices.log_prob[gone]), 0.0).sum(axis=1)
+        left = 1 - lattices.chance(gone).sum(axis=1)
         # an edge that is alone at its node leaves nothing, whatever rounding says
         left[left < 1e-12] = 0.0
         draw = mix_bits(counter(rows[row], at, number, 1))
@@ -410,14 +478,14 @@ def _branch_off(lattices: Lattices, samples: list[Sample], chosen: Branches, num
     # an edge at the branch's node that was not taken before
     node = np.searchsorted(lattices.first, left_edge.astype(np.int32), "right") - 1
     edge = lattices.first[node].astype(np.int64)
-    gone = np.where(chosen.taken >= 0, np.exp(lattices.log_prob[chosen.taken]), 0.0).sum(axis=1)
+    gone = lattices.chance(chosen.taken).sum(axis=1)
     want = mix_bits(counter(rows, chosen.at, number, 3)) * (1 - gone)
     pick, passed, open_ = edge.copy(), np.zeros(n), np.arange(n)
-    ends = np.append(lattices.first[1:], len(lattices.share))[node]
+    ends = edge + lattices.degree[node]
     while len(open_):
         free = ~(chosen.taken[open_] == edge[open_, None]).any(axis=1)
         pick[open_[free]] = edge[open_[free]]
-        passed[open_] += np.where(free, np.exp(lattices.log_prob[edge[open_]]), 0.0)
+        passed[open_] += np.where(free, lattices.chance(edge[open_]), 0.0)
         edge[open_] += 1
         open_ = open_[((passed[open_] < want[open_]) | ~free) & (edge[open_] < ends[open_])]
     # on to the end of the word, then the words after it
@@ -473,10 +541,25 @@ class Decoder:
         ]
         for b in range(256):
             self.bytes[vocabulary.first_byte + b] = bytes([b])
+        self.lengths = np.array([len(b) for b in self.bytes])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
 
     def __call__(self, ids: list[int]) -> str:
         return b"".join([self.bytes[i] for i in ids])[1:].decode("utf-8", "replace")
 
+    def gives(self, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether the ids of each row (``counts`` of them) decode to its text."""
+        lengths = self.lengths[ids]
+        decoded = self.flat[_spans(self.starts[ids], lengths)].tobytes()
+        wanted = [b" " + t.encode() if t else b"" for t in texts]
+        if decoded == b"".join(wanted):
+            row_lengths = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))])
+            if row_lengths.tolist() == list(map(len, wanted)):
+                return [True] * len(texts)
+        ends = np.cumsum(counts).tolist()
+        return [self(ids[a:b].tolist()) == t for a, b, t in zip([0, *ends], ends, texts)]
+
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     first = size = 0
@@ -489,6 +572,12 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+@lru_cache(maxsize=1)
+def _kept(model: str, theta: float, vocabulary: Broadcast) -> tuple[Lattices, Decoder]:
+    """A Python worker's lattices and decoder, kept for its next tasks."""
+    return Lattices(vocabulary.value, theta), Decoder(vocabulary.value)
+
+
 def encode_samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, model: str = MODEL, seed: int = SEED) -> DataFrame:
     """``docs``: doc_id, text. One row for each sample of each row: doc_id, sample (from 1, in the
     order of their Gumbels), ids, log_prob, inclusion, round_trip (whether the ids decode to the
@@ -498,7 +587,7 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, mode
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", F.lit(seed)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, decode = Lattices(vocabulary.value, theta), Decoder(vocabulary.value)
+        lattices, decode = _kept(model, theta, vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             keys = np.asarray(batch.column("key")).astype(np.uint64)
@@ -507,11 +596,7 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, mode
                 for number, sample in enumerate(samples):
                     ids, counts = piece_ids(lattices, sample)
                     offsets = np.concatenate(([0], np.cumsum(counts)))
-                    listed = ids.tolist()
-                    right = [
-                        decode(listed[x:y]) == texts[a + r]
-                        for r, x, y in zip(sample.rows.tolist(), offsets.tolist(), offsets[1:].tolist())
-                    ]
+                    right = decode.gives(ids, counts, [texts[a + r] for r in sample.rows.tolist()])
                     with np.errstate(over="ignore"):
                         inclusion = -np.expm1(-np.exp(sample.log_prob - kappa[sample.rows]))
                     columns = {
