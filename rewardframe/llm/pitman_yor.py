@@ -39,8 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardframe.llm.common import fold, written
-from rewardframe.llm.pieces import Numbers
+from rewardframe.llm.common import Numbers, fold, written
 
 FOLDS, HELD_OUT = 5, 1
 OWN, ENDINGS = 768, 253
@@ -54,6 +53,8 @@ SEED = 99
 #: The end token: no word holds a space.
 END = b" "
 UNKNOWN = 1 << 15
+#: Stands as the local number of texts, which follow their block's dictionary.
+AFTER = 2**31 - 1
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -152,7 +153,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) ->
     """Blocks come as dictionary rows (count, class) and then texts; out go rows for texts, with
     their classes, and the class pairs of the task's training texts, a row for each class before."""
     classes = words.classes
-    pairs = np.zeros((classes + 1) * classes, dtype=np.int64)
+    pairs = np.zeros((classes + 1) * classes, dtype=np.uint32)  # of one task's tokens
     base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
     names = ["doc_id", "held", "n_tokens", "n_known", "base", "words", "classes", "before", "pairs"]
     block, id_type = None, pa.int64()
@@ -174,7 +175,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) ->
         held = np.asarray(texts.column("held")).astype(bool)
         lengths = np.diff(np.append(starts, len(local)))
         learned = np.repeat(~held, lengths)
-        pairs += np.bincount((before * classes + kind)[learned], minlength=len(pairs))
+        pairs += np.bincount((before * classes + kind)[learned], minlength=len(pairs)).astype(np.uint32)
         marked = (kind + np.where(seen, 0, UNKNOWN)).astype("<u2").tobytes()
         ends = (2 * np.append(starts, len(local))).tolist()
         return pa.RecordBatch.from_arrays(
@@ -190,12 +191,12 @@ def _resolved(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) ->
 
     for batch in batches:
         id_type = batch.schema.field("doc_id").type
-        blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(kinds) != 0)) + 1
+        blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("local")) == AFTER
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (kinds[1:] != kinds[:-1])) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
             if a == b:
                 continue
-            if kinds[a] == 0:
+            if not kinds[a]:
                 if blocks[a] != block:
                     block, pending = blocks[a], []
                 pending.append((np.asarray(batch.column("count"))[a:b].astype(np.int64), np.asarray(batch.column("class"))[a:b].astype(np.int64)))
@@ -236,8 +237,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if u != now:
                 if now is not None:
                     yield row()
-                now, total = u, np.zeros(len(pairs) // 8, dtype=np.int64)
-            total += np.frombuffer(pairs, dtype=np.int64)
+                now, total = u, np.zeros(len(pairs) // 4, dtype=np.int64)
+            total += np.frombuffer(pairs, dtype=np.uint32)
     if now is not None:
         yield row()
 
@@ -359,13 +360,13 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
         discount=min(0.95, max(0.05, once / max(1, once + 2 * twice))), class_tokens=class_tokens, class_words=class_words,
     )
     known = entries.join(vocabulary, F.col("hash") == F.col("word")).select(
-        "block", "kind", F.lit(None).cast(kind).alias("doc_id"), "local", F.col("n").alias("count"), "class",
+        "block", F.lit(None).cast(kind).alias("doc_id"), "local", F.col("n").alias("count"), "class",
         F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("binary").alias("words"),
     )
     texts = parts.filter("kind = 1").select(
-        "block", "kind", "doc_id", F.lit(0).alias("local"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("class"), "held", "words"
+        "block", "doc_id", F.lit(AFTER).alias("local"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("class"), "held", "words"
     )
-    blocks = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "kind", "local")
+    blocks = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "local")
     resolved = written(
         blocks.mapInArrow(
             lambda it: _resolved(it, words, stretch),
