@@ -92,13 +92,13 @@ def replace_path(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         fs.delete(old, True)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that this session has made (a scratch folder)."""
-    fs, target = _fs(spark, path)
-    fs.delete(target, True)
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never a machine-local temp folder)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared checkpoint folder (never a machine-local temp folder). The
+    application's scratch folders go when its JVM ends."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_rf_scratch", None) != base:
+        fs, folder = _fs(spark, base)
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        spark.sparkContext._rf_scratch = base
+    return f"{base}/{name}-{uuid.uuid4().hex}"
