@@ -20,12 +20,13 @@ table gives an empty result; with k rows or fewer all are found.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardframe.llm.vectors import best_of_all, select_best, sound
+from rewardframe.llm.vectors import Found, best_of_all, select_best, sound
 
 K = 20
 QUERY_EVERY = 20
@@ -36,41 +37,41 @@ FIRST_RADIUS, GROWTH = 0.8, 1.2
 SPARSE = 4
 SEED = 77
 BLOCK = 8192
-COLUMNS = ["ids", "vectors", "order", "sorted"]
 
 
 def directions(size: int) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(PROJECTIONS, size)).T
 
 
-def indexed(largest: float, size: int):
-    """Packs a block: its rows, and for each direction their order and projections in order."""
+@dataclass(frozen=True)
+class Index:
+    """A block's rows, and for each direction their order, their projections in that order, and
+    each row's place in it."""
+
+    ids: np.ndarray
+    rows: np.ndarray
+    order: np.ndarray
+    line: np.ndarray
+    rank: np.ndarray
 
-    def pack(ids: np.ndarray, matrix: np.ndarray) -> list[bytes]:
-        rows = np.zeros((len(ids), size))
-        rows[:, : matrix.shape[1]] = matrix
+
+def indexed(largest: float, size: int):
+    def index(ids: np.ndarray, rows: np.ndarray) -> Index:
+        n = len(ids)
         rest = np.sqrt(np.maximum(0.0, largest**2 - (rows**2).sum(axis=1)))
         seen = (np.column_stack((rows, rest)) @ directions(size + 1)).T
         order = np.argsort(seen, axis=1, kind="stable")
-        return [
-            ids.tobytes(), rows.tobytes(), order.astype(np.int32).tobytes(),
-            np.take_along_axis(seen, order, axis=1).astype(np.float32).tobytes(),
-        ]
+        rank = np.empty((PROJECTIONS, n), dtype=np.uint16 if n < 1 << 16 else np.uint32)
+        np.put_along_axis(rank, order, np.arange(n, dtype=rank.dtype)[None, :], axis=1)
+        return Index(ids, rows, order, np.take_along_axis(seen, order, axis=1).astype(np.float32), rank)
 
-    return pack
+    return index
 
 
 def search(k: int, largest: float, size: int):
-    def run(block: dict, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.frombuffer(block["ids"], np.int64)
+    def run(block: Index, query_ids: np.ndarray, given: np.ndarray) -> Found:
+        ids, rows, order, line, rank = block.ids, block.rows, block.order, block.line, block.rank
         n, needed = len(ids), math.ceil(THRESHOLD * PROJECTIONS)
-        rows = np.frombuffer(block["vectors"]).reshape(n, size)
-        order = np.frombuffer(block["order"], np.int32).reshape(PROJECTIONS, n).astype(np.int64)
-        line = np.frombuffer(block["sorted"], np.float32).reshape(PROJECTIONS, n)
-        rank = np.empty((PROJECTIONS, n), dtype=np.uint16 if n < 1 << 16 else np.uint32)
-        np.put_along_axis(rank, order, np.arange(n, dtype=rank.dtype)[None, :], axis=1)
-        given = np.zeros((len(queries), size))
-        given[:, : queries.shape[1]] = queries
         norms = np.sqrt((given**2).sum(axis=1))
         centres = (largest * given / norms[:, None]) @ directions(size + 1)[:size]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -80,9 +81,9 @@ def search(k: int, largest: float, size: int):
             high = [np.searchsorted(x, c, "right") for x, c in zip(line, (centres[open_] + radius).T.astype(np.float32))]
             return np.array(low).T, np.array(high).T
 
-        counts = np.zeros((len(queries), n), dtype=np.uint8)
-        verified: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
-        open_ = np.arange(len(queries))
+        counts = np.zeros((len(given), n), dtype=np.uint8)
+        verified: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(given)
+        open_ = np.arange(len(given))
         radius = FIRST_RADIUS * largest
         low = high = edges(open_, 0.0)[0]  # empty windows at first
         while len(open_):
@@ -130,7 +131,7 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = K, id_col: str = "vec_
     rows = sound(vectors, id_col, vector_col).filter(square > 0)
     found = rows.agg(F.sqrt(F.max(square)), F.max(F.size("vector"))).first()
     largest, size = found[0] or 1.0, found[1] or 1
-    return best_of_all(rows, query, indexed(largest, size), COLUMNS, search(k, largest, size), k, "double", BLOCK)
+    return best_of_all(rows, query, indexed(largest, size), search(k, largest, size), k, "double", BLOCK)
 
 
 def op10_nearest(vectors: DataFrame) -> DataFrame:

@@ -14,34 +14,41 @@ at the largest whole number. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardframe.llm.vectors import best_of_all, select_best, sound
+from rewardframe.llm.vectors import Found, best_of_all, select_best, sound
 
 K = 5
 SCALE = 256
 QUERY_EVERY = 50
-COLUMNS = ["ids", "starts", "rows", "weights"]
-
 
 def weights_of(matrix: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(SCALE * matrix), -(2.0**62), 2.0**62).astype(np.int64)
 
 
-def inverted(ids: np.ndarray, matrix: np.ndarray) -> list[bytes]:
-    """The block's inverted lists: where each term's list starts, its rows and weights."""
+@dataclass(frozen=True)
+class Inverted:
+    """A block's inverted lists: ids of its rows, where each term's list starts, rows and weights."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+
+
+def inverted(ids: np.ndarray, matrix: np.ndarray) -> Inverted:
     weights = weights_of(matrix)
     term, row = np.nonzero(weights.T)
-    starts = np.searchsorted(term, np.arange(weights.shape[1] + 1)).astype(np.int64)
-    return [ids.tobytes(), starts.tobytes(), row.astype(np.int32).tobytes(), weights[row, term].tobytes()]
+    return Inverted(ids, np.searchsorted(term, np.arange(weights.shape[1] + 1)), row, weights[row, term])
 
 
 def search(k: int):
-    def run(block: dict, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, starts = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["starts"], np.int64)
-        rows, weights = np.frombuffer(block["rows"], np.int32), np.frombuffer(block["weights"], np.int64)
+    def run(block: Inverted, query_ids: np.ndarray, queries: np.ndarray) -> Found:
+        ids, starts, rows, weights = block.ids, block.starts, block.rows, block.weights
         wanted = weights_of(queries)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(0, len(query_ids), 32):  # a few queries at a time: their scores stay in cache
@@ -67,7 +74,7 @@ def search(k: int):
 def top_k(vectors: DataFrame, query: F.Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long): the k rows with the highest inner product of whole
     weights for each row that ``query`` (a condition on ``id``) holds for, itself left out."""
-    return best_of_all(sound(vectors, id_col, vector_col), query, inverted, COLUMNS, search(k), k, "long")
+    return best_of_all(sound(vectors, id_col, vector_col), query, inverted, search(k), k, "long")
 
 
 def op2_top_k(vectors: DataFrame) -> DataFrame:

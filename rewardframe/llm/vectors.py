@@ -1,14 +1,16 @@
 """Blocks of vectors: how a stated set of queries meets all rows, block by block.
 
-Rows are dealt to blocks of about ``BLOCK`` vectors by a hash of their id and packed into one row
-for each block. Queries are packed the same way and copied to every block, so the copied side is
-the smaller one; an equi-join on the block brings them together. No side is broadcast or collected.
+Rows are dealt to blocks of about ``BLOCK`` vectors by a hash of their id, and every query is copied
+to every block; so the copied side is the smaller one. A block's rows and its queries come to one
+task sorted, the rows first: the task indexes the block once and searches it for a few queries at
+a time. It holds one block and ``QUERIES`` queries; no side is broadcast, collected or cross-joined.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERIES = 512
+
+#: What a search gives: query ids, ids, scores.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -28,81 +33,71 @@ def sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def packed(
-    vectors: DataFrame, blocks: int, pack: Callable[[np.ndarray, np.ndarray], list[bytes]], columns: list[str]
-) -> DataFrame:
-    """One row for each block: block and what ``pack(ids, matrix)`` makes of it. Ids ascend; of
-    rows that share an id the least vector counts; shorter vectors are filled up with 0."""
-    keyed = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    keyed = keyed.repartition("block").sortWithinPartitions("block", "id", "vector")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, rows = None, [], []
-
-        def row() -> pa.RecordBatch:
-            matrix = np.zeros((len(rows), max(map(len, rows))))
-            for i, r in enumerate(rows):
-                matrix[i, : len(r)] = r
-            made = pack(np.array(ids, dtype=np.int64), matrix)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in made)], names=["block", *columns]
-            )
-
-        for batch in batches:
-            vector = batch.column("vector")
-            flat, at = np.asarray(vector.flatten()), np.concatenate(([0], np.cumsum(np.asarray(vector.value_lengths()))))
-            for i, (b, x) in enumerate(zip(batch.column("block").to_pylist(), batch.column("id").to_pylist())):
-                if b != block and rows:
-                    yield row()
-                    ids, rows = [], []
-                block = b
-                if not ids or ids[-1] != x:
-                    ids.append(x)
-                    rows.append(flat[at[i] : at[i + 1]])
-        if rows:
-            yield row()
-
-    return keyed.select("block", "id", "vector").mapInArrow(
-        run, "block long, " + ", ".join(f"{c} binary" for c in columns)
-    )
+def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Vectors as rows of a matrix, shorter ones filled up with 0."""
+    out = np.zeros((len(rows), width))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def _met(batches: Iterator[pa.RecordBatch], width: int, index: Callable, search: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, the block's own rows (asked false) before its queries. Of rows that
+    share an id within a block the first counts."""
+    block: int | None = None
+    ready: Any = None
+    own: tuple[list[int], list[np.ndarray]] = ([], [])
+    asked: tuple[list[int], list[np.ndarray]] = ([], [])
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        nonlocal ready, asked
+        if asked[0] and own[0]:
+            if ready is None:
+                ready = index(np.array(own[0], dtype=np.int64), _matrix(own[1], width))
+            found = search(ready, np.array(asked[0], dtype=np.int64), _matrix(asked[1], width))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+        asked = ([], [])
+
+    for batch in batches:
+        vector = batch.column("vector")
+        flat, at = np.asarray(vector.flatten()), np.concatenate(([0], np.cumsum(np.asarray(vector.value_lengths())))).tolist()
+        columns = (batch.column(c).to_pylist() for c in ("block", "asked", "id"))
+        for i, (b, is_query, x) in enumerate(zip(*columns)):
+            if b != block:
+                yield from answers()
+                block, ready, own = b, None, ([], [])
+            kept = asked if is_query else own
+            if not kept[0] or kept[0][-1] != x:
+                if len(asked[0]) == QUERIES:
+                    yield from answers()
+                    kept = asked
+                kept[0].append(x)
+                kept[1].append(flat[at[i] : at[i + 1]].copy())
+    yield from answers()
 
 
 def best_of_all(
     vectors: DataFrame,
     query: F.Column,
-    pack: Callable[[np.ndarray, np.ndarray], list[bytes]],
-    columns: list[str],
-    search: Callable[[dict[str, bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    index: Callable[[np.ndarray, np.ndarray], Any],
+    search: Callable[[Any, np.ndarray, np.ndarray], Found],
     k: int,
     score: str,
     block: int = BLOCK,
 ) -> DataFrame:
     """For the rows of ``vectors`` (id, vector) that ``query`` holds for, the k best of what
-    ``search(packed block, query ids, query matrix)`` finds in all blocks (query ids, ids, scores):
-    query_id, rank, vec_id, score; highest first, ties to the smaller id."""
-    queries = vectors.filter(query)
-    n, m = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(m / QUERY_BLOCK))
-    left = packed(vectors, blocks, pack, columns)
-
-    def pack_queries(ids: np.ndarray, matrix: np.ndarray) -> list[bytes]:
-        return [ids.tobytes(), matrix.tobytes()]
-
-    right = packed(queries, query_blocks, pack_queries, ["query_ids", "queries"]).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "query_ids", "queries"
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["query_ids"], dtype=np.int64)
-                found = search(r, ids, np.frombuffer(r["queries"]).reshape(len(ids), -1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
-
+    ``search(index(ids, matrix), query ids, query matrix)`` finds in all blocks: query_id, rank,
+    vec_id, score; highest first, ties to the smaller id."""
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    blocks, width = max(1, math.ceil(size["n"] / block)), size["width"] or 0
+    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asked"), "id", "vector")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    asked = vectors.filter(query).select(every, F.lit(True).alias("asked"), "id", "vector")
     # as many partitions as it takes to keep blocks apart: comparing them is the work
-    parts = min(4 * blocks, 8192)
-    met = left.repartition(parts, "block").join(right.repartition(parts, "block"), "block")
-    found = met.mapInArrow(run, f"query_id long, vec_id long, score {score}")
+    dealt = rows.unionByName(asked).repartition(min(4 * blocks, 8192), "block")
+    found = dealt.sortWithinPartitions("block", "asked", "id", "vector").mapInArrow(
+        lambda it: _met(it, width, index, search), f"query_id long, vec_id long, score {score}"
+    )
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
@@ -110,7 +105,7 @@ def best_of_all(
 
 
 def select_best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k highest scores, highest first, ties to the smaller id (ids ascend)."""
+    """Positions of the k highest scores, highest first, ties to the smaller id."""
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= least)

@@ -54,7 +54,7 @@ def test_both_ways_of_counting_agree(monkeypatch, sparse):
     matrix = rng.normal(size=(300, 12))
     ids = np.arange(300)
     largest = float(np.sqrt((matrix**2).sum(axis=1).max()))
-    block = dict(zip(ann.COLUMNS, ann.indexed(largest, 12)(ids, matrix)))
+    block = ann.indexed(largest, 12)(ids, matrix)
     want = ann.search(7, largest, 12)(block, ids[::9], matrix[::9])
     monkeypatch.setattr(ann, "SPARSE", sparse)
     got = ann.search(7, largest, 12)(block, ids[::9], matrix[::9])
