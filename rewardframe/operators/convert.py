@@ -268,3 +268,10 @@ def sample_tokens(df: DataFrame, col: str, counter=count_tokens) -> Column:
     else:
         msgs = F.col(col)
     return counter(render_messages(msgs, generation_prompt=True))
+
+
+def within_tokens(df: DataFrame, col: str, max_tokens: int, counter=count_tokens, out: str = "n_tokens") -> DataFrame:
+    """Rows whose sample has at most ``max_tokens`` tokens, with the count as ``out`` (F4). The count
+    is a generated column: a filter on a plain one would be pushed below it and count a second time."""
+    counted = df.select("*", F.explode(F.array(sample_tokens(df, col, counter))).alias(out))
+    return counted.where(F.col(out) <= max_tokens)

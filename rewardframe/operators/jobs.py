@@ -122,7 +122,7 @@ def token_filter_job(df: DataFrame, col: str, max_tokens: int, out_path: str, co
     afresh."""
     from rewardframe.functions.tokens import count_tokens
 
-    kept = df.where(CV.sample_tokens(df, col, counter or count_tokens) <= max_tokens)
+    kept = CV.within_tokens(df, col, max_tokens, counter or count_tokens, "_n_tokens").drop("_n_tokens")
     if replace:
         SK.replace_path(kept, out_path, "parquet")
     else:

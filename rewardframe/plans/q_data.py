@@ -278,8 +278,8 @@ _USER_RENDER = "concat('<|user|>', chr(10), coalesce(text, ''), chr(10), '<|assi
 def token_filter(spark, sf_dir):
     """Documents whose text, rendered as one user message with the generation prompt, has at
     most 500 tokens (F4)."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", CV.sample_tokens(d, "text").alias("n")).where(F.col("n") <= 500)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return CV.within_tokens(d, "text", 500, out="n").select("doc_id", "n")
 
 
 @register(
