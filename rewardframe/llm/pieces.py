@@ -51,7 +51,7 @@ WORD_CHARS = 32
 SPACE = "▁"
 #: Characters of text that are drawn together, and lattice cells kept for reuse.
 CHUNK_CHARS = 1 << 20
-KEPT_EDGES = 6_000_000
+KEPT_EDGES = 2_800_000
 #: Log probabilities are whole multiples of 1 / GRAIN: their sums are exact, whatever else is summed.
 GRAIN = 2.0**40
 MAX_PIECE = 16
