@@ -183,5 +183,5 @@ where compile_valid
 )
 def plan_scoring(spark, sf_dir):
     """Execution plan of the responses whose code is valid, a row for each test."""
-    plan = RW.plan_scoring(_prepared(spark, sf_dir))
+    plan = RW.plan_scoring(materialize(_prepared(spark, sf_dir)))
     return plan.select("sample_id", "test_idx", F.length("script").alias("script_chars"))

@@ -33,7 +33,7 @@ from (select doc_id, regexp_extract_all(coalesce(response, ''), '(?s)```(?:pytho
 """,
 )
 def extract_code_last(spark, sf_dir):
-    r = fixture(spark, sf_dir, "fx_responses")
+    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True)
     return r.select("doc_id", TX.has_fence("response").alias("has_fence"), TX.fence_last("response").alias("code"))
 
 
@@ -48,7 +48,7 @@ from (select doc_id, response,
 """,
 )
 def extract_code_first(spark, sf_dir):
-    r = fixture(spark, sf_dir, "fx_responses")
+    r = fixture(spark, sf_dir, "fx_responses", spread_rows=True)
     return r.select("doc_id", TX.fence_first("response").alias("code"))
 
 
@@ -118,7 +118,7 @@ from a where len(l) > 0
 """,
 )
 def assert_lines(spark, sf_dir):
-    t = fixture(spark, sf_dir, "fx_he_tests")
+    t = fixture(spark, sf_dir, "fx_he_tests", spread_rows=True)
     all_ = TX.assert_lines("test", 1 << 30)
     out = t.select("doc_id", all_.alias("all_tests"), EV.humaneval_tests("test").alias("tests"))
     return EV.with_tests_only(out, "tests").select(
@@ -139,7 +139,7 @@ _FNE = "case when {c} is not null and {t} <> '' then {c} end"
     + ", '') as prompt_text from fx_aliases",
 )
 def first_non_empty(spark, sf_dir):
-    a = fixture(spark, sf_dir, "fx_aliases")
+    a = fixture(spark, sf_dir, "fx_aliases", spread_rows=True)
     return a.select("doc_id", TX.first_non_empty(a.schema, TX.PROMPT_ALIASES, default="").alias("prompt_text"))
 
 
@@ -149,7 +149,7 @@ def first_non_empty(spark, sf_dir):
     + "select doc_id, coalesce(nullif(prompt, ''), nullif(problem, ''), description, '') as text from fx_aliases",
 )
 def truthy_fallback(spark, sf_dir):
-    a = fixture(spark, sf_dir, "fx_aliases")
+    a = fixture(spark, sf_dir, "fx_aliases", spread_rows=True)
     return a.select("doc_id", TX.truthy_first("prompt", "problem", "description").alias("text"))
 
 

@@ -235,4 +235,4 @@ from c
 """,
 )
 def classify_outcomes(spark, sf_dir):
-    return V.classify_outcomes(fixture(spark, sf_dir, "fx_outcomes"), ["doc_id"])
+    return V.classify_outcomes(fixture(spark, sf_dir, "fx_outcomes", spread_rows=True), ["doc_id"])
