@@ -50,8 +50,8 @@ SEED = 4242
 WORD_CHARS = 32
 SPACE = "▁"
 #: Characters of text that are drawn together, and lattice cells kept for reuse.
-CHUNK_CHARS = 1 << 20
-KEPT_EDGES = 2_800_000
+CHUNK_CHARS = 1 << 19
+KEPT_EDGES = 4_000_000
 #: Log probabilities are whole multiples of 1 / GRAIN: their sums are exact, whatever else is summed.
 GRAIN = 2.0**40
 MAX_PIECE = 16
@@ -210,7 +210,7 @@ class Lattices:
         for name, values in columns.items():
             n, room = len(getattr(self, name)), self.room[name]
             if n + len(values) > len(room):
-                self.room[name] = np.empty(max(2 * len(room), n + len(values)), dtype=room.dtype)
+                self.room[name] = np.empty(max(len(room) * 5 // 4, n + len(values)), dtype=room.dtype)
                 self.room[name][:n] = room[:n]
             self.room[name][n : n + len(values)] = values
             setattr(self, name, self.room[name][: n + len(values)])
