@@ -1,24 +1,27 @@
-"""Language model: hierarchical Pitman-Yor process over word classes and words.
-
-Tokens are ASCII-lowered words and one end for each text. A word's class is its own if it is one of
-the ``OWN`` most frequent tokens, and else that of its last three bytes (one of ``ENDINGS``). The
-probability of a token is P(class | class before) * P(word | class):
-
-* P(class | class before): one restaurant for each class before (and one for the text's begin), all
-  sharing a parent restaurant, whose base is uniform. The parent's customers are the tables of its
-  children. Customers are seated by Gibbs sweeps: each sweep seats every restaurant anew given the
-  parent of the sweep before, then the parent given all tables. A dish's first ``SINGLY`` customers
-  take their seats one by one, the rest in stretches of 1/8 of those seated, each drawn given the
-  seating before it. Predictive probabilities are averaged over the sweeps after ``BURN``.
-* P(word | class): the class's restaurant over an unbounded vocabulary, where each known word has
-  one table; what is left for new words is the probability of the one event "unknown word". The
-  discount is estimated from the numbers of words seen once and twice.
-
-So the probabilities of all known tokens and of the unknown word add up to 1 after every class.
-
-Plan: texts are numbered by a local dictionary for each block of ``BLOCK_TOKENS``; the dictionaries
-alone are shuffled to be counted (each word once for a block) and joined back with the counts, and
-come to their block's texts again. Only sums bounded by the number of classes reach the driver.
+"""Language model: hierarchical Pitman-Yor process over words, each word's context being the word before.
+
+Tokens are ASCII-lowered words and one end for each text.
+
+* P(word | word before): one restaurant for each word before (and one for the text's begin), all
+  sharing a parent restaurant, whose customers are the tables of its children. Customers are seated
+  by Gibbs sweeps: each sweep seats every restaurant anew given the tables and the parent of the
+  sweep before. A dish's first ``SINGLY`` customers take their seats one by one, the rest in
+  stretches of 1/8 of those seated, each drawn given the seating before it. Predictive probabilities
+  are averaged over the sweeps after ``BURN``.
+* P(word), the parent: its base is an unbounded vocabulary that gives no word twice, so each known
+  word has exactly one table, and what is left for new words is the probability of the one event
+  "unknown word". Its discount is estimated from the numbers of words seen once and twice.
+
+So the probabilities of all known tokens and of the unknown word add up to 1 after every word, and
+the contexts grow with the corpus.
+
+Plan: texts are numbered by a local dictionary for each block of ``BLOCK_TOKENS``. The dictionaries
+and the distinct word pairs of each block alone are shuffled to be counted. A dish's seats follow
+from its customers, its restaurant's number of tables and its word's probability, so pairs are
+seated as rows, by themselves; one with a single customer has one table in every sweep and is not
+seated again. Each sweep is a written table, its sums by word before and by word are the next
+one's. Dictionaries and pairs come to their block's texts again with what was learned of them. Only
+counts and sums over the whole corpus reach the driver. Draws are hashes of the sweep and the pair.
 Words are told apart by a 64-bit hash.
 
 Defined results: a null or empty text is one end token; a null id is not held out; without training
@@ -40,9 +43,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardframe.llm.common import Numbers, fold, written
+from rewardframe.llm.pieces import mix_bits
 
 FOLDS, HELD_OUT = 5, 1
-OWN, ENDINGS = 768, 253
 BLOCK_TOKENS = 8_000_000
 #: Tokens of texts that are looked up together.
 STRETCH = 1 << 19
@@ -52,21 +55,26 @@ SINGLY = 32
 SEED = 99
 #: The end token: no word holds a space.
 END = b" "
-UNKNOWN = 1 << 15
-#: Stands as the local number of texts, which follow their block's dictionary.
-AFTER = 2**31 - 1
+#: Stands for the word before a text's first token: no word is empty.
+BEGIN = b""
+#: Kinds of rows, in the order in which a block's rows are read.
+DICTIONARY, PAIRS, TEXTS = 0, 1, 2
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: a block's distinct words (local number, hash, training count, ending); of
-    kind 1: its texts as local numbers."""
+    """Rows of kind DICTIONARY: a block's distinct words (local number, hash, training count), the
+    last one being BEGIN; PAIRS: its distinct pairs (local numbers and hashes of the word before and
+    the word, training count); TEXTS: its texts as local numbers."""
     context = TaskContext.get()
     block = (context.partitionId() if context else 0) << 24
     known, kept = Numbers(), []
 
     def rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-        types = {"local": pa.int32(), "hash": pa.int64(), "count": pa.int64(), "ending": pa.int32(), "held": pa.bool_(), "words": pa.binary()}
+        types = {
+            "local": pa.int32(), "follower": pa.int32(), "before": pa.int64(), "hash": pa.int64(), "count": pa.int64(),
+            "held": pa.bool_(), "words": pa.binary(),
+        }
         ids = columns.pop("doc_id", None)
         made = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, kind, dtype=np.int32))}
         made["doc_id"] = pa.nulls(n, id_type) if ids is None else ids
@@ -75,24 +83,31 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
         return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     def flush() -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(known), dtype=np.int64)
-        for _, held, numbers, _ in kept:
-            for h, x in zip(held, numbers):
-                if not h:
-                    counts += np.bincount(x, minlength=len(known)) if len(x) > len(known) // 8 else 0
-                    if len(x) <= len(known) // 8:
-                        np.add.at(counts, x, 1)
-        words = list(known)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64).view(np.int64)
-        endings = [xxhash.xxh32_intdigest(w[-3:]) % ENDINGS for w in words]
-        for i in range(0, len(words), 100_000):
+        begin = len(known)
+        texts = [x for _, _, numbers in kept for x in numbers]
+        lengths = np.array([len(x) for x in texts])
+        flat = np.concatenate(texts)
+        learned = np.repeat(~np.array([bool(h) for _, held, _ in kept for h in held]), lengths)
+        counts = np.append(np.bincount(flat[learned], minlength=begin), 0)
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*known, BEGIN]], dtype=np.uint64).view(np.int64)
+        for i in range(0, len(hashes), 100_000):
             part = slice(i, i + 100_000)
+            n = len(hashes[part])
+            yield rows(DICTIONARY, n, local=np.arange(i, i + n, dtype=np.int32), hash=hashes[part], count=counts[part])
+        keys = _pair_keys(flat, np.cumsum(lengths) - lengths, begin)
+        pairs, times = np.unique(keys[learned], return_counts=True)
+        others = np.setdiff1d(keys[~learned], pairs)
+        del flat, keys, learned
+        order = np.argsort(np.concatenate((pairs, others)), kind="stable")
+        pairs, times = np.concatenate((pairs, others))[order], np.concatenate((times, np.zeros(len(others), dtype=np.int64)))[order]
+        for i in range(0, len(pairs), 100_000):
+            before, word = np.divmod(pairs[i : i + 100_000], begin + 1)
             yield rows(
-                0, len(words[part]), local=np.arange(i, i + len(words[part]), dtype=np.int32), hash=hashes[part],
-                count=counts[part], ending=np.array(endings[part], dtype=np.int32),
+                PAIRS, len(word), local=before.astype(np.int32), follower=word.astype(np.int32), before=hashes[before],
+                hash=hashes[word], count=times[i : i + 100_000],
             )
-        for ids, held, numbers, _ in kept:
-            yield rows(1, len(ids), doc_id=ids, held=held, words=[x.tobytes() for x in numbers])
+        for ids, held, numbers in kept:
+            yield rows(TEXTS, len(ids), doc_id=ids, held=held, words=[x.tobytes() for x in numbers])
 
     tokens = 0
     for batch in batches:
@@ -105,19 +120,30 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
             numbers.append(x)
             tokens += len(x)
             if tokens >= block_tokens:
-                kept.append((batch.column("doc_id").slice(first, i + 1 - first), held[first : i + 1], numbers, None))
+                kept.append((batch.column("doc_id").slice(first, i + 1 - first), held[first : i + 1], numbers))
                 yield from flush()
                 block, known, kept, tokens, first, numbers = block + 1, Numbers(), [], 0, i + 1, []
         if numbers:
-            kept.append((batch.column("doc_id").slice(first), held[first:], numbers, None))
+            kept.append((batch.column("doc_id").slice(first), held[first:], numbers))
     if kept:
         yield from flush()
 
 
+def _pair_keys(flat: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
+    """For each token of texts that begin at ``starts`` one number of the word before and the word."""
+    keys = np.empty(len(flat), dtype=np.int64)
+    keys[1:] = flat[:-1]
+    keys[starts] = begin
+    keys *= begin + 1
+    keys += flat
+    return keys
+
+
 @dataclass(frozen=True)
 class Words:
-    """What scoring needs to know of the vocabulary: training tokens, distinct ones, number of own
-    classes, discount, and for each class its tokens and distinct words."""
+    """What scoring needs to know of the vocabulary: training tokens, distinct ones, how many of the
+    classes first in line have no new words, discount, and for each class its customers and distinct
+    words. The parent restaurant of each sweep is a class of all words."""
 
     tokens: int
     distinct: int
@@ -126,16 +152,16 @@ class Words:
     class_tokens: np.ndarray
     class_words: np.ndarray
 
-    @property
-    def classes(self) -> int:
-        return self.own + ENDINGS
-
     def new_word(self) -> np.ndarray:
         """Probability of an unknown word in each class."""
         out = (STRENGTH + self.discount * self.class_words) / (STRENGTH + self.class_tokens)
         out[: self.own] = 0.0
         return out
 
+    def known_word(self, customers: np.ndarray) -> np.ndarray:
+        """Probability of known words with so many customers, a column for each class."""
+        return np.maximum(customers - self.discount, 0.0) / (STRENGTH + self.class_tokens)
+
 
 def _sums(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the stretches that begin at ``starts`` (none is empty)."""
@@ -149,111 +175,54 @@ def _stretches(sizes: np.ndarray, first: int, last: int, tokens: int) -> Iterato
         yield first, (first := min(last, first + max(1, upto)))
 
 
-def _resolved(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) -> Iterator[pa.RecordBatch]:
-    """Blocks come as dictionary rows (count, class) and then texts; out go rows for texts, with
-    their classes, and the class pairs of the task's training texts, a row for each class before."""
-    classes = words.classes
-    pairs = np.zeros((classes + 1) * classes, dtype=np.uint32)  # of one task's tokens
-    base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
-    names = ["doc_id", "held", "n_tokens", "n_known", "base", "words", "classes", "before", "pairs"]
-    block, id_type = None, pa.int64()
-    count = kind_of = np.empty(0, dtype=np.int64)
-    base = inner = np.empty(0)
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def look_up(texts: pa.RecordBatch) -> pa.RecordBatch:
-        nonlocal pairs
-        n = texts.num_rows
-        ids = texts.column("words").to_pylist()
-        local = np.frombuffer(b"".join(ids), dtype=np.int32)
-        starts = np.cumsum([0, *(len(t) // 4 for t in ids[:-1])])
-        kind = kind_of[local]
-        seen = count[local] > 0
-        before = np.empty_like(kind)
-        before[1:] = kind[:-1]
-        before[starts] = classes
-        held = np.asarray(texts.column("held")).astype(bool)
-        lengths = np.diff(np.append(starts, len(local)))
-        learned = np.repeat(~held, lengths)
-        pairs += np.bincount((before * classes + kind)[learned], minlength=len(pairs)).astype(np.uint32)
-        marked = (kind + np.where(seen, 0, UNKNOWN)).astype("<u2").tobytes()
-        ends = (2 * np.append(starts, len(local))).tolist()
-        return pa.RecordBatch.from_arrays(
-            [
-                texts.column("doc_id"), pa.array(held, pa.bool_()), pa.array(lengths),
-                pa.array(_sums(seen.astype(np.int64), starts)), pa.array(_sums(base[local], starts)),
-                pa.array(_sums(inner[local], starts)),
-                pa.array([marked[x:y] for x, y in zip(ends, ends[1:])], pa.binary()),
-                pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-            ],
-            names=names,
-        )
-
-    for batch in batches:
-        id_type = batch.schema.field("doc_id").type
-        blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("local")) == AFTER
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-            if a == b:
-                continue
-            if not kinds[a]:
-                if blocks[a] != block:
-                    block, pending = blocks[a], []
-                pending.append((np.asarray(batch.column("count"))[a:b].astype(np.int64), np.asarray(batch.column("class"))[a:b].astype(np.int64)))
-                count = None
-                continue
-            if count is None:
-                count = np.concatenate([c for c, _ in pending])
-                kind_of = np.concatenate([k for _, k in pending])
-                pending = []
-                base = np.log10(count + 0.5) - base_total
-                inner = np.where(
-                    (count > 0) & (kind_of >= words.own),
-                    np.log10(np.maximum(count - words.discount, 1e-9) / (STRENGTH + words.class_tokens[kind_of])), 0.0,
-                )
-            words_of = batch.column("words")
-            sizes = pc.fill_null(pc.binary_length(words_of), 0).to_numpy(zero_copy_only=False) // 4
-            for x, y in _stretches(sizes, a, b, stretch):
-                yield look_up(batch.slice(x, y - x))
-    table = pairs.reshape(classes + 1, classes)
-    some = np.flatnonzero(table.any(axis=1))
-    if len(some):
-        n = len(some)
-        empty = [pa.nulls(n, t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays(
-            [*empty, pa.array(some.astype(np.int32)), pa.array([table[u].tobytes() for u in some], pa.binary())], names=names
-        )
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``before``: one row with the sum of each."""
-    now, total = None, np.empty(0, dtype=np.int64)
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["before", "pairs"])
-
-    for batch in batches:
-        for u, pairs in zip(batch.column("before").to_pylist(), batch.column("pairs").to_pylist()):
-            if u != now:
-                if now is not None:
-                    yield row()
-                now, total = u, np.zeros(len(pairs) // 4, dtype=np.int64)
-            total += np.frombuffer(pairs, dtype=np.uint32)
-    if now is not None:
-        yield row()
+class Hashed:
+    """Draws that follow from a 64-bit key for each row and the number of draws made before."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.rows, self.step = keys, np.arange(len(keys)), np.uint64(0)
+
+    def of(self, rows: np.ndarray) -> Hashed:
+        self.rows = rows
+        return self
+
+    def binomial(self, n: np.ndarray, chance: np.ndarray) -> np.ndarray:
+        draw = mix_bits(self.keys[self.rows] + self.step)
+        self.step += np.uint64(1)
+        out = np.zeros(len(draw), dtype=np.int64)
+        mean = n * chance
+        # by adding up probabilities from 0 on, or else by a generator of the row's own
+        open_ = np.flatnonzero(mean <= 16)
+        p, most, want = chance[open_], n[open_], draw[open_]
+        now = (1 - p) ** most
+        upto, ratio = now.copy(), p / np.maximum(1 - p, 1e-300)
+        at = 0
+        while True:
+            on = np.flatnonzero((want > upto) & (most > at))
+            if not len(on):
+                break
+            open_, most, want, ratio, now, upto = (x[on] for x in (open_, most, want, ratio, now, upto))
+            now *= (most - at) / (at + 1) * ratio
+            upto += now
+            at += 1
+            out[open_] = at
+        for i in np.flatnonzero(mean > 16).tolist():
+            out[i] = np.random.default_rng(int(draw[i] * 2.0**53)).binomial(n[i], chance[i])
+        return out
 
 
-def seat(customers: np.ndarray, base: np.ndarray, tables: int, rng: np.random.Generator) -> np.ndarray:
+def seat(customers: np.ndarray, base: np.ndarray, tables: int | np.ndarray, rng: np.random.Generator | Hashed) -> np.ndarray:
     """Tables of each dish after its customers have been seated; ``tables`` is the restaurant's
-    number of tables of the sweep before."""
+    number of tables of the sweep before (or those of each dish's restaurant)."""
     out = np.minimum(customers, 1)
     active = np.flatnonzero(customers > 1)
+    tables = np.broadcast_to(tables, customers.shape)
     seated = 1
     while len(active):
         width = 1 if seated < SINGLY else seated // 8
-        new = (STRENGTH + DISCOUNT * tables) * base[active]
+        new = (STRENGTH + DISCOUNT * tables[active]) * base[active]
         chance = new / (new + seated - DISCOUNT * out[active])
-        out[active] += rng.binomial(np.minimum(width, customers[active] - seated), chance)
+        draws = rng.of(active) if isinstance(rng, Hashed) else rng
+        out[active] += draws.binomial(np.minimum(width, customers[active] - seated), chance)
         seated += width
         active = active[customers[active] > seated]
     return out
@@ -264,65 +233,149 @@ def predictive(customers: np.ndarray, tables: np.ndarray, base: np.ndarray) -> n
     return (customers - DISCOUNT * tables) / total + (STRENGTH + DISCOUNT * tables.sum()) / total * base
 
 
-def gibbs(restaurants: DataFrame, classes: int) -> np.ndarray:
-    """Averaged predictive probabilities [class before, class]. ``restaurants``: before, pairs. The
-    tables and probabilities that reach the driver are at most one of each for a pair of classes."""
-    base = np.full(classes, 1 / classes)
-    tables = np.zeros(classes + 1, dtype=np.int64)
-    total, flat = np.zeros((classes + 1, classes)), np.zeros(classes)
+def gibbs(pairs: DataFrame, vocabulary: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Seat the customers of all restaurants. ``pairs``: before, word, n; ``vocabulary``: hash, count.
+
+    Returns the pairs with ``seats`` (their tables, summed over the sweeps after BURN), the
+    vocabulary with ``total`` (customers of the restaurant after the word) and, for each of those
+    sweeps s, ``tables_s`` (its tables) and ``customers_s`` (of the word in the parent), and the
+    parent's customers in each of them."""
+    once = F.when(F.col("n") == 1, 1).otherwise(0)
+    names = ["total", "dishes", "once_before", "once_word"]
+    none = F.lit(0).cast("long")
+
+    def rows(df: DataFrame, key: str, have: dict[str, Column], every: list[str]) -> DataFrame:
+        return df.groupBy(F.col(key).alias("hash")).agg(*(F.sum(v).alias(k) for k, v in have.items())).select(
+            "hash", *(F.col(c) if c in have else none.alias(c) for c in every)
+        )
+
+    def added(parts: list[DataFrame], every: list[str]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.groupBy("hash").agg(*(F.sum(c).alias(c) for c in every))
+
+    every = ["count", *names]
+    state = written(added(
+        [
+            vocabulary.select("hash", "count", *(none.alias(c) for c in names)),
+            rows(pairs, "before", {"total": F.col("n"), "dishes": F.lit(1), "once_before": once}, every),
+            rows(pairs, "word", {"once_word": once}, every),
+        ],
+        every,
+    ))
+    seats = pairs.filter("n > 1").withColumn("seats", none)
+    tables, chance = F.col("dishes"), F.col("count") / F.lit(float(max(1, tokens)))
+    parents: list[int] = []
     for sweep in range(SWEEPS):
 
-        def run(batches: Iterator[pa.RecordBatch], base=base, tables=tables, sweep=sweep) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sweep=sweep) -> Iterator[pa.RecordBatch]:
+            salt = np.uint64((SEED * SWEEPS + sweep) * 0xD1342543DE82EF95 % 2**64)
             for batch in batches:
-                for u, pairs in zip(batch.column("before").to_pylist(), batch.column("pairs").to_pylist()):
-                    customers = np.frombuffer(pairs, dtype=np.int64)
-                    seats = seat(customers, base, int(tables[u]), np.random.default_rng((SEED, sweep, u)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([u], pa.int32()), pa.array([seats.tobytes()], pa.binary()), pa.array([predictive(customers, seats, base).tobytes()], pa.binary())],
-                        names=["before", "seats", "probs"],
-                    )
-
-        customers = np.zeros(classes, dtype=np.int64)
-        seen = np.zeros(classes + 1, dtype=bool)
-        for r in restaurants.mapInArrow(run, "before int, seats binary, probs binary").collect():
-            seats = np.frombuffer(r.seats, dtype=np.int64)
-            customers += seats
-            tables[r.before] = seats.sum()
-            seen[r.before] = True
-            if sweep >= BURN:
-                total[r.before] += np.frombuffer(r.probs)
+                before, word, n, sums = (np.asarray(batch.column(c)) for c in ("before", "word", "n", "seats"))
+                keys = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt
+                now = seat(n, np.asarray(batch.column("chance")), np.asarray(batch.column("tables")), Hashed(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("before", "word", "n")), pa.array(now), pa.array(sums + now if sweep >= BURN else sums)],
+                    names=["before", "word", "n", "now", "seats"],
+                )
+
+        given = seats.select("before", "word", "n", "seats").join(
+            state.select(F.col("hash").alias("before"), tables.cast("long").alias("tables")), "before"
+        ).join(state.select(F.col("hash").alias("word"), chance.cast("double").alias("chance")), "word")
+        seats = written(
+            given.select("before", "word", "n", "seats", "tables", "chance").mapInArrow(run, "before long, word long, n long, now long, seats long")
+        )
+        mine = [f"tables_{sweep}", f"customers_{sweep}"]
+        old = [c for c in state.columns if c != "hash" and (c in every or int(c.split("_")[1]) >= BURN)]
+        both = [*old, *mine]
+        state = written(
+            added(
+                [
+                    state.select("hash", *old, *(none.alias(c) for c in mine)),
+                    rows(seats, "before", {mine[0]: F.col("now")}, both),
+                    rows(seats, "word", {mine[1]: F.col("now")}, both),
+                ],
+                both,
+            ).withColumns({mine[0]: F.col(mine[0]) + F.col("once_before"), mine[1]: F.col(mine[1]) + F.col("once_word")})
+        )
+        customers = state.agg(F.sum(mine[1])).first()[0] or 0
         if sweep >= BURN:
-            flat += base
-            total[~seen] += base
-        # the parent's customers are all tables of the sweep
-        uniform = np.full(classes, 1 / classes)
-        root = seat(customers, uniform, classes, np.random.default_rng((SEED, sweep)))
-        base = predictive(customers, root, uniform)
-    return total / (SWEEPS - BURN)
-
-
-def _scored(batches: Iterator[pa.RecordBatch], probs: np.ndarray, new_word: np.ndarray, stretch: int) -> Iterator[pa.RecordBatch]:
-    with np.errstate(divide="ignore"):
-        log = np.log10(probs)
-        unknown = np.log10(probs @ new_word)
-    classes = probs.shape[1]
-    for whole in batches:
-        sizes = pc.binary_length(whole.column("classes")).to_numpy(zero_copy_only=False) // 2
-        for first, last in _stretches(sizes, 0, whole.num_rows, stretch):
-            batch = whole.slice(first, last - first)
-            texts = batch.column("classes").to_pylist()
-            marked = np.frombuffer(b"".join(texts), dtype="<u2")
-            starts = np.cumsum([0, *(len(t) // 2 for t in texts[:-1])])
-            kind = (marked & (UNKNOWN - 1)).astype(np.int64)
-            before = np.empty_like(kind)
-            before[1:] = kind[:-1]
-            before[starts] = classes
-            score = np.where(marked >= UNKNOWN, unknown[before], log.ravel()[before * classes + kind])
-            columns = [batch.column(c) for c in ("doc_id", "held", "n_tokens", "n_known", "base")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(_sums(score, starts) + np.asarray(batch.column("words")))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            parents.append(customers)
+        tables, chance = F.col(mine[0]), F.col(mine[1]) / F.lit(float(max(1, customers)))
+    seated = seats.select("before", "word", "n", "seats").unionByName(
+        pairs.filter("n = 1").withColumn("seats", F.lit(SWEEPS - BURN).cast("long"))
+    )
+    return seated, state, parents
+
+
+def _scored(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) -> Iterator[pa.RecordBatch]:
+    """Blocks come as dictionary rows (training count, customers of the restaurant after the word, its
+    tables and the word's customers in the parent for each sweep), then pairs (customers less their
+    discounts), then texts; out go rows for texts."""
+    base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
+    sweeps = len(words.class_tokens)
+    unknown = math.log10(words.new_word().mean())
+    block, ready = None, False
+    entries: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+    masses: list[np.ndarray] = []
+    seen = base = total = free = flat = key = mass = np.empty(0)
+
+    def look_up(texts: pa.RecordBatch) -> pa.RecordBatch:
+        ids = texts.column("words").to_pylist()
+        local = np.frombuffer(b"".join(ids), dtype=np.int32)
+        starts = np.cumsum([0, *(len(t) // 4 for t in ids[:-1])])
+        begin = len(seen) - 1
+        wanted, of = np.unique(_pair_keys(local, starts, begin), return_inverse=True)
+        before, word = np.divmod(wanted, begin + 1)
+        chance = sum(free[before, s] * flat[word, s] for s in range(sweeps)) / sweeps
+        if len(key):
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            chance += np.where(key[at] == wanted, mass[at], 0.0)
+        known = seen[word]
+        score = np.full(len(wanted), unknown)
+        score[known] = np.log10(chance[known] / (STRENGTH + total[before[known]]))
+        lengths = np.diff(np.append(starts, len(local)))
+        return pa.RecordBatch.from_arrays(
+            [
+                texts.column("doc_id"), texts.column("held"), pa.array(lengths), pa.array(_sums(seen[local].astype(np.int64), starts)),
+                pa.array(_sums(base[local], starts)), pa.array(_sums(score[of], starts)),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    for batch in batches:
+        blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+            if a == b:
+                continue
+            if blocks[a] != block:
+                block, ready, entries, keys, masses = blocks[a], False, [], [], []
+            if kinds[a] == DICTIONARY:
+                entries.append(batch.column("record").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+                continue
+            if kinds[a] == PAIRS:
+                before, word = (np.asarray(batch.column(c).slice(a, b - a)) for c in ("local", "follower"))
+                keys.append(before.astype(np.int64) << 32 | word)
+                masses.append(np.asarray(batch.column("mass").slice(a, b - a)))
+                continue
+            if not ready:
+                record = np.concatenate(entries)
+                seen = record[:, 0] > 0
+                base = np.log10(record[:, 0] + 0.5) - base_total
+                total = record[:, 1]
+                free = STRENGTH + DISCOUNT * record[:, 2 : 2 + sweeps]
+                flat = words.known_word(record[:, 2 + sweeps :])
+                key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
+                key = (key >> 32) * len(seen) + (key & 0xFFFFFFFF)
+                mass = np.concatenate(masses) if masses else np.empty(0)
+                ready, entries, keys, masses = True, [], [], []
+            words_of = batch.column("words")
+            sizes = pc.fill_null(pc.binary_length(words_of), 0).to_numpy(zero_copy_only=False) // 4
+            for x, y in _stretches(sizes, a, b, stretch):
+                yield look_up(batch.slice(x, y - x))
 
 
 def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, stretch: int = STRETCH) -> DataFrame:
@@ -333,54 +386,44 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     parts = written(
         narrow.mapInArrow(
             lambda it: _numbered(it, block_tokens),
-            f"block long, kind int, doc_id {kind}, local int, hash long, count long, ending int, held boolean, words binary",
+            f"block long, kind int, doc_id {kind}, local int, follower int, before long, hash long, count long, held boolean, words binary",
         )
     )
-    entries = parts.filter("kind = 0")
-    vocabulary = entries.groupBy("hash").agg(F.sum("count").alias("count"), F.first("ending").alias("ending"))
-    # a fixed number of the most frequent words have classes of their own
-    vocabulary = written(vocabulary)
-    top = vocabulary.filter("count > 0").orderBy(F.col("count").desc(), "hash").limit(OWN).select("hash").collect()
-    own = {r.hash: i for i, r in enumerate(top)}
-    spark = docs.sparkSession
-    owned = spark.createDataFrame([(h, i) for h, i in own.items()], "own_hash long, own int").coalesce(1)
-    vocabulary = vocabulary.join(F.broadcast(owned), F.col("hash") == F.col("own_hash"), "left").select(
-        F.col("hash").alias("word"), F.col("count").alias("n"), F.coalesce("own", F.col("ending") + len(own)).alias("class")
-    )
-    by_class = vocabulary.filter("n > 0").groupBy("class").agg(
-        F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words"),
-        F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice"),
-    ).collect()
-    class_tokens, class_words = np.zeros(len(own) + ENDINGS), np.zeros(len(own) + ENDINGS)
-    for r in by_class:
-        class_tokens[r["class"]], class_words[r["class"]] = r.tokens, r.words
-    once, twice = sum(r.once for r in by_class), sum(r.twice for r in by_class)
+    entries, pairs = parts.filter(F.col("kind") == DICTIONARY), parts.filter(F.col("kind") == PAIRS)
+    vocabulary = written(entries.groupBy("hash").agg(F.sum("count").alias("count")))
+    sums = vocabulary.filter("count > 0").agg(
+        F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("words"),
+        F.count(F.when(F.col("count") == 1, 1)).alias("once"), F.count(F.when(F.col("count") == 2, 1)).alias("twice"),
+    ).first()
+    tokens = sums.tokens or 0
+    learned = written(pairs.filter("count > 0").groupBy("before", F.col("hash").alias("word")).agg(F.sum("count").alias("n")))
+    seated, state, parents = gibbs(learned, vocabulary, tokens)
     words = Words(
-        tokens=int(class_tokens.sum()), distinct=int(class_words.sum()), own=len(own),
-        discount=min(0.95, max(0.05, once / max(1, once + 2 * twice))), class_tokens=class_tokens, class_words=class_words,
-    )
-    known = entries.join(vocabulary, F.col("hash") == F.col("word")).select(
-        "block", F.lit(None).cast(kind).alias("doc_id"), "local", F.col("n").alias("count"), "class",
-        F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("binary").alias("words"),
+        tokens=tokens, distinct=sums.words, own=0, discount=min(0.95, max(0.05, sums.once / max(1, sums.once + 2 * sums.twice))),
+        class_tokens=np.array(parents, dtype=np.float64), class_words=np.full(len(parents), float(sums.words)),
     )
-    texts = parts.filter("kind = 1").select(
-        "block", "doc_id", F.lit(AFTER).alias("local"), F.lit(0).cast("long").alias("count"), F.lit(0).alias("class"), "held", "words"
-    )
-    blocks = known.unionByName(texts).repartition("block").sortWithinPartitions("block", "local")
-    resolved = written(
-        blocks.mapInArrow(
-            lambda it: _resolved(it, words, stretch),
-            f"doc_id {kind}, held boolean, n_tokens long, n_known long, base double, words double, classes binary, before int, pairs binary",
-        )
+    sweeps = range(BURN, SWEEPS)
+    record = F.array("count", "total", *(f"tables_{s}" for s in sweeps), *(f"customers_{s}" for s in sweeps))
+    types = {
+        "block": "long", "kind": "int", "local": "int", "follower": "int", "record": "array<long>", "mass": "double", "doc_id": kind,
+        "held": "boolean", "words": "binary",
+    }
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+
+    known = entries.select("block", "kind", "local", "hash").join(state.select("hash", record.alias("record")), "hash")
+    mass = (F.col("n") - F.lit(DISCOUNT / len(sweeps)) * F.col("seats")).alias("mass")
+    met = pairs.select("block", "kind", "local", "follower", "before", F.col("hash").alias("word")).join(
+        seated.select("before", "word", mass), ["before", "word"]
     )
-    restaurants = resolved.filter("before IS NOT NULL").select("before", "pairs").repartition("before").sortWithinPartitions("before")
-    probs = gibbs(written(restaurants.mapInArrow(_summed, "before int, pairs binary").repartition(32, "before")), words.classes)
-    model = spark.sparkContext.broadcast((probs, words.new_word()))
-    scored = resolved.filter("before IS NULL").drop("before", "pairs").mapInArrow(
-        lambda it: _scored(it, *model.value, stretch),
+    texts = parts.filter(F.col("kind") == TEXTS).select("block", "kind", "doc_id", "held", "words")
+    blocks = shaped(known).unionByName(shaped(met)).unionByName(shaped(texts)).repartition("block")
+    scored = blocks.sortWithinPartitions("block", "kind", "local", "follower").mapInArrow(
+        lambda it: _scored(it, words, stretch),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
-    return scored.withColumn("train_tokens", F.lit(words.tokens).cast("long"))
+    return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 
 def op5_score(docs: DataFrame) -> DataFrame:

@@ -91,3 +91,30 @@ def test_odd_rows(spark):
     assert pitman_yor.op5_score(df.limit(0)).count() == 0
     nothing = pitman_yor.score_texts(df, df["block"] == 1).collect()
     assert {(r.train_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in nothing} == {(0, 0, 0.0, 0.0)}
+
+
+def test_every_word_is_a_context(spark):
+    """2,000 pairs of rare words with equal endings, each seen once: the exact probabilities."""
+    n = 2000
+    texts = {i: f"a{i}xxx b{i}yyy" for i in range(n)}
+    asked = {n: "a7xxx b7yyy", n + 1: "a7xxx b8yyy", n + 2: "a7xxx new b8yyy"}
+    rows = [(i, x, i >= n) for i, x in (texts | asked).items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(df, df["held"]).collect()}
+    # all pairs have one customer and one table: in the parent each word has one, the end has n
+    d, s, parent = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, 3 * n
+    less = 0.95  # of words seen once, all but the end
+    word, end, new = ((1 - less) / (s + parent), (n - less) / (s + parent), (s + less * (2 * n + 1)) / (s + parent))
+    first = (1 - d + (s + d * n) * word) / (s + n)
+    seen, unseen, last = ((1 - d + (s + d) * word) / (s + 1), (s + d) * word / (s + 1), (1 - d + (s + d) * end) / (s + 1))
+    for i, want in ((n, first * seen * last), (n + 1, first * unseen * last), (n + 2, first * new * word * last)):
+        assert got[i] == pytest.approx(math.log10(want), abs=1e-9)
+
+
+def test_hashed_draws_are_binomial():
+    n = 40000
+    draws = pitman_yor.Hashed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for size, chance in ((1, 0.3), (40, 0.2), (400, 0.25)):
+        x = draws.binomial(np.full(n, size), np.full(n, chance))
+        mean, var = size * chance, size * chance * (1 - chance)
+        assert abs(x.mean() - mean) < 5 * math.sqrt(var / n) and abs(x.var() / var - 1) < 0.05 and x.max() <= size
