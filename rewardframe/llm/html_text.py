@@ -4,8 +4,11 @@ A page is cut into blocks at block elements. Blocks inside furniture (menus, pag
 sidebars, notices, adverts, forms, reader comments: by element or by the words of class, id and
 role) are boilerplate from the start, and so is everything outside the main element where a page
 has one. Pass one decides the other blocks by length, link density and stop-word density: good, bad
-or open. Pass two lets open blocks inherit the label of the nearest decided neighbour of the same
-region, the one before it at equal distance; without any decided neighbour they are kept.
+or open. Bad are blocks of links, and outside the main element also short blocks of notable link
+density, and long ones of hardly any stop words where the page has others of many (a language
+without known stop words rejects nothing). Pass two lets open blocks inherit the label, good or bad,
+of the nearest decided neighbour of the same region, the one before it at equal distance, and
+headings that of the next; without any decided neighbour they are kept.
 
 Good blocks are joined in page order by a line feed; white space inside a block becomes one space,
 and character references are decoded. Nothing else is dropped or cut.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from rewardframe.llm.quality import STOP
 
 SHORT = 70
-LINKED, DENSE = 0.5, 0.2
+LINKED, NOTABLE, DENSE, SPARSE = 0.5, 0.2, 0.2, 0.1
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"},
@@ -60,6 +64,7 @@ TOKEN = re.compile(
     re.S,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+LETTERS = re.compile(r"[^\W\d_]+")
 HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
@@ -70,6 +75,7 @@ class Block:
     main: bool
     furniture: bool
     item: bool
+    heading: bool
     label: str = ""
 
 
@@ -111,7 +117,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
                 inner = any(t == "li" for t, _ in stack[-2:])
-                out.append(Block(text, linked, main > 0, furniture > 0, inner))
+                heading = any(t in HEADINGS for t, _ in stack[-2:])
+                out.append(Block(text, linked, main > 0, furniture > 0, inner, heading))
         pieces, linked = [], 0
 
     def close(depth: int) -> None:
@@ -184,15 +191,22 @@ def decide(blocks: list[Block]) -> list[Block]:
         if b.furniture or (marked and not b.main):
             b.label = "bad"
         elif link_density > LINKED and (b.item or not b.main):
-            b.label, b.furniture = "bad", True  # a menu, whatever it is called
+            b.label, b.furniture = "bad", b.main  # a menu, whatever it is called
         elif not b.main and b.text.startswith(("©", "(c) ", "Copyright ")):
             b.label = "bad"
         elif len(b.text) < SHORT:
-            b.label = "open"
+            b.label = "bad" if link_density > NOTABLE and not b.main else "open"
         else:
-            words = b.text.lower().encode().split()
-            dense = sum(map(STOP.__contains__, words)) >= DENSE * len(words)
-            b.label = "good" if dense else "open"
+            words = LETTERS.findall(b.text.lower())
+            stops = sum(w.encode() in STOP for w in words)
+            if stops >= DENSE * max(1, len(words)):
+                b.label = "good"
+            else:
+                b.label = "sparse" if stops < SPARSE * len(words) and not b.main else "open"
+    dense = any(b.label == "good" for b in blocks)
+    for b in blocks:
+        if b.label == "sparse":
+            b.label = "bad" if dense else "open"
     decided = [i for i, b in enumerate(blocks) if b.label != "open" and not b.furniture]
     labels = {i: blocks[i].label for i in decided}
     at = 0
@@ -203,7 +217,7 @@ def decide(blocks: list[Block]) -> list[Block]:
             at += 1
         before = [j for j in decided[max(0, at - 1) : at] if blocks[j].main == b.main]
         after = [j for j in decided[at : at + 1] if blocks[j].main == b.main]
-        near = min(before + after, key=lambda j: abs(i - j), default=None)
+        near = min((after if b.heading else []) or before + after, key=lambda j: abs(i - j), default=None)
         b.label = "good" if near is None else labels[near]
     return blocks
 

@@ -54,3 +54,22 @@ def test_nulls_and_extra_columns(spark):
     rows = html_text.op3_extract(df).collect()
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in rows) == [(0, "u", "x", 1), (0, "u", "x", 1), (1, "", "", 0)]
     assert html_text.op3_extract(df.limit(0)).count() == 0
+
+
+LINKS = "<a href=x>Home</a> <a href=y>News</a>"
+SPARSE = "Offer 3000 cheap flights hotels cars insurance casino poker loans phones watches discount brands deals."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # pages whose names and elements tell nothing
+        (f"<div>{LINKS}</div><div class=c3>Sign up now!</div><h1>T</h1><p>{LONG}<p>End.", f"T\n{LONG}\nEnd."),
+        (f"<div><p>{LONG}<p>{LONG}</div><div class=c1><p>{SPARSE}<p>Buy now!</div>", f"{LONG}\n{LONG}"),
+        (f"<table><tr><td>{LINKS}<td>Log in<tr><td>{LONG}<td>More by us, <a href=x>here and there</a>", LONG),
+        # without any known stop words, density rejects nothing
+        (f"<div><p>{SPARSE}<p>Short</div>", f"{SPARSE}\nShort"),
+    ],
+)
+def test_density_decides(page, text):
+    assert html_text.main_text(page)[0] == text
