@@ -2,13 +2,16 @@
 
 A page is cut into blocks at block elements. Blocks inside furniture (menus, page headers, footers,
 sidebars, notices, adverts, forms, reader comments: by element or by the words of class, id and
-role) are boilerplate from the start, and so is everything outside the main element where a page
-has one. Pass one decides the other blocks by length, link density and stop-word density: good, bad
-or open. Bad are blocks of links, and outside the main element also short blocks of notable link
+role) are boilerplate from the start. A compound name of a page's side (``SIDES``: "content-sidebar")
+does not count where most of the page's dense text is in that element. Main elements are those whose
+element or exact name says so. Pass one decides the other blocks by length, link density and stop-word density: good, bad
+or open. Bad are blocks of links, and outside main elements also short blocks of notable link
 density, and long ones of hardly any stop words where the page has others of many (a language
 without known stop words rejects nothing). Pass two lets open blocks inherit the label, good or bad,
 of the nearest decided neighbour of the same region, the one before it at equal distance, and
-headings that of the next; without any decided neighbour they are kept.
+headings that of the next. Each main element with good text is a region (any with text, where the
+page has no good text), and all else is one. Without any decided neighbour open blocks are kept,
+except outside main elements where the page has such a region.
 
 Good blocks are joined in page order by a line feed; white space inside a block becomes one space,
 and character references are decoded. Nothing else is dropped or cut.
@@ -20,6 +23,7 @@ or the page; a page cut off inside a tag, comment or script ends there; tables m
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -57,6 +61,11 @@ MARKED = frozenset(
     "byads".split()
 )
 HEADERS = frozenset("header banner topbar masthead".split())
+#: Of those, the words that as a part of a name may also tell what a wrapper has at its side.
+SIDES = frozenset(
+    "sidebar rail nav navbar navigation menu menus widget widgets toolbar search social share sharing header banner topbar masthead "
+    "complementary".split()
+)
 MAINS = frozenset("main article".split())
 
 TOKEN = re.compile(
@@ -72,36 +81,46 @@ HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|dis
 class Block:
     text: str
     linked: int
-    main: bool
+    main: int
     furniture: bool
+    sides: tuple[int, ...]
     item: bool
     heading: bool
     label: str = ""
 
 
-def _words(attributes: str) -> list[str]:
-    found = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower()
-    out = []
-    for name in found.split():
-        parts = re.split(r"[-_]+", name)
-        if parts[0] not in ("with", "has", "no", "not"):
-            out += [name, parts[0], parts[-1]]
-    return out
+def _words(attributes: str) -> tuple[list[str], list[str]]:
+    """The names of an element, and the first and last parts of its compound names, without what
+    these say it has or has not."""
+    names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)).lower().split()
+    parts = []
+    for name in names:
+        of = re.split(r"[-_]+", name)
+        of = of[: next((i for i, w in enumerate(of) if w in ("with", "has", "no", "not")), len(of))]
+        if of:
+            parts += [of[0], of[-1]]
+    return names, parts
 
 
 def _kind(tag: str, attributes: str, in_main: bool) -> str:
-    """What an element is: unseen, furniture, main or plain."""
+    """What an element is: unseen, furniture, side (furniture by a part of its name that may tell of
+    its side only), main or plain."""
     if tag in UNSEEN or (attributes and HIDDEN.search(attributes)):
         return "unseen"
     if tag in FURNITURE or (tag == "header" and not in_main):
         return "furniture"
+    names: list[str] = []
+    side = False
     if attributes and tag not in ("html", "body"):
-        words = _words(attributes)
-        if not MARKED.isdisjoint(words) or (not in_main and not HEADERS.isdisjoint(words)):
+        names, parts = _words(attributes)
+        telling = MARKED if in_main else MARKED | HEADERS
+        found = telling.intersection(parts)
+        if not telling.isdisjoint(names) or not found <= SIDES:
             return "furniture"
-        if "main" in words or "article" in words[:3]:
-            return "main"
-    return "main" if tag in MAINS else "plain"
+        side = bool(found)
+    if tag in MAINS or not MAINS.isdisjoint(names):
+        return "main"
+    return "side" if side else "plain"
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -109,7 +128,8 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     pieces: list[str] = []
     linked = at = 0
-    links = unseen = furniture = main = 0
+    links = unseen = furniture = main = opened = region = 0
+    sides: list[int] = []
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -118,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 inner = any(t == "li" for t, _ in stack[-2:])
                 heading = any(t in HEADINGS for t, _ in stack[-2:])
-                out.append(Block(text, linked, main > 0, furniture > 0, inner, heading))
+                out.append(Block(text, linked, region if main else 0, furniture > 0, tuple(sides), inner, heading))
         pieces, linked = [], 0
 
     def close(depth: int) -> None:
@@ -129,6 +149,8 @@ def blocks_of(page: str) -> list[Block]:
             unseen -= kind == "unseen"
             furniture -= kind == "furniture"
             main -= kind == "main"
+            if kind == "side":
+                sides.pop()
 
     position, end = 0, len(page)
     while position < end:
@@ -174,7 +196,11 @@ def blocks_of(page: str) -> list[Block]:
         links += tag == "a"
         unseen += kind == "unseen"
         furniture += kind == "furniture"
-        main += kind == "main"
+        opened += 1
+        if kind == "main":
+            region, main = region if main else opened, main + 1
+        elif kind == "side":
+            sides.append(opened)
         if tag in RAW:
             over = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, position)
             position = over.end() if over else end
@@ -183,30 +209,41 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def _stops(text: str) -> float:
+    """Share of stop words; that of a text without letters is 0."""
+    words = LETTERS.findall(text.lower())
+    return sum(w.encode() in STOP for w in words) / max(1, len(words))
+
+
 def decide(blocks: list[Block]) -> list[Block]:
     """Label the blocks good or bad, in two passes."""
-    marked = any(b.main and not b.furniture for b in blocks)
+    # text of many stop words and few links, in all and in each element named after a side
+    prose: Counter[int] = Counter()
+    for b in blocks if any(b.sides for b in blocks) else ():
+        if b.sides or not b.furniture:
+            size = len(b.text) if not b.furniture and len(b.text) >= SHORT and b.linked <= NOTABLE * len(b.text) and _stops(b.text) >= DENSE else 0
+            prose.update({0: size} | dict.fromkeys(b.sides, size))
+    for b in blocks:
+        b.furniture = b.furniture or any(2 * prose[i] <= prose[0] for i in b.sides)
     for b in blocks:
         link_density = b.linked / len(b.text)
-        if b.furniture or (marked and not b.main):
+        if b.furniture:
             b.label = "bad"
         elif link_density > LINKED and (b.item or not b.main):
-            b.label, b.furniture = "bad", b.main  # a menu, whatever it is called
+            b.label, b.furniture = "bad", b.main > 0  # a menu, whatever it is called
         elif not b.main and b.text.startswith(("©", "(c) ", "Copyright ")):
             b.label = "bad"
         elif len(b.text) < SHORT:
             b.label = "bad" if link_density > NOTABLE and not b.main else "open"
         else:
-            words = LETTERS.findall(b.text.lower())
-            stops = sum(w.encode() in STOP for w in words)
-            if stops >= DENSE * max(1, len(words)):
-                b.label = "good"
-            else:
-                b.label = "sparse" if stops < SPARSE * len(words) and not b.main else "open"
+            stops = _stops(b.text)
+            b.label = "good" if stops >= DENSE else "sparse" if stops < SPARSE and not b.main else "open"
     dense = any(b.label == "good" for b in blocks)
     for b in blocks:
         if b.label == "sparse":
             b.label = "bad" if dense else "open"
+    mains = {b.main for b in blocks if b.main and (b.label == "good" if dense else not b.furniture)}
+    regions = [b.main if b.main in mains else 0 for b in blocks]
     decided = [i for i, b in enumerate(blocks) if b.label != "open" and not b.furniture]
     labels = {i: blocks[i].label for i in decided}
     at = 0
@@ -215,10 +252,10 @@ def decide(blocks: list[Block]) -> list[Block]:
             continue
         while at < len(decided) and decided[at] < i:
             at += 1
-        before = [j for j in decided[max(0, at - 1) : at] if blocks[j].main == b.main]
-        after = [j for j in decided[at : at + 1] if blocks[j].main == b.main]
+        before = [j for j in decided[max(0, at - 1) : at] if regions[j] == regions[i]]
+        after = [j for j in decided[at : at + 1] if regions[j] == regions[i]]
         near = min((after if b.heading else []) or before + after, key=lambda j: abs(i - j), default=None)
-        b.label = "good" if near is None else labels[near]
+        b.label = labels[near] if near is not None else "good" if b.main or not mains else "bad"
     return blocks
 
 

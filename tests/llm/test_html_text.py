@@ -73,3 +73,20 @@ SPARSE = "Offer 3000 cheap flights hotels cars insurance casino poker loans phon
 )
 def test_density_decides(page, text):
     assert html_text.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='main-image'><p>Photo: X</p></div><div class='body'><p>{LONG}</p><p>{LONG}</p></div>", f"Photo: X\n{LONG}\n{LONG}"),
+        (f"<div class=content><p>{LONG}</p></div><article><h2><a href=x>Teaser</a></h2></article>", f"{LONG}\nTeaser"),
+        (f"<div class='page-with-sidebar'><p>{LONG}</p><div class=sidebar><p>{LONG}</p></div></div>", LONG),
+        (f"<div class='content-sidebar'><h1>T</h1><p>{LONG}</p></div><div class=footer>{LONG}</div>", f"T\n{LONG}"),
+        (f"<main><p>{LONG}</p><p>{LONG}</p></main><div class='left-sidebar'><p>{LONG}</p></div><div>Sign up</div>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><article><p>Short story.</p></article>", f"{LONG}\nShort story."),
+        (f"<article><p>x</p></article><div class='post-comments'><p>{LONG}</p></div>", "x"),
+        (f"<div id=main><p>Hi</p></div><div><p>{LONG}</p></div>", f"Hi\n{LONG}"),
+    ],
+)
+def test_one_name_does_not_drop_the_text(page, text):
+    assert html_text.main_text(page)[0] == text
