@@ -20,9 +20,9 @@ texts are made together. Draws are hashes of the row's key, the place in the tex
 number, so a row gets the same samples wherever it is processed.
 
 Defined results: a null or empty text has the one empty segmentation; a text with fewer distinct
-segmentations than asked for has them all (kappa is then minus infinity and the score 1); a stretch
-of more than ``WORD_CHARS`` spaces, or characters without white space, is cut there, and no piece
-crosses the cut; rows with equal keys and texts get equal samples; tables may be empty.
+segmentations than asked for has them all (kappa is then minus infinity and the score 1); words and
+runs of spaces are whole, however long, and take memory in proportion; rows with equal keys and
+texts get equal samples; tables may be empty.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ DEPTH = 40.0
 #: Edges of a text that are searched for branches at first.
 HEAD = 512
 SEED = 4242
-WORD_CHARS = 32
+#: Characters before a word's end from which on its sums are held as logs, and draws of one place.
+PLAIN_CHARS, DRAWS = 64, 512
 SPACE = "▁"
 #: Characters of text that are drawn together, and lattice cells kept for reuse.
 CHUNK_CHARS = 1 << 19
@@ -61,9 +62,9 @@ MAX_PIECE = 16
 ALIEN = "\udc81"
 # Lattice words: a character of some of these stands alone, as no piece holds it; the others are
 # spaces and what follows them.
-WORDS = re.compile(rf"[\n\r\t]|{SPACE}{{0,{WORD_CHARS}}}[^{SPACE}\n\r\t]{{1,{WORD_CHARS}}}|{SPACE}{{1,{WORD_CHARS}}}")
+WORDS = re.compile(rf"[\n\r\t]|{SPACE}*[^{SPACE}\n\r\t]+|{SPACE}+")
 #: Texts between single spaces that are more than one lattice word after a space.
-UNFIT = re.compile(rf"^\n?\Z|[\r\t{SPACE}]|^\n?[^\n]{{{WORD_CHARS + 1}}}")
+UNFIT = re.compile(rf"^\n?\Z|[\r\t{SPACE}]")
 
 
 @dataclass(frozen=True)
@@ -130,6 +131,7 @@ class WordNumbers(dict):
 class Lattices:
     """Lattices of distinct words: nodes, and for each node its edges in a row.
 
+    word_draws: places of ``DRAWS`` draws that a word's path may need.
     edge arrays: share (running sum of probabilities within the node, 1 at its last edge), grains (log
     probability in 1 / GRAIN), follow (the next node, -1 at the word's end), piece (id, or SPECIAL + code point of a character
     of several byte pieces).
@@ -199,7 +201,7 @@ class Lattices:
             open_ = open_[~hit & (found != -1)]
         return out
 
-    COLUMNS = {"word_node": np.int32, "first": np.int32, "degree": np.int32, "share": np.float64, "grains": np.int64, "follow": np.int32, "piece": np.int32}
+    COLUMNS = {"word_node": np.int32, "word_draws": np.int32, "first": np.int32, "degree": np.int32, "share": np.float64, "grains": np.int64, "follow": np.int32, "piece": np.int32}
 
     def clear(self) -> None:
         self.known = WordNumbers()
@@ -288,7 +290,8 @@ class Lattices:
             at = slot[cells]
             slot[cells] += 1
             source[at], piece[at], reach[at] = cells, ids, size
-        # every path covers a word's characters once: a factor for each keeps sums in range
+        # every path covers a word's characters once: a factor for each keeps sums in range, but in
+        # long words, where they are sums times exp(scale) further than PLAIN_CHARS from the end
         weight = self.weights[np.minimum(piece, len(self.weights) - 1)] * self.stretch[reach]
         weight[firsts[missing] + degree[missing] - 1] = self.byte_weight * self.stretch[1]
         remaining = left[source]
@@ -296,17 +299,25 @@ class Lattices:
         target = source + reach
         target[final] = total
         # sums over the paths from each cell to its word's end, the last cells first
-        sums = np.ones(total + 1)
-        distance = remaining.astype(np.uint16)
+        sums, scale = np.ones(total + 1), np.zeros(total + 1)
+        distance = remaining.astype(np.uint16 if lengths.max() < 1 << 16 else np.int32)
         order = np.argsort(distance, kind="stable")
         bounds = np.searchsorted(distance[order], np.arange(1, int(lengths.max()) + 2))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for size, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), 1):
             part = order[a:b]
             if len(part):
                 cells = source[part]
                 heads = np.concatenate(([0], np.flatnonzero(cells[1:] != cells[:-1]) + 1))
-                sums[cells[heads]] = np.add.reduceat(weight[part] * sums[target[part]], heads)
+                terms = weight[part] * sums[target[part]]
+                if size <= PLAIN_CHARS:
+                    sums[cells[heads]] = np.add.reduceat(terms, heads)
+                else:
+                    # against the next cell's scale, which is near those of all targets
+                    terms *= np.exp(scale[target[part]] - scale[cells + 1])
+                    scale[cells[heads]] = scale[cells[heads] + 1] + np.log(np.add.reduceat(terms, heads))
         chance = weight * sums[target] / sums[source]
+        far = np.flatnonzero(remaining > PLAIN_CHARS)
+        chance[far] *= np.exp(scale[target[far]] - scale[source[far]])
         share = chance.copy()
         nodes, depth = np.arange(total), 1
         while len(nodes := nodes[degree[nodes] > depth]):
@@ -317,7 +328,7 @@ class Lattices:
         follow = target + base
         follow[final] = -1
         self._append(
-            word_node=base + starts, first=edge + firsts, degree=degree, share=share, grains=np.rint(np.log(chance) * GRAIN),
+            word_node=base + starts, word_draws=1 + (lengths - 1) // DRAWS, first=edge + firsts, degree=degree, share=share, grains=np.rint(np.log(chance) * GRAIN),
             follow=follow, piece=piece,
         )
 
@@ -395,11 +406,15 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
     word_start = np.cumsum(word_counts) - word_counts
     place = np.arange(len(numbers)) - word_start[word_row]
     nodes = lattices.word_node[numbers]
+    # a word's first place of draws, in its text
+    draws = lattices.word_draws[numbers].astype(np.int64)
+    drawn = np.cumsum(draws) - draws
+    slot = drawn - drawn[np.minimum(word_start, len(numbers) - 1)][word_row] if len(numbers) else place
 
     def counter(rows: np.ndarray, places: np.ndarray, number: int, purpose: int) -> np.ndarray:
-        # 512 draws of each word, sample and purpose
+        # so many draws of each place, sample and purpose
         salt = (number * 4 + purpose) * 0xD1342543DE82EF95 % 2**64
-        return (seeds[rows] ^ np.uint64(salt)) + places.astype(np.uint64) * np.uint64(512)
+        return (seeds[rows] ^ np.uint64(salt)) + places.astype(np.uint64) * np.uint64(DRAWS)
 
     def finish(number: int, rows: np.ndarray, edges: np.ndarray, counts: np.ndarray, words: np.ndarray, gumbel: np.ndarray,
                since: np.ndarray, taken: np.ndarray) -> tuple[Sample, Branches]:
@@ -440,7 +455,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
         return Sample(rows, edges, counts, words, total, gumbel), branches
 
     everyone = np.arange(len(texts))
-    edges, lengths = lattices.walk(nodes, counter(word_row, place, 0, 0))
+    edges, lengths = lattices.walk(nodes, counter(word_row, slot, 0, 0))
     counts = np.bincount(word_row, lengths, len(texts)).astype(np.int64)
     gumbel = -np.log(-np.log(mix_bits(counter(everyone, np.zeros(len(texts), dtype=np.int64), 0, 2))))
     none = np.full((len(texts), k), -1, dtype=np.int32)
@@ -453,7 +468,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
             break
         chosen = branches.pick(best)
         branches = branches.pick(np.setdiff1d(np.arange(len(branches.row)), best))
-        sample, more = _branch_off(lattices, samples, chosen, number, counter, finish, (nodes, word_start, word_counts))
+        sample, more = _branch_off(lattices, samples, chosen, number, counter, finish, (nodes, word_start, word_counts, slot))
         samples.append(sample)
         branches = branches.join(more)
     kappa = np.full(len(texts), -np.inf)
@@ -463,7 +478,7 @@ def sample_texts(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int
 
 def _branch_off(lattices: Lattices, samples: list[Sample], chosen: Branches, number: int, counter, finish, words) -> tuple[Sample, Branches]:
     """The samples that leave ``samples`` at the chosen branches, one for each of their rows."""
-    nodes, word_start, word_counts = words
+    nodes, word_start, word_counts, slot = words
     rows, n = chosen.row, len(chosen.row)
     # where each chosen row lies in the sample it leaves
     left_edge, word = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
@@ -491,14 +506,14 @@ def _branch_off(lattices: Lattices, samples: list[Sample], chosen: Branches, num
     # on to the end of the word, then the words after it
     follow = lattices.follow[pick]
     inner = np.flatnonzero(follow >= 0)
-    rest, rest_lengths = lattices.walk(follow[inner], counter(rows[inner], word[inner], number, 0))
+    rest, rest_lengths = lattices.walk(follow[inner], counter(rows[inner], slot[word_start[rows[inner]] + word[inner]], number, 0))
     rest_counts = np.zeros(n, dtype=np.int64)
     rest_counts[inner] = rest_lengths
     later = word_counts[rows] - word - 1
     span = _spans(word_start[rows] + word + 1, later)
     span_row = np.repeat(np.arange(n), later)
     span_place = span - word_start[rows][span_row]
-    tail, tail_lengths = lattices.walk(nodes[span], counter(rows[span_row], span_place, number, 0))
+    tail, tail_lengths = lattices.walk(nodes[span], counter(rows[span_row], slot[span], number, 0))
     tail_counts = np.bincount(span_row, tail_lengths, n).astype(np.int64)
     counts = chosen.at + 1 + rest_counts + tail_counts
     start = np.cumsum(counts) - counts

@@ -122,3 +122,27 @@ def test_small_caches_change_nothing(monkeypatch, kept):
     first, _ = samples_of(texts, [1, 2, 1], 2)
     second, _ = samples_of(texts, [1, 2, 1], 2)
     assert first == second and first[0] == first[2]
+
+
+def log_mass(text):
+    """Log of the sum over all segmentations of a text of known characters, forwards."""
+    text = "▁" + text.replace(" ", "▁")
+    sums = [0.0] + [-math.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        found = [sums[a] + LATTICES.scores[NUMBER[text[a:end]]] for a in range(max(0, end - 16), end) if text[a:end] in NUMBER]
+        sums[end] = np.logaddexp.reduce(found)
+    return sums[-1]
+
+
+@pytest.mark.parametrize(
+    "text", ["see https://example.com/a/very/long/path/to/some/page?with=query&and=more now", "=" * 700, "a" + " " * 150 + "b", "abc=" * 2000]
+)
+def test_long_words_are_whole(text):
+    mass = log_mass(text)
+    got, _ = samples_of([text] * 40, range(40), 2)
+    for mine in got:
+        for ids, lp, _ in mine:
+            assert lp == pytest.approx(sum(LATTICES.scores[i] for i in ids) - mass, abs=1e-6)
+            assert DECODE(list(ids)) == text
+    # draws differ along a word
+    assert len({ids for mine in got for ids, _, _ in mine}) > 40
