@@ -60,11 +60,8 @@ MAX_PIECE = 16
 
 #: Stands for a U+2581 of the text itself: a lone surrogate, which no text holds.
 ALIEN = "\udc81"
-# Lattice words: a character of some of these stands alone, as no piece holds it; the others are
-# spaces and what follows them.
-WORDS = re.compile(rf"[\n\r\t]|{SPACE}*[^{SPACE}\n\r\t]+|{SPACE}+")
-#: Texts between single spaces that are more than one lattice word after a space.
-UNFIT = re.compile(rf"^\n?\Z|[\r\t{SPACE}]")
+#: Of these, the characters that no longer piece of the vocabulary holds stand alone.
+CONTROLS = "\n\r\t"
 
 
 @dataclass(frozen=True)
@@ -110,12 +107,13 @@ class WordNumbers(dict):
     text between spaces that is no lattice word (see ``Lattices.words``) gets none; ``refused`` tells
     that one was asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, unfit: re.Pattern) -> None:
+        self.unfit = unfit
         self.fresh: list[str] = []
         self.refused = False
 
     def __missing__(self, key: str) -> int:
-        if UNFIT.search(key):
+        if self.unfit.search(key):
             self.refused = True
             return -1
         return self.number(key)
@@ -149,6 +147,13 @@ class Lattices:
         self.weights, self.byte_weight = np.exp(self.scores), math.exp(self.byte_score)
         self.stretch = np.exp(theta * 7.0 * np.arange(MAX_PIECE + 1))
         self._trie()
+        held = {c for p, n in zip(vocabulary.pieces, vocabulary.normal) if n and len(p) > 1 for c in p}
+        alone = "".join(c for c in CONTROLS if c not in held)
+        # lattice words: a character that stands alone, or spaces and what follows them
+        self.units = re.compile((f"[{alone}]|" if alone else "") + rf"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
+        #: Texts between single spaces that are more than one lattice word after a space.
+        self.unfit = re.compile(rf"^\n?\Z|[{SPACE}{alone.replace(chr(10), '')}]")
+        self.lines = "\n" in alone
         # the columns grow in rooms that are kept when the lattices are cleared
         self.room = {name: np.empty(1 << 16, dtype=kind) for name, kind in self.COLUMNS.items()}
         self.clear()
@@ -204,7 +209,7 @@ class Lattices:
     COLUMNS = {"word_node": np.int32, "word_draws": np.int32, "first": np.int32, "degree": np.int32, "share": np.float64, "grains": np.int64, "follow": np.int32, "piece": np.int32}
 
     def clear(self) -> None:
-        self.known = WordNumbers()
+        self.known = WordNumbers(self.unfit)
         for name in self.COLUMNS:
             setattr(self, name, self.room[name][:0])
 
@@ -229,7 +234,9 @@ class Lattices:
         counts = np.empty(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
             first = len(numbers)
-            if text:
+            if not self.lines and "\n" in text:
+                known.refused = True
+            elif text:
                 numbers.extend(map(number_of, text.replace("\n", " \n\n \n").split(" ")))
             if known.refused:
                 known.refused = False
@@ -241,14 +248,13 @@ class Lattices:
             known.fresh = []
         return np.array(numbers, dtype=np.int64), counts
 
-    @staticmethod
-    def _spelled(text: str) -> list[str]:
+    def _spelled(self, text: str) -> list[str]:
         """Dictionary words of a text of whatever characters."""
-        units = WORDS.findall(SPACE + text.replace(SPACE, ALIEN).replace(" ", SPACE))
+        units = self.units.findall(SPACE + text.replace(SPACE, ALIEN).replace(" ", SPACE))
         keys = []
         for u in units:
             after = u.removeprefix(SPACE)
-            if SPACE in after or not after:
+            if SPACE in after or not after or (after[0] == "\n" and u != "\n"):
                 keys.append("\n\n" + u)
             else:
                 keys.append(after if u != after else "\n" + u)

@@ -146,3 +146,23 @@ def test_long_words_are_whole(text):
             assert DECODE(list(ids)) == text
     # draws differ along a word
     assert len({ids for mine in got for ids, _, _ in mine}) > 40
+
+
+def test_carriage_returns_are_in_pieces():
+    for text in (");\r", "}\r", "a \r", "\r\r", "x,\r"):
+        want = segmentations("▁" + text.replace(" ", "▁"))
+        (got,), _ = samples_of([text], [9], len(want) + 3)
+        assert {ids: round(lp, 9) for ids, lp, _ in got} == {ids: round(lp, 9) for ids, lp in want.items()}
+        assert any(len(VOCABULARY.pieces[i]) > 1 and "\r" in VOCABULARY.pieces[i] for ids in want for i in ids)
+    (got,), _ = samples_of(["a();\r\n\tb\r\n"], [4], 5)
+    assert all(DECODE(list(ids)) == "a();\r\n\tb\r\n" for ids, _, _ in got)
+
+
+def test_characters_that_stand_alone_follow_from_the_vocabulary():
+    n = len(VOCABULARY.pieces)
+    more = pieces.Vocabulary([*VOCABULARY.pieces, "\n", "\n\n", "▁\n"], np.append(VOCABULARY.normal, [True] * 3), VOCABULARY.first_byte)
+    lattices, decode = pieces.Lattices(more), pieces.Decoder(more)
+    text = "a\n\nb \nc\n"
+    samples, _ = pieces.sample_texts(lattices, [text], np.array([1], dtype=np.uint64), 40)
+    ids = [pieces.piece_ids(lattices, s)[0].tolist() for s in samples if len(s.rows)]
+    assert all(decode(x) == text for x in ids) and {n + 1, n + 2} <= {i for x in ids for i in x}
