@@ -11,6 +11,8 @@ from rewardframe.sources.sinks import scratch_dir
 #: White space of the word rule: words are runs of anything but these six ASCII characters.
 #: ``bytes.split()`` without arguments splits on exactly this set.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes with A-Z lower-cased.
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, quality, simhash, topk, urls
+from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, quality, simhash, spelling, topk, urls
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,12 @@ def op5_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_score"] = op5_score
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their near words, forms and roots."""
+    return spelling.op11_variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_spelling"] = op11_spelling
+ORACLE["op11_spelling"] = spelling.ORACLE
