@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, quality, simhash, spelling, topk, urls
+from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, quality, simhash, spelling, topk, urls, vector_codes
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op11_spelling"] = op11_spelling
 ORACLE["op11_spelling"] = spelling.ORACLE
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by four codebooks of 256 entries, with their errors."""
+    return vector_codes.op12_codes(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op12_vector_codes"] = op12_vector_codes
+ORACLE["op12_vector_codes"] = vector_codes.ORACLE
