@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, quality, simhash, spelling, topk, urls, vector_codes
+from rewardframe.llm import ann, chat, html_text, mixing, pieces, pitman_yor, private_data, quality, simhash, spelling, topk, urls, vector_codes
 from rewardframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_vector_codes"] = op12_vector_codes
 ORACLE["op12_vector_codes"] = vector_codes.ORACLE
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: by their forms, and by contexts learned from these."""
+    return private_data.op13_personal_data(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_personal_data"] = op13_personal_data
