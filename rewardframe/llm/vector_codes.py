@@ -22,7 +22,7 @@ Defined results: a vector that is null or holds null, NaN or infinite components
 vector is filled up with 0 to the longest one's width, and that to a multiple of PARTS; ids may repeat
 (the smaller vector comes first) and be null (they come last); fewer vectors than ENTRIES make smaller
 codebooks; an empty table gives no rows; other columns are not read. A component whose squared
-distances could pass 64 bits (whole parts beyond about 2^28 at 16 components a part) fails the job by
+distances could pass 64 bits (whole numbers beyond about 2^27 at 64 components) fails the job by
 name, as a wrapped sum would be a wrong result.
 """
 
@@ -202,9 +202,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, block: int) -> Iterat
 
 
 def _read(row: dict, width: int) -> tuple[np.ndarray, list[Tree]]:
-    matrix = np.frombuffer(row["vectors"], dtype=np.int64).reshape(-1, width)
     kinds = (np.int64, np.int64, np.float64, np.int64, np.int64, np.int64, np.int64)
-    return matrix, [Tree(*(np.frombuffer(x, dtype=k) for x, k in zip(t, kinds))) for t in row["trees"]]
+    trees = [Tree(*(np.frombuffer(x, dtype=k) for x, k in zip(t, kinds))) for t in row["trees"]]
+    return np.frombuffer(row["vectors"], dtype=np.int64).reshape(len(trees[0].order), width), trees
 
 
 def _round(batches: Iterator[pa.RecordBatch], width: int, codebooks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def codes(
     kinds = dict(kept.dtypes)
     have = kept.agg(F.max(F.size("v")).alias("width"), F.max("most").alias("most")).first()
     width = -(-(have.width or 0) // PARTS) * PARTS
-    if 4 * max(1, width) * (float(have.most or 0) + 1) ** 2 >= 2.0**63:
+    if (have.most or 0) + 1 >= math.sqrt(2.0**63 / (4 * max(1, width))):
         raise ValueError(f"a component of {have.most / SCALE:g} is too large: its squared distances pass 64 bits")
     size = max(1, min(block, BLOCK_VALUES // max(1, width)))
     made = spread(kept.select("id", "label", "v")).mapInArrow(
