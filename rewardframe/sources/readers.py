@@ -11,6 +11,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewardframe.sources.json_records import LIMIT, read_large_documents
+
+#: Bytes of a JSON file that is read as one row.
+WHOLE_FILE = 64 << 20
+
 # Fixed values that must equal the reference's for equal results.
 # Keys of a top-level JSON object that may hold the list of records, in order.
 RECORD_LIST_KEYS = ["data", "items", "examples", "train", "test"]
@@ -61,13 +66,29 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_document(spark: SparkSession, path: str) -> DataFrame:
+def read_json_document(spark: SparkSession, path: str, whole_file: int = WHOLE_FILE, limit: int = LIMIT) -> DataFrame:
     """Whole-JSON files (S3): a list gives its elements; an object gives the first list among the
     record keys, or the object itself if there is none or it is empty. One row per record: the
     source columns and ``v VARIANT``. A file that is no JSON fails the job and is named.
 
-    A JSON document cannot be split, so each file is one task by nature of the format.
+    A file of at most ``whole_file`` bytes is one row and parsed at once; larger ones are cut into
+    records by all the tasks that their splits make (see ``json_records``). A record of over ``limit``
+    bytes fails the job and is named.
     """
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = [r.path for r in files.filter(F.col("length") > whole_file).collect()]
+    if not large:
+        return _small_documents(spark, path)
+    cut = read_large_documents(spark, large, RECORD_LIST_KEYS, limit)
+    v = F.try_parse_json(scrub_surrogates("raw"))
+    corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file"))).cast("variant")
+    records = cut.select(*ORIGIN, v.alias("v")).select(*ORIGIN, F.when(F.col("v").isNull(), corrupt).otherwise(F.col("v")).alias("v"))
+    small = [r.path for r in files.filter(F.col("length") <= whole_file).collect()]
+    return records.unionByName(_small_documents(spark, small)) if small else records
+
+
+def _small_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Files of one row each."""
     files = spark.read.text(path, wholetext=True).select(*_origin(F.lit(0).cast("bigint")), F.col("value").alias("raw"))
     parsed = files.withColumn("doc", F.try_parse_json(scrub_surrogates("raw")))
     corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file")))
