@@ -51,22 +51,78 @@ def non_empty(c: Column, dtype: T.DataType) -> Column:
         return c.isNotNull() & (py_strip(c) != "")
     if isinstance(dtype, (T.ArrayType, T.MapType)):
         return c.isNotNull() & (F.size(c) > 0)
+    if isinstance(dtype, T.VariantType):
+        kind = F.schema_of_variant(c)
+        return (
+            F.when(c.isNull() | kind.isin("VOID", "NULL"), False)
+            .when(kind == "STRING", py_strip(F.try_variant_get(c, "$", "string")) != "")
+            .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(c, "$", "array<variant>")) > 0)
+            .otherwise(True)
+        )
     return c.isNotNull()
 
 
+def _has_other_keys(dtype: T.DataType) -> bool:
+    """Whether a map with keys other than strings is anywhere in the type."""
+    if isinstance(dtype, T.MapType):
+        return not isinstance(dtype.keyType, T.StringType) or _has_other_keys(dtype.valueType)
+    if isinstance(dtype, T.ArrayType):
+        return _has_other_keys(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(_has_other_keys(f.dataType) for f in dtype.fields)
+
+
+def as_variant(c: Column, dtype: T.DataType) -> Column:
+    """A value of any type as a VARIANT that keeps its kind. Binary values that are UTF-8 become
+    text, others stay binary; maps with keys other than strings get their keys as text."""
+    if isinstance(dtype, T.VariantType):
+        return c
+    if isinstance(dtype, T.BinaryType):
+        text = c.cast("string")
+        return F.when(F.is_valid_utf8(text), text.cast("variant")).otherwise(c.cast("variant"))
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return F.parse_json(F.to_json(c)) if _has_other_keys(dtype) else F.to_variant_object(c)
+    if isinstance(dtype, (T.DayTimeIntervalType, T.YearMonthIntervalType, T.CalendarIntervalType, T.NullType, T.TimeType)):
+        return c.cast("string").cast("variant")
+    return c.cast("variant")
+
+
+def variant_text(v: Column) -> Column:
+    """A string value as is (untrimmed), any other value as its JSON text."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
+def alias_type(schema: T.StructType, names: Sequence[str]) -> T.DataType:
+    """Type of what ``first_non_empty`` gives: that of the alias columns if they agree, else VARIANT."""
+    types = {f.dataType.simpleString(): f.dataType for f in schema.fields if f.name in names}
+    return next(iter(types.values())) if len(types) == 1 else T.VariantType() if types else T.StringType()
+
+
 def first_non_empty(schema: T.StructType, names: Sequence[str], default=None) -> Column:
     """First alias column that is present and non-empty, untrimmed; ``default`` when none is.
 
     Absent columns are skipped at plan time (the schema is known), so the expression only
-    touches columns that exist.
+    touches columns that exist. Columns of different types give a VARIANT: the value is chosen by
+    presence and keeps its kind, no column is cast to another's type.
     """
     fields = {f.name: f.dataType for f in schema.fields}
-    branches = [F.when(non_empty(F.col(n), fields[n]), F.col(n)) for n in names if n in fields]
+    mixed = isinstance(alias_type(schema, names), T.VariantType)
+    branches = [
+        F.when(non_empty(F.col(n), fields[n]), as_variant(F.col(n), fields[n]) if mixed else F.col(n)) for n in names if n in fields
+    ]
     if default is not None or not branches:
-        branches.append(F.lit(default))
+        branches.append(F.lit(default).cast("variant") if mixed else F.lit(default))
     return F.coalesce(*branches) if len(branches) > 1 else branches[0]
 
 
+def first_text(schema: T.StructType, names: Sequence[str], default: str = "") -> Column:
+    """The first non-empty alias value as text: strings as they are, other kinds as JSON text."""
+    dtype = alias_type(schema, names)
+    if isinstance(dtype, T.StringType):
+        return first_non_empty(schema, names, default)
+    picked = first_non_empty(schema, names)
+    return F.coalesce(variant_text(as_variant(picked, dtype)), F.lit(default))
+
+
 def truthy_first(*cols: str | Column, default: str = "") -> Column:
     """``a or b or c`` on strings: empty string and null are false, a blank string is true."""
     return F.coalesce(*[F.nullif(col_(c), F.lit("")) for c in cols], F.lit(default))

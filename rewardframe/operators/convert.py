@@ -6,6 +6,8 @@ converter is one projection (no per-row Python) over any Parquet/JSON input.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +17,13 @@ from rewardframe.functions.text import (
     PROMPT_ALIASES,
     SOLUTION_ALIASES,
     TESTS_ALIASES,
+    alias_type,
+    as_variant,
     col_,
     first_non_empty,
+    first_text,
     render_messages,
+    variant_text,
 )
 from rewardframe.functions.tokens import count_tokens
 
@@ -32,22 +38,45 @@ DEFAULT_SYSTEM_PROMPT = "You are a helpful and expert programming assistant."
 
 
 def _with_tests_value(df: DataFrame, out: str) -> DataFrame:
-    """First non-empty tests alias as ``array<string>`` in column ``out``; text is parsed with
-    the tests rules (staged, see ``tests_parse.with_tests``); arrays are kept as they are."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    present = [n for n in TESTS_ALIASES if n in fields]
+    """First non-empty tests alias as ``array<string>`` in column ``out``; text, numbers and objects
+    are parsed with the tests rules (staged, see ``tests_parse.with_tests``); lists of strings are
+    kept as they are."""
+    present = [n for n in TESTS_ALIASES if n in df.columns]
+    none = F.array().cast("array<string>")
     if not present:
-        return df.withColumn(out, F.array().cast("array<string>"))
-    picked = first_non_empty(df.schema, present)
-    if all(isinstance(fields[n], T.ArrayType) for n in present):
-        return df.withColumn(out, F.coalesce(F.transform(picked, lambda x: x.cast("string")), F.array().cast("array<string>")))
-    if all(isinstance(fields[n], T.StringType) for n in present):
-        text = picked
-    else:  # mixed column types: resolve on JSON text
-        as_text = [F.when(F.col(n).isNotNull(), F.col(n) if isinstance(fields[n], T.StringType) else F.to_json(F.col(n))) for n in present]
-        text = F.coalesce(*as_text)
-    staged = with_tests(df.withColumn("_tests_text", text), "_tests_text", out)
-    return staged.drop("_tests_text")
+        return df.withColumn(out, none)
+    dtype, picked = alias_type(df.schema, present), first_non_empty(df.schema, present)
+    if isinstance(dtype, T.ArrayType) and not isinstance(dtype.elementType, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
+        return df.withColumn(out, F.coalesce(F.transform(picked, lambda x: x.cast("string")), none))
+    if isinstance(dtype, T.StringType):
+        return with_tests(df.withColumn("_tests_text", picked), "_tests_text", out).drop("_tests_text")
+    staged = df.withColumn("_tests_value", as_variant(picked, dtype))
+    is_list = F.schema_of_variant("_tests_value") == "ARRAY<STRING>"
+    staged = staged.withColumns({
+        "_tests_list": F.when(is_list, F.try_variant_get("_tests_value", "$", "array<string>")),
+        "_tests_text": F.when(~is_list, variant_text(F.col("_tests_value"))),
+    })
+    parsed = with_tests(staged, "_tests_text", out)
+    return parsed.withColumn(out, F.coalesce("_tests_list", out)).drop("_tests_value", "_tests_list", "_tests_text")
+
+
+def convertible_rows(df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows of a typed table that can be converted, and the others with a reason (E4): the prompt,
+    solution or tests that the aliases choose must not be binary data other than UTF-8 text. Rejects
+    hold the columns ``keep``, the reason and the row as JSON (binary in base64) as ``raw``."""
+    groups = {"prompt": PROMPT_ALIASES, "solution": SOLUTION_ALIASES, "tests": TESTS_ALIASES}
+    binary = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)}
+    reasons = []
+    for group, names in groups.items():
+        if binary & {n for n in names if n in df.columns}:
+            kind = F.schema_of_variant(as_variant(first_non_empty(df.schema, names), alias_type(df.schema, names)))
+            reasons.append(F.when(kind == "BINARY", F.lit(f"no text: {group} is binary")))
+    reason = F.coalesce(*reasons, F.lit(None).cast("string")) if reasons else F.lit(None).cast("string")
+    known = df.withColumn("_reason", reason)
+    raw = F.to_json(F.struct(*(c for c in df.columns if c not in keep)))
+    return known.where(F.col("_reason").isNull()).drop("_reason"), known.where(F.col("_reason").isNotNull()).select(
+        *keep, F.col("_reason").alias("reason"), raw.alias("raw")
+    )
 
 
 def training_records(
@@ -57,15 +86,16 @@ def training_records(
     ability: str = DEFAULT_ABILITY,
     split: str = DEFAULT_SPLIT,
 ) -> DataFrame:
-    """Nested training record per input row.
+    """Nested training record per input row (P5 P6). Alias columns may have any types: a prompt or
+    solution that is no string becomes its JSON text.
 
     ``index_col`` holds the row position (see ``sampling.dense_index``). Other input columns
     go to ``extra_info.extra`` as JSON text, except the consumed keys; a source ``index`` or
     ``split`` column replaces the computed value, as the reference's overwrite does.
     """
     cols = set(df.columns)
-    prompt = first_non_empty(df.schema, PROMPT_ALIASES, default="")
-    solution = first_non_empty(df.schema, SOLUTION_ALIASES, default="")
+    prompt = first_text(df.schema, PROMPT_ALIASES)
+    solution = first_text(df.schema, SOLUTION_ALIASES)
     extra_names = sorted(c for c in cols if c not in CONSUMED_KEYS and c != index_col and c not in ("index", "split"))
     extra = (
         F.create_map(*[x for n in extra_names for x in (F.lit(n), _json_text(F.col(n)))])
@@ -80,7 +110,7 @@ def training_records(
     split_c = F.col("split").cast("string") if "split" in cols else F.lit(split)
     staged = _with_tests_value(df, "_tests")
     return staged.select(
-        prompt.cast("string").alias("prompt"),
+        prompt.alias("prompt"),
         F.lit(data_source).alias("data_source"),
         F.lit(ability).alias("ability"),
         F.struct(F.lit(REWARD_STYLE).alias("style"), F.col("_tests").alias("ground_truth")).alias("reward_model"),
@@ -88,7 +118,7 @@ def training_records(
             index.alias("index"),
             split_c.alias("split"),
             F.col("_tests").alias("tests"),
-            solution.cast("string").alias("solution"),
+            solution.alias("solution"),
             extra.alias("extra"),
         ).alias("extra_info"),
     )
@@ -157,11 +187,6 @@ def _present_sql(x: str) -> str:
     )
 
 
-def _variant_text(x: Column) -> Column:
-    """A string value as is (untrimmed), any other value as its JSON text."""
-    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.to_json(x))
-
-
 def typed_record_fields(records: DataFrame, v: str = "v") -> DataFrame:
     """``prompt``, ``solution`` (text) and ``tests`` (array<string>) resolved from VARIANT
     records through the alias lists, plus ``extra`` (other keys as JSON text), ``src_index``
@@ -185,10 +210,10 @@ def typed_record_fields(records: DataFrame, v: str = "v") -> DataFrame:
     tv = F.col("_v_tests")
     typed = picked.select(
         *records.columns,
-        F.coalesce(_variant_text(F.col("_v_prompt")), F.lit("")).alias("prompt"),
-        F.coalesce(_variant_text(F.col("_v_solution")), F.lit("")).alias("solution"),
+        F.coalesce(variant_text(F.col("_v_prompt")), F.lit("")).alias("prompt"),
+        F.coalesce(variant_text(F.col("_v_solution")), F.lit("")).alias("solution"),
         F.schema_of_variant(tv).alias("_tk"),
-        F.when(tv.isNotNull(), _variant_text(tv)).alias("_tt"),
+        F.when(tv.isNotNull(), variant_text(tv)).alias("_tt"),
         tv,
     )
     parsed = with_tests(typed, "_tt", "_tp")

@@ -71,16 +71,16 @@ def convert_job(
     kind = input_format or input_path.rstrip("/").rsplit(".", 1)[-1].lower()
     rows = SM.index_in_file_order(RD.read_any(spark, input_path, kind, origin=True), "_row")
     if kind == "parquet":
-        records, rejects = CV.training_records(rows, "_row", data_source, ability, split), None
+        rows, rejects = CV.convertible_rows(rows, ["_row"])
+        records = CV.training_records(rows, "_row", data_source, ability, split)
     else:
         rows, rejects = CV.convertible(rows)
         records = CV.records_from_variant(rows, "_row", data_source=data_source, ability=ability, split=split)
     SK.write_dataset(records, output_path, fmt)
-    if rejects is not None and rejects_path is not None:
+    if rejects_path is not None:
         SK.write_jsonl(rejects, rejects_path)
     written = spark.read.parquet(output_path) if fmt == "parquet" else spark.read.schema(records.schema).json(output_path, multiLine=fmt == "json")
-    n_rejects = F.lit(0).cast("bigint") if rejects is None else rejects.agg(F.count(F.lit(1))).scalar()
-    return CV.conversion_report(written).withColumn("rejected", n_rejects)
+    return CV.conversion_report(written).withColumn("rejected", rejects.agg(F.count(F.lit(1))).scalar())
 
 
 def split_job(df: DataFrame, id_col: str, train_path: str, val_path: str, train_ratio: float = 0.95,

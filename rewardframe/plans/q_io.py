@@ -70,41 +70,50 @@ def convert_extra(spark, sf_dir):
 
 
 def _documents_as_files(spark, sf_dir, name: str):
-    """documents -> one JSON file for each 128 of them, named in order: a top-level array, an
-    object with a record list, or an object whose first record list is empty (one record)."""
-    d = table(spark, sf_dir, "documents").withColumn("grp", F.lpad(F.floor(F.col("doc_id") / 128).cast("string"), 9, "0"))
+    """documents -> JSON files, named in order: one for each 128 of them, in turn a top-level array or
+    an object with a record list; before it, of every 32 one by itself, as an object whose first
+    record list is empty (which is one record)."""
+    d = table(spark, sf_dir, "documents")
+    alone = F.col("doc_id") % 32 == 2
+    grp = F.lpad(F.floor(F.col("doc_id") / 128).cast("string"), 9, "0")
     rows = F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang")))
-    first = F.element_at(rows, 1)
-    kind = F.col("grp").cast("bigint") % 3
-    docs = d.groupBy("grp").agg(rows.alias("rows"), first.alias("first")).select(
-        "grp",
-        F.when(kind == 0, F.to_json("rows"))
-        .when(kind == 1, F.to_json(F.struct(F.lit(1).alias("version"), F.col("rows").alias("data"))))
-        .otherwise(F.to_json(F.struct(F.array().cast("array<int>").alias("data"), F.col("rows").alias("items"), "first.doc_id", "first.text", "first.lang")))
-        .alias("value"),
+    as_list = F.when(F.col("grp").cast("bigint") % 2 == 0, F.to_json("rows")).otherwise(
+        F.to_json(F.struct(F.lit(1).alias("version"), F.col("rows").alias("data")))
     )
+    lists = d.where(~alone).groupBy(grp.alias("grp")).agg(rows.alias("rows")).select("grp", as_list.alias("value"))
+    one = F.struct(F.array().cast("array<int>").alias("data"), F.array("doc_id").alias("items"), "doc_id", "text", "lang")
+    singles = d.where(alone).select(F.concat(grp, F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("grp"), F.to_json(one).alias("value"))
     out = SK.scratch_dir(spark, name)
-    docs.repartition("grp").write.partitionBy("grp").text(out)
+    lists.unionByName(singles).repartition("grp").write.partitionBy("grp").text(out)
     return out
 
 
-_JSON_RECORDS = """
-g as (select *, doc_id // 128 as grp from documents),
-r as (select * from g where grp % 3 < 2 union all
-  select g.* from g join (select grp, min(doc_id) as doc_id from g group by grp) f on f.doc_id = g.doc_id where g.grp % 3 = 2)
-"""
-
-
-@register("json_document_records", "with " + _JSON_RECORDS + "select doc_id, text, lang from r")
+@register("json_document_records", "select doc_id, text, lang from documents")
 def json_document_records(spark, sf_dir):
-    """Whole-JSON files of every shape, one document per file, read back (S3)."""
-    got = RD.read_json_document(spark, _documents_as_files(spark, sf_dir, "json"))
+    """JSON files of every shape, read back (S3); those of over 64 KB are cut into records by the tasks
+    that their splits make, the others are one row each."""
+    got = RD.read_json_document(spark, _documents_as_files(spark, sf_dir, "json"), whole_file=1 << 16)
     return RD.variant_columns(got, {"doc_id": "bigint", "text": "string", "lang": "string"}).select("doc_id", "text", "lang")
 
 
+@register(
+    "json_one_file",
+    "select doc_id, text, lang, cast(row_number() over (order by doc_id) - 1 as bigint) as position from documents",
+)
+def json_one_file(spark, sf_dir):
+    """All documents as one JSON array in one file of many splits, read by as many tasks, with the
+    positions of the records (S3 P7)."""
+    out = SK.scratch_dir(spark, "json-one")
+    ordered = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").orderBy("doc_id")
+    SK.write_json_array(ordered, out, one_file=True)
+    rows = RD.read_json_document(spark, out, whole_file=1 << 16)
+    fields = {"doc_id": "bigint", "text": "string", "lang": "string"}
+    return RD.variant_columns(SM.index_in_file_order(rows, "position"), fields).select(*fields, "position")
+
+
 @register(
     "json_file_order",
-    "with " + _JSON_RECORDS + "select doc_id, text, cast(row_number() over (order by doc_id) - 1 as bigint) as index from r",
+    "select doc_id, text, cast(row_number() over (order by doc_id // 128, doc_id % 32 <> 2, doc_id) - 1 as bigint) as index from documents",
 )
 def json_file_order(spark, sf_dir):
     """Row index over many JSON files: the order of the files, then of the records in them."""
@@ -120,10 +129,11 @@ def jsonl_file_order(spark, sf_dir):
     """Row index of the good lines over JSON Lines files of different sizes, in file order."""
     d = table(spark, sf_dir, "documents")
     line = F.when(F.col("doc_id") % 7 == 0, "{bad").when(F.col("doc_id") % 11 == 0, "").otherwise(F.to_json(F.struct("doc_id", "text")))
-    # files of very different sizes, in the order of their names
+    # folders of very different sizes, in the order of their names; dealt by range, so a folder has as
+    # many files as tasks hold its rows
     name = F.lpad(F.floor(F.log2(F.col("doc_id") + 1)).cast("string"), 3, "0")
     out = SK.scratch_dir(spark, "jsonl-order")
-    named = d.select(name.alias("part"), "doc_id", line.alias("value")).repartition("part").sortWithinPartitions("part", "doc_id")
+    named = d.select(name.alias("part"), "doc_id", line.alias("value")).repartitionByRange("doc_id").sortWithinPartitions("part", "doc_id")
     named.drop("doc_id").write.partitionBy("part").text(out)
     rows = RD.read_any(spark, out, "jsonl")
     return RD.variant_columns(SM.index_in_file_order(rows), {"doc_id": "bigint", "text": "string"}).select("doc_id", "text", "index")
@@ -241,6 +251,54 @@ def convert_rejects(spark, sf_dir):
     return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "convert_typed_aliases",
+    """
+with t as (select *, doc_id % 6 as k, cast(doc_id as varchar) as d from documents)
+select doc_id,
+  case when k = 5 then 'rejected' else 'converted' end as status,
+  case k when 0 then text when 1 then d when 2 then concat('["', d, '","', lang, '"]') when 3 then concat('{"content":', to_json(text), ',"n":', d, '}')
+    when 4 then text end as prompt,
+  case k when 0 then concat('x = ', d) when 1 then concat(d, '.5') when 2 then concat('{"code":"', lang, '"}') when 3 then 'true' when 4 then '' end as solution,
+  case k when 0 then concat('assert ', d, '|b') when 1 then 'a|c' when 2 then concat('t', d) when 3 then d when 4 then '' end as tests,
+  case when k = 5 then 'no text: prompt is binary' end as reason
+from t
+""",
+)
+def convert_typed_aliases(spark, sf_dir):
+    """A typed table whose alias columns are strings, numbers, arrays, structs and binary: each value
+    is chosen by presence and keeps its kind; binary data that is no text is rejected (P1 P5 E4)."""
+    from rewardframe.operators import convert as CV
+
+    d = table(spark, sf_dir, "documents")
+    i, k = F.col("doc_id"), F.col("doc_id") % 6
+    sid = i.cast("string")
+    typed = d.select(
+        "doc_id",
+        F.when(k == 0, F.col("text")).when(k == 1, F.lit(" \t")).alias("prompt"),
+        F.when(k == 1, i).alias("problem"),
+        F.when(k == 2, F.array(sid, F.col("lang"))).otherwise(F.array().cast("array<string>")).alias("description"),
+        F.when(k == 3, F.struct(F.col("text").alias("content"), i.alias("n"))).alias("question"),
+        F.when(k == 4, F.col("text").cast("binary")).when(k == 5, F.unhex(F.lit("FFFE00"))).alias("input"),
+        F.when(k == 0, F.concat(F.lit("x = "), sid)).otherwise(F.lit("")).alias("solution"),
+        F.when(k == 1, i.cast("decimal(20,1)") + F.lit("0.5").cast("decimal(2,1)")).alias("code"),
+        F.when(k == 2, F.create_map(F.lit("code"), F.col("lang"))).alias("answer"),
+        F.when(k == 3, F.lit(True)).alias("output"),
+        F.when(k == 0, F.array(F.concat(F.lit("assert "), sid), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("tests"),
+        F.when(k == 1, F.lit('["a", "c"]')).alias("test_cases"),
+        F.when(k == 2, F.struct(F.array(F.concat(F.lit("t"), sid)).alias("tests"))).alias("test"),
+        F.when(k == 3, i).alias("checks"),
+    )
+    out = SK.scratch_dir(spark, "typed")
+    typed.write.parquet(out)
+    rows, rejects = CV.convertible_rows(RD.read_any(spark, out, "parquet"), ["doc_id"])
+    records = CV.training_records(rows, "doc_id")
+    return records.select(
+        F.col("extra_info.index").alias("doc_id"), F.lit("converted").alias("status"), "prompt", F.col("extra_info.solution").alias("solution"),
+        F.array_join("reward_model.ground_truth", "|").alias("tests"), F.lit(None).cast("string").alias("reason"),
+    ).unionByName(rejects.select("doc_id", F.lit("rejected").alias("status"), "reason"), allowMissingColumns=True)
+
+
 # ----------------------------------------------------------------------------- streaming
 
 _STREAM_FLAGS = """

@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rewardframe.operators import sampling as SM
 from rewardframe.sources import readers as RD
 
 
@@ -47,8 +46,6 @@ def expected(doc):
 def records(spark, path, **options):
     rows = RD.read_json_document(spark, str(path), **options)
     placed = rows.select(*RD.ORIGIN, F.to_json("v").alias("j")).orderBy(*RD.ORIGIN).collect()
-    numbered = SM.index_in_file_order(rows).select("index", F.to_json("v").alias("j")).orderBy("index").collect()
-    assert [r.j for r in placed] == [r.j for r in numbered]
     return [(r.src_file.rsplit("/", 1)[-1], json.loads(r.j)) for r in placed]
 
 
@@ -56,7 +53,7 @@ def records(spark, path, **options):
 def test_files_cut_by_several_tasks(spark, tmp_path, small_splits, split):
     rng = random.Random(split)
     want = []
-    for i in range(16):
+    for i in range(8):
         rows = [some_value(rng) for _ in range(rng.randint(0, 40))]
         doc = [
             rows,

@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rewardframe.operators import convert as CV
 from rewardframe.operators import sampling as SM
 from rewardframe.session import table
 from rewardframe.sources import readers as RD
@@ -326,3 +327,36 @@ def test_split_edge_ratios(spark):
     for ratio, want in ((0.0, 0), (1.0, n), (0.5, int(n * 0.5))):
         train, val = SM.split_exact(d, "doc_id", ratio)
         assert train.count() == want and val.count() == n - want
+
+
+def test_alias_columns_of_any_type(spark, tmp_path):
+    """Values are chosen by presence and keep their kind, whatever types the alias columns have."""
+    schema = "prompt string, input bigint, question array<string>, description struct<content string, n int>, problem map<int, string>, code binary, answer double, tests string, checks array<struct<a int>>, index string, day date"
+    rows = [
+        ("  ", 7, [], None, {}, None, float("nan"), None, None, None, None),
+        (None, None, ["a", None], None, None, b"print(1)", None, '["x"]', None, "4", None),
+        (None, 3, None, ("hi", 1), None, b"\xff\x00", 1.5, "t", None, None, None),
+        ("p", 0, None, None, None, b"", None, None, [(1,), (2,)], "zz", None),
+        (None, None, None, None, {1: "one"}, None, None, "", [], None, None),
+    ]
+    df = spark.createDataFrame(rows, schema).withColumn("_row", F.monotonically_increasing_id())
+    good, rejects = CV.convertible_rows(df, ["_row"])
+    assert [(r.reason, "tests" in r.raw) for r in rejects.collect()] == [("no text: solution is binary", True)]
+    got = [
+        (r.prompt, r.extra_info.solution, r.extra_info.tests, r.extra_info["index"])
+        for r in CV.training_records(good, "_row").collect()
+    ]
+    row = [r._row for r in df.collect()]
+    assert got == [
+        ("7", '"NaN"', [], row[0]),
+        ('["a",null]', "print(1)", ["x"], 4),
+        ("p", "", ["{'a': 1}", "{'a': 2}"], row[3]),
+        ('{"1":"one"}', "", [], row[4]),
+    ]
+    # the same through the job, with the rejects written
+    from rewardframe.operators import jobs as J
+
+    df.drop("_row").write.parquet(str(tmp_path / "in.parquet"))
+    report = J.convert_job(spark, str(tmp_path / "in.parquet"), str(tmp_path / "out"), rejects_path=str(tmp_path / "rejects")).first()
+    assert (report.total, report.rejected) == (4, 1)
+    assert spark.read.json(str(tmp_path / "rejects")).count() == 1
