@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardframe.session import ship_package
-from rewardframe.sources.sinks import scratch_dir
+from rewardframe.sources.sinks import _fs, scratch_dir
 
 #: White space of the word rule: words are runs of anything but these six ASCII characters.
 #: ``bytes.split()`` without arguments splits on exactly this set.
@@ -27,7 +29,22 @@ def written(df: DataFrame) -> DataFrame:
     when its JVM ends."""
     path = scratch_dir(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that a later one supersedes; frames that read it can't run again."""
+    fs, folder = _fs(table.sparkSession, table._written_to)
+    fs.delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished steps: it does so when the driver's objects that
+    stand for them are collected as garbage, which may come late in a long job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def words_in(text: Column) -> Column:

@@ -2,79 +2,184 @@
 
 Tokens are ASCII-lowered words and one end for each text.
 
-* P(word | word before): one restaurant for each word before (and one for the text's begin), all
-  sharing a parent restaurant, whose customers are the tables of its children. Customers are seated
-  by Gibbs sweeps: each sweep seats every restaurant anew given the tables and the parent of the
-  sweep before. A dish's first ``SINGLY`` customers take their seats one by one, the rest in
-  stretches of 1/8 of those seated, each drawn given the seating before it. Predictive probabilities
-  are averaged over the sweeps after ``BURN``.
-* P(word), the parent: its base is an unbounded vocabulary that gives no word twice, so each known
-  word has exactly one table, and what is left for new words is the probability of the one event
+* P(word | word before): one restaurant for each word before (and one for the text's begin), all sharing a
+  parent restaurant over words, whose customers are the tables of its children.
+* P(word), the parent: its base is an unbounded vocabulary that gives no word twice, so each known word
+  has exactly one table there, and what is left for new words is the probability of the one event
   "unknown word". Its discount is estimated from the numbers of words seen once and twice.
-
-So the probabilities of all known tokens and of the unknown word add up to 1 after every word, and
-the contexts grow with the corpus.
-
-Plan: texts are numbered by a local dictionary for each block of ``BLOCK_TOKENS``. The dictionaries
-and the distinct word pairs of each block alone are shuffled to be counted. A dish's seats follow
-from its customers, its restaurant's number of tables and its word's probability, so pairs are
-seated as rows, by themselves; one with a single customer has one table in every sweep and is not
-seated again. Each sweep is a written table, its sums by word before and by word are the next
-one's. Dictionaries and pairs come to their block's texts again with what was learned of them. Only
-counts and sums over the whole corpus reach the driver. Draws are hashes of the sweep and the pair.
-Words are told apart by a 64-bit hash.
+* Gibbs sweeps: each sweep takes all customers of each dish out of its restaurant, their tables out of
+  the parent, and seats them anew given all the rest as the sweep before left it (see ``restaurants``;
+  the dishes of one sweep are drawn side by side). The strength shared by all contexts is drawn after
+  each sweep, under a Gamma(1, 1) prior. Predictive probabilities are averaged over the sweeps after
+  BURN.
+
+In each kept sweep
+    P(w | u) = (c_uw - d t_uw) / (s + c_u) + (s + d t_u) / (s + c_u) P(w),   P(w) = (c_w - D) / (S + c),
+and the unknown word has P = (S + D V) / (S + c) in place of P(w); so the probabilities of all known words
+and of the unknown one add up to 1 after every word, known or not. A token's score comes from the mean.
+
+Plan: words are numbered by the rank of their 64-bit hash, by which they are told apart. A block of
+BLOCK_TOKENS sends its distinct pairs once, as packed columns, to the pair's bucket (a hash of the word
+before, and of the word's high bits, so a common word's followers are spread); there the counts of all
+blocks meet. Pairs that occur once have one table in every sweep and are not drawn again; the others stay
+in their buckets. Between sweeps only sums by word travel: buckets send their tables to the ranges of
+words, which hold the restaurants' and the parent's totals, and get back what they asked about. At the
+end each bucket answers the blocks' lists in their order, and ranges answer with the words' totals.
+All that is sent are rows addressed by bucket, range or block, shuffled by Spark; a superseded table is
+deleted, and shuffle files are released step by step. Counts and sums over the whole corpus alone reach
+the driver. Draws are hashes of the sweep and the pair, so reruns agree.
 
 Defined results: a null or empty text is one end token; a null id is not held out; without training
-texts the unknown word has probability 1; tables may be empty.
+texts the unknown word has probability 1; tables may be empty; rows with the same id count each; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardframe.llm.common import Numbers, fold, written
+from rewardframe.llm.common import LOWER, Numbers, discard, fold, release, written
 from rewardframe.llm.pieces import mix_bits
+from rewardframe.llm.restaurants import DISCOUNT, strength_sums, table_draws
 
 FOLDS, HELD_OUT = 5, 1
 BLOCK_TOKENS = 8_000_000
+#: Training tokens for each bucket of pairs, and the most buckets.
+BUCKET_TOKENS, MOST_BUCKETS = 1 << 21, 1 << 16
+#: Followers of one word that share a bucket: those whose numbers agree but for so many bits.
+NEAR_BITS = 22
+#: Words of a range.
+RANGE = 1 << 16
 #: Tokens of texts that are looked up together.
 STRETCH = 1 << 19
 SWEEPS, BURN = 4, 1
-DISCOUNT, STRENGTH = 0.5, 1.0
-SINGLY = 32
+#: The contexts' first strength and the parent's.
+STRENGTH = 1.0
 SEED = 99
 #: The end token: no word holds a space.
 END = b" "
 #: Stands for the word before a text's first token: no word is empty.
 BEGIN = b""
-#: Kinds of rows, in the order in which a block's rows are read.
-DICTIONARY, PAIRS, TEXTS = 0, 1, 2
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
+# Kinds of rows, by address.
+DICTIONARY, TEXTS, IDS, STATES, ANSWERS = range(5)  # to a block
+PAIRS, SEATED, REPLY_BEFORE, REPLY_WORD = range(4)  # to a bucket
+STATE, COUNTS, SUMS_BEFORE, SUMS_WORD, TABLES_BEFORE, TABLES_WORD, ASKED = range(7)  # to a range
+STATS = 99
+#: Which of the three a row is addressed to.
+BLOCK, BUCKET, WORDS = "block", "bucket", "words"
+LETTER = "address string, to long, kind int, origin long, a binary, b binary, c binary, d binary, x double, y double, z double"
+#: Rows of a range's state: training count, customers and single dishes of the restaurant after the word,
+#: restaurants where the word is a single dish; then tables and customers in the parent for each kept sweep.
+TOTALS = 4
+
+
+# ------------------------------------------------------------------ rows sent between tasks
+
+class Letters:
+    """Rows of the shape LETTER, gathered into batches."""
+
+    names = [x.split()[0] for x in LETTER.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.float64()] * 3]
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, address: str, to: int, kind: int, origin: int, *parts: np.ndarray, stats: tuple = (None, None, None)) -> None:
+        packed = [p.tobytes() for p in parts] + [None] * (4 - len(parts))
+        self.size += sum(len(p) for p in packed if p)
+        self.rows.append((address, to, kind, origin, *packed, *stats))
+
+    def add_by_range(self, kind: int, origin: int, ids: np.ndarray, values: np.ndarray, kinds: Kinds) -> None:
+        """``ids`` in order, ``values`` a column for each: one row for each range of words."""
+        edges = [0, *(np.flatnonzero(np.diff(ids // RANGE)) + 1).tolist(), len(ids)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                self.add(WORDS, int(ids[a] // RANGE), kind, origin, kinds.ids(ids[a:b]), np.ascontiguousarray(values[:, a:b]))
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        if self.size > 1 << 25:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in self.rows], t) for i, t in enumerate(self.types)], names=self.names)
+        self.rows, self.size = [], 0
+
+
+class Kinds:
+    """How arrays are packed: word numbers take 4 bytes as long as they fit, counts 8."""
+
+    def __init__(self, words: int) -> None:
+        self.wide = words >= 1 << 32
+        self.word = np.uint64 if self.wide else np.uint32
+
+    def ids(self, x: np.ndarray) -> np.ndarray:
+        return x.astype(self.word)
+
+    def read_ids(self, x: bytes) -> np.ndarray:
+        return np.frombuffer(x, dtype=self.word).astype(np.int64)
+
+    def in_order(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Order by word before, then word."""
+        if self.wide:
+            return np.lexsort((word, before))
+        return np.argsort(before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), kind="stable")
+
+
+def _counts(x: bytes, rows: int = 1) -> np.ndarray:
+    return np.frombuffer(x, dtype=np.int64).reshape(rows, -1)
+
+
+def _addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[pa.RecordBatch]]]]:
+    """Rows sorted by ``to`` and ``kind``: what came to each address, by kind."""
+    now, got = None, {}
+    for batch in batches:
+        to, kinds = np.asarray(batch.column("to")), np.asarray(batch.column("kind"))
+        edges = (np.flatnonzero((np.diff(to) != 0) | (np.diff(kinds) != 0)) + 1).tolist()
+        for a, b in zip([0, *edges], [*edges, len(to)]):
+            if a == b:
+                continue
+            if to[a] != now:
+                if got:
+                    yield now, got
+                now, got = int(to[a]), {}
+            got.setdefault(int(kinds[a]), []).append(batch.slice(a, b - a))
+    if got:
+        yield now, got
+
+
+def _letters(got: dict[int, list[pa.RecordBatch]], kind: int, *columns: str) -> list[tuple]:
+    """Rows of one kind by their sender."""
+    return sorted((row for part in got.get(kind, []) for row in zip(*(part.column(c).to_pylist() for c in ("origin", *columns)))), key=lambda r: r[0])
+
+
+def _sent(rows: DataFrame, run: Callable, addresses: int, schema: str = LETTER) -> DataFrame:
+    """``rows`` brought to their addresses, whose tasks ``run`` them."""
+    dealt = rows.repartition(max(2, min(2 * addresses, 8192)), "to").sortWithinPartitions("to", "kind", "origin")
+    return dealt.mapInArrow(run, schema)
+
+
+# ------------------------------------------------------------------ blocks
 
 def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
     """Rows of kind DICTIONARY: a block's distinct words (local number, hash, training count), the
-    last one being BEGIN; PAIRS: its distinct pairs (local numbers and hashes of the word before and
-    the word, training count); TEXTS: its texts as local numbers."""
+    last one being BEGIN; TEXTS: its texts as local numbers."""
     context = TaskContext.get()
     block = (context.partitionId() if context else 0) << 24
     known, kept = Numbers(), []
 
     def rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-        types = {
-            "local": pa.int32(), "follower": pa.int32(), "before": pa.int64(), "hash": pa.int64(), "count": pa.int64(),
-            "held": pa.bool_(), "words": pa.binary(),
-        }
+        types = {"local": pa.int32(), "hash": pa.int64(), "count": pa.int64(), "held": pa.bool_(), "words": pa.binary()}
         ids = columns.pop("doc_id", None)
         made = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, kind, dtype=np.int32))}
         made["doc_id"] = pa.nulls(n, id_type) if ids is None else ids
@@ -83,29 +188,13 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
         return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
     def flush() -> Iterator[pa.RecordBatch]:
-        begin = len(known)
-        texts = [x for _, _, numbers in kept for x in numbers]
-        lengths = np.array([len(x) for x in texts])
-        flat = np.concatenate(texts)
-        learned = np.repeat(~np.array([bool(h) for _, held, _ in kept for h in held]), lengths)
-        counts = np.append(np.bincount(flat[learned], minlength=begin), 0)
+        learned = [x for _, held, numbers in kept for h, x in zip(held, numbers) if not h]
+        counts = np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *learned]), minlength=len(known) + 1)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*known, BEGIN]], dtype=np.uint64).view(np.int64)
         for i in range(0, len(hashes), 100_000):
             part = slice(i, i + 100_000)
             n = len(hashes[part])
             yield rows(DICTIONARY, n, local=np.arange(i, i + n, dtype=np.int32), hash=hashes[part], count=counts[part])
-        keys = _pair_keys(flat, np.cumsum(lengths) - lengths, begin)
-        pairs, times = np.unique(keys[learned], return_counts=True)
-        others = np.setdiff1d(keys[~learned], pairs)
-        del flat, keys, learned
-        order = np.argsort(np.concatenate((pairs, others)), kind="stable")
-        pairs, times = np.concatenate((pairs, others))[order], np.concatenate((times, np.zeros(len(others), dtype=np.int64)))[order]
-        for i in range(0, len(pairs), 100_000):
-            before, word = np.divmod(pairs[i : i + 100_000], begin + 1)
-            yield rows(
-                PAIRS, len(word), local=before.astype(np.int32), follower=word.astype(np.int32), before=hashes[before],
-                hash=hashes[word], count=times[i : i + 100_000],
-            )
         for ids, held, numbers in kept:
             yield rows(TEXTS, len(ids), doc_id=ids, held=held, words=[x.tobytes() for x in numbers])
 
@@ -129,6 +218,16 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
         yield from flush()
 
 
+def _flat(texts: list[pa.RecordBatch], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: all their tokens' pairs as word before * (begin + 1) + word, their tokens, and whether
+    each is learned from."""
+    words = [w for part in texts for w in part.column("words").to_pylist()]
+    flat = np.frombuffer(b"".join(words), dtype=np.int32)
+    lengths = np.array([len(w) // 4 for w in words])
+    held = np.concatenate([part.column("held").to_numpy(zero_copy_only=False) for part in texts]).astype(bool)
+    return _pair_keys(flat, np.cumsum(lengths) - lengths, begin), flat, np.repeat(~held, lengths)
+
+
 def _pair_keys(flat: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
     """For each token of texts that begin at ``starts`` one number of the word before and the word."""
     keys = np.empty(len(flat), dtype=np.int64)
@@ -139,289 +238,374 @@ def _pair_keys(flat: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
     return keys
 
 
-@dataclass(frozen=True)
-class Words:
-    """What scoring needs to know of the vocabulary: training tokens, distinct ones, how many of the
-    classes first in line have no new words, discount, and for each class its customers and distinct
-    words. The parent restaurant of each sweep is a class of all words."""
-
-    tokens: int
-    distinct: int
-    own: int
-    discount: float
-    class_tokens: np.ndarray
-    class_words: np.ndarray
-
-    def new_word(self) -> np.ndarray:
-        """Probability of an unknown word in each class."""
-        out = (STRENGTH + self.discount * self.class_words) / (STRENGTH + self.class_tokens)
-        out[: self.own] = 0.0
-        return out
-
-    def known_word(self, customers: np.ndarray) -> np.ndarray:
-        """Probability of known words with so many customers, a column for each class."""
-        return np.maximum(customers - self.discount, 0.0) / (STRENGTH + self.class_tokens)
-
-
-def _sums(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the stretches that begin at ``starts`` (none is empty)."""
-    return np.add.reduceat(flat, starts)
-
-
-def _stretches(sizes: np.ndarray, first: int, last: int, tokens: int) -> Iterator[tuple[int, int]]:
-    """Cut rows first..last into runs of at most so many tokens, or one row."""
-    while first < last:
-        upto = int(np.searchsorted(np.cumsum(sizes[first:last]), tokens, "right"))
-        yield first, (first := min(last, first + max(1, upto)))
-
-
-class Hashed:
-    """Draws that follow from a 64-bit key for each row and the number of draws made before."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        self.keys, self.rows, self.step = keys, np.arange(len(keys)), np.uint64(0)
+def _bucket_of(before: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
+    h = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (word >> NEAR_BITS).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _block_pairs(texts: list[pa.RecordBatch], ids: np.ndarray, buckets: int, kinds: Kinds) -> tuple[np.ndarray, ...]:
+    """A block's distinct pairs by bucket, then by the words' numbers: local keys, words before, words,
+    times in training texts, buckets."""
+    begin = len(ids) - 1
+    keys, _, learned = _flat(texts, begin)
+    local = np.unique(keys)
+    trained, times = np.unique(keys[learned], return_counts=True)
+    n = np.zeros(len(local), dtype=np.int64)
+    n[np.searchsorted(local, trained)] = times
+    del keys, learned
+    first, second = np.divmod(local, begin + 1)
+    before, word = ids[first], ids[second]
+    order = kinds.in_order(before, word)
+    bucket = _bucket_of(before[order], word[order], buckets)
+    order = order[np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
+    return local[order], before[order], word[order], n[order], np.sort(bucket)
+
+
+def _block_ids(got: dict[int, list[pa.RecordBatch]]) -> np.ndarray:
+    """Numbers of a block's words in the order of their local numbers."""
+    local, ids = (np.concatenate([np.asarray(p.column(c)) for p in got[DICTIONARY]]) for c in ("local", "id"))
+    out = np.empty(len(ids), dtype=np.int64)
+    out[local] = ids
+    return out
 
-    def of(self, rows: np.ndarray) -> Hashed:
-        self.rows = rows
-        return self
 
-    def binomial(self, n: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        draw = mix_bits(self.keys[self.rows] + self.step)
-        self.step += np.uint64(1)
-        out = np.zeros(len(draw), dtype=np.int64)
-        mean = n * chance
-        # by adding up probabilities from 0 on, or else by a generator of the row's own
-        open_ = np.flatnonzero(mean <= 16)
-        p, most, want = chance[open_], n[open_], draw[open_]
-        now = (1 - p) ** most
-        upto, ratio = now.copy(), p / np.maximum(1 - p, 1e-300)
+def _paired(batches: Iterator[pa.RecordBatch], buckets: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """For each block: its words' numbers (to itself), its pairs (to their buckets), the words it asks
+    about (to their ranges)."""
+    out = Letters()
+    for block, got in _addressed(batches):
+        ids = _block_ids(got)
+        out.add(BLOCK, block, IDS, block, kinds.ids(ids))
+        _, before, word, n, bucket = _block_pairs(got[TEXTS], ids, buckets, kinds)
+        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for a, b in zip(edges, edges[1:]):
+            out.add(BUCKET, int(bucket[a]), PAIRS, block, kinds.ids(before[a:b]), kinds.ids(word[a:b]), n[a:b])
+            yield from out.full()
+        asked = np.sort(ids)
+        out.add_by_range(ASKED, block, asked, np.empty((0, len(asked)), dtype=np.int64), kinds)
+        yield from out.full()
+    yield from out.rest()
+
+
+# ------------------------------------------------------------------ buckets of pairs
+
+def _meeting(got: dict[int, list[pa.RecordBatch]], kinds: Kinds) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks' lists, and for a bucket's distinct pairs in order: words before, words, times; the pair
+    of each place of the lists one after another."""
+    lists = _letters(got, PAIRS, "a", "b", "c")
+    before, word = (np.concatenate([kinds.read_ids(x[i]) for x in lists]) for i in (1, 2))
+    n = np.concatenate([_counts(x[3])[0] for x in lists])
+    order = kinds.in_order(before, word)
+    new = np.concatenate(([True], (np.diff(before[order]) != 0) | (np.diff(word[order]) != 0)))
+    starts = np.flatnonzero(new)
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return lists, before[order][starts], word[order][starts], np.add.reduceat(n[order], starts), of
+
+
+def _by_word(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids in order, and the sums of whole-number values by them."""
+    distinct, of = np.unique(ids, return_inverse=True)
+    sums = np.zeros((len(values), len(distinct)), dtype=np.int64)
+    for row, v in zip(sums, values):
+        np.add.at(row, of, v)
+    return distinct, sums
+
+
+def _tell_tables(out: Letters, bucket: int, before: np.ndarray, word: np.ndarray, tables: np.ndarray, kinds: Kinds) -> None:
+    for kind, ids in ((TABLES_BEFORE, before), (TABLES_WORD, word)):
+        out.add_by_range(kind, bucket, *_by_word(ids, tables), kinds)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """For each bucket: the pairs seen more than once, with one table each; sums to the ranges."""
+    out = Letters()
+    for bucket, got in _addressed(batches):
+        _, before, word, n, _ = _meeting(got, kinds)
+        before, word, n = before[n > 0], word[n > 0], n[n > 0]
+        once = (n == 1).astype(np.int64)
+        out.add_by_range(SUMS_BEFORE, bucket, *_by_word(before, n, once), kinds)
+        out.add_by_range(SUMS_WORD, bucket, *_by_word(word[n == 1], once[n == 1]), kinds)
+        before, word, n = before[n > 1], word[n > 1], n[n > 1]
+        if len(n):
+            out.add(BUCKET, bucket, SEATED, bucket, kinds.ids(before), kinds.ids(word), n, np.ones((1, len(n)), dtype=np.int64))
+            _tell_tables(out, bucket, before, word, np.ones(len(n), dtype=np.int64), kinds)
+        yield from out.full()
+    yield from out.rest()
+
+
+def _replies(got: dict[int, list[pa.RecordBatch]], kind: int, ids: np.ndarray, kinds: Kinds) -> np.ndarray:
+    """What the ranges reply about each of ``ids``."""
+    rows = _letters(got, kind, "a", "b")
+    known = np.concatenate([kinds.read_ids(a) for _, a, _ in rows])
+    return np.concatenate([_counts(b)[0] for _, _, b in rows])[np.searchsorted(known, ids)]
+
+
+def pair_draws(before: np.ndarray, word: np.ndarray, sweep: int) -> np.ndarray:
+    """Uniform draws of a sweep for pairs of word numbers."""
+    salt = np.uint64((SEED * 1000 + sweep) * 0xD1342543DE82EF95 % 2**64)
+    return mix_bits(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], sweep: int, strength: float, discount: float, total: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """One sweep over each bucket's dishes."""
+    out = Letters()
+    for bucket, got in _addressed(batches):
+        for _, a, b, c, d in _letters(got, SEATED, "a", "b", "c", "d"):
+            before, word, n = kinds.read_ids(a), kinds.read_ids(b), _counts(c)[0]
+            tables = np.frombuffer(d, dtype=np.int64).reshape(-1, len(n))
+            old = tables[0]
+            others = _replies(got, REPLY_BEFORE, before, kinds) - old
+            own = _replies(got, REPLY_WORD, word, kinds) - old
+            now = table_draws(n, others, own, total - old, pair_draws(before, word, sweep), strength, discount, STRENGTH)
+            kept = np.concatenate((tables[1:], now[None])) if sweep >= BURN else tables[1:]
+            out.add(BUCKET, bucket, SEATED, bucket, kinds.ids(before), kinds.ids(word), n, np.concatenate((now[None], kept)))
+            _tell_tables(out, bucket, before, word, now, kinds)
+        yield from out.full()
+    yield from out.rest()
+
+
+def _answered(batches: Iterator[pa.RecordBatch], sweeps: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """To each block, for its list of pairs: training times and the kept sweeps' tables."""
+    out = Letters()
+    for bucket, got in _addressed(batches):
+        if PAIRS not in got:
+            continue
+        lists, before, word, n, of = _meeting(got, kinds)
+        tables = np.repeat(np.minimum(n, 1)[None], sweeps, axis=0)
+        for _, _, _, _, d in _letters(got, SEATED, "a", "b", "c", "d"):
+            tables[:, n > 1] = np.frombuffer(d, dtype=np.int64).reshape(-1, int((n > 1).sum()))[1:]
         at = 0
-        while True:
-            on = np.flatnonzero((want > upto) & (most > at))
-            if not len(on):
-                break
-            open_, most, want, ratio, now, upto = (x[on] for x in (open_, most, want, ratio, now, upto))
-            now *= (most - at) / (at + 1) * ratio
-            upto += now
-            at += 1
-            out[open_] = at
-        for i in np.flatnonzero(mean > 16).tolist():
-            out[i] = np.random.default_rng(int(draw[i] * 2.0**53)).binomial(n[i], chance[i])
-        return out
-
-
-def seat(customers: np.ndarray, base: np.ndarray, tables: int | np.ndarray, rng: np.random.Generator | Hashed) -> np.ndarray:
-    """Tables of each dish after its customers have been seated; ``tables`` is the restaurant's
-    number of tables of the sweep before (or those of each dish's restaurant)."""
-    out = np.minimum(customers, 1)
-    active = np.flatnonzero(customers > 1)
-    tables = np.broadcast_to(tables, customers.shape)
-    seated = 1
-    while len(active):
-        width = 1 if seated < SINGLY else seated // 8
-        new = (STRENGTH + DISCOUNT * tables[active]) * base[active]
-        chance = new / (new + seated - DISCOUNT * out[active])
-        draws = rng.of(active) if isinstance(rng, Hashed) else rng
-        out[active] += draws.binomial(np.minimum(width, customers[active] - seated), chance)
-        seated += width
-        active = active[customers[active] > seated]
-    return out
+        for block, a, *_ in lists:
+            part = of[at : at + len(a) // kinds.word().itemsize]
+            at += len(part)
+            out.add(BLOCK, block, ANSWERS, bucket, n[part], np.ascontiguousarray(tables[:, part]))
+        yield from out.full()
+    yield from out.rest()
 
 
-def predictive(customers: np.ndarray, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
-    total = STRENGTH + customers.sum()
-    return (customers - DISCOUNT * tables) / total + (STRENGTH + DISCOUNT * tables.sum()) / total * base
+# ------------------------------------------------------------------ ranges of words
 
+def _vocabulary_rows(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    out = Letters()
+    for batch in batches:
+        ids, counts = np.asarray(batch.column("id")), np.asarray(batch.column("count"))
+        order = np.argsort(ids)
+        out.add_by_range(COUNTS, int(ids[0]) if len(ids) else 0, ids[order], counts[order][None], kinds)
+        yield from out.full()
+    yield from out.rest()
 
-def gibbs(pairs: DataFrame, vocabulary: DataFrame, tokens: int) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Seat the customers of all restaurants. ``pairs``: before, word, n; ``vocabulary``: hash, count.
 
-    Returns the pairs with ``seats`` (their tables, summed over the sweeps after BURN), the
-    vocabulary with ``total`` (customers of the restaurant after the word) and, for each of those
-    sweeps s, ``tables_s`` (its tables) and ``customers_s`` (of the word in the parent), and the
-    parent's customers in each of them."""
-    once = F.when(F.col("n") == 1, 1).otherwise(0)
-    names = ["total", "dishes", "once_before", "once_word"]
-    none = F.lit(0).cast("long")
+def _reduced(batches: Iterator[pa.RecordBatch], sweep: int, strength: float, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """The ranges' totals after ``sweep`` (-1: as first seated), and replies to the buckets about the words
+    that they told of. Sums for the driver: customers in the parent, and those of ``strength_sums``."""
+    out = Letters()
+    context = TaskContext.get()
+    for at, got in _addressed(batches):
+        first = at * RANGE
+        state = np.zeros((TOTALS, RANGE), dtype=np.int64)
+        for _, a in _letters(got, STATE, "a"):
+            state = np.frombuffer(a, dtype=np.int64).reshape(-1, RANGE)
+        if sweep < 0:
+            state = state.copy()
+            for kind, rows in ((COUNTS, slice(0, 1)), (SUMS_BEFORE, slice(1, 3)), (SUMS_WORD, slice(3, 4))):
+                for _, a, b in _letters(got, kind, "a", "b"):
+                    state[rows, kinds.read_ids(a) - first] += _counts(b, rows.stop - rows.start)
+        sums = {}
+        for kind, single in ((TABLES_BEFORE, state[2]), (TABLES_WORD, state[3])):
+            sums[kind] = single.copy()
+            told = [(origin, kinds.read_ids(a), _counts(b)[0]) for origin, a, b in _letters(got, kind, "a", "b")]
+            for _, ids, tables in told:
+                sums[kind][ids - first] += tables
+            reply = REPLY_BEFORE if kind == TABLES_BEFORE else REPLY_WORD
+            for origin, ids, _ in told:
+                out.add(BUCKET, origin, reply, at, kinds.ids(ids), sums[kind][ids - first])
+                yield from out.full()
+        if sweep >= BURN:
+            state = np.concatenate((state, sums[TABLES_BEFORE][None], sums[TABLES_WORD][None]))
+        out.add(WORDS, at, STATE, at, state)
+        rng = np.random.default_rng([SEED, sweep + 1, at])
+        logs, ones = strength_sums(state[1], sums[TABLES_BEFORE], strength, rng)
+        out.add(WORDS, at, STATS, at, stats=(float(sums[TABLES_WORD].sum()), logs, ones))
+    yield from out.rest()
+
+
+def _states(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """To each block, the totals of the words that it asked about."""
+    out = Letters()
+    for at, got in _addressed(batches):
+        for _, a in _letters(got, STATE, "a"):
+            state = np.frombuffer(a, dtype=np.int64).reshape(-1, RANGE)
+            for block, asked in _letters(got, ASKED, "a"):
+                ids = kinds.read_ids(asked)
+                out.add(BLOCK, block, STATES, at, kinds.ids(ids), np.ascontiguousarray(state[:, ids - at * RANGE]))
+                yield from out.full()
+    yield from out.rest()
+
+
+# ------------------------------------------------------------------ scoring
+
+class Model:
+    """Sums over the corpus: training tokens, distinct words, the parent's discount; for each kept sweep
+    the parent's customers and the contexts' strength."""
+
+    def __init__(self, tokens: int, distinct: int, discount: float) -> None:
+        self.tokens, self.distinct, self.discount = tokens, distinct, discount
+        self.customers: list[float] = []
+        self.strengths: list[float] = []
 
-    def rows(df: DataFrame, key: str, have: dict[str, Column], every: list[str]) -> DataFrame:
-        return df.groupBy(F.col(key).alias("hash")).agg(*(F.sum(v).alias(k) for k, v in have.items())).select(
-            "hash", *(F.col(c) if c in have else none.alias(c) for c in every)
-        )
+    def new_word(self) -> np.ndarray:
+        """The parent's probability of the unknown word, by sweep."""
+        return (STRENGTH + self.discount * self.distinct) / (STRENGTH + np.array(self.customers))
 
-    def added(parts: list[DataFrame], every: list[str]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.groupBy("hash").agg(*(F.sum(c).alias(c) for c in every))
-
-    every = ["count", *names]
-    state = written(added(
-        [
-            vocabulary.select("hash", "count", *(none.alias(c) for c in names)),
-            rows(pairs, "before", {"total": F.col("n"), "dishes": F.lit(1), "once_before": once}, every),
-            rows(pairs, "word", {"once_word": once}, every),
-        ],
-        every,
-    ))
-    seats = pairs.filter("n > 1").withColumn("seats", none)
-    tables, chance = F.col("dishes"), F.col("count") / F.lit(float(max(1, tokens)))
-    parents: list[int] = []
-    for sweep in range(SWEEPS):
-
-        def run(batches: Iterator[pa.RecordBatch], sweep=sweep) -> Iterator[pa.RecordBatch]:
-            salt = np.uint64((SEED * SWEEPS + sweep) * 0xD1342543DE82EF95 % 2**64)
-            for batch in batches:
-                before, word, n, sums = (np.asarray(batch.column(c)) for c in ("before", "word", "n", "seats"))
-                keys = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt
-                now = seat(n, np.asarray(batch.column("chance")), np.asarray(batch.column("tables")), Hashed(keys))
+    def known_word(self, customers: np.ndarray) -> np.ndarray:
+        """The parent's probabilities of words with so many customers (a column for each sweep)."""
+        return np.maximum(customers - self.discount, 0.0) / (STRENGTH + np.array(self.customers))
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stretch: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+    """Blocks come as texts, their words' numbers, the words' totals and the pairs' answers."""
+    base_total = math.log10(model.tokens + 0.5 * (model.distinct + 1))
+    strengths = np.array(model.strengths)
+    sweeps = len(strengths)
+    for _, got in _addressed(batches):
+        ids = kinds.read_ids(_letters(got, IDS, "a")[0][1])
+        rows = _letters(got, STATES, "a", "b")
+        known_ids = np.concatenate([kinds.read_ids(a) for _, a, _ in rows])
+        totals = np.concatenate([_counts(b, TOTALS + 2 * sweeps) for _, _, b in rows], axis=1)[:, np.searchsorted(known_ids, ids)]
+        seen = totals[0] > 0
+        base = np.log10(totals[0] + 0.5) - base_total
+        customers = totals[1][:, None] + strengths
+        free = (strengths + DISCOUNT * totals[TOTALS::2].T) / customers
+        parent = np.where(seen[:, None], model.known_word(totals[TOTALS + 1 :: 2].T), model.new_word())
+        local, *_ = _block_pairs(got[TEXTS], ids, buckets, kinds)
+        order = np.argsort(local)
+        answers = _letters(got, ANSWERS, "a", "b")
+        n = np.concatenate([_counts(a)[0] for _, a, _ in answers])[order]
+        tables = np.concatenate([_counts(b, sweeps) for _, _, b in answers], axis=1)[:, order]
+        local = local[order]
+        first, second = np.divmod(local, len(ids))
+        chance = sum(
+            np.maximum(n - DISCOUNT * tables[s], 0.0) / customers[first, s] + free[first, s] * parent[second, s] for s in range(sweeps)
+        ) / sweeps
+        score = np.log10(chance)
+        del n, tables, first, second, chance
+        for texts in got[TEXTS]:
+            lengths = np.array([len(w) // 4 for w in texts.column("words").to_pylist()])
+            upto = np.cumsum(lengths)
+            a = 0
+            while a < len(lengths):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] - lengths[a] + stretch, "right")))
+                part = texts.slice(a, b - a)
+                keys, flat, _ = _flat([part], len(ids) - 1)
+                starts = np.concatenate(([0], np.cumsum(lengths[a:b])[:-1]))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("before", "word", "n")), pa.array(now), pa.array(sums + now if sweep >= BURN else sums)],
-                    names=["before", "word", "n", "now", "seats"],
+                    [
+                        part.column("doc_id"), part.column("held"), pa.array(lengths[a:b]),
+                        pa.array(np.add.reduceat(seen[flat].astype(np.int64), starts)), pa.array(np.add.reduceat(base[flat], starts)),
+                        pa.array(np.add.reduceat(score[np.searchsorted(local, keys)], starts)),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
-
-        given = seats.select("before", "word", "n", "seats").join(
-            state.select(F.col("hash").alias("before"), tables.cast("long").alias("tables")), "before"
-        ).join(state.select(F.col("hash").alias("word"), chance.cast("double").alias("chance")), "word")
-        seats = written(
-            given.select("before", "word", "n", "seats", "tables", "chance").mapInArrow(run, "before long, word long, n long, now long, seats long")
-        )
-        mine = [f"tables_{sweep}", f"customers_{sweep}"]
-        old = [c for c in state.columns if c != "hash" and (c in every or int(c.split("_")[1]) >= BURN)]
-        both = [*old, *mine]
-        state = written(
-            added(
-                [
-                    state.select("hash", *old, *(none.alias(c) for c in mine)),
-                    rows(seats, "before", {mine[0]: F.col("now")}, both),
-                    rows(seats, "word", {mine[1]: F.col("now")}, both),
-                ],
-                both,
-            ).withColumns({mine[0]: F.col(mine[0]) + F.col("once_before"), mine[1]: F.col(mine[1]) + F.col("once_word")})
-        )
-        customers = state.agg(F.sum(mine[1])).first()[0] or 0
+                a = b
+
+
+# ------------------------------------------------------------------ the plan
+
+def _vocabulary(entries: DataFrame) -> DataFrame:
+    """hash, count, id of all words: numbered from 0 in the order of their hashes."""
+    counts = entries.groupBy("hash").agg(F.sum("count").alias("count"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, at = TaskContext.get(), 0
+        for batch in batches:
+            n = batch.num_rows
+            place = [pa.array(np.full(n, context.partitionId())), pa.array(np.arange(at, at + n))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hash", "count")), *place], names=["hash", "count", "part", "place"])
+            at += n
+
+    placed = written(counts.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(numbered, "hash long, count long, part long, place long"))
+    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    upto = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    offsets = placed.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sizes, upto)], "part long, offset long")
+    return placed.join(offsets, "part").select("hash", "count", (F.col("offset") + F.col("place")).alias("id"))
+
+
+def _only(letters: DataFrame, address: str, *kinds: int) -> DataFrame:
+    return letters.filter((F.col("address") == address) & F.col("kind").isin(*kinds))
+
+
+def gibbs(spark: SparkSession, sent: DataFrame, words: DataFrame, model: Model, buckets: int, ranges: int, kinds: Kinds) -> tuple[DataFrame, DataFrame]:
+    """Sweeps over all restaurants: the buckets' dishes with the kept sweeps' tables, and the ranges'
+    totals; ``model`` gets the sums of the kept sweeps."""
+    strength, discount = STRENGTH, model.discount
+    seated = written(_sent(_only(sent, BUCKET, PAIRS), lambda it: _gathered(it, kinds), buckets))
+    release(spark)
+    counts = words.mapInArrow(lambda it: _vocabulary_rows(it, kinds), LETTER)
+    told = _only(seated, WORDS, SUMS_BEFORE, SUMS_WORD, TABLES_BEFORE, TABLES_WORD).unionByName(counts)
+    totals = None
+    for sweep in range(-1, SWEEPS):
+        step, now = sweep, strength
+        given = told if totals is None else told.unionByName(_only(totals, WORDS, STATE))
+        reduced = written(_sent(given, lambda it: _reduced(it, step, now, kinds), ranges))
+        if totals is not None:
+            discard(totals)
+        totals = reduced
+        sums = _only(totals, WORDS, STATS).agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).first()
+        customers = sums.x or 0.0
         if sweep >= BURN:
-            parents.append(customers)
-        tables, chance = F.col(mine[0]), F.col(mine[1]) / F.lit(float(max(1, customers)))
-    seated = seats.select("before", "word", "n", "seats").unionByName(
-        pairs.filter("n = 1").withColumn("seats", F.lit(SWEEPS - BURN).cast("long"))
-    )
-    return seated, state, parents
-
-
-def _scored(batches: Iterator[pa.RecordBatch], words: Words, stretch: int) -> Iterator[pa.RecordBatch]:
-    """Blocks come as dictionary rows (training count, customers of the restaurant after the word, its
-    tables and the word's customers in the parent for each sweep), then pairs (customers less their
-    discounts), then texts; out go rows for texts."""
-    base_total = math.log10(words.tokens + 0.5 * (words.distinct + 1))
-    sweeps = len(words.class_tokens)
-    unknown = math.log10(words.new_word().mean())
-    block, ready = None, False
-    entries: list[np.ndarray] = []
-    keys: list[np.ndarray] = []
-    masses: list[np.ndarray] = []
-    seen = base = total = free = flat = key = mass = np.empty(0)
-
-    def look_up(texts: pa.RecordBatch) -> pa.RecordBatch:
-        ids = texts.column("words").to_pylist()
-        local = np.frombuffer(b"".join(ids), dtype=np.int32)
-        starts = np.cumsum([0, *(len(t) // 4 for t in ids[:-1])])
-        begin = len(seen) - 1
-        wanted, of = np.unique(_pair_keys(local, starts, begin), return_inverse=True)
-        before, word = np.divmod(wanted, begin + 1)
-        chance = sum(free[before, s] * flat[word, s] for s in range(sweeps)) / sweeps
-        if len(key):
-            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            chance += np.where(key[at] == wanted, mass[at], 0.0)
-        known = seen[word]
-        score = np.full(len(wanted), unknown)
-        score[known] = np.log10(chance[known] / (STRENGTH + total[before[known]]))
-        lengths = np.diff(np.append(starts, len(local)))
-        return pa.RecordBatch.from_arrays(
-            [
-                texts.column("doc_id"), texts.column("held"), pa.array(lengths), pa.array(_sums(seen[local].astype(np.int64), starts)),
-                pa.array(_sums(base[local], starts)), pa.array(_sums(score[of], starts)),
-            ],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
-
-    for batch in batches:
-        blocks, kinds = np.asarray(batch.column("block")), np.asarray(batch.column("kind"))
-        edges = np.flatnonzero((np.diff(blocks) != 0) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
-            if a == b:
-                continue
-            if blocks[a] != block:
-                block, ready, entries, keys, masses = blocks[a], False, [], [], []
-            if kinds[a] == DICTIONARY:
-                entries.append(batch.column("record").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
-                continue
-            if kinds[a] == PAIRS:
-                before, word = (np.asarray(batch.column(c).slice(a, b - a)) for c in ("local", "follower"))
-                keys.append(before.astype(np.int64) << 32 | word)
-                masses.append(np.asarray(batch.column("mass").slice(a, b - a)))
-                continue
-            if not ready:
-                record = np.concatenate(entries)
-                seen = record[:, 0] > 0
-                base = np.log10(record[:, 0] + 0.5) - base_total
-                total = record[:, 1]
-                free = STRENGTH + DISCOUNT * record[:, 2 : 2 + sweeps]
-                flat = words.known_word(record[:, 2 + sweeps :])
-                key = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
-                key = (key >> 32) * len(seen) + (key & 0xFFFFFFFF)
-                mass = np.concatenate(masses) if masses else np.empty(0)
-                ready, entries, keys, masses = True, [], [], []
-            words_of = batch.column("words")
-            sizes = pc.fill_null(pc.binary_length(words_of), 0).to_numpy(zero_copy_only=False) // 4
-            for x, y in _stretches(sizes, a, b, stretch):
-                yield look_up(batch.slice(x, y - x))
-
-
-def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, stretch: int = STRETCH) -> DataFrame:
+            model.customers.append(customers)
+            model.strengths.append(strength)
+        if sweep >= 0:
+            rng = np.random.default_rng([SEED, sweep])
+            strength = float(rng.gamma(1.0 + (sums.z or 0.0), 1.0 / (1.0 - (sums.y or 0.0))))
+        if sweep < SWEEPS - 1:
+            step, now = sweep + 1, strength
+            given = _only(seated, BUCKET, SEATED).unionByName(_only(totals, BUCKET, REPLY_BEFORE, REPLY_WORD))
+            drawn = written(_sent(given, lambda it: _sampled(it, step, now, discount, int(customers), kinds), buckets))
+            discard(seated)
+            seated, told = drawn, _only(drawn, WORDS, TABLES_BEFORE, TABLES_WORD)
+        release(spark)
+    return _only(seated, BUCKET, SEATED), _only(totals, WORDS, STATE)
+
+
+def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, stretch: int = STRETCH, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
     (doc_id, text), learned from the rows that ``held_out`` does not hold for."""
-    kind = dict(docs.dtypes)["doc_id"]
+    spark = docs.sparkSession
+    id_type = dict(docs.dtypes)["doc_id"]
     narrow = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     parts = written(
         narrow.mapInArrow(
             lambda it: _numbered(it, block_tokens),
-            f"block long, kind int, doc_id {kind}, local int, follower int, before long, hash long, count long, held boolean, words binary",
+            f"block long, kind int, doc_id {id_type}, local int, hash long, count long, held boolean, words binary",
         )
     )
-    entries, pairs = parts.filter(F.col("kind") == DICTIONARY), parts.filter(F.col("kind") == PAIRS)
-    vocabulary = written(entries.groupBy("hash").agg(F.sum("count").alias("count")))
-    sums = vocabulary.filter("count > 0").agg(
-        F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("words"),
-        F.count(F.when(F.col("count") == 1, 1)).alias("once"), F.count(F.when(F.col("count") == 2, 1)).alias("twice"),
+    entries = parts.filter(F.col("kind") == DICTIONARY)
+    words = written(_vocabulary(entries))
+    sums = words.agg(
+        F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("words"), F.count_if(F.col("count") > 0).alias("known"),
+        F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice"),
     ).first()
     tokens = sums.tokens or 0
-    learned = written(pairs.filter("count > 0").groupBy("before", F.col("hash").alias("word")).agg(F.sum("count").alias("n")))
-    seated, state, parents = gibbs(learned, vocabulary, tokens)
-    words = Words(
-        tokens=tokens, distinct=sums.words, own=0, discount=min(0.95, max(0.05, sums.once / max(1, sums.once + 2 * sums.twice))),
-        class_tokens=np.array(parents, dtype=np.float64), class_words=np.full(len(parents), float(sums.words)),
-    )
-    sweeps = range(BURN, SWEEPS)
-    record = F.array("count", "total", *(f"tables_{s}" for s in sweeps), *(f"customers_{s}" for s in sweeps))
-    types = {
-        "block": "long", "kind": "int", "local": "int", "follower": "int", "record": "array<long>", "mass": "double", "doc_id": kind,
-        "held": "boolean", "words": "binary",
-    }
-
-    def shaped(df: DataFrame) -> DataFrame:
-        return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
-
-    known = entries.select("block", "kind", "local", "hash").join(state.select("hash", record.alias("record")), "hash")
-    mass = (F.col("n") - F.lit(DISCOUNT / len(sweeps)) * F.col("seats")).alias("mass")
-    met = pairs.select("block", "kind", "local", "follower", "before", F.col("hash").alias("word")).join(
-        seated.select("before", "word", mass), ["before", "word"]
-    )
-    texts = parts.filter(F.col("kind") == TEXTS).select("block", "kind", "doc_id", "held", "words")
-    blocks = shaped(known).unionByName(shaped(met)).unionByName(shaped(texts)).repartition("block")
-    scored = blocks.sortWithinPartitions("block", "kind", "local", "follower").mapInArrow(
-        lambda it: _scored(it, words, stretch),
-        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+    model = Model(tokens, sums.known, min(0.95, max(0.05, sums.once / max(1, sums.once + 2 * sums.twice))))
+    kinds, ranges = Kinds(sums.words), max(1, -(-sums.words // RANGE))
+    buckets = min(MOST_BUCKETS, max(1, -(-tokens // bucket_tokens)))
+    blocks = parts.select("block").distinct().count()
+    texts = parts.filter(F.col("kind") == TEXTS).select(F.col("block").alias("to"), "kind", F.lit(0).cast("long").alias("origin"), "doc_id", "held", "words")
+    local = entries.join(words.select("hash", "id"), "hash").select(F.col("block").alias("to"), "kind", F.lit(0).cast("long").alias("origin"), "local", "id")
+    sent = written(_sent(local.unionByName(texts, allowMissingColumns=True), lambda it: _paired(it, buckets, kinds), blocks))
+    release(spark)
+    seated, totals = gibbs(spark, sent, words, model, buckets, ranges, kinds)
+    states = written(_sent(totals.unionByName(_only(sent, WORDS, ASKED)), lambda it: _states(it, kinds), ranges))
+    kept = SWEEPS - BURN
+    answers = written(_sent(_only(sent, BUCKET, PAIRS).unionByName(seated), lambda it: _answered(it, kept, kinds), buckets))
+    release(spark)
+    told = _only(sent, BLOCK, IDS).unionByName(states).unionByName(answers).select("to", "kind", "origin", "a", "b")
+    scored = _sent(
+        texts.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets, stretch, kinds), blocks,
+        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 

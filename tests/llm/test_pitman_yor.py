@@ -1,13 +1,15 @@
 """Language model: counts and base scores by brute force, probabilities that add up, perplexity."""
 
+import itertools
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
-from rewardframe.llm import pitman_yor
+from rewardframe.llm import pitman_yor, restaurants
 from rewardframe.llm.common import read
 
 SF = "/root/testdata/sf0.01"
@@ -52,36 +54,142 @@ def test_held_out_perplexity_is_lower_than_the_base(spark):
     assert mine < 0.8 * base
 
 
-def test_probabilities_add_up():
-    rng = np.random.default_rng(1)
-    counts = rng.poisson(3, size=(6, 5)) * rng.integers(0, 40, size=(6, 5))
-    base = np.full(5, 0.2)
-    for row in counts:
-        seats = pitman_yor.seat(row, base, 5, rng)
-        assert ((seats > 0) == (row > 0)).all() and (seats <= row).all()
-        assert abs(pitman_yor.predictive(row, seats, base).sum() - 1) < 1e-12
-    tokens_of, words_of = np.array([7.0, 30.0, 0.0]), np.array([1.0, 9.0, 0.0])
-    w = pitman_yor.Words(37, 10, 1, 0.4, tokens_of, words_of)
-    new = w.new_word()
-    known = (tokens_of - 0.4 * words_of) / (pitman_yor.STRENGTH + tokens_of)
-    assert new[0] == 0 and np.allclose(known[1:] + new[1:], 1)
-
-
-def test_seats_follow_the_restaurant():
-    """Mean tables of one dish with 300 customers against customers seated one by one."""
-    rng = np.random.default_rng(6)
-    base, n = np.array([0.3]), 300
-
-    def one_by_one():
-        t = 1
-        for seated in range(1, n):
-            new = (pitman_yor.STRENGTH + pitman_yor.DISCOUNT * 40) * base[0]
-            t += rng.random() < new / (new + seated - pitman_yor.DISCOUNT * t)
-        return t
-
-    plain = [one_by_one() for _ in range(300)]
-    blocks = [int(pitman_yor.seat(np.array([n]), base, 40, rng)[0]) for _ in range(3000)]
-    assert abs(np.mean(plain) - np.mean(blocks)) < 4 * np.std(plain) / math.sqrt(300)
+def stirling(c):
+    """Weights of the ways to seat n customers at t tables, from one customer after the other."""
+    s = {(1, 1): 1.0}
+    for n in range(1, c):
+        for t in range(1, n + 2):
+            s[n + 1, t] = s.get((n, t - 1), 0.0) + (n - 0.5 * t) * s.get((n, t), 0.0)
+    return [s[c, t] for t in range(1, c + 1)]
+
+
+def conditional(c, others, own, total, strength, discount, parent):
+    weights = []
+    for t, w in enumerate(stirling(c), 1):
+        for j in range(t):
+            w *= strength + 0.5 * (others + j)
+            w *= (own + j - discount if own + j else 1.0) / (parent + total + j)
+        weights.append(w)
+    return np.array(weights) / sum(weights)
+
+
+@pytest.mark.parametrize("given", [(2, 3, 1, 100, 1.0, 0.8, 1.0), (7, 50, 30, 200, 0.5, 0.6, 1.0), (33, 500, 300, 2000, 1.0, 0.7, 1.0), (60, 2, 0, 50, 1.0, 0.7, 1.0), (90, 300, 900, 3000, 1.0, 0.7, 1.0)])
+def test_tables_are_drawn_from_their_conditional(given):
+    n = 60000
+    c, others, own, total, *rest = given
+    draws = (np.random.default_rng(3).permutation(n) + 0.5) / n
+    t = restaurants.table_draws(*(np.full(n, x) for x in (c, others, own, total)), draws, *rest)
+    assert np.allclose(np.bincount(t, minlength=c + 1)[1:] / n, conditional(*given), atol=2 / n)
+
+
+def test_strength_follows_the_seating():
+    """The posterior of the strength, given restaurants seated with it, is around it."""
+    rng = np.random.default_rng(8)
+    for true in (0.3, 3.0):
+        customers, tables = np.full(400, 60), []
+        for _ in customers:
+            t = 1
+            for n in range(1, 60):
+                t += rng.random() < (true + 0.5 * t) / (true + n)
+            tables.append(t)
+        got, strength = [], 1.0
+        for step in range(60):
+            logs, ones = restaurants.strength_sums(customers, np.array(tables), strength, rng)
+            strength = rng.gamma(1.0 + ones, 1.0 / (1.0 - logs))
+            got.append(strength)
+        assert abs(np.mean(got[10:]) / true - 1) < 0.3
+
+
+class Plain:
+    """The sampler with a dictionary of dishes, one dish after the other."""
+
+    def __init__(self, docs):
+        learned = [tokens(x) for x, h in docs if not h]
+        self.words = Counter(t for x in learned for t in x)
+        every = {t for x, _ in docs for t in tokens(x)} | {pitman_yor.BEGIN}
+        ids = {t: i for i, t in enumerate(sorted(every, key=lambda t: np.uint64(xxhash.xxh64_intdigest(t)).view(np.int64)))}
+        self.pairs = Counter(p for x in learned for p in zip([pitman_yor.BEGIN, *x], x))
+        self.customers = Counter()
+        for (u, _), n in self.pairs.items():
+            self.customers[u] += n
+        once, twice = (sum(n == k for n in self.words.values()) for k in (1, 2))
+        self.discount = min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+        tables, strength = dict.fromkeys(self.pairs, 1), pitman_yor.STRENGTH
+        self.kept = []
+        for sweep in range(pitman_yor.SWEEPS):
+            before = dict(tables)
+            t_u, c_w, total = self.sums(before)
+            for (u, w), n in self.pairs.items():
+                if n > 1:
+                    old = before[u, w]
+                    p = conditional(n, t_u[u] - old, c_w[w] - old, total - old, strength, self.discount, pitman_yor.STRENGTH)
+                    draw = pitman_yor.pair_draws(np.array([ids[u]]), np.array([ids[w]]), sweep)[0]
+                    tables[u, w] = 1 + int((np.cumsum(p) < draw).sum())
+            t_u, c_w, total = self.sums(tables)
+            if sweep >= pitman_yor.BURN:
+                self.kept.append((dict(tables), t_u, c_w, total, strength))
+            customers, seated = np.zeros((2, pitman_yor.RANGE), dtype=np.int64)
+            for u, n in self.customers.items():
+                customers[ids[u]], seated[ids[u]] = n, t_u[u]
+            rng = np.random.default_rng([pitman_yor.SEED, sweep + 1, 0])
+            logs, ones = restaurants.strength_sums(customers, seated, strength, rng)
+            strength = float(np.random.default_rng([pitman_yor.SEED, sweep]).gamma(1.0 + ones, 1.0 / (1.0 - logs)))
+
+    def sums(self, tables):
+        t_u, c_w = Counter(), Counter()
+        for (u, w), t in tables.items():
+            t_u[u] += t
+            c_w[w] += t
+        return t_u, c_w, sum(c_w.values())
+
+    def chance(self, u, w):
+        """Of a known word, or of the unknown one (None), after a word."""
+        out = 0.0
+        for tables, t_u, c_w, total, s in self.kept:
+            new = (pitman_yor.STRENGTH + self.discount * len(self.words)) / (pitman_yor.STRENGTH + total)
+            parent = new if w is None else (c_w[w] - self.discount) / (pitman_yor.STRENGTH + total)
+            own = self.pairs[u, w] - 0.5 * tables.get((u, w), 0)
+            out += (own + (s + 0.5 * t_u[u]) * parent) / (s + self.customers[u])
+        return out / len(self.kept)
+
+    def score(self, text):
+        ts = [t if t in self.words else None for t in tokens(text)]
+        return sum(math.log10(self.chance(u, w)) for u, w in zip([pitman_yor.BEGIN, *ts], ts))
+
+
+def small_corpus():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    weights = 1 / np.arange(1, 31)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 25), p=weights / weights.sum())) for _ in range(160)]
+    return [(x, i % 4 == 0) for i, x in enumerate(texts)] + [("w1 new W2 other", True), ("the the " * 40, False)]
+
+
+@pytest.mark.parametrize("sizes", [(pitman_yor.BLOCK_TOKENS, pitman_yor.STRETCH, pitman_yor.BUCKET_TOKENS), (300, 50, 90)])
+def test_scores_equal_the_plain_sampler(spark, sizes):
+    docs = small_corpus()
+    df = spark.createDataFrame([(i, x, h) for i, (x, h) in enumerate(docs)], "doc_id long, text string, held boolean").repartition(3)
+    plain = Plain(docs)
+    assert max(plain.pairs.values()) > restaurants.WHOLE and any(t > 1 for t in plain.kept[0][0].values())
+    for r in pitman_yor.score_texts(df, df["held"], *sizes).collect():
+        assert r.score == pytest.approx(plain.score(docs[r.doc_id][0]), abs=1e-9)
+    # what stands after each known word, after the begin and after an unknown word adds up
+    for u in [*plain.words, pitman_yor.BEGIN, None]:
+        assert sum(plain.chance(u, w) for w in [*plain.words, None]) == pytest.approx(1, abs=1e-12)
+
+
+def test_all_texts_add_up(spark):
+    """Probabilities of all texts of up to six words, known ones and the unknown one, through the scores."""
+    rng = np.random.default_rng(5)
+    learned = ["", "a", "a b", "b", "a a", "b a", "a", "b c", "c"] * 3 + [" ".join(rng.choice(list("abc"), 2)) for _ in range(12)]
+    asked = [" ".join(x) for n in range(7) for x in itertools.product([*"abc", "zz"], repeat=n)]
+    rows = [(i, x, i >= len(learned)) for i, x in enumerate(learned + asked)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean").repartition(4)
+    got = {r.doc_id: r.score for r in pitman_yor.score_texts(df, df["held"]).collect()}
+    by_length = [sum(10 ** got[i] for i, x, h in rows if h and len(x.split()) == n) for n in range(7)]
+    # the texts not counted go on as those of five and six words do
+    rest = by_length[6] * (by_length[6] / by_length[5]) / (1 - by_length[6] / by_length[5])
+    assert sum(by_length) < 1 and sum(by_length) + rest == pytest.approx(1, abs=1e-4)
 
 
 def test_odd_rows(spark):
@@ -91,30 +199,3 @@ def test_odd_rows(spark):
     assert pitman_yor.op5_score(df.limit(0)).count() == 0
     nothing = pitman_yor.score_texts(df, df["block"] == 1).collect()
     assert {(r.train_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in nothing} == {(0, 0, 0.0, 0.0)}
-
-
-def test_every_word_is_a_context(spark):
-    """2,000 pairs of rare words with equal endings, each seen once: the exact probabilities."""
-    n = 2000
-    texts = {i: f"a{i}xxx b{i}yyy" for i in range(n)}
-    asked = {n: "a7xxx b7yyy", n + 1: "a7xxx b8yyy", n + 2: "a7xxx new b8yyy"}
-    rows = [(i, x, i >= n) for i, x in (texts | asked).items()]
-    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
-    got = {r.doc_id: r.score for r in pitman_yor.score_texts(df, df["held"]).collect()}
-    # all pairs have one customer and one table: in the parent each word has one, the end has n
-    d, s, parent = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, 3 * n
-    less = 0.95  # of words seen once, all but the end
-    word, end, new = ((1 - less) / (s + parent), (n - less) / (s + parent), (s + less * (2 * n + 1)) / (s + parent))
-    first = (1 - d + (s + d * n) * word) / (s + n)
-    seen, unseen, last = ((1 - d + (s + d) * word) / (s + 1), (s + d) * word / (s + 1), (1 - d + (s + d) * end) / (s + 1))
-    for i, want in ((n, first * seen * last), (n + 1, first * unseen * last), (n + 2, first * new * word * last)):
-        assert got[i] == pytest.approx(math.log10(want), abs=1e-9)
-
-
-def test_hashed_draws_are_binomial():
-    n = 40000
-    draws = pitman_yor.Hashed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for size, chance in ((1, 0.3), (40, 0.2), (400, 0.25)):
-        x = draws.binomial(np.full(n, size), np.full(n, chance))
-        mean, var = size * chance, size * chance * (1 - chance)
-        assert abs(x.mean() - mean) < 5 * math.sqrt(var / n) and abs(x.var() / var - 1) < 0.05 and x.max() <= size
