@@ -18,8 +18,9 @@ In each kept sweep
 and the unknown word has P = (S + D V) / (S + c) in place of P(w); so the probabilities of all known words
 and of the unknown one add up to 1 after every word, known or not. A token's score comes from the mean.
 
-Plan: words are numbered by the rank of their 64-bit hash, by which they are told apart. A block of
-BLOCK_TOKENS sends its distinct pairs once, as packed columns, to the pair's bucket (a hash of the word
+Plan: words are numbered by the rank of their 64-bit hash, by which they are told apart: blocks of
+BLOCK_TOKENS send their words to ranges of hashes, which answer with numbers. A block then sends its
+distinct pairs once, as packed columns, to the pair's bucket (a hash of the word
 before, and of the word's high bits, so a common word's followers are spread); there the counts of all
 blocks meet. Pairs that occur once have one table in every sweep and are not drawn again; the others stay
 in their buckets. Between sweeps only sums by word travel: buckets send their tables to the ranges of
@@ -56,8 +57,10 @@ BLOCK_TOKENS = 8_000_000
 BUCKET_TOKENS, MOST_BUCKETS = 1 << 21, 1 << 16
 #: Followers of one word that share a bucket: those whose numbers agree but for so many bits.
 NEAR_BITS = 22
-#: Words of a range.
-RANGE = 1 << 16
+#: Words of a range, and the most ranges of hashes.
+RANGE, MOST_HASHES = 1 << 14, 1 << 16
+#: Values of one row at most.
+ROW = 1 << 17
 #: Tokens of texts that are looked up together.
 STRETCH = 1 << 19
 SWEEPS, BURN = 4, 1
@@ -70,13 +73,17 @@ END = b" "
 BEGIN = b""
 
 # Kinds of rows, by address.
-DICTIONARY, TEXTS, IDS, STATES, ANSWERS = range(5)  # to a block
+DICTIONARY, VOCABULARY = range(2)  # to a range of hashes
+TEXTS, LOCALS, IDS, STATES, ANSWERS = range(5)  # to a block
 PAIRS, SEATED, REPLY_BEFORE, REPLY_WORD = range(4)  # to a bucket
 STATE, COUNTS, SUMS_BEFORE, SUMS_WORD, TABLES_BEFORE, TABLES_WORD, ASKED = range(7)  # to a range
 STATS = 99
-#: Which of the three a row is addressed to.
-BLOCK, BUCKET, WORDS = "block", "bucket", "words"
-LETTER = "address string, to long, kind int, origin long, a binary, b binary, c binary, d binary, x double, y double, z double"
+#: What a row is addressed to.
+HASHES, BLOCK, BUCKET, WORDS = "hashes", "block", "bucket", "words"
+LETTER = (
+    "address string, to long, kind int, origin long, seq int, m int, a binary, b binary, c binary, d binary, "
+    "x double, y double, z double, w double"
+)
 #: Rows of a range's state: training count, customers and single dishes of the restaurant after the word,
 #: restaurants where the word is a single dish; then tables and customers in the parent for each kept sweep.
 TOTALS = 4
@@ -85,29 +92,33 @@ TOTALS = 4
 # ------------------------------------------------------------------ rows sent between tasks
 
 class Letters:
-    """Rows of the shape LETTER, gathered into batches."""
+    """Rows of the shape LETTER, gathered into batches. Whole numbers are packed in as few bytes as the
+    row's largest one takes."""
 
     names = [x.split()[0] for x in LETTER.split(", ")]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, *[pa.float64()] * 3]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.float64()] * 4]
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
         self.size = 0
 
-    def add(self, address: str, to: int, kind: int, origin: int, *parts: np.ndarray, stats: tuple = (None, None, None)) -> None:
-        packed = [p.tobytes() for p in parts] + [None] * (4 - len(parts))
-        self.size += sum(len(p) for p in packed if p)
-        self.rows.append((address, to, kind, origin, *packed, *stats))
+    def add(self, address: str, to: int, kind: int, origin: int, *parts: np.ndarray, stats: tuple = (None,) * 4) -> None:
+        """``parts``: arrays of m columns; long ones make several rows."""
+        m = parts[0].shape[-1] if parts else 0
+        for seq, a in enumerate(range(0, max(m, 1), ROW)):
+            packed = [_packed(p[..., a : a + ROW]) for p in parts] + [None] * (4 - len(parts))
+            self.size += sum(len(p) for p in packed if p)
+            self.rows.append((address, to, kind, origin, seq, min(m - a, ROW), *packed, *stats))
 
-    def add_by_range(self, kind: int, origin: int, ids: np.ndarray, values: np.ndarray, kinds: Kinds) -> None:
-        """``ids`` in order, ``values`` a column for each: one row for each range of words."""
+    def add_by_range(self, kind: int, origin: int, ids: np.ndarray, values: np.ndarray) -> None:
+        """``ids`` in order, ``values`` a column for each: a row for each range of words."""
         edges = [0, *(np.flatnonzero(np.diff(ids // RANGE)) + 1).tolist(), len(ids)]
         for a, b in zip(edges, edges[1:]):
             if b > a:
-                self.add(WORDS, int(ids[a] // RANGE), kind, origin, kinds.ids(ids[a:b]), np.ascontiguousarray(values[:, a:b]))
+                self.add(WORDS, int(ids[a] // RANGE), kind, origin, ids[a:b], values[:, a:b])
 
     def full(self) -> Iterator[pa.RecordBatch]:
-        if self.size > 1 << 25:
+        if self.size > 1 << 23:
             yield from self.rest()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -116,28 +127,26 @@ class Letters:
         self.rows, self.size = [], 0
 
 
-class Kinds:
-    """How arrays are packed: word numbers take 4 bytes as long as they fit, counts 8."""
+def _packed(x: np.ndarray) -> bytes:
+    if x.dtype == np.uint64:  # hashes
+        return x.tobytes()
+    most = int(x.max()) if x.size else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64).tobytes()
 
-    def __init__(self, words: int) -> None:
-        self.wide = words >= 1 << 32
-        self.word = np.uint64 if self.wide else np.uint32
 
-    def ids(self, x: np.ndarray) -> np.ndarray:
-        return x.astype(self.word)
+def _unpacked(x: bytes, m: int, rows: int = 1) -> np.ndarray:
+    """Whole numbers of a row: m columns."""
+    if not m or not rows:
+        return np.empty((rows, m), dtype=np.int64)
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(x) // (m * rows)]
+    return np.frombuffer(x, dtype=kind).reshape(rows, m).astype(np.int64)
 
-    def read_ids(self, x: bytes) -> np.ndarray:
-        return np.frombuffer(x, dtype=self.word).astype(np.int64)
 
-    def in_order(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Order by word before, then word."""
-        if self.wide:
-            return np.lexsort((word, before))
-        return np.argsort(before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), kind="stable")
-
-
-def _counts(x: bytes, rows: int = 1) -> np.ndarray:
-    return np.frombuffer(x, dtype=np.int64).reshape(rows, -1)
+def _in_order(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by word before, then word."""
+    if max(int(before.max(initial=0)), int(word.max(initial=0))) >= 1 << 32:
+        return np.lexsort((word, before))
+    return np.argsort(before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), kind="stable")
 
 
 def _addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[pa.RecordBatch]]]]:
@@ -158,45 +167,57 @@ def _addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[in
         yield now, got
 
 
-def _letters(got: dict[int, list[pa.RecordBatch]], kind: int, *columns: str) -> list[tuple]:
-    """Rows of one kind by their sender."""
-    return sorted((row for part in got.get(kind, []) for row in zip(*(part.column(c).to_pylist() for c in ("origin", *columns)))), key=lambda r: r[0])
+def _letters(got: dict[int, list[pa.RecordBatch]], kind: int) -> list[dict]:
+    """Rows of one kind by their sender and in the order in which it wrote them."""
+    return sorted((row for part in got.get(kind, []) for row in part.to_pylist()), key=lambda r: (r["origin"], r["seq"]))
+
+
+def _column(rows: list[dict], name: str, height: int = 1) -> np.ndarray:
+    """The rows' arrays one after another; of one row each if ``height`` is 1."""
+    parts = [_unpacked(r[name], r["m"], height) for r in rows]
+    out = np.concatenate(parts, axis=1) if parts else np.empty((height, 0), dtype=np.int64)
+    return out[0] if height == 1 else out
 
 
 def _sent(rows: DataFrame, run: Callable, addresses: int, schema: str = LETTER) -> DataFrame:
     """``rows`` brought to their addresses, whose tasks ``run`` them."""
-    dealt = rows.repartition(max(2, min(2 * addresses, 8192)), "to").sortWithinPartitions("to", "kind", "origin")
+    dealt = rows.repartition(max(2, min(2 * addresses, 8192)), "to").sortWithinPartitions("to", "kind")
     return dealt.mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------ blocks
 
-def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Rows of kind DICTIONARY: a block's distinct words (local number, hash, training count), the
-    last one being BEGIN; TEXTS: its texts as local numbers."""
+def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """For each block: its distinct words' hashes and training counts (to their ranges of hashes; BEGIN is
+    one of the words), their local numbers in the order of the hashes and its texts as local numbers
+    (to itself)."""
     context = TaskContext.get()
     block = (context.partitionId() if context else 0) << 24
-    known, kept = Numbers(), []
+    known, kept, out = Numbers(), [], Letters()
 
-    def rows(kind: int, n: int, **columns) -> pa.RecordBatch:
-        types = {"local": pa.int32(), "hash": pa.int64(), "count": pa.int64(), "held": pa.bool_(), "words": pa.binary()}
-        ids = columns.pop("doc_id", None)
-        made = {"block": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, kind, dtype=np.int32))}
-        made["doc_id"] = pa.nulls(n, id_type) if ids is None else ids
-        for name, t in types.items():
-            made[name] = pa.array(columns[name], t) if name in columns else pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+    def with_texts(letters: pa.RecordBatch) -> pa.RecordBatch:
+        n = letters.num_rows
+        more = [pa.nulls(n, id_type), pa.nulls(n, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*letters.columns, *more], names=[*Letters.names, "doc_id", "held"])
 
     def flush() -> Iterator[pa.RecordBatch]:
         learned = [x for _, held, numbers in kept for h, x in zip(held, numbers) if not h]
         counts = np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *learned]), minlength=len(known) + 1)
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*known, BEGIN]], dtype=np.uint64).view(np.int64)
-        for i in range(0, len(hashes), 100_000):
-            part = slice(i, i + 100_000)
-            n = len(hashes[part])
-            yield rows(DICTIONARY, n, local=np.arange(i, i + n, dtype=np.int32), hash=hashes[part], count=counts[part])
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*known, BEGIN]], dtype=np.uint64)
+        order = np.argsort(hashes)
+        ranges = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for a, b in zip(edges, edges[1:]):
+            out.add(HASHES, int(ranges[a]), DICTIONARY, block, hashes[order[a:b]], counts[order[a:b]])
+        out.add(BLOCK, block, LOCALS, block, order)
+        for letters in out.rest():
+            yield with_texts(letters)
         for ids, held, numbers in kept:
-            yield rows(TEXTS, len(ids), doc_id=ids, held=held, words=[x.tobytes() for x in numbers])
+            n = len(ids)
+            columns = dict.fromkeys(Letters.names) | {"address": pa.array([BLOCK] * n), "to": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, TEXTS, dtype=np.int32))}
+            columns |= {"a": pa.array([x.tobytes() for x in numbers], pa.binary())}
+            made = [pa.nulls(n, t) if columns[c] is None else columns[c] for c, t in zip(Letters.names, Letters.types)]
+            yield pa.RecordBatch.from_arrays([*made, ids, pa.array(held, pa.bool_())], names=[*Letters.names, "doc_id", "held"])
 
     tokens = 0
     for batch in batches:
@@ -218,10 +239,47 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[
         yield from flush()
 
 
+# ------------------------------------------------------------------ ranges of hashes
+
+def _hashes(row: dict) -> np.ndarray:
+    return np.frombuffer(row["a"], dtype=np.uint64)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range its distinct hashes in order and their counts; and how many words it has, training
+    tokens, known words, those seen once and twice."""
+    out = Letters()
+    for at, got in _addressed(batches):
+        rows = _letters(got, DICTIONARY)
+        hashes, of = np.unique(np.concatenate([_hashes(r) for r in rows]), return_inverse=True)
+        counts = np.zeros(len(hashes), dtype=np.int64)
+        np.add.at(counts, of, _column(rows, "b"))
+        out.add(HASHES, at, VOCABULARY, at, hashes, counts)
+        seen = (float(x) for x in (counts.sum(), (counts > 0).sum(), (counts == 1).sum(), (counts == 2).sum()))
+        out.add(HASHES, at, STATS, len(hashes), stats=tuple(seen))
+        yield from out.full()
+    yield from out.rest()
+
+
+def _placed(batches: Iterator[pa.RecordBatch], offsets: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """To each block the numbers of its words of a range, in the order of the hashes; to the ranges of
+    words their counts."""
+    out = Letters()
+    for at, got in _addressed(batches):
+        rows = _letters(got, VOCABULARY)
+        hashes, counts = np.concatenate([_hashes(r) for r in rows]), _column(rows, "b")
+        ids = offsets[at] + np.arange(len(hashes))
+        out.add_by_range(COUNTS, at, ids, counts[None])
+        for row in _letters(got, DICTIONARY):
+            out.add(BLOCK, row["origin"], IDS, at * MOST_HASHES + row["seq"], ids[np.searchsorted(hashes, _hashes(row))])
+            yield from out.full()
+    yield from out.rest()
+
+
 def _flat(texts: list[pa.RecordBatch], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts: all their tokens' pairs as word before * (begin + 1) + word, their tokens, and whether
     each is learned from."""
-    words = [w for part in texts for w in part.column("words").to_pylist()]
+    words = [w for part in texts for w in part.column("a").to_pylist()]
     flat = np.frombuffer(b"".join(words), dtype=np.int32)
     lengths = np.array([len(w) // 4 for w in words])
     held = np.concatenate([part.column("held").to_numpy(zero_copy_only=False) for part in texts]).astype(bool)
@@ -244,7 +302,7 @@ def _bucket_of(before: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray
     return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block_pairs(texts: list[pa.RecordBatch], ids: np.ndarray, buckets: int, kinds: Kinds) -> tuple[np.ndarray, ...]:
+def _block_pairs(texts: list[pa.RecordBatch], ids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
     """A block's distinct pairs by bucket, then by the words' numbers: local keys, words before, words,
     times in training texts, buckets."""
     begin = len(ids) - 1
@@ -256,7 +314,7 @@ def _block_pairs(texts: list[pa.RecordBatch], ids: np.ndarray, buckets: int, kin
     del keys, learned
     first, second = np.divmod(local, begin + 1)
     before, word = ids[first], ids[second]
-    order = kinds.in_order(before, word)
+    order = _in_order(before, word)
     bucket = _bucket_of(before[order], word[order], buckets)
     order = order[np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
     return local[order], before[order], word[order], n[order], np.sort(bucket)
@@ -264,44 +322,42 @@ def _block_pairs(texts: list[pa.RecordBatch], ids: np.ndarray, buckets: int, kin
 
 def _block_ids(got: dict[int, list[pa.RecordBatch]]) -> np.ndarray:
     """Numbers of a block's words in the order of their local numbers."""
-    local, ids = (np.concatenate([np.asarray(p.column(c)) for p in got[DICTIONARY]]) for c in ("local", "id"))
+    order, ids = _column(_letters(got, LOCALS), "a"), _column(_letters(got, IDS), "a")
     out = np.empty(len(ids), dtype=np.int64)
-    out[local] = ids
+    out[order] = ids
     return out
 
 
-def _paired(batches: Iterator[pa.RecordBatch], buckets: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
-    """For each block: its words' numbers (to itself), its pairs (to their buckets), the words it asks
-    about (to their ranges)."""
+def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each block: its pairs (to their buckets), the words it asks about (to their ranges)."""
     out = Letters()
     for block, got in _addressed(batches):
         ids = _block_ids(got)
-        out.add(BLOCK, block, IDS, block, kinds.ids(ids))
-        _, before, word, n, bucket = _block_pairs(got[TEXTS], ids, buckets, kinds)
+        _, before, word, n, bucket = _block_pairs(got[TEXTS], ids, buckets)
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
-            out.add(BUCKET, int(bucket[a]), PAIRS, block, kinds.ids(before[a:b]), kinds.ids(word[a:b]), n[a:b])
+            out.add(BUCKET, int(bucket[a]), PAIRS, block, before[a:b], word[a:b], n[a:b])
             yield from out.full()
         asked = np.sort(ids)
-        out.add_by_range(ASKED, block, asked, np.empty((0, len(asked)), dtype=np.int64), kinds)
+        out.add_by_range(ASKED, block, asked, np.empty((0, len(asked)), dtype=np.int64))
         yield from out.full()
     yield from out.rest()
 
 
 # ------------------------------------------------------------------ buckets of pairs
 
-def _meeting(got: dict[int, list[pa.RecordBatch]], kinds: Kinds) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _meeting(got: dict[int, list[pa.RecordBatch]]) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The blocks' lists, and for a bucket's distinct pairs in order: words before, words, times; the pair
     of each place of the lists one after another."""
-    lists = _letters(got, PAIRS, "a", "b", "c")
-    before, word = (np.concatenate([kinds.read_ids(x[i]) for x in lists]) for i in (1, 2))
-    n = np.concatenate([_counts(x[3])[0] for x in lists])
-    order = kinds.in_order(before, word)
-    new = np.concatenate(([True], (np.diff(before[order]) != 0) | (np.diff(word[order]) != 0)))
+    lists = _letters(got, PAIRS)
+    before, word, n = (_column(lists, c) for c in "abc")
+    order = _in_order(before, word)
+    before, word = before[order], word[order]
+    new = np.concatenate(([True], (np.diff(before) != 0) | (np.diff(word) != 0)))
     starts = np.flatnonzero(new)
     of = np.empty(len(order), dtype=np.int64)
     of[order] = np.cumsum(new) - 1
-    return lists, before[order][starts], word[order][starts], np.add.reduceat(n[order], starts), of
+    return lists, before[starts], word[starts], np.add.reduceat(n[order], starts), of
 
 
 def _by_word(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,33 +369,32 @@ def _by_word(ids: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, sums
 
 
-def _tell_tables(out: Letters, bucket: int, before: np.ndarray, word: np.ndarray, tables: np.ndarray, kinds: Kinds) -> None:
+def _tell_tables(out: Letters, bucket: int, before: np.ndarray, word: np.ndarray, tables: np.ndarray) -> None:
     for kind, ids in ((TABLES_BEFORE, before), (TABLES_WORD, word)):
-        out.add_by_range(kind, bucket, *_by_word(ids, tables), kinds)
+        out.add_by_range(kind, bucket, *_by_word(ids, tables))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket: the pairs seen more than once, with one table each; sums to the ranges."""
     out = Letters()
     for bucket, got in _addressed(batches):
-        _, before, word, n, _ = _meeting(got, kinds)
+        _, before, word, n, _ = _meeting(got)
         before, word, n = before[n > 0], word[n > 0], n[n > 0]
         once = (n == 1).astype(np.int64)
-        out.add_by_range(SUMS_BEFORE, bucket, *_by_word(before, n, once), kinds)
-        out.add_by_range(SUMS_WORD, bucket, *_by_word(word[n == 1], once[n == 1]), kinds)
+        out.add_by_range(SUMS_BEFORE, bucket, *_by_word(before, n, once))
+        out.add_by_range(SUMS_WORD, bucket, *_by_word(word[n == 1], once[n == 1]))
         before, word, n = before[n > 1], word[n > 1], n[n > 1]
         if len(n):
-            out.add(BUCKET, bucket, SEATED, bucket, kinds.ids(before), kinds.ids(word), n, np.ones((1, len(n)), dtype=np.int64))
-            _tell_tables(out, bucket, before, word, np.ones(len(n), dtype=np.int64), kinds)
+            out.add(BUCKET, bucket, SEATED, bucket, before, word, n, np.ones((1, len(n)), dtype=np.int64))
+            _tell_tables(out, bucket, before, word, np.ones(len(n), dtype=np.int64))
         yield from out.full()
     yield from out.rest()
 
 
-def _replies(got: dict[int, list[pa.RecordBatch]], kind: int, ids: np.ndarray, kinds: Kinds) -> np.ndarray:
+def _replies(got: dict[int, list[pa.RecordBatch]], kind: int, ids: np.ndarray) -> np.ndarray:
     """What the ranges reply about each of ``ids``."""
-    rows = _letters(got, kind, "a", "b")
-    known = np.concatenate([kinds.read_ids(a) for _, a, _ in rows])
-    return np.concatenate([_counts(b)[0] for _, _, b in rows])[np.searchsorted(known, ids)]
+    rows = _letters(got, kind)
+    return _column(rows, "b")[np.searchsorted(_column(rows, "a"), ids)]
 
 
 def pair_draws(before: np.ndarray, word: np.ndarray, sweep: int) -> np.ndarray:
@@ -348,99 +403,83 @@ def pair_draws(before: np.ndarray, word: np.ndarray, sweep: int) -> np.ndarray:
     return mix_bits(before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt)
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], sweep: int, strength: float, discount: float, total: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], sweep: int, strength: float, discount: float, total: int) -> Iterator[pa.RecordBatch]:
     """One sweep over each bucket's dishes."""
     out = Letters()
     for bucket, got in _addressed(batches):
-        for _, a, b, c, d in _letters(got, SEATED, "a", "b", "c", "d"):
-            before, word, n = kinds.read_ids(a), kinds.read_ids(b), _counts(c)[0]
-            tables = np.frombuffer(d, dtype=np.int64).reshape(-1, len(n))
-            old = tables[0]
-            others = _replies(got, REPLY_BEFORE, before, kinds) - old
-            own = _replies(got, REPLY_WORD, word, kinds) - old
-            now = table_draws(n, others, own, total - old, pair_draws(before, word, sweep), strength, discount, STRENGTH)
-            kept = np.concatenate((tables[1:], now[None])) if sweep >= BURN else tables[1:]
-            out.add(BUCKET, bucket, SEATED, bucket, kinds.ids(before), kinds.ids(word), n, np.concatenate((now[None], kept)))
-            _tell_tables(out, bucket, before, word, now, kinds)
+        rows = _letters(got, SEATED)
+        before, word, n = (_column(rows, c) for c in "abc")
+        tables = _column(rows, "d", 1 + max(0, sweep - BURN)).reshape(-1, len(n))
+        old = tables[0]
+        others = _replies(got, REPLY_BEFORE, before) - old
+        own = _replies(got, REPLY_WORD, word) - old
+        now = table_draws(n, others, own, total - old, pair_draws(before, word, sweep), strength, discount, STRENGTH)
+        kept = np.concatenate((tables[1:], now[None])) if sweep >= BURN else tables[1:]
+        out.add(BUCKET, bucket, SEATED, bucket, before, word, n, np.concatenate((now[None], kept)))
+        _tell_tables(out, bucket, before, word, now)
         yield from out.full()
     yield from out.rest()
 
 
-def _answered(batches: Iterator[pa.RecordBatch], sweeps: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+def _answered(batches: Iterator[pa.RecordBatch], sweeps: int) -> Iterator[pa.RecordBatch]:
     """To each block, for its list of pairs: training times and the kept sweeps' tables."""
     out = Letters()
     for bucket, got in _addressed(batches):
-        if PAIRS not in got:
-            continue
-        lists, before, word, n, of = _meeting(got, kinds)
+        lists, _, _, n, of = _meeting(got)
         tables = np.repeat(np.minimum(n, 1)[None], sweeps, axis=0)
-        for _, _, _, _, d in _letters(got, SEATED, "a", "b", "c", "d"):
-            tables[:, n > 1] = np.frombuffer(d, dtype=np.int64).reshape(-1, int((n > 1).sum()))[1:]
+        tables[:, n > 1] = _column(_letters(got, SEATED), "d", 1 + sweeps)[1:]
         at = 0
-        for block, a, *_ in lists:
-            part = of[at : at + len(a) // kinds.word().itemsize]
+        for row in lists:
+            part = of[at : at + row["m"]]
             at += len(part)
-            out.add(BLOCK, block, ANSWERS, bucket, n[part], np.ascontiguousarray(tables[:, part]))
-        yield from out.full()
+            out.add(BLOCK, row["origin"], ANSWERS, bucket * MOST_HASHES + row["seq"], n[part], tables[:, part])
+            yield from out.full()
     yield from out.rest()
 
 
 # ------------------------------------------------------------------ ranges of words
 
-def _vocabulary_rows(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
-    out = Letters()
-    for batch in batches:
-        ids, counts = np.asarray(batch.column("id")), np.asarray(batch.column("count"))
-        order = np.argsort(ids)
-        out.add_by_range(COUNTS, int(ids[0]) if len(ids) else 0, ids[order], counts[order][None], kinds)
-        yield from out.full()
-    yield from out.rest()
-
-
-def _reduced(batches: Iterator[pa.RecordBatch], sweep: int, strength: float, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+def _reduced(batches: Iterator[pa.RecordBatch], sweep: int, strength: float) -> Iterator[pa.RecordBatch]:
     """The ranges' totals after ``sweep`` (-1: as first seated), and replies to the buckets about the words
     that they told of. Sums for the driver: customers in the parent, and those of ``strength_sums``."""
     out = Letters()
-    context = TaskContext.get()
     for at, got in _addressed(batches):
         first = at * RANGE
-        state = np.zeros((TOTALS, RANGE), dtype=np.int64)
-        for _, a in _letters(got, STATE, "a"):
-            state = np.frombuffer(a, dtype=np.int64).reshape(-1, RANGE)
         if sweep < 0:
-            state = state.copy()
+            state = np.zeros((TOTALS, RANGE), dtype=np.int64)
             for kind, rows in ((COUNTS, slice(0, 1)), (SUMS_BEFORE, slice(1, 3)), (SUMS_WORD, slice(3, 4))):
-                for _, a, b in _letters(got, kind, "a", "b"):
-                    state[rows, kinds.read_ids(a) - first] += _counts(b, rows.stop - rows.start)
+                for r in _letters(got, kind):
+                    state[rows, _unpacked(r["a"], r["m"])[0] - first] += _unpacked(r["b"], r["m"], rows.stop - rows.start)
+        else:
+            state = _column(_letters(got, STATE), "a", TOTALS + 2 * max(0, sweep - BURN))
         sums = {}
         for kind, single in ((TABLES_BEFORE, state[2]), (TABLES_WORD, state[3])):
             sums[kind] = single.copy()
-            told = [(origin, kinds.read_ids(a), _counts(b)[0]) for origin, a, b in _letters(got, kind, "a", "b")]
-            for _, ids, tables in told:
+            told = [(r["origin"], r["seq"], *_unpacked(r["a"], r["m"]), *_unpacked(r["b"], r["m"])) for r in _letters(got, kind)]
+            for _, _, ids, tables in told:
                 sums[kind][ids - first] += tables
             reply = REPLY_BEFORE if kind == TABLES_BEFORE else REPLY_WORD
-            for origin, ids, _ in told:
-                out.add(BUCKET, origin, reply, at, kinds.ids(ids), sums[kind][ids - first])
+            for origin, seq, ids, _ in told:
+                out.add(BUCKET, origin, reply, at * MOST_HASHES + seq, ids, sums[kind][ids - first])
                 yield from out.full()
         if sweep >= BURN:
             state = np.concatenate((state, sums[TABLES_BEFORE][None], sums[TABLES_WORD][None]))
         out.add(WORDS, at, STATE, at, state)
         rng = np.random.default_rng([SEED, sweep + 1, at])
         logs, ones = strength_sums(state[1], sums[TABLES_BEFORE], strength, rng)
-        out.add(WORDS, at, STATS, at, stats=(float(sums[TABLES_WORD].sum()), logs, ones))
+        out.add(WORDS, at, STATS, at, stats=(float(sums[TABLES_WORD].sum()), logs, ones, None))
     yield from out.rest()
 
 
-def _states(batches: Iterator[pa.RecordBatch], kinds: Kinds) -> Iterator[pa.RecordBatch]:
+def _states(batches: Iterator[pa.RecordBatch], sweeps: int) -> Iterator[pa.RecordBatch]:
     """To each block, the totals of the words that it asked about."""
     out = Letters()
     for at, got in _addressed(batches):
-        for _, a in _letters(got, STATE, "a"):
-            state = np.frombuffer(a, dtype=np.int64).reshape(-1, RANGE)
-            for block, asked in _letters(got, ASKED, "a"):
-                ids = kinds.read_ids(asked)
-                out.add(BLOCK, block, STATES, at, kinds.ids(ids), np.ascontiguousarray(state[:, ids - at * RANGE]))
-                yield from out.full()
+        state = _column(_letters(got, STATE), "a", TOTALS + 2 * sweeps)
+        for row in _letters(got, ASKED):
+            ids = _unpacked(row["a"], row["m"])[0]
+            out.add(BLOCK, row["origin"], STATES, at * MOST_HASHES + row["seq"], ids, state[:, ids - at * RANGE])
+            yield from out.full()
     yield from out.rest()
 
 
@@ -464,35 +503,33 @@ class Model:
         return np.maximum(customers - self.discount, 0.0) / (STRENGTH + np.array(self.customers))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stretch: int, kinds: Kinds) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
     """Blocks come as texts, their words' numbers, the words' totals and the pairs' answers."""
     base_total = math.log10(model.tokens + 0.5 * (model.distinct + 1))
     strengths = np.array(model.strengths)
     sweeps = len(strengths)
     for _, got in _addressed(batches):
-        ids = kinds.read_ids(_letters(got, IDS, "a")[0][1])
-        rows = _letters(got, STATES, "a", "b")
-        known_ids = np.concatenate([kinds.read_ids(a) for _, a, _ in rows])
-        totals = np.concatenate([_counts(b, TOTALS + 2 * sweeps) for _, _, b in rows], axis=1)[:, np.searchsorted(known_ids, ids)]
+        ids = _block_ids(got)
+        rows = _letters(got, STATES)
+        totals = _column(rows, "b", TOTALS + 2 * sweeps)[:, np.searchsorted(_column(rows, "a"), ids)]
         seen = totals[0] > 0
         base = np.log10(totals[0] + 0.5) - base_total
         customers = totals[1][:, None] + strengths
         free = (strengths + DISCOUNT * totals[TOTALS::2].T) / customers
         parent = np.where(seen[:, None], model.known_word(totals[TOTALS + 1 :: 2].T), model.new_word())
-        local, *_ = _block_pairs(got[TEXTS], ids, buckets, kinds)
+        local, *_ = _block_pairs(got[TEXTS], ids, buckets)
         order = np.argsort(local)
-        answers = _letters(got, ANSWERS, "a", "b")
-        n = np.concatenate([_counts(a)[0] for _, a, _ in answers])[order]
-        tables = np.concatenate([_counts(b, sweeps) for _, _, b in answers], axis=1)[:, order]
+        answers = _letters(got, ANSWERS)
+        n, tables = _column(answers, "a")[order], _column(answers, "b", sweeps).reshape(sweeps, -1)[:, order]
         local = local[order]
         first, second = np.divmod(local, len(ids))
         chance = sum(
             np.maximum(n - DISCOUNT * tables[s], 0.0) / customers[first, s] + free[first, s] * parent[second, s] for s in range(sweeps)
         ) / sweeps
         score = np.log10(chance)
-        del n, tables, first, second, chance
+        del n, tables, first, second, chance, answers, totals
         for texts in got[TEXTS]:
-            lengths = np.array([len(w) // 4 for w in texts.column("words").to_pylist()])
+            lengths = np.array([len(w) // 4 for w in texts.column("a").to_pylist()])
             upto = np.cumsum(lengths)
             a = 0
             while a < len(lengths):
@@ -513,42 +550,22 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stret
 
 # ------------------------------------------------------------------ the plan
 
-def _vocabulary(entries: DataFrame) -> DataFrame:
-    """hash, count, id of all words: numbered from 0 in the order of their hashes."""
-    counts = entries.groupBy("hash").agg(F.sum("count").alias("count"))
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, at = TaskContext.get(), 0
-        for batch in batches:
-            n = batch.num_rows
-            place = [pa.array(np.full(n, context.partitionId())), pa.array(np.arange(at, at + n))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hash", "count")), *place], names=["hash", "count", "part", "place"])
-            at += n
-
-    placed = written(counts.repartitionByRange("hash").sortWithinPartitions("hash").mapInArrow(numbered, "hash long, count long, part long, place long"))
-    sizes = sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    upto = np.cumsum([0, *(n for _, n in sizes)]).tolist()
-    offsets = placed.sparkSession.createDataFrame([(p, o) for (p, _), o in zip(sizes, upto)], "part long, offset long")
-    return placed.join(offsets, "part").select("hash", "count", (F.col("offset") + F.col("place")).alias("id"))
-
-
 def _only(letters: DataFrame, address: str, *kinds: int) -> DataFrame:
-    return letters.filter((F.col("address") == address) & F.col("kind").isin(*kinds))
+    return letters.filter((F.col("address") == address) & F.col("kind").isin(*kinds)).select(*Letters.names)
 
 
-def gibbs(spark: SparkSession, sent: DataFrame, words: DataFrame, model: Model, buckets: int, ranges: int, kinds: Kinds) -> tuple[DataFrame, DataFrame]:
+def gibbs(spark: SparkSession, pairs: DataFrame, counts: DataFrame, model: Model, buckets: int, ranges: int) -> tuple[DataFrame, DataFrame]:
     """Sweeps over all restaurants: the buckets' dishes with the kept sweeps' tables, and the ranges'
     totals; ``model`` gets the sums of the kept sweeps."""
     strength, discount = STRENGTH, model.discount
-    seated = written(_sent(_only(sent, BUCKET, PAIRS), lambda it: _gathered(it, kinds), buckets))
+    seated = written(_sent(pairs, _gathered, buckets))
     release(spark)
-    counts = words.mapInArrow(lambda it: _vocabulary_rows(it, kinds), LETTER)
     told = _only(seated, WORDS, SUMS_BEFORE, SUMS_WORD, TABLES_BEFORE, TABLES_WORD).unionByName(counts)
     totals = None
     for sweep in range(-1, SWEEPS):
         step, now = sweep, strength
         given = told if totals is None else told.unionByName(_only(totals, WORDS, STATE))
-        reduced = written(_sent(given, lambda it: _reduced(it, step, now, kinds), ranges))
+        reduced = written(_sent(given, lambda it: _reduced(it, step, now), ranges))
         if totals is not None:
             discard(totals)
         totals = reduced
@@ -563,7 +580,7 @@ def gibbs(spark: SparkSession, sent: DataFrame, words: DataFrame, model: Model,
         if sweep < SWEEPS - 1:
             step, now = sweep + 1, strength
             given = _only(seated, BUCKET, SEATED).unionByName(_only(totals, BUCKET, REPLY_BEFORE, REPLY_WORD))
-            drawn = written(_sent(given, lambda it: _sampled(it, step, now, discount, int(customers), kinds), buckets))
+            drawn = written(_sent(given, lambda it: _sampled(it, step, now, discount, int(customers)), buckets))
             discard(seated)
             seated, told = drawn, _only(drawn, WORDS, TABLES_BEFORE, TABLES_WORD)
         release(spark)
@@ -576,35 +593,34 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     narrow = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    parts = written(
-        narrow.mapInArrow(
-            lambda it: _numbered(it, block_tokens),
-            f"block long, kind int, doc_id {id_type}, local int, hash long, count long, held boolean, words binary",
-        )
-    )
-    entries = parts.filter(F.col("kind") == DICTIONARY)
-    words = written(_vocabulary(entries))
-    sums = words.agg(
-        F.sum("count").alias("tokens"), F.count(F.lit(1)).alias("words"), F.count_if(F.col("count") > 0).alias("known"),
-        F.count_if(F.col("count") == 1).alias("once"), F.count_if(F.col("count") == 2).alias("twice"),
-    ).first()
-    tokens = sums.tokens or 0
-    model = Model(tokens, sums.known, min(0.95, max(0.05, sums.once / max(1, sums.once + 2 * sums.twice))))
-    kinds, ranges = Kinds(sums.words), max(1, -(-sums.words // RANGE))
+    bits = min(MOST_HASHES, 16 * max(1, narrow.rdd.getNumPartitions())).bit_length() - 1
+    parts = written(narrow.mapInArrow(lambda it: _numbered(it, block_tokens, bits), f"{LETTER}, doc_id {id_type}, held boolean"))
+    dictionary = _only(parts, HASHES, DICTIONARY)
+    vocabulary = written(_sent(dictionary, _merged, 1 << bits))
+    sums = sorted(_only(vocabulary, HASHES, STATS).select("to", "origin", "x", "y", "z", "w").collect())
+    offsets = dict(zip([r.to for r in sums], np.cumsum([0, *(r.origin for r in sums)]).tolist()))
+    words, tokens, known, once, twice = (int(sum(r[c] for r in sums)) for c in ("origin", "x", "y", "z", "w"))
+    placed = written(_sent(dictionary.unionByName(_only(vocabulary, HASHES, VOCABULARY)), lambda it: _placed(it, offsets), 1 << bits))
+    discard(vocabulary)
+    release(spark)
+    model = Model(tokens, known, min(0.95, max(0.05, once / max(1, once + 2 * twice))))
+    ranges = max(1, -(-words // RANGE))
     buckets = min(MOST_BUCKETS, max(1, -(-tokens // bucket_tokens)))
-    blocks = parts.select("block").distinct().count()
-    texts = parts.filter(F.col("kind") == TEXTS).select(F.col("block").alias("to"), "kind", F.lit(0).cast("long").alias("origin"), "doc_id", "held", "words")
-    local = entries.join(words.select("hash", "id"), "hash").select(F.col("block").alias("to"), "kind", F.lit(0).cast("long").alias("origin"), "local", "id")
-    sent = written(_sent(local.unionByName(texts, allowMissingColumns=True), lambda it: _paired(it, buckets, kinds), blocks))
+    texts = parts.filter((F.col("address") == BLOCK) & F.col("kind").isin(TEXTS, LOCALS))
+    blocks = _only(parts, BLOCK, LOCALS).select("to").distinct().count()
+    at_blocks = texts.unionByName(_only(placed, BLOCK, IDS), allowMissingColumns=True)
+    sent = written(_sent(at_blocks, lambda it: _paired(it, buckets), blocks))
     release(spark)
-    seated, totals = gibbs(spark, sent, words, model, buckets, ranges, kinds)
-    states = written(_sent(totals.unionByName(_only(sent, WORDS, ASKED)), lambda it: _states(it, kinds), ranges))
+    pairs = _only(sent, BUCKET, PAIRS)
+    seated, totals = gibbs(spark, pairs, _only(placed, WORDS, COUNTS), model, buckets, ranges)
     kept = SWEEPS - BURN
-    answers = written(_sent(_only(sent, BUCKET, PAIRS).unionByName(seated), lambda it: _answered(it, kept, kinds), buckets))
+    states = written(_sent(totals.unionByName(_only(sent, WORDS, ASKED)), lambda it: _states(it, kept), ranges))
+    answers = written(_sent(pairs.unionByName(seated), lambda it: _answered(it, kept), buckets))
+    discard(sent)
     release(spark)
-    told = _only(sent, BLOCK, IDS).unionByName(states).unionByName(answers).select("to", "kind", "origin", "a", "b")
+    told = _only(states, BLOCK, STATES).unionByName(_only(answers, BLOCK, ANSWERS))
     scored = _sent(
-        texts.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets, stretch, kinds), blocks,
+        at_blocks.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets, stretch), blocks,
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

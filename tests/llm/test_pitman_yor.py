@@ -107,7 +107,7 @@ class Plain:
         learned = [tokens(x) for x, h in docs if not h]
         self.words = Counter(t for x in learned for t in x)
         every = {t for x, _ in docs for t in tokens(x)} | {pitman_yor.BEGIN}
-        ids = {t: i for i, t in enumerate(sorted(every, key=lambda t: np.uint64(xxhash.xxh64_intdigest(t)).view(np.int64)))}
+        ids = {t: i for i, t in enumerate(sorted(every, key=xxhash.xxh64_intdigest))}
         self.pairs = Counter(p for x in learned for p in zip([pitman_yor.BEGIN, *x], x))
         self.customers = Counter()
         for (u, _), n in self.pairs.items():
@@ -128,7 +128,7 @@ class Plain:
             t_u, c_w, total = self.sums(tables)
             if sweep >= pitman_yor.BURN:
                 self.kept.append((dict(tables), t_u, c_w, total, strength))
-            customers, seated = np.zeros((2, pitman_yor.RANGE), dtype=np.int64)
+            customers, seated = np.zeros((2, pitman_yor.RANGE), dtype=np.int64)  # one range holds all words here
             for u, n in self.customers.items():
                 customers[ids[u]], seated[ids[u]] = n, t_u[u]
             rng = np.random.default_rng([pitman_yor.SEED, sweep + 1, 0])
