@@ -11,6 +11,7 @@ from rewardframe.plans.fixtures import FIXTURE_SQL, fixture, oracle_with
 from rewardframe.plans.q_data import JSON_TESTS, trim_sql
 from rewardframe.plans.registry import r6, register
 from rewardframe.session import materialize
+from rewardframe.sources import sinks as SK
 from rewardframe.streaming import scoring as ST
 
 # what the responses of fx_responses hold, by kind (doc_id % 8)
@@ -146,7 +147,7 @@ def _outcomes(prepared):
     share = F.when(F.col("sample_id") % 3 == 0, F.col("n_tests")).when(F.col("sample_id") % 3 == 1, F.floor(F.col("n_tests") / 2)).otherwise(0)
     crash = F.col("sample_id") % 32 == 3
     return plan.select(
-        "sample_id", F.when(~crash & (F.col("test_idx") < share), "success").otherwise("error").alias("status"),
+        "sample_id", "test_idx", F.when(~crash & (F.col("test_idx") < share), "success").otherwise("error").alias("status"),
         F.when(crash, V.RUNNER_ERROR).alias("error_type"),
     )
 
@@ -171,6 +172,26 @@ def stream_score_responses(spark, sf_dir):
     return spark.read.parquet(out).select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
 
 
+@register("stream_score_arrivals", _scored_sql(_CRASH, "true"))
+def stream_score_arrivals(spark, sf_dir):
+    """Responses and their outcomes as two streams of several files, some outcomes twice, half of either
+    before a restart: a reward for each response once its outcomes are in (ST1)."""
+    from rewardframe.streaming.arrivals import score_arrivals
+
+    base = SK.scratch_dir(spark, "arrivals")
+    prepared = materialize(_prepared(spark, sf_dir))
+    flags = prepared.select("sample_id", "has_code", "syntax_valid", "compile_valid", "n_tests", "code_length")
+    outcomes = materialize(_outcomes(prepared))
+    late = F.pmod(F.xxhash64("sample_id"), F.lit(4))
+    for half in (0, 1):
+        # responses come in both halves, and so do outcomes, mostly not in that of their response
+        flags.where(F.col("sample_id") % 2 == half).repartition(2).write.mode("append").parquet(f"{base}/responses")
+        outcomes.where((late < 3) if half else (late >= 2)).repartition(2).write.mode("append").parquet(f"{base}/outcomes")
+        streams = [ST.stream_from_files(spark, f"{base}/{x}", max_files_per_trigger=1) for x in ("responses", "outcomes")]
+        ST.run_available(score_arrivals(*streams), f"{base}/out", f"{base}/checkpoint", "append")
+    return spark.read.parquet(f"{base}/out").select("sample_id", *[r6(c).alias(c) for c in _SCORED_COLUMNS])
+
+
 @register(
     "plan_scoring",
     _coded("fx_scoring").rstrip() + ",\nfx_tests as (select doc_id, tests_text from fx_scoring),\n" + JSON_TESTS.strip()

@@ -359,6 +359,32 @@ def stream_stats(spark, sf_dir):
                       r6("full_pass_rate").alias("full_pass_rate"))
 
 
+@register(
+    "stream_stats_batches",
+    _STREAM_FLAGS
+    + """
+select count(*) as total_samples, count(*) filter (where cls = 'blank') as empty_samples,
+  count(*) filter (where cls = 'syntax') as syntax_errors, count(*) filter (where cls = 'compile') as compile_errors,
+  cast(0 as bigint) as runtime_errors, count(*) filter (where cls = 'run' and p = 2) as full_pass,
+  round(count(*) filter (where cls = 'run' and p = 2) / count(*)::double, 6) as full_pass_rate
+from k
+""",
+)
+def stream_stats_batches(spark, sf_dir):
+    """The totals over three files, a batch for each, with a restart from the checkpoint after the first:
+    state is carried from batch to batch and over the restart (ST2)."""
+    events = table(spark, sf_dir, "events")
+    base = SK.scratch_dir(spark, "stats-batches")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for stage, condition in enumerate((part == 0, part > 0)):
+        events.where(condition).repartition(1 + stage, part).sortWithinPartitions(part).write.mode("append").parquet(f"{base}/in")
+        stream = ST.stream_from_files(spark, f"{base}/in", max_files_per_trigger=1)
+        ST.run_available(ST.stats_stream(ST.score_stream(ST.event_flags(stream))), f"{base}/out", f"{base}/checkpoint", "complete")
+    res = ST.latest_result(spark, f"{base}/out")
+    return res.select("total_samples", "empty_samples", "syntax_errors", "compile_errors", "runtime_errors", "full_pass",
+                      r6("full_pass_rate").alias("full_pass_rate"))
+
+
 def _mixed_jsonl(spark, sf_dir):
     """documents -> JSON Lines whose records use different alias keys and value shapes."""
     d = table(spark, sf_dir, "documents")
