@@ -217,6 +217,12 @@ def screen_message(violations: str | Column) -> Column:
 
 
 def register_sql_functions(spark) -> None:
-    """Register ``screen_code`` and ``check_code`` for SQL use."""
+    """Register for SQL use ``screen_code`` (an array of violations), ``screen_code_table`` (a table of them,
+    for LATERAL), ``check_code`` and its other name ``validate_code``. The table function has an SQL body
+    around the Arrow UDF, as Spark does not take Arrow table functions in a lateral join."""
     spark.udf.register("screen_code", _screen_udf)
-    spark.udf.register("check_code", _check_udf)
+    for name in ("check_code", "validate_code"):
+        spark.udf.register(name, _check_udf)
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION screen_code_table(code STRING)
+        RETURNS TABLE(pos INT, kind STRING, name STRING, message STRING)
+        RETURN SELECT p, v.kind, v.name, v.message FROM (SELECT posexplode(screen_code(screen_code_table.code)) AS (p, v))""")

@@ -1,8 +1,9 @@
 """SQL names for the library's functions, for use in ``spark.sql``.
 
 ``count_tokens`` and ``py_strip`` are SQL-bodied temporary functions: the analyzer inlines
-their bodies, so they stay native expressions inside whole-stage codegen. ``check_code`` and
-``screen_code`` (an array of violations) are Arrow UDFs.
+their bodies, so they stay native expressions inside whole-stage codegen. ``check_code`` (also
+named ``validate_code``) and ``screen_code`` (an array of violations) are Arrow UDFs; ``screen_code_table``
+gives the violations as rows: ``select * from codes, lateral screen_code_table(codes.code)``.
 """
 
 from __future__ import annotations

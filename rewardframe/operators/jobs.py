@@ -31,13 +31,15 @@ def verify_job(
     id_col: str = "sample_id",
     order_col: str | None = None,
     num_partitions: int | None = None,
+    log_path: str | None = None,
 ) -> DataFrame:
     """Verify a dataset: outcomes (given, with whatever runs they hold, or produced by ``runner``
     over an execution plan of ``n_runs`` runs) -> per-sample results -> kept samples (JSON Lines),
     results (Parquet), report (JSON).
 
     Samples without an id get their position as id first (``order_col`` orders them), so a
-    missing id never matches every other missing id. Returns the status counts table.
+    missing id never matches every other missing id. With ``log_path`` the outcomes are kept there as
+    tests end, and a job that is run again executes only what is missing. Returns the status counts table.
     """
     if order_col is not None:
         samples = SM.with_position_id(samples, id_col, order_col)
@@ -45,7 +47,10 @@ def verify_job(
         if runner is None:
             raise ValueError("give outcomes or a runner")
         plan = V.plan_executions(samples, n_runs, id_col=id_col)
-        raw = V.run_executions(plan, runner, id_col, num_partitions)
+        if log_path is None:
+            raw = V.run_executions(plan, runner, id_col, num_partitions)
+        else:
+            raw = V.resume_executions(plan, runner, log_path, id_col)
         outcomes = V.classify_outcomes(raw, [id_col, "run", "test_idx"])
     # the outcomes are read once; the results, by four outputs
     results = materialize(V.verify_results(samples, outcomes, id_col=id_col))
@@ -117,14 +122,14 @@ def sft_job(
 
 def token_filter_job(df: DataFrame, col: str, max_tokens: int, out_path: str, counter=None, replace: bool = False) -> DataFrame:
     """Keep rows whose sample (messages, or a string taken as one user message) renders to at
-    most ``max_tokens`` tokens; the length is not kept. ``replace=True`` swaps the output in with
-    write-then-rename (safe when the output path is the input path). Returns the output, read
+    most ``max_tokens`` tokens; the length is not kept. ``replace=True`` publishes the output as a new
+    version of the path (which may be the input's; see ``sinks.publish``). Returns the output, read
     afresh."""
     from rewardframe.functions.tokens import count_tokens
 
     kept = CV.within_tokens(df, col, max_tokens, counter or count_tokens, "_n_tokens").drop("_n_tokens")
     if replace:
-        SK.replace_path(kept, out_path, "parquet")
+        SK.publish(kept, out_path, "parquet")
     else:
         SK.write_parquet(kept, out_path)
-    return df.sparkSession.read.parquet(out_path)
+    return RD.read_any(df.sparkSession, out_path, "parquet")

@@ -44,25 +44,45 @@ class Cut:
 
     def split(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows up to the rank, and the others. Rows equal to the cut are interchangeable; only
-        where some of them are within and some not, they are numbered."""
+        where some of them are within and some not, a number of them is taken."""
         if self.key is None:
             return keyed.where(F.lit(False)), keyed
         below = (F.col("_key") < self.key) | ((F.col("_key") == self.key) & (F.col("_row") < self.row))
         equal = (F.col("_key") == self.key) & (F.col("_row") == self.row)
         if self.within == self.equal:
             return keyed.where(below | equal), keyed.where(~(below | equal))
-        order = Window.partitionBy("_key").orderBy("_row")
-        numbered = keyed.where(equal).withColumn("_n", F.row_number().over(order))
-        head, tail = (numbered.where(c).drop("_n") for c in (F.col("_n") <= self.within, F.col("_n") > self.within))
+        head, tail = _take_any(keyed.where(equal), self.within)
         return keyed.where(below).unionByName(head), keyed.where(~(below | equal)).unionByName(tail)
 
 
+def _take_any(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Any ``n`` of the rows, and the others. The rows are written and stay where they are: whole partitions
+    are taken, and of one its first rows; only the partitions' counts reach the driver."""
+    kept = materialize(rows)
+    placed = kept.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    part, left = -1, n
+    for p, count in sorted(map(tuple, placed.groupBy("_part").count().collect())):
+        if left < count:
+            part = p
+            break
+        left -= count
+    else:
+        return kept, kept.where(F.lit(False))
+    taken = (F.col("_part") < part) | ((F.col("_part") == part) & (F.col("_at") < left))
+    return placed.where(taken).drop("_part", "_at"), placed.where(~taken).drop("_part", "_at")
+
+
 def find_cut(keyed: DataFrame, n: int | None = None, ratio: float | None = None) -> Cut | None:
-    """Cut at rank ``n``, or at floor(rows * ratio); None if the rank is beyond the data. Only
+    """Cut at rank ``n``, or at floor(rows * ratio); None if the rank is beyond the data. The search goes on
+    by prefixes of the key, and where that is used up (one id, or no id, has very many rows) by
+    prefixes of the row hash, until a prefix holds at most BOUNDARY_ROWS rows or equal ones only. Only
     counts by prefix (at most 65,536 a step) and the cut itself reach the driver."""
-    prefix, rows = "", keyed.select("_key", "_row")
+    # the row hash in the order of its values, behind the key; no key comes first
+    sign = F.lit(-(1 << 63)).cast("bigint")
+    digits = F.concat(F.rpad("_key", 32, " "), F.lpad(F.hex(F.col("_row").bitwiseXOR(sign)), 16, "0"))
+    prefix, rows = "", keyed.select("_key", "_row", digits.alias("_digits"))
     while True:
-        step = F.substring("_key", len(prefix) + 1, PREFIX_HEX)
+        step = F.substring("_digits", len(prefix) + 1, PREFIX_HEX)
         counts = sorted(map(tuple, rows.groupBy(step).count().collect()))
         if ratio is not None:
             n, ratio = int(sum(c for _, c in counts) * ratio), None
@@ -75,8 +95,8 @@ def find_cut(keyed: DataFrame, n: int | None = None, ratio: float | None = None)
         else:
             return None
         prefix += part
-        rows = rows.where(F.col("_key").startswith(prefix))
-        if count <= BOUNDARY_ROWS or len(prefix) >= 32 or not part:
+        rows = rows.where(F.col("_digits").startswith(prefix))
+        if count <= BOUNDARY_ROWS or len(prefix) >= 48:
             break
     order = Window.orderBy("_key", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tallied = rows.groupBy("_key", "_row").count().withColumn("upto", F.sum("count").over(order))

@@ -9,12 +9,14 @@ outcomes  : one row per executed (sample, run, test): ``id_col, run, test_idx, s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardframe.functions.text import pct1, py_strip
+from rewardframe.sources.sinks import _fs
 
 # Fixed values that must equal the reference's for equal results.
 SENTINEL_PREFIX = "__TESTS_COMPLETED__:"
@@ -112,6 +114,61 @@ def run_executions(plan: DataFrame, runner, id_col: str = "sample_id", num_parti
     return spread.mapInPandas(runner, ", ".join([*(kinds[c] for c in (*keys, "sentinel")), OUTCOME_SCHEMA]))
 
 
+#: Executions of one task, whose outcomes are committed together.
+COMMIT_ROWS = 500
+
+
+def logged_attempts(spark: SparkSession, log_path: str, id_col: str = "sample_id") -> DataFrame | None:
+    """Outcomes in an execution log, one for each script and its key (of attempts that were repeated any
+    one); None if there is no log yet."""
+    fs, folder = _fs(spark, log_path)
+    if not fs.exists(folder) or not any(f.getPath().getName().startswith("part-") for f in fs.listStatus(folder)):
+        return None
+    return spark.read.parquet(log_path).dropDuplicates([id_col, "run", "test_idx", "script_hash"])
+
+
+def resume_executions(
+    plan: DataFrame, runner, log_path: str, id_col: str = "sample_id", commit_rows: int = COMMIT_ROWS
+) -> DataFrame:
+    """Run what the log at ``log_path`` does not hold yet, add it to the log, and return the plan's
+    outcomes (E3). A script's outcome counts for its (id, run, test) as long as the script is the same.
+
+    Tasks of about ``commit_rows`` executions commit their outcomes one by one, as they end (file output
+    committer, algorithm 2): if the job fails or is stopped, what committed tasks have done stays, and
+    the next call plans only the rest. A task that a lost executor ran is run again as a whole; if both
+    attempts come to be committed, the log's reader takes one."""
+    spark, keys = plan.sparkSession, [id_col, "run", "test_idx", "script_hash"]
+    hashed = plan.withColumn("script_hash", F.sha2("script", 256))
+    before = logged_attempts(spark, log_path, id_col)
+    todo = hashed if before is None else hashed.join(before.select(*keys), keys, "left_anti")
+    n = todo.count()
+    if n:
+        tasks = max(1, -(-n // commit_rows))
+        kinds = {f.name: f.simpleString() for f in hashed.schema.fields}
+        ran = todo.repartition(tasks, *keys).mapInPandas(
+            lambda batches: _with_hashes(runner, batches, [id_col, "run", "test_idx"]),
+            ", ".join([*(kinds[c] for c in (*keys, "sentinel")), OUTCOME_SCHEMA]),
+        )
+        ran.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(log_path)
+    after = logged_attempts(spark, log_path, id_col)
+    if after is None:  # an empty plan
+        return hashed.select(*keys, "sentinel", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in OUTCOME_SCHEMA.split(", "))))
+    return after.join(hashed.select(*keys), keys, "left_semi")
+
+
+def _with_hashes(runner, batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The runner's batches, with the hash of the script of each row."""
+    hashes: dict[tuple, str] = {}
+
+    def noted() -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes.update(zip(zip(*(batch[k] for k in keys)), batch["script_hash"]))
+            yield batch
+
+    for out in runner(noted()):
+        yield out.assign(script_hash=[hashes[k] for k in zip(*(out[k] for k in keys))])
+
+
 # ---------------------------------------------------------------- outcome classification
 
 def strip_sentinel(output: Column, sentinel: Column) -> Column:

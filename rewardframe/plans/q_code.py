@@ -94,6 +94,23 @@ def screen_code_kinds(spark, sf_dir):
     return found.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register(
+    "screen_code_sql",
+    oracle_with("fx_screen").rstrip() + "," + _FOUND_SQL
+    + "select kind, name, count(*) as n, count(*) as n_valid from fx_screen join found on kind6 = doc_id % 6 group by 1, 2",
+)
+def screen_code_sql(spark, sf_dir):
+    """The table of violations and the validation by their SQL names, in one statement."""
+    from rewardframe.functions.sql import register_all
+
+    register_all(spark)
+    statement = """
+        select f.kind, f.name, count(*) as n, count_if(c.valid.parses) as n_valid
+        from (select code, validate_code(code) as valid from {codes}) c, lateral screen_code_table(c.code) f
+        group by f.kind, f.name"""
+    return spark.sql(statement, codes=fixture(spark, sf_dir, "fx_screen", spread_rows=True).select("code"))
+
+
 _SCORED_SQL = (
     _coded("fx_scoring").rstrip() + ",\nfx_tests as (select doc_id, tests_text from fx_scoring),\n" + JSON_TESTS.strip() + """,
 s as (select coded.*, len(l) as n_tests from coded join c on c.doc_id = coded.doc_id),

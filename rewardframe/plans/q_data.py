@@ -297,6 +297,21 @@ def token_describe(spark, sf_dir):
     return desc.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+@register(
+    "value_describe",
+    """
+select count(value) as count, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, min(value) as min,
+  round(quantile_cont(value, 0.25), 6) as p25, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.75), 6) as p75,
+  max(value) as max
+from events
+""",
+)
+def value_describe(spark, sf_dir):
+    """Description of a column with as many values as rows: exact quartiles by rank search."""
+    desc = PF.describe_values(table(spark, sf_dir, "events"), "value")
+    return desc.select("count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
 _PT = f"""case when (conv_id + turn) % 5 = 0 then cast(0 as bigint) else {_tok_sql(_RENDER_SQL)} end"""
 
 
@@ -547,6 +562,45 @@ def eval_log_scores(spark, sf_dir):
     return EV.eval_log_scores(fixture(spark, sf_dir, "fx_eval_log", spread_rows=True), keep=["doc_id"])
 
 
+_LOG_RUNS = """
+with g as (select source as model, lang as benchmark, count(*) as n, max(doc_id) as last from documents where source is not null and lang is not null group by 1, 2),
+codes as (select model, benchmark, case when last % 7 = 3 then 1 else 0 end as exit_code from g
+  union all select model, 'lost', 0 from g group by model)
+"""
+
+
+@register(
+    "eval_log_files",
+    _LOG_RUNS
+    + """
+select c.model, c.benchmark,
+  case when c.exit_code <> 0 then 'Error' else coalesce('0.' || cast(g.n as varchar), 'N/A') end as base_score,
+  case when c.exit_code <> 0 then 'Error' when g.n is null or g.last % 5 = 1 then 'N/A' else concat('0.', cast(g.last as varchar)) end as plus_score
+from codes c left join g on g.model = c.model and g.benchmark = c.benchmark
+""",
+)
+def eval_log_files(spark, sf_dir):
+    """Log files of models and benchmarks, with all documents as their chatter, read as a source; exit
+    codes from a table, one run without a log (S8)."""
+    from rewardframe.sources.logs import read_eval_logs
+    from rewardframe.sources.sinks import scratch_dir
+
+    d = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
+    group = ["source", "lang"]
+    sums = d.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+    text = F.coalesce("text", F.lit(""))
+    ends = F.concat(
+        F.lit("\nx (base tests)\n\tPass@1: 0."), F.col("n").cast("string"), F.lit("\npass@9 9.9\nx (base + extra tests)\n"),
+        F.when(F.col("last") % 5 == 1, "nothing").otherwise(F.concat(F.lit("  pass@1 0."), F.col("last").cast("string"))),
+    )
+    lines = d.join(sums, group).select(*group, F.when(F.col("doc_id") == F.col("last"), F.concat(text, ends)).otherwise(text).alias("value"))
+    out = scratch_dir(spark, "logs")
+    lines.select(F.col("source").alias("model"), F.col("lang").alias("benchmark"), "value").repartition("model", "benchmark", F.length("value") % 2).write.partitionBy("model", "benchmark").text(out)
+    codes = sums.select(F.col("source").alias("model"), F.col("lang").alias("benchmark"), F.when(F.col("last") % 7 == 3, 1).otherwise(0).alias("exit_code"))
+    codes = codes.unionByName(sums.select(F.col("source").alias("model"), F.lit("lost").alias("benchmark"), F.lit(0).alias("exit_code")).distinct())
+    return read_eval_logs(spark, out, codes, pattern=r"model=([^/]+)/benchmark=([^/]+)/[^/]+$")
+
+
 @register(
     "metric_series",
     oracle_with("fx_metric_log")

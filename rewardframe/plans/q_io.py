@@ -209,6 +209,18 @@ def sink_round_trip(spark, sf_dir):
     return RD.variant_columns(RD.read_json_document(spark, f"{base}/arrays"), fields).select(*fields)
 
 
+@register("published_versions", "select doc_id, n_chars, text from documents")
+def published_versions(spark, sf_dir):
+    """An output that is published three times, each version made from the one before it, read back
+    through its pointer (K5)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    path = SK.scratch_dir(spark, "published") + ".parquet"
+    SK.publish(d.where("doc_id % 3 = 0"), path)
+    for rest in (1, 2):
+        SK.publish(RD.read_any(spark, path).unionByName(d.where(F.col("doc_id") % 3 == rest)), path)
+    return RD.read_any(spark, path)
+
+
 @register(
     "results_round_trip",
     """select d.lang as name, concat('org/', d.source) as model_name, round(avg(cast(l.quality as double)), 6) as pass_at_1

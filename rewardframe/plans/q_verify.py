@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rewardframe.operators import verify as V
 from rewardframe.plans.fixtures import fixture, oracle_with
 from rewardframe.plans.registry import join_doubles, r6, register
+from rewardframe.sources.sinks import scratch_dir
 
 # ----------------------------------------------------------------------------- shared oracle text
 
@@ -202,6 +203,38 @@ def plan_executions(spark, sf_dir):
     return V.plan_executions(samples, n_runs=4)
 
 
+_RESUMED_SQL = (
+    oracle_with("fx_code_samples")
+    + """
+select sample_id, cast(r.run as bigint) as run, cast(t.test_idx as bigint) as test_idx, (n_chars + t.test_idx) % 3 > 0 as ok, cast(1 as bigint) as attempts
+from fx_code_samples s, (select unnest(range(0, 64)) as test_idx) t, (select unnest(range(0, 4)) as run) r
+where solution <> '' and t.test_idx < s.n_tests
+"""
+)
+
+
+def _settled(batches):
+    """A runner that reads its verdict off the script: the number compared with and the test's place."""
+    for batch in batches:
+        numbers = batch["script"].str.extract(r"assert solve\(\) == (\d+)  # (\d+)").astype("int64")
+        ok = numbers.sum(axis=1) % 3 > 0
+        yield batch.drop(columns=["script", "timeout_s", "script_hash"]).assign(
+            ok=ok, returncode=(~ok).astype("int32"), stdout=batch["sentinel"].where(ok, ""), stderr="", timed_out=False, blocked=False, error_type=None
+        )
+
+
+@register("resumed_executions", _RESUMED_SQL)
+def resumed_executions(spark, sf_dir):
+    """Executions kept in a log: a first run that ends after half of the runs, then the whole plan, which
+    executes what the log does not hold; every test has been executed once (E3)."""
+    plan = plan_executions(spark, sf_dir)
+    log = scratch_dir(spark, "executions")
+    V.resume_executions(plan.where("run < 2"), _settled, log)
+    done = V.resume_executions(plan, _settled, log)
+    attempts = spark.read.parquet(log).groupBy("sample_id", "run", "test_idx").agg(F.count(F.lit(1)).alias("attempts"))
+    return done.select("sample_id", "run", "test_idx", "ok").join(attempts, ["sample_id", "run", "test_idx"])
+
+
 @register(
     "classify_outcomes",
     oracle_with("fx_outcomes")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardframe.sources.json_records import LIMIT, read_large_documents
+from rewardframe.sources.sinks import current_version
 
 #: Bytes of a JSON file that is read as one row.
 WHOLE_FILE = 64 << 20
@@ -110,8 +111,9 @@ def _small_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, origin: bool = False) -> DataFrame:
     """Dispatch by format or suffix: ``.jsonl`` lenient lines, ``.json`` documents, ``.parquet``.
     Missing paths raise Spark's PATH_NOT_FOUND (S7). ``origin`` adds the source columns to Parquet
-    rows, which the other formats always have."""
+    rows, which the other formats always have. Of a path with published versions the current one is read."""
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    path = current_version(spark, path)
     if kind == "jsonl":
         return read_lenient(spark, path)[0]
     if kind == "json":

@@ -92,6 +92,64 @@ def replace_path(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         fs.delete(old, True)
 
 
+#: Below a published path: its versions, and pointers (the one with the highest number counts).
+VERSIONS, POINTER = "_versions", "_current-"
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """The folder that holds a path's data now: that of its newest pointer, or the path itself."""
+    fs, folder = _fs(spark, path)
+    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
+        return path
+    names = sorted(n for f in fs.listStatus(folder) if (n := f.getPath().getName()).startswith(POINTER))
+    # a pointer's name holds its number and its version's name
+    return f"{path.rstrip('/')}/{VERSIONS}/{names[-1].removeprefix(POINTER)}" if names else path
+
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Replace an output, which may be the input, so that ``readers.read_any`` finds it whole at every
+    instant (K5): the rows are written as a new version below the path, then one empty pointer file is
+    created, which is one atomic step on any file system, object stores too. Two jobs that publish at
+    once do not overwrite each other's version: the one that comes second fails.
+
+    The version before stays for whoever is reading it, until the next time; older ones, and versions that
+    a crash left without a pointer, go. What lay at the path before its first version goes at the
+    second. Returns the new version's folder."""
+    spark, base = df.sparkSession, path.rstrip("/")
+    before = current_version(spark, base)
+    at = before.rsplit("/", 1)[-1] if before != path and before != base else ""
+    number = int(at.split("-")[0]) + 1 if at else 1
+    name = f"{number:09d}-{uuid.uuid4().hex}"
+    write_dataset(df, f"{base}/{VERSIONS}/{name}", fmt)
+    if current_version(spark, base) != before:
+        raise OSError(f"{base} was published meanwhile; the new data is in {VERSIONS}/{name}")
+    fs, claim = _fs(spark, f"{base}/{VERSIONS}/{number:09d}")
+    if not fs.createNewFile(claim):  # whoever creates it first has the number
+        raise OSError(f"version {number} of {base} is being published by another job; the new data is in {VERSIONS}/{name}")
+    _, pointer = _fs(spark, f"{base}/{POINTER}{name}")
+    fs.create(pointer, False).close()
+    _drop_old(spark, base, {name, at}, first=not at)
+    return f"{base}/{VERSIONS}/{name}"
+
+
+def _drop_old(spark: SparkSession, base: str, keep: set[str], first: bool) -> None:
+    """Remove what no reader can have begun to read since the version before was published."""
+    fs, folder = _fs(spark, base)
+    newest = max(keep)
+    for f in fs.listStatus(folder):
+        n = f.getPath().getName()
+        if n.startswith(POINTER):
+            if n.removeprefix(POINTER) not in keep:
+                fs.delete(f.getPath(), False)
+        elif n != VERSIONS and not first:
+            fs.delete(f.getPath(), True)  # files from before the first version
+    _, versions = _fs(spark, f"{base}/{VERSIONS}")
+    for f in fs.listStatus(versions):
+        n = f.getPath().getName()
+        if n not in keep and n[:9] < newest[:9]:
+            fs.delete(f.getPath(), True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp folder). The
     application's scratch folders go when its JVM ends."""

@@ -28,3 +28,13 @@ def test_sql_udfs(spark):
     assert [(r.id, r.kind, r.name) for r in rows] == [(1, "import", "os"), (1, "attr", "os.system")]
     v = spark.sql("select check_code('return 1') as v").first()["v"]
     assert v["parses"] and not v["compiles"] and v["error"] == "SyntaxError"
+
+
+def test_table_function_and_validation_by_name(spark):
+    register_all(spark)
+    register_all(spark)  # again is no harm
+    spark.createDataFrame([(1, "import os\nos.system('x')"), (2, "print(1)"), (3, None), (4, "eval(")], "id int, code string").createOrReplaceTempView("codes_u")
+    rows = spark.sql("select id, f.* from codes_u, lateral screen_code_table(codes_u.code) f order by id, pos").collect()
+    assert [(r.id, r.pos, r.kind, r.name) for r in rows] == [(1, 0, "import", "os"), (1, 1, "attr", "os.system")]
+    valid = {r.id: r.ok for r in spark.sql("select id, validate_code(code).parses as ok from codes_u").collect()}
+    assert valid[1] and valid[2] and not valid[4]
