@@ -22,21 +22,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the session's shared checkpoint folder and read it back: the
     lineage is cut, an executor's loss costs nothing, and the planner knows the table's size (so
     it broadcasts it only when it is below the broadcast threshold). The application's tables go
-    when its JVM ends."""
+    when its JVM ends. ``by``: a column of text by whose values the table has folders."""
     path = scratch_dir(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table of ``written`` that a later one supersedes; frames that read it can't run again."""
-    fs, folder = _fs(table.sparkSession, table._written_to)
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete a table of ``written`` that a later one supersedes, or one of its folders; frames that read
+    it can't run again."""
+    fs, folder = _fs(table.sparkSession, f"{table._written_to}/{part}".rstrip("/"))
     fs.delete(folder, True)
 
 

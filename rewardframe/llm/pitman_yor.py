@@ -52,13 +52,15 @@ from rewardframe.llm.pieces import mix_bits
 from rewardframe.llm.restaurants import DISCOUNT, strength_sums, table_draws
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 3_000_000
+#: Tokens of texts that are sent in one row.
+TEXT_TOKENS = 1 << 18
 #: Training tokens for each bucket of pairs, and the most buckets.
 BUCKET_TOKENS, MOST_BUCKETS = 1 << 21, 1 << 16
 #: Followers of one word that share a bucket: those whose numbers agree but for so many bits.
 NEAR_BITS = 22
 #: Words of a range, and the most ranges of hashes.
-RANGE, MOST_HASHES = 1 << 14, 1 << 16
+RANGE, MOST_HASHES = 1 << 16, 1 << 16
 #: Values of one row at most.
 ROW = 1 << 17
 #: Tokens of texts that are looked up together.
@@ -92,8 +94,7 @@ TOTALS = 4
 # ------------------------------------------------------------------ rows sent between tasks
 
 class Letters:
-    """Rows of the shape LETTER, gathered into batches. Whole numbers are packed in as few bytes as the
-    row's largest one takes."""
+    """Rows of the shape LETTER, gathered into batches, their arrays packed."""
 
     names = [x.split()[0] for x in LETTER.split(", ")]
     types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.float64()] * 4]
@@ -128,18 +129,23 @@ class Letters:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    if x.dtype == np.uint64:  # hashes
-        return x.tobytes()
-    most = int(x.max()) if x.size else 0
-    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64).tobytes()
+    """Whole numbers in as few bytes as the largest one takes (the first byte tells), the bytes of equal
+    weight side by side and compressed: the high ones are mostly equal."""
+    if x.dtype != np.uint64:  # hashes keep all of theirs
+        most = int(x.max()) if x.size else 0
+        x = x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+    size = x.dtype.itemsize
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T if x.size else x
+    return bytes([size]) + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(x: bytes, m: int, rows: int = 1) -> np.ndarray:
+def _unpacked(x: bytes, m: int, rows: int = 1, kind: type = np.int64) -> np.ndarray:
     """Whole numbers of a row: m columns."""
     if not m or not rows:
-        return np.empty((rows, m), dtype=np.int64)
-    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(x) // (m * rows)]
-    return np.frombuffer(x, dtype=kind).reshape(rows, m).astype(np.int64)
+        return np.empty((rows, m), dtype=kind)
+    planes = np.frombuffer(pa.decompress(x[1:], decompressed_size=m * rows * x[0], codec="zstd", asbytes=True), dtype=np.uint8)
+    flat = np.ascontiguousarray(planes.reshape(x[0], -1).T).view(f"<u{x[0]}")
+    return flat.reshape(rows, m).astype(kind)
 
 
 def _in_order(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -180,8 +186,9 @@ def _column(rows: list[dict], name: str, height: int = 1) -> np.ndarray:
 
 
 def _sent(rows: DataFrame, run: Callable, addresses: int, schema: str = LETTER) -> DataFrame:
-    """``rows`` brought to their addresses, whose tasks ``run`` them."""
-    dealt = rows.repartition(max(2, min(2 * addresses, 8192)), "to").sortWithinPartitions("to", "kind")
+    """``rows`` brought to their addresses, whose tasks ``run`` them; many small addresses share a task."""
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(max(2, min(2 * addresses, max(usual, addresses // 16))), "to").sortWithinPartitions("to", "kind")
     return dealt.mapInArrow(run, schema)
 
 
@@ -195,10 +202,9 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int, bits: int) -
     block = (context.partitionId() if context else 0) << 24
     known, kept, out = Numbers(), [], Letters()
 
-    def with_texts(letters: pa.RecordBatch) -> pa.RecordBatch:
-        n = letters.num_rows
-        more = [pa.nulls(n, id_type), pa.nulls(n, pa.bool_())]
-        return pa.RecordBatch.from_arrays([*letters.columns, *more], names=[*Letters.names, "doc_id", "held"])
+    def with_texts(letters: pa.RecordBatch, ids: pa.Array | None = None) -> pa.RecordBatch:
+        more = pa.nulls(letters.num_rows, pa.list_(id_type)) if ids is None else pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([*letters.columns, more], names=[*Letters.names, "doc_ids"])
 
     def flush() -> Iterator[pa.RecordBatch]:
         learned = [x for _, held, numbers in kept for h, x in zip(held, numbers) if not h]
@@ -213,11 +219,11 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int, bits: int) -
         for letters in out.rest():
             yield with_texts(letters)
         for ids, held, numbers in kept:
-            n = len(ids)
-            columns = dict.fromkeys(Letters.names) | {"address": pa.array([BLOCK] * n), "to": pa.array(np.full(n, block)), "kind": pa.array(np.full(n, TEXTS, dtype=np.int32))}
-            columns |= {"a": pa.array([x.tobytes() for x in numbers], pa.binary())}
-            made = [pa.nulls(n, t) if columns[c] is None else columns[c] for c, t in zip(Letters.names, Letters.types)]
-            yield pa.RecordBatch.from_arrays([*made, ids, pa.array(held, pa.bool_())], names=[*Letters.names, "doc_id", "held"])
+            for a, b in _stretches(np.array([len(x) for x in numbers]), TEXT_TOKENS):
+                part = np.concatenate(numbers[a:b])
+                out.rows.append((BLOCK, block, TEXTS, block, 0, b - a, _packed(part), _packed(np.array([len(x) for x in numbers[a:b]])), _packed(np.array(held[a:b])), None, *[None] * 4))
+                for letters in out.rest():
+                    yield with_texts(letters, ids.slice(a, b - a))
 
     tokens = 0
     for batch in batches:
@@ -242,7 +248,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int, bits: int) -
 # ------------------------------------------------------------------ ranges of hashes
 
 def _hashes(row: dict) -> np.ndarray:
-    return np.frombuffer(row["a"], dtype=np.uint64)
+    return _unpacked(row["a"], row["m"], kind=np.uint64)[0]
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,14 +282,27 @@ def _placed(batches: Iterator[pa.RecordBatch], offsets: dict[int, int]) -> Itera
     yield from out.rest()
 
 
-def _flat(texts: list[pa.RecordBatch], begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: all their tokens' pairs as word before * (begin + 1) + word, their tokens, and whether
-    each is learned from."""
-    words = [w for part in texts for w in part.column("a").to_pylist()]
-    flat = np.frombuffer(b"".join(words), dtype=np.int32)
-    lengths = np.array([len(w) // 4 for w in words])
-    held = np.concatenate([part.column("held").to_numpy(zero_copy_only=False) for part in texts]).astype(bool)
-    return _pair_keys(flat, np.cumsum(lengths) - lengths, begin), flat, np.repeat(~held, lengths)
+def _stretches(sizes: np.ndarray, tokens: int) -> Iterator[tuple[int, int]]:
+    """Cut rows into runs of at most so many tokens, or one row."""
+    upto, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] - sizes[a] + tokens, "right")))
+        yield a, b
+        a = b
+
+
+def _text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a row of texts: their tokens' local numbers, their lengths, and which are held out."""
+    lengths = _unpacked(row["b"], row["m"])[0]
+    return _unpacked(row["a"], int(lengths.sum()), kind=np.int32)[0], lengths, _unpacked(row["c"], row["m"])[0].astype(bool)
+
+
+def _flat(texts: list[dict], begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of texts: all their tokens' pairs as word before * (begin + 1) + word, and whether each is
+    learned from."""
+    read = [_text(row) for row in texts]
+    keys = [_pair_keys(flat, np.cumsum(lengths) - lengths, begin) for flat, lengths, _ in read]
+    return np.concatenate(keys), np.concatenate([np.repeat(~held, lengths) for _, lengths, held in read])
 
 
 def _pair_keys(flat: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
@@ -302,11 +321,11 @@ def _bucket_of(before: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray
     return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _block_pairs(texts: list[pa.RecordBatch], ids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+def _block_pairs(texts: list[dict], ids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
     """A block's distinct pairs by bucket, then by the words' numbers: local keys, words before, words,
     times in training texts, buckets."""
     begin = len(ids) - 1
-    keys, _, learned = _flat(texts, begin)
+    keys, learned = _flat(texts, begin)
     local = np.unique(keys)
     trained, times = np.unique(keys[learned], return_counts=True)
     n = np.zeros(len(local), dtype=np.int64)
@@ -333,7 +352,7 @@ def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     out = Letters()
     for block, got in _addressed(batches):
         ids = _block_ids(got)
-        _, before, word, n, bucket = _block_pairs(got[TEXTS], ids, buckets)
+        _, before, word, n, bucket = _block_pairs(_letters(got, TEXTS), ids, buckets)
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
             out.add(BUCKET, int(bucket[a]), PAIRS, block, before[a:b], word[a:b], n[a:b])
@@ -517,7 +536,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stret
         customers = totals[1][:, None] + strengths
         free = (strengths + DISCOUNT * totals[TOTALS::2].T) / customers
         parent = np.where(seen[:, None], model.known_word(totals[TOTALS + 1 :: 2].T), model.new_word())
-        local, *_ = _block_pairs(got[TEXTS], ids, buckets)
+        id_type = got[TEXTS][0].schema.field("doc_ids").type.value_type
+        texts = _letters(got, TEXTS)
+        local, *_ = _block_pairs(texts, ids, buckets)
         order = np.argsort(local)
         answers = _letters(got, ANSWERS)
         n, tables = _column(answers, "a")[order], _column(answers, "b", sweeps).reshape(sweeps, -1)[:, order]
@@ -528,24 +549,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stret
         ) / sweeps
         score = np.log10(chance)
         del n, tables, first, second, chance, answers, totals
-        for texts in got[TEXTS]:
-            lengths = np.array([len(w) // 4 for w in texts.column("a").to_pylist()])
-            upto = np.cumsum(lengths)
-            a = 0
-            while a < len(lengths):
-                b = max(a + 1, int(np.searchsorted(upto, upto[a] - lengths[a] + stretch, "right")))
-                part = texts.slice(a, b - a)
-                keys, flat, _ = _flat([part], len(ids) - 1)
-                starts = np.concatenate(([0], np.cumsum(lengths[a:b])[:-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), part.column("held"), pa.array(lengths[a:b]),
-                        pa.array(np.add.reduceat(seen[flat].astype(np.int64), starts)), pa.array(np.add.reduceat(base[flat], starts)),
-                        pa.array(np.add.reduceat(score[np.searchsorted(local, keys)], starts)),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-                )
-                a = b
+        for row in texts:
+            flat, lengths, held = _text(row)
+            ends = np.cumsum(lengths)
+            for a, b in _stretches(lengths, stretch):
+                part, starts = flat[ends[a] - lengths[a] : ends[b - 1]], (ends - lengths)[a:b] - (ends - lengths)[a]
+                scores = score[np.searchsorted(local, _pair_keys(part, starts, len(ids) - 1))]
+                sums = (np.add.reduceat(x, starts) for x in (seen[part].astype(np.int64), base[part], scores))
+                columns = [pa.array(row["doc_ids"][a:b], id_type), pa.array(held[a:b]), pa.array(lengths[a:b]), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 # ------------------------------------------------------------------ the plan
@@ -593,8 +605,8 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
     narrow = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held"))
-    bits = min(MOST_HASHES, 16 * max(1, narrow.rdd.getNumPartitions())).bit_length() - 1
-    parts = written(narrow.mapInArrow(lambda it: _numbered(it, block_tokens, bits), f"{LETTER}, doc_id {id_type}, held boolean"))
+    bits = min(MOST_HASHES, 2 * max(2, narrow.rdd.getNumPartitions())).bit_length() - 1
+    parts = written(narrow.mapInArrow(lambda it: _numbered(it, block_tokens, bits), f"{LETTER}, doc_ids array<{id_type}>"), "address")
     dictionary = _only(parts, HASHES, DICTIONARY)
     vocabulary = written(_sent(dictionary, _merged, 1 << bits))
     sums = sorted(_only(vocabulary, HASHES, STATS).select("to", "origin", "x", "y", "z", "w").collect())
@@ -602,11 +614,12 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     words, tokens, known, once, twice = (int(sum(r[c] for r in sums)) for c in ("origin", "x", "y", "z", "w"))
     placed = written(_sent(dictionary.unionByName(_only(vocabulary, HASHES, VOCABULARY)), lambda it: _placed(it, offsets), 1 << bits))
     discard(vocabulary)
+    discard(parts, f"address={HASHES}")
     release(spark)
     model = Model(tokens, known, min(0.95, max(0.05, once / max(1, once + 2 * twice))))
     ranges = max(1, -(-words // RANGE))
     buckets = min(MOST_BUCKETS, max(1, -(-tokens // bucket_tokens)))
-    texts = parts.filter((F.col("address") == BLOCK) & F.col("kind").isin(TEXTS, LOCALS))
+    texts = parts.filter((F.col("address") == BLOCK) & F.col("kind").isin(TEXTS, LOCALS)).select(*Letters.names, "doc_ids")
     blocks = _only(parts, BLOCK, LOCALS).select("to").distinct().count()
     at_blocks = texts.unionByName(_only(placed, BLOCK, IDS), allowMissingColumns=True)
     sent = written(_sent(at_blocks, lambda it: _paired(it, buckets), blocks))
