@@ -90,3 +90,51 @@ def test_density_decides(page, text):
 )
 def test_one_name_does_not_drop_the_text(page, text):
     assert html_text.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # what attributes say in passing
+        (f'<article title="The hidden cost of it"><p>{LONG}</p></article>', LONG),
+        (f'<div class="block hidden md:flex"><p>{LONG}</p></div>', LONG),
+        (f'<div data-id="ad" data-role=banner><p>{LONG}</p></div>', LONG),
+        (f"<div style='color: red; DISPLAY:  none'><p>{LONG}</p></div><p>{LONG} Two.</p>", f"{LONG} Two."),
+        # names that the text overrules
+        (f"<form id=aspnetForm><div class=menu>{LONG[:40]}</div><h1>T</h1><p>{LONG}</p><p>End.</p></form>", f"T\n{LONG}\nEnd."),
+        (f"<form id=aspnetForm><p>{LONG}</p></form>", LONG),
+        (f"<div class='promo-layout'><main><h1>T</h1><p>{LONG}</p></main></div><div class=promo>Buy</div>", f"T\n{LONG}"),
+        (f"<div class=banner><main><p>{LONG}</p></main></div><footer>{LONG[:60]}</footer>", LONG),
+        # subjects as ids
+        (f"<article><h2 id=alert-levels>A</h2><p>{LONG}</p><h2 id=notice>N</h2><p>{LONG}</p><section id=promotion-of-health><h3 id=social-impact>S</h3><p>Short.</p></section></article>", f"A\n{LONG}\nN\n{LONG}\nS\nShort."),
+        # the header of a text, and that of a page
+        (f"<body><header><h1>Site</h1></header><div class=entry><header><h1>T</h1></header><p>{LONG}</p><p>End.</p></div>", f"T\n{LONG}\nEnd."),
+        # furniture without a name
+        (f"<div>Home News Sport</div><div><h1>T</h1><p>{LONG}</p><p>End.</p></div><div>Sign up now!</div>", f"T\n{LONG}\nEnd."),
+        (f"<div>{LONG}</div><div>So he said.</div><div>{LONG}</div>", f"{LONG}\nSo he said.\n{LONG}"),
+        # furniture with the longer text stays furniture
+        (f"<div><h1>T</h1><p>Some short news.</p></div><footer><p>{LONG}</p></footer>", "T\nSome short news."),
+        (f"<div><h1>T</h1><p>{LONG}</p></div><div id=comments><p>{LONG}</p><p>{LONG}</p><h1>x</h1></div>", f"T\n{LONG}"),
+    ],
+)
+def test_text_and_names(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize(
+    "unit",
+    [
+        ("<div>", "</section>"), ("<b>", "</i>"), ("<i><div>" + "<b>" * 9, "</i>"), ("<div class=x-sidebar>a", ""), ("<b>", "<div>x</div>"),
+        ("<p><table><b>", "<div></div>"), ("<div a=b ", "c='>' "), ("<", ">"), ("<header>", "<h1>"), ("<!--", "<p"), ("&lt;", "<a href=x>y"),
+    ],
+)
+def test_time_is_linear(unit):
+    import time
+
+    times = []
+    for size in (250_000, 1_000_000):
+        page = unit[0] * (size // 2 // len(unit[0])) + unit[1] * (size // 2 // max(1, len(unit[1])))
+        start = time.process_time()
+        html_text.main_text(page)
+        times.append(time.process_time() - start)
+    assert times[1] < 12 * max(times[0], 0.05) and times[1] < 15
