@@ -63,8 +63,6 @@ NEAR_BITS = 22
 RANGE, MOST_HASHES = 1 << 16, 1 << 16
 #: Values of one row at most.
 ROW = 1 << 17
-#: Tokens of texts that are looked up together.
-STRETCH = 1 << 19
 SWEEPS, BURN = 4, 1
 #: The contexts' first strength and the parent's.
 STRENGTH = 1.0
@@ -322,21 +320,17 @@ def _bucket_of(before: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray
 
 
 def _block_pairs(texts: list[dict], ids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """A block's distinct pairs by bucket, then by the words' numbers: local keys, words before, words,
-    times in training texts, buckets."""
-    begin = len(ids) - 1
-    keys, learned = _flat(texts, begin)
-    local = np.unique(keys)
-    trained, times = np.unique(keys[learned], return_counts=True)
-    n = np.zeros(len(local), dtype=np.int64)
-    n[np.searchsorted(local, trained)] = times
-    del keys, learned
-    first, second = np.divmod(local, begin + 1)
+    """A block's distinct pairs by local numbers, the pair of each token, whether it is learned from, and the
+    pairs' order by bucket, then by the words' numbers, with words before, words and buckets in it."""
+    keys, learned = _flat(texts, len(ids) - 1)
+    local, of = np.unique(keys, return_inverse=True)
+    first, second = np.divmod(local, len(ids))
     before, word = ids[first], ids[second]
     order = _in_order(before, word)
     bucket = _bucket_of(before[order], word[order], buckets)
-    order = order[np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")]
-    return local[order], before[order], word[order], n[order], np.sort(bucket)
+    by_bucket = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    order = order[by_bucket]
+    return local, of, learned, order, before[order], word[order], bucket[by_bucket]
 
 
 def _block_ids(got: dict[int, list[pa.RecordBatch]]) -> np.ndarray:
@@ -352,7 +346,8 @@ def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     out = Letters()
     for block, got in _addressed(batches):
         ids = _block_ids(got)
-        _, before, word, n, bucket = _block_pairs(_letters(got, TEXTS), ids, buckets)
+        local, of, learned, order, before, word, bucket = _block_pairs(_letters(got, TEXTS), ids, buckets)
+        n = np.bincount(of[learned], minlength=len(local))[order]
         edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
         for a, b in zip(edges, edges[1:]):
             out.add(BUCKET, int(bucket[a]), PAIRS, block, before[a:b], word[a:b], n[a:b])
@@ -522,15 +517,16 @@ class Model:
         return np.maximum(customers - self.discount, 0.0) / (STRENGTH + np.array(self.customers))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stretch: int) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
     """Blocks come as texts, their words' numbers, the words' totals and the pairs' answers."""
     base_total = math.log10(model.tokens + 0.5 * (model.distinct + 1))
     strengths = np.array(model.strengths)
     sweeps = len(strengths)
     for _, got in _addressed(batches):
         ids = _block_ids(got)
-        rows = _letters(got, STATES)
-        totals = _column(rows, "b", TOTALS + 2 * sweeps)[:, np.searchsorted(_column(rows, "a"), ids)]
+        # the ranges answer in the order of the words' numbers
+        totals = np.empty((TOTALS + 2 * sweeps, len(ids)), dtype=np.int64)
+        totals[:, _column(_letters(got, LOCALS), "a")] = _column(_letters(got, STATES), "b", len(totals))
         seen = totals[0] > 0
         base = np.log10(totals[0] + 0.5) - base_total
         customers = totals[1][:, None] + strengths
@@ -538,26 +534,25 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, stret
         parent = np.where(seen[:, None], model.known_word(totals[TOTALS + 1 :: 2].T), model.new_word())
         id_type = got[TEXTS][0].schema.field("doc_ids").type.value_type
         texts = _letters(got, TEXTS)
-        local, *_ = _block_pairs(texts, ids, buckets)
-        order = np.argsort(local)
+        local, of, _, order, *_ = _block_pairs(texts, ids, buckets)
         answers = _letters(got, ANSWERS)
-        n, tables = _column(answers, "a")[order], _column(answers, "b", sweeps).reshape(sweeps, -1)[:, order]
-        local = local[order]
+        n, tables = np.empty(len(local), dtype=np.int64), np.empty((sweeps, len(local)), dtype=np.int64)
+        n[order], tables[:, order] = _column(answers, "a"), _column(answers, "b", sweeps).reshape(sweeps, -1)
         first, second = np.divmod(local, len(ids))
         chance = sum(
             np.maximum(n - DISCOUNT * tables[s], 0.0) / customers[first, s] + free[first, s] * parent[second, s] for s in range(sweeps)
         ) / sweeps
         score = np.log10(chance)
-        del n, tables, first, second, chance, answers, totals
+        del n, tables, first, second, chance, answers, totals, local, order
+        at = 0
         for row in texts:
             flat, lengths, held = _text(row)
-            ends = np.cumsum(lengths)
-            for a, b in _stretches(lengths, stretch):
-                part, starts = flat[ends[a] - lengths[a] : ends[b - 1]], (ends - lengths)[a:b] - (ends - lengths)[a]
-                scores = score[np.searchsorted(local, _pair_keys(part, starts, len(ids) - 1))]
-                sums = (np.add.reduceat(x, starts) for x in (seen[part].astype(np.int64), base[part], scores))
-                columns = [pa.array(row["doc_ids"][a:b], id_type), pa.array(held[a:b]), pa.array(lengths[a:b]), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            starts = np.cumsum(lengths) - lengths
+            scores = score[of[at : at + len(flat)]]
+            at += len(flat)
+            sums = (np.add.reduceat(x, starts) for x in (seen[flat].astype(np.int64), base[flat], scores))
+            columns = [pa.array(row["doc_ids"], id_type), pa.array(held), pa.array(lengths), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 # ------------------------------------------------------------------ the plan
@@ -599,7 +594,7 @@ def gibbs(spark: SparkSession, pairs: DataFrame, counts: DataFrame, model: Model
     return _only(seated, BUCKET, SEATED), _only(totals, WORDS, STATE)
 
 
-def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, stretch: int = STRETCH, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
     (doc_id, text), learned from the rows that ``held_out`` does not hold for."""
     spark = docs.sparkSession
@@ -633,7 +628,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     release(spark)
     told = _only(states, BLOCK, STATES).unionByName(_only(answers, BLOCK, ANSWERS))
     scored = _sent(
-        at_blocks.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets, stretch), blocks,
+        at_blocks.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets), blocks,
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

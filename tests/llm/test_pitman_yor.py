@@ -35,12 +35,12 @@ def check_base(rows, docs):
     assert got == want
 
 
-@pytest.mark.parametrize(("block_tokens", "stretch"), [(pitman_yor.BLOCK_TOKENS, pitman_yor.STRETCH), (20000, 300)])
-def test_documents(spark, block_tokens, stretch):
+@pytest.mark.parametrize("block_tokens", [pitman_yor.BLOCK_TOKENS, 20000])
+def test_documents(spark, block_tokens):
     docs = read(spark, SF, "documents")
     given = [(r.doc_id, r.text) for r in docs.collect()]
     rule = pitman_yor.fold(docs["doc_id"], 5) == 1
-    rows = pitman_yor.score_texts(docs, rule, block_tokens, stretch).collect()
+    rows = pitman_yor.score_texts(docs, rule, block_tokens).collect()
     check_base(rows, given)
     mine = sum(r.score for r in rows if r.held_out)
     base = sum(r.base_score for r in rows if r.held_out)
@@ -165,7 +165,7 @@ def small_corpus():
     return [(x, i % 4 == 0) for i, x in enumerate(texts)] + [("w1 new W2 other", True), ("the the " * 40, False)]
 
 
-@pytest.mark.parametrize("sizes", [(pitman_yor.BLOCK_TOKENS, pitman_yor.STRETCH, pitman_yor.BUCKET_TOKENS), (300, 50, 90)])
+@pytest.mark.parametrize("sizes", [(pitman_yor.BLOCK_TOKENS, pitman_yor.BUCKET_TOKENS), (300, 90)])
 def test_scores_equal_the_plain_sampler(spark, sizes):
     docs = small_corpus()
     df = spark.createDataFrame([(i, x, h) for i, (x, h) in enumerate(docs)], "doc_id long, text string, held boolean").repartition(3)
