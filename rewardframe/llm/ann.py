@@ -13,8 +13,9 @@ Every row is indexed, and nothing is capped: the windows widen until the block i
 at distance R collides in 68 % of the directions on average.
 
 Defined results: null or zero vectors and those that hold null or non-finite components take no
-part, nor do rows without an id; rows that share an id count once, with the least vector; an empty
-table gives an empty result; with k rows or fewer all are found.
+part, nor do rows without an id; rows that share an id count each, as queries and as candidates, and a
+query leaves out its own row only; an empty table gives an empty result; with k rows or fewer all are
+found.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rewardframe.llm.common import written
 from rewardframe.llm.vectors import Found, best_of_all, select_best, sound
 
 K = 20
@@ -69,7 +71,7 @@ def indexed(largest: float, size: int):
 
 
 def search(k: int, largest: float, size: int):
-    def run(block: Index, query_ids: np.ndarray, given: np.ndarray) -> Found:
+    def run(block: Index, own: np.ndarray, given: np.ndarray) -> Found:
         ids, rows, order, line, rank = block.ids, block.rows, block.order, block.line, block.rank
         n, needed = len(ids), math.ceil(THRESHOLD * PROJECTIONS)
         norms = np.sqrt((given**2).sum(axis=1))
@@ -109,16 +111,16 @@ def search(k: int, largest: float, size: int):
                 verified[q] = rows_seen, scores
                 # |x' - q'|^2 = 2 M^2 - 2 M <x, q> / |q|
                 near = 2 * largest**2 - 2 * largest * scores / norms[q] <= radius**2
-                if near.sum() - (ids[rows_seen[near]] == query_ids[q]).sum() < k and len(rows_seen) < n:
+                if near.sum() - (rows_seen[near] == own[q]).sum() < k and len(rows_seen) < n:
                     left.append(at)
             open_, low, high = open_[left], new_low[left], new_high[left]
             radius *= GROWTH
-        for q, own in enumerate(query_ids):
+        for q, row in enumerate(own.tolist()):
             rows_seen, scores = verified[q]
-            other = ids[rows_seen] != own
+            other = rows_seen != row
             found, scores = ids[rows_seen[other]], scores[other]
             best = select_best(scores, found, k)
-            out.append((np.full(len(best), own), found[best], scores[best]))
+            out.append((np.full(len(best), q), found[best], scores[best]))
         return tuple(np.concatenate([x[j] for x in out]) for j in range(3))
 
     return run
@@ -128,7 +130,7 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = K, id_col: str = "vec_
     """query_id, rank, vec_id, score (double): about the k rows of the largest inner product for
     each row that ``query`` (a condition on ``id``) holds for, itself left out."""
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    rows = sound(vectors, id_col, vector_col).filter(square > 0)
+    rows = written(sound(vectors, id_col, vector_col).filter(square > 0))
     found = rows.agg(F.sqrt(F.max(square)), F.max(F.size("vector"))).first()
     largest, size = found[0] or 1.0, found[1] or 1
     return best_of_all(rows, query, indexed(largest, size), search(k, largest, size), k, "double", BLOCK)

@@ -7,9 +7,10 @@ array of scores. The best of the array are taken by partition selection, and the
 merged.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
-rows without an id; rows that share an id count once, with the least vector; vectors of different
-lengths meet on the positions that both have; an empty vector scores 0. Weights beyond 64 bits stop
-at the largest whole number. An empty table gives an empty result.
+rows without an id; rows that share an id count each, as queries and as candidates, and a query leaves
+out its own row only; vectors of different lengths meet on the positions that both have; an empty vector
+scores 0. Vectors whose products could pass 64 bits fail the job by name, as a wrapped score would be a
+wrong result. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rewardframe.llm.common import written
 from rewardframe.llm.vectors import Found, best_of_all, select_best, sound
 
 K = 5
@@ -47,11 +49,13 @@ def inverted(ids: np.ndarray, matrix: np.ndarray) -> Inverted:
 
 
 def search(k: int):
-    def run(block: Inverted, query_ids: np.ndarray, queries: np.ndarray) -> Found:
+    def run(block: Inverted, own: np.ndarray, queries: np.ndarray) -> Found:
         ids, starts, rows, weights = block.ids, block.starts, block.rows, block.weights
         wanted = weights_of(queries)
+        if float(np.abs(wanted).max(initial=0)) * float(np.abs(weights).max(initial=0)) * max(1, wanted.shape[1]) >= 2.0**63:
+            raise ValueError("components are too large: inner products of their weights pass 64 bits")
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(0, len(query_ids), 32):  # a few queries at a time: their scores stay in cache
+        for i in range(0, len(own), 32):  # a few queries at a time: their scores stay in cache
             part = wanted[i : i + 32]
             scores = np.zeros((len(part), len(ids)), dtype=np.int64)
             for term in range(min(part.shape[1], len(starts) - 1)):
@@ -62,10 +66,10 @@ def search(k: int):
                         scores[q] += part[q, term] * posted
                     else:
                         scores[q, listed] += part[q, term] * posted
-            for q, own in enumerate(query_ids[i : i + 32]):
+            for q, row in enumerate(own[i : i + 32].tolist()):
                 best = select_best(scores[q], ids, k + 1)
-                best = best[ids[best] != own][:k]
-                out.append((np.full(len(best), own), ids[best], scores[q, best]))
+                best = best[best != row][:k]
+                out.append((np.full(len(best), i + q), ids[best], scores[q, best]))
         return tuple(np.concatenate([x[j] for x in out]) for j in range(3))
 
     return run
@@ -74,7 +78,7 @@ def search(k: int):
 def top_k(vectors: DataFrame, query: F.Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long): the k rows with the highest inner product of whole
     weights for each row that ``query`` (a condition on ``id``) holds for, itself left out."""
-    return best_of_all(sound(vectors, id_col, vector_col), query, inverted, search(k), k, "long")
+    return best_of_all(written(sound(vectors, id_col, vector_col)), query, inverted, search(k), k, "long")
 
 
 def op2_top_k(vectors: DataFrame) -> DataFrame:
@@ -83,12 +87,13 @@ def op2_top_k(vectors: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS w FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS w
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % {QUERY_EVERY} = 0 AND q.vec_id <> c.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % {QUERY_EVERY} = 0 AND q.r <> c.r
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

@@ -1,9 +1,11 @@
 """Blocks of vectors: how a stated set of queries meets all rows, block by block.
 
-Rows are dealt to blocks of about ``BLOCK`` vectors by a hash of their id, and every query is copied
-to every block; so the copied side is the smaller one. A block's rows and its queries come to one
-task sorted, the rows first: the task indexes the block once and searches it for a few queries at
-a time. It holds one block and ``QUERIES`` queries; no side is broadcast, collected or cross-joined.
+Rows are numbered and written, dealt to blocks of about ``BLOCK`` vectors by a hash of their number (so
+rows that share an id, or are equal, are spread, too), and every query is copied to every block; so the
+copied side is the smaller one. A block's rows and its queries come to one task sorted, the rows first:
+the task indexes the block once and searches it for a few queries at a time. It holds one block and
+``QUERIES`` queries; no side is broadcast, collected or cross-joined. A query's own row is left out by
+its number; other rows with its id are candidates like any other.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 QUERIES = 512
 
-#: What a search gives: query ids, ids, scores.
+#: What a search gives: places of the queries asked, ids, scores.
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def sound(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id, vector (doubles) of the rows that have an id and a vector without null, NaN or infinite
-    components."""
+    """row (a number of its own), id, vector (doubles) of the rows that have an id and a vector without
+    null, NaN or infinite components."""
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
     return vectors.filter(F.col(id_col).isNotNull() & finite).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
 
 
@@ -42,37 +44,36 @@ def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def _met(batches: Iterator[pa.RecordBatch], width: int, index: Callable, search: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block, the block's own rows (asked false) before its queries. Of rows that
-    share an id within a block the first counts."""
+    """Rows sorted by block, the block's own rows (asked false) before its queries, by number."""
     block: int | None = None
     ready: Any = None
-    own: tuple[list[int], list[np.ndarray]] = ([], [])
-    asked: tuple[list[int], list[np.ndarray]] = ([], [])
+    own: tuple[list[int], list[int], list[np.ndarray]] = ([], [], [])
+    asked: tuple[list[int], list[int], list[np.ndarray]] = ([], [], [])
 
     def answers() -> Iterator[pa.RecordBatch]:
         nonlocal ready, asked
         if asked[0] and own[0]:
             if ready is None:
-                ready = index(np.array(own[0], dtype=np.int64), _matrix(own[1], width))
-            found = search(ready, np.array(asked[0], dtype=np.int64), _matrix(asked[1], width))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
-        asked = ([], [])
+                ready = index(np.array(own[1], dtype=np.int64), _matrix(own[2], width))
+            rows, wanted = np.array(own[0], dtype=np.int64), np.array(asked[0], dtype=np.int64)
+            at = np.minimum(np.searchsorted(rows, wanted), len(rows) - 1)
+            places, ids, scores = search(ready, np.where(rows[at] == wanted, at, -1), _matrix(asked[2], width))
+            found = (wanted[places], np.array(asked[1], dtype=np.int64)[places], ids, scores)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query", "query_id", "vec_id", "score"])
+        asked = ([], [], [])
 
     for batch in batches:
         vector = batch.column("vector")
         flat, at = np.asarray(vector.flatten()), np.concatenate(([0], np.cumsum(np.asarray(vector.value_lengths())))).tolist()
-        columns = (batch.column(c).to_pylist() for c in ("block", "asked", "id"))
-        for i, (b, is_query, x) in enumerate(zip(*columns)):
+        columns = (batch.column(c).to_pylist() for c in ("block", "asked", "row", "id"))
+        for i, (b, is_query, row, x) in enumerate(zip(*columns)):
             if b != block:
                 yield from answers()
-                block, ready, own = b, None, ([], [])
-            kept = asked if is_query else own
-            if not kept[0] or kept[0][-1] != x:
-                if len(asked[0]) == QUERIES:
-                    yield from answers()
-                    kept = asked
-                kept[0].append(x)
-                kept[1].append(flat[at[i] : at[i + 1]].copy())
+                block, ready, own = b, None, ([], [], [])
+            if is_query and len(asked[0]) == QUERIES:
+                yield from answers()
+            for kept, value in zip(asked if is_query else own, (row, x, flat[at[i] : at[i + 1]].copy())):
+                kept.append(value)
     yield from answers()
 
 
@@ -85,20 +86,20 @@ def best_of_all(
     score: str,
     block: int = BLOCK,
 ) -> DataFrame:
-    """For the rows of ``vectors`` (id, vector) that ``query`` holds for, the k best of what
-    ``search(index(ids, matrix), query ids, query matrix)`` finds in all blocks: query_id, rank,
-    vec_id, score; highest first, ties to the smaller id."""
+    """For each row of ``vectors`` (row, id, vector; written) that ``query`` holds for, the k best of what
+    ``search(index(ids, matrix), places of the queries' own rows or -1, query matrix)`` finds in all
+    blocks: query_id, rank, vec_id, score; highest first, ties to the smaller id."""
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
     blocks, width = max(1, math.ceil(size["n"] / block)), size["width"] or 0
-    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(False).alias("asked"), "id", "vector")
+    rows = vectors.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.lit(False).alias("asked"), "row", "id", "vector")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
-    asked = vectors.filter(query).select(every, F.lit(True).alias("asked"), "id", "vector")
+    asked = vectors.filter(query).select(every, F.lit(True).alias("asked"), "row", "id", "vector")
     # as many partitions as it takes to keep blocks apart: comparing them is the work
     dealt = rows.unionByName(asked).repartition(min(4 * blocks, 8192), "block")
-    found = dealt.sortWithinPartitions("block", "asked", "id", "vector").mapInArrow(
-        lambda it: _met(it, width, index, search), f"query_id long, vec_id long, score {score}"
+    found = dealt.sortWithinPartitions("block", "asked", "row").mapInArrow(
+        lambda it: _met(it, width, index, search), f"query long, query_id long, vec_id long, score {score}"
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

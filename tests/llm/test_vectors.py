@@ -1,6 +1,7 @@
 """Exact and approximate vector search against brute force."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,22 +14,20 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def brute(rows, every, k, weigh):
-    kept = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            kept[i] = min(kept.get(i, v), v)
-    out = set()
-    for q in kept:
+    """Each sound row against all others, with the number of times that each answer comes."""
+    kept = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = Counter()
+    for at, (q, w) in enumerate(kept):
         if q % every == 0:
-            scores = [(-sum(weigh(a) * weigh(b) for a, b in zip(kept[q], v)), i) for i, v in kept.items() if i != q]
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])}
+            scores = [(-sum(weigh(a) * weigh(b) for a, b in zip(w, v)), i) for other, (i, v) in enumerate(kept) if other != at]
+            out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k]))
     return out
 
 
 def odd_rows():
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(0, 700, 10)]
-    rows += [(50, rows[3][1]), (50, rows[3][1]), (100, None), (150, [None, 1.0]), (200, [float("nan"), 0.0])]
+    rows += [(50, rows[3][1]), (50, rows[3][1]), (50, rows[5][1]), (12, rows[9][1]), (12, rows[9][1]), (100, None), (150, [None, 1.0]), (200, [float("nan"), 0.0])]
     rows += [(None, [1.0, 2.0]), (3, []), (4, [0.5]), (5, [0.0] * 6), (7, [float("inf")]), (100000, rows[5][1]), (8, rows[5][1] + [1.0])]
     return rows
 
@@ -38,7 +37,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(vectors.best_of_all, "__defaults__", (block,))
     rows = odd_rows()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA).repartition(3)
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.op2_top_k(df).collect()}
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.op2_top_k(df).collect())
     assert got == brute(rows, 50, 5, lambda x: math.floor(256 * x))
 
 
@@ -55,9 +54,10 @@ def test_both_ways_of_counting_agree(monkeypatch, sparse):
     ids = np.arange(300)
     largest = float(np.sqrt((matrix**2).sum(axis=1).max()))
     block = ann.indexed(largest, 12)(ids, matrix)
-    want = ann.search(7, largest, 12)(block, ids[::9], matrix[::9])
+    own = np.where(np.arange(0, 300, 9) % 2 == 0, np.arange(0, 300, 9), -1)
+    want = ann.search(7, largest, 12)(block, own, matrix[::9])
     monkeypatch.setattr(ann, "SPARSE", sparse)
-    got = ann.search(7, largest, 12)(block, ids[::9], matrix[::9])
+    got = ann.search(7, largest, 12)(block, own, matrix[::9])
     assert all((a == b).all() for a, b in zip(got, want))
 
 
@@ -86,3 +86,18 @@ def test_few_rows_are_all_found(spark):
     rows = [(0, [3.0, 4.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 0.0], 1), (3, [-1.0, 0.5], 1), (4, [3.0, 4.0], 1), (None, [1.0, 1.0], 1), (5, None, 2)]
     got = ann.op10_nearest(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 4, 25.0), (2, 1, 3.0), (3, 3, -1.0)]
+
+
+def test_rows_with_one_id_answer_each(spark):
+    """Queries and candidates that share an id, some of them equal: all are kept."""
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 1.0]), (7, [0.25, 0.0]), (7, [0.25, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in ann.op10_nearest(df).collect())
+    assert got == brute(rows, 20, 20, lambda x: x)
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.op2_top_k(df).collect()) == brute(rows, 50, 5, lambda x: math.floor(256 * x))
+
+
+def test_products_beyond_64_bits_are_named(spark):
+    df = spark.createDataFrame([(0, [2.0**50], 1), (1, [2.0**50], 1)], SCHEMA)
+    with pytest.raises(Exception, match="too large"):
+        topk.op2_top_k(df).collect()
