@@ -4,14 +4,16 @@ Every source gets a target size in proportion to its weight. A source whose targ
 ``max_epochs`` times its size is clamped there and the excess is shared again among the rest in
 proportion to their weights, until no source is above its cap. A source's documents are then
 repeated ``floor(target / size)`` times, and the fractional rest is met by taking each document
-once more whose seeded hash is not above the source's cut. The cut is exact: sizes are summed per
-hash bucket, and only the bucket that the quota falls into is ordered.
+once more whose seeded hash is not above the source's cut. The cut is exact: sizes are summed by
+ranges of the hash, at each round for the range that the quota falls into, until it holds few
+documents, which are ordered; so a source that holds most rows has no large window.
 
 Defined results: a null text has size 0; a null source is a source of its own; an empty table
 gives an empty mix; a source of size 0 or of weight 0 or less has target 0. Documents equal in id
 and text share one draw. The taken size is within half of the largest document of the target.
-Columns of the input keep their values; the operator's columns are ``mix_size, mix_source_size,
-mix_target, mix_copies`` and replace columns of that name.
+Columns of the input keep their values. ``mix_sources`` adds ``mix_size, mix_source_size, mix_target,
+mix_copies``, which replace columns of these names; ``repeated`` gives back the input's columns only,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardframe.llm.common import words_in, written
+from rewardframe.operators.sampling import dense_index
 
 MAX_EPOCHS = 3.0
 SEED = 20240607
-#: Documents per hash bucket of a source, on average.
-BUCKET_DOCS = 1024
-MASK = (1 << 62) - 1
+#: Documents that are ordered at once, and bits of the draw by which a range is divided.
+BUCKET_DOCS, STEP_BITS = 1024, 10
+DRAW_BITS = 62
+MASK = (1 << DRAW_BITS) - 1
 
 
 def draw(doc_id: Column, text: Column, seed: int = SEED) -> Column:
@@ -74,33 +78,9 @@ def mixing_plan(sized: DataFrame, weights: DataFrame, max_epochs: float = MAX_EP
         sizes.withColumn("target", F.when((F.col("weight") > 0) & (F.col("size") > 0), share).otherwise(0.0))
         .withColumn("whole", whole.cast("long"))
         .withColumn("quota", F.col("target") - F.col("whole") * F.col("size"))
-        .withColumn("buckets", F.ceil(F.col("n") / BUCKET_DOCS).cast("long"))
         .drop("n", "weight")
     )
-    p = plan.select(F.col("source").alias("p_source"), "quota", "buckets")
-    # documents that share a draw are summed first: a draw is taken whole
-    draws = (
-        sized.join(p, F.col("source").eqNullSafe(F.col("p_source")))
-        .withColumn("bucket", F.floor(F.col("draw") / F.lit(float(MASK + 1)) * F.col("buckets")))
-        .groupBy("source", "bucket", "quota", "draw")
-        .agg(F.sum("size").alias("size"))
-    )
-    by_bucket = Window.partitionBy("source").orderBy("bucket")
-    edges = written(
-        draws.groupBy("source", "bucket", "quota")
-        .agg(F.sum("size").alias("size"))
-        .withColumn("upto", F.sum("size").over(by_bucket))
-        .filter((F.col("upto") > F.col("quota")) & (F.col("upto") - F.col("size") <= F.col("quota")))
-        .select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), (F.col("upto") - F.col("size")).alias("before"))
-    )
-    in_edge = draws.join(
-        edges, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket"))
-    ).withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("draw")))
-    # nearest to the quota: a draw counts if at least half of it is within
-    last = in_edge.groupBy("source").agg(
-        F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("quota"), F.col("draw"))).alias("in_cut"),
-        (F.min("draw") - 1).alias("no_cut"),
-    ).select(F.col("source").alias("l_source"), F.coalesce("in_cut", "no_cut").alias("cut"))
+    last = cuts_of(sized, plan.filter("quota > 0").select("source", "quota")).withColumnRenamed("source", "l_source")
     return written(
         plan.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left").select(
             "source", F.col("size").alias("source_size"), "target", "whole",
@@ -109,6 +89,44 @@ def mixing_plan(sized: DataFrame, weights: DataFrame, max_epochs: float = MAX_EP
     )
 
 
+def cuts_of(sized: DataFrame, quotas: DataFrame) -> DataFrame:
+    """source, cut: the draw up to which the source's sizes come nearest to its quota (``quotas``: source,
+    quota). Each round sums by 2^STEP_BITS parts of the range that the quota falls into."""
+    state = quotas.withColumns({"low": F.lit(0).cast("long"), "before": F.lit(0).cast("double")})
+    bits = DRAW_BITS
+
+    def inside() -> DataFrame:
+        s = state.select(F.col("source").alias("s_source"), "quota", "low", "before")
+        met = sized.join(s, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+        return met.filter((F.col("draw") >= F.col("low")) & (F.col("draw") - F.col("low") < F.lit(1 << bits)))
+
+    while True:
+        step = min(STEP_BITS, bits)
+        part = F.shiftright(F.col("draw") - F.col("low"), bits - step)
+        by_part = Window.partitionBy("source").orderBy("part")
+        sums = inside().groupBy("source", "quota", "low", "before", part.alias("part")).agg(
+            F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")
+        )
+        upto = sums.withColumn("upto", F.col("before") + F.sum("size").over(by_part))
+        edge = upto.filter((F.col("upto") > F.col("quota")) & (F.col("upto") - F.col("size") <= F.col("quota")))
+        bits -= step
+        state = written(
+            edge.select(
+                "source", "quota", (F.col("low") + F.shiftleft("part", bits)).alias("low"), (F.col("upto") - F.col("size")).alias("before"), "n"
+            )
+        )
+        if not bits or (state.agg(F.max("n")).first()[0] or 0) <= BUCKET_DOCS:
+            break
+    # documents that share a draw are summed first: a draw is taken whole
+    draws = inside().groupBy("source", "quota", "before", "draw").agg(F.sum("size").alias("size"))
+    ordered = draws.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("draw")))
+    # nearest to the quota: a draw counts if at least half of it is within
+    return ordered.groupBy("source").agg(
+        F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("quota"), F.col("draw"))).alias("in_cut"),
+        (F.min("draw") - 1).alias("no_cut"),
+    ).select("source", F.coalesce("in_cut", "no_cut").alias("cut"))
+
+
 def mix_sources(docs: DataFrame, weights: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with mix_size, mix_source_size, mix_target and
     mix_copies (how often the mix holds the document; 0 if not at all)."""
@@ -133,22 +151,25 @@ def copies_of(docs: DataFrame, plan: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as it was drawn."""
-    kept = [c for c in mixed.columns if not c.startswith("mix_")]
-    return (
-        mixed.filter(F.col("mix_copies") > 0)
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*kept)
+def repeated(docs: DataFrame, weights: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as many times as it is drawn, with its columns."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source",
+        words_in(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"),
     )
+    plan = mixing_plan(written(rows.drop("row")), weights, max_epochs).select(F.col("source").alias("p_source"), "whole", "cut")
+    copies = F.col("whole") + (F.col("draw") <= F.col("cut")).cast("long")
+    drawn = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select("row", copies.cast("int").alias("copies"))
+    return drawn.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def cycled_weights(docs: DataFrame, pattern: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
-    """source, weight: the pattern repeated over the sources in code-point order, null last.
-    The ordering window runs over one row per source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    chosen = F.element_at(F.array(*[F.lit(float(w)) for w in pattern]), (rank % len(pattern) + 1).cast("int"))
-    return docs.select("source").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", chosen.alias("weight"))
+    """source, weight: the pattern repeated over the sources in code-point order, null last."""
+    sources = written(docs.select("source").distinct())
+    named = dense_index(sources.filter(F.col("source").isNotNull()), "source", "rank")
+    nameless = sources.filter(F.col("source").isNull()).select("source", F.lit(sources.count() - 1).cast("long").alias("rank"))
+    chosen = F.get(F.array(*[F.lit(float(w)) for w in pattern]), (F.col("rank") % len(pattern)).cast("int"))
+    return named.unionByName(nameless).select("source", chosen.alias("weight"))
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:

@@ -282,14 +282,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKE
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component: the smallest doc_id (a null id last); rows that share it are
-    told apart by their text's hash, then by the least row. Columns as in ``docs``."""
+    told apart by their text's hash, then by the hash of their JSON. Columns as in ``docs``, of any types
+    and names."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     kept = written(near_duplicates(docs, shingle).groupBy("root").agg(F.min(rank).alias("k")))
-    kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_key"))
-    rows = docs.join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.xxhash64("text") == F.col("_kept_key"))
-    )
-    return rows.groupBy("_kept_id", "_kept_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept = kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    of_kept = rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("row.text") == F.col("kept_key")))
+    least = F.min_by("row", F.xxhash64(F.to_json("row")))
+    return of_kept.groupBy("kept_id", "kept_key").agg(least.alias("row")).select("row.*")
 
 
 def op8_near_duplicates(docs: DataFrame) -> DataFrame:

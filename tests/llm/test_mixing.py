@@ -65,8 +65,8 @@ def test_small_sources_are_clamped(spark, monkeypatch):
     weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
     check(mixing.op4_mixing(docs).collect(), given, weights)
     mixed = mixing.mix_sources(docs, mixing.cycled_weights(docs))
-    out = mixing.repeated(mixed)
-    assert out.columns == ["doc_id", "text", "source"]
+    out = mixing.repeated(docs, mixing.cycled_weights(docs))
+    assert out.columns == docs.columns and {r.mix_size for r in out.collect()} == {"clash", "x"}
     want = {r.doc_id: r.mix_copies for r in mixed.collect()}
     got = defaultdict(int)
     for r in out.collect():

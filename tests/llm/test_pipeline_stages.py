@@ -78,3 +78,41 @@ def test_stages_equal_plain_versions(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality classifier", "SimHash near-dedup", "mixing sources to target weights", "SentencePiece encoding and decoding",
     ]
+
+
+def odd_documents(spark):
+    """Null and empty texts, repeated rows, and columns of any type and of the operators' own names."""
+    rows = [
+        (r.doc_id, r.text, r.lang, r.source, r.n_chars, {1: "m"}, "id", "note", 7, [1], (1, "x")) for r in read(spark, SF, "documents").collect()
+    ]
+    m, tail = {2: "n"}, ("id2", "note2", 8, [2], (2, "y"))
+    rows += [(900, None, "en", None, 0, m, *tail), (901, "", None, "s", 0, None, *tail), (None, "one two three", "en", "s", 3, m, *tail)]
+    rows += [rows[3], rows[3], (rows[5][0], *rows[5][1:5], m, *tail)]
+    schema = (
+        "doc_id long, text string, lang string, source string, n_chars long, tags map<int,string>, _kept_id string, mix_note string, "
+        "mix_size int, `a.b` array<int>, row struct<n:int,s:string>"
+    )
+    return spark.createDataFrame(rows, schema)
+
+
+def test_stages_keep_columns_of_any_type_and_name(spark):
+    docs = written(odd_documents(spark))
+    good = written(corpus_pipeline.keep_good(spark, docs, SF))
+    unique = written(corpus_pipeline.drop_near_copies(spark, good, SF))
+    mixed = written(corpus_pipeline.mix(spark, unique, SF))
+    for before, after in ((docs, good), (good, unique), (unique, mixed)):
+        assert after.dtypes == docs.dtypes
+        texts = [Counter(map(str, df.collect())) for df in (before, after)]
+        assert set(texts[1]) <= set(texts[0]) and texts[1]
+    assert {r.mix_note for r in mixed.collect()} >= {"note"} and all(r.tags is None or r.tags for r in mixed.collect())
+    ids = Counter(r.doc_id for r in unique.collect())
+    assert max(ids.values()) == 1
+    assert corpus_pipeline.encode(spark, mixed, SF).count() == 2 * mixed.count()
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = odd_documents(spark).limit(0)
+    for stage in (corpus_pipeline.keep_good, corpus_pipeline.drop_near_copies, corpus_pipeline.mix):
+        docs = written(stage(spark, docs, SF))
+        assert docs.count() == 0
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 0
