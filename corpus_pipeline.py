@@ -24,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1; a document comes as often as the mix repeats it."""
-    return mixing.repeated(mixing.mix_sources(docs, mixing.cycled_weights(docs)))
+    return mixing.repeated(docs, mixing.cycled_weights(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
