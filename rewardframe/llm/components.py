@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardframe.llm.common import written
+from rewardframe.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(edges)
     while state[0]:
-        edges = written(_star(_star(edges, large=True), large=False))
+        last, edges = edges, written(_star(_star(edges, large=True), large=False))
+        discard(last)
         before, state = state, _state(edges)
         if state == before:
             break
