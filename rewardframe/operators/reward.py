@@ -236,10 +236,11 @@ def score(
     per-response outcome counts, then pure column arithmetic.
 
     The counts are aggregated before the join (map-side partial aggregation), so the join
-    moves one small row per response, never the outcome rows.
+    moves one small row per response, never the outcome rows. ``outcomes`` may be counts already
+    (``outcome_counts``): a stream of responses then does not aggregate them at every batch.
     """
     if outcomes is not None:
-        counts = outcome_counts(outcomes, id_col, timeout_as)
+        counts = outcomes if "passed_n" in outcomes.columns else outcome_counts(outcomes, id_col, timeout_as)
         joined = scored.join(counts, id_col, "left")
         # a response whose scoring raised loses its flags and gets the crash row
         joined = joined.withColumn("has_code", F.when(F.coalesce("crashed_n", F.lit(0)) == 0, F.col("has_code")))

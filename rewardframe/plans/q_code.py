@@ -179,8 +179,8 @@ def reward_score_outcomes(spark, sf_dir):
 
 @register("stream_score_responses", _scored_sql(_CRASH, "true"))
 def stream_score_responses(spark, sf_dir):
-    """The same over a stream of raw responses, joined to the outcomes of each (ST1)."""
-    outcomes = materialize(_outcomes(materialize(_prepared(spark, sf_dir))))
+    """The same over a stream of raw responses, joined to the counts of their outcomes (ST1)."""
+    outcomes = materialize(RW.outcome_counts(_outcomes(_prepared(spark, sf_dir))))
     documents = ST.stream_from_files(spark, f"{sf_dir}/documents.parquet")
     responses = spark.sql(FIXTURE_SQL["fx_scoring"], documents=documents)
     prepared = RW.prepare_responses(responses, "response", "tests_text").withColumnRenamed("doc_id", "sample_id")

@@ -109,6 +109,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never ``localCheckpoint``): cuts
-    the lineage, and a frame read by several branches of a plan is computed once."""
+    the lineage, and a frame read by several branches of a plan is computed once. The application's
+    own folder of checkpoints goes when its JVM ends."""
     ensure_checkpoint_dir(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    own = sc.getCheckpointDir()  # Spark makes a folder for each application below the one that it is given
+    if own and getattr(sc, "_rf_checkpoints", None) != own:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+        sc._rf_checkpoints = own
     return df.checkpoint(eager=True)
