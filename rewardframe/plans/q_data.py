@@ -430,7 +430,7 @@ def split_val(spark, sf_dir):
     "split_repeated_ids",
     """
 with g as (select case when doc_id % 3 > 0 then doc_id // 64 end as id, count(*) as n, sum(length(coalesce(text, ''))) as chars from documents group by 1),
-c as (select *, sum(n) over (order by coalesce(md5(concat('42:', cast(id as varchar))), '')) - n as before, cast(floor(sum(n) over () * 0.55) as bigint) as total from g)
+c as (select *, sum(n) over (order by coalesce(md5('42:' || cast(id as varchar)), '')) - n as before, cast(floor(sum(n) over () * 0.55) as bigint) as total from g)
 select id, cast(greatest(0, least(n, total - before)) as bigint) as n_train, cast(n - greatest(0, least(n, total - before)) as bigint) as n_val,
   cast(chars as bigint) as chars
 from c
