@@ -120,16 +120,21 @@ def sft_job(
     return funnel
 
 
-def token_filter_job(df: DataFrame, col: str, max_tokens: int, out_path: str, counter=None, replace: bool = False) -> DataFrame:
+def token_filter_job(
+    df: DataFrame, col: str, max_tokens: int, out_path: str, counter=None, replace: bool = False, publish: bool = False
+) -> DataFrame:
     """Keep rows whose sample (messages, or a string taken as one user message) renders to at
-    most ``max_tokens`` tokens; the length is not kept. ``replace=True`` publishes the output as a new
-    version of the path (which may be the input's; see ``sinks.publish``). Returns the output, read
+    most ``max_tokens`` tokens; the length is not kept. ``replace=True`` swaps the output in with
+    write-then-rename (safe when the output path is the input path); ``publish=True`` makes it a new
+    version of the path, which ``readers.read_any`` finds whole at every instant. Returns the output, read
     afresh."""
     from rewardframe.functions.tokens import count_tokens
 
     kept = CV.within_tokens(df, col, max_tokens, counter or count_tokens, "_n_tokens").drop("_n_tokens")
-    if replace:
+    if publish:
         SK.publish(kept, out_path, "parquet")
+    elif replace:
+        SK.replace_path(kept, out_path, "parquet")
     else:
         SK.write_parquet(kept, out_path)
     return RD.read_any(df.sparkSession, out_path, "parquet")

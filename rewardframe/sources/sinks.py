@@ -113,8 +113,9 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     once do not overwrite each other's version: the one that comes second fails.
 
     The version before stays for whoever is reading it, until the next time; older ones, and versions that
-    a crash left without a pointer, go. What lay at the path before its first version goes at the
-    second. Returns the new version's folder."""
+    a crash left without a pointer, go. What lay at the path itself before its first version goes after
+    that is published, so that a plain reader of the folder fails and does not read old rows. Returns the
+    new version's folder."""
     spark, base = df.sparkSession, path.rstrip("/")
     before = current_version(spark, base)
     at = before.rsplit("/", 1)[-1] if before != path and before != base else ""
@@ -128,11 +129,11 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet") -> str:
         raise OSError(f"version {number} of {base} is being published by another job; the new data is in {VERSIONS}/{name}")
     _, pointer = _fs(spark, f"{base}/{POINTER}{name}")
     fs.create(pointer, False).close()
-    _drop_old(spark, base, {name, at}, first=not at)
+    _drop_old(spark, base, {name, at})
     return f"{base}/{VERSIONS}/{name}"
 
 
-def _drop_old(spark: SparkSession, base: str, keep: set[str], first: bool) -> None:
+def _drop_old(spark: SparkSession, base: str, keep: set[str]) -> None:
     """Remove what no reader can have begun to read since the version before was published."""
     fs, folder = _fs(spark, base)
     newest = max(keep)
@@ -141,7 +142,7 @@ def _drop_old(spark: SparkSession, base: str, keep: set[str], first: bool) -> No
         if n.startswith(POINTER):
             if n.removeprefix(POINTER) not in keep:
                 fs.delete(f.getPath(), False)
-        elif n != VERSIONS and not first:
+        elif n != VERSIONS:
             fs.delete(f.getPath(), True)  # files from before the first version
     _, versions = _fs(spark, f"{base}/{VERSIONS}")
     for f in fs.listStatus(versions):

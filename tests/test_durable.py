@@ -116,6 +116,19 @@ def test_a_published_path_is_readable_at_every_instant(spark, tmp_path, monkeypa
     assert not [f for f in os.listdir(path) if f.startswith("part-")]
 
 
+def test_token_filter_publishes(spark, tmp_path):
+    from rewardframe.operators import jobs as J
+
+    path = str(tmp_path / "docs.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.write.parquet(path)
+    for limit in (800, 500):  # the input is the output, twice
+        got = J.token_filter_job(RD.read_any(spark, path), "text", limit, path, publish=True)
+        want = J.token_filter_job(docs, "text", limit, str(tmp_path / f"plain{limit}"))
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+    assert 0 < got.count() < docs.count()
+
+
 def test_only_one_of_two_publishers_wins(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "out.parquet")
     SK.publish(spark.range(1), path)
