@@ -7,7 +7,10 @@ for each direction, its rows sorted by their projection. A query opens a window
 projection in every direction and widens all of them by virtual rehashing (radius R, then GROWTH R,
 and so on); a row's collisions are the windows that hold it. Rows with at least ``THRESHOLD`` of all
 directions are verified with the exact inner product on the original vectors. A block is done when k
-verified rows are within R, or all rows are verified.
+verified rows are within R, or all rows are verified. The square root of all blocks is searched that way
+first; in the others a query opens its windows at once at the distance of the k-th row that it has
+found, and is done: nothing farther is among its k nearest. So the more blocks there are, the smaller
+is the share of rows that are verified.
 
 Every row is indexed, and nothing is capped: the windows widen until the block is done. At R a row
 at distance R collides in 68 % of the directions on average.
@@ -71,23 +74,25 @@ def indexed(largest: float, size: int):
 
 
 def search(k: int, largest: float, size: int):
-    def run(block: Index, own: np.ndarray, given: np.ndarray) -> Found:
+    def run(block: Index, own: np.ndarray, given: np.ndarray, bounds: np.ndarray) -> Found:
         ids, rows, order, line, rank = block.ids, block.rows, block.order, block.line, block.rank
         n, needed = len(ids), math.ceil(THRESHOLD * PROJECTIONS)
         norms = np.sqrt((given**2).sum(axis=1))
         centres = (largest * given / norms[:, None]) @ directions(size + 1)[:size]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def edges(open_: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-            low = [np.searchsorted(x, c, "left") for x, c in zip(line, (centres[open_] - radius).T.astype(np.float32))]
-            high = [np.searchsorted(x, c, "right") for x, c in zip(line, (centres[open_] + radius).T.astype(np.float32))]
+        def edges(open_: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            low = [np.searchsorted(x, c, "left") for x, c in zip(line, (centres[open_] - radius[open_, None]).T.astype(np.float32))]
+            high = [np.searchsorted(x, c, "right") for x, c in zip(line, (centres[open_] + radius[open_, None]).T.astype(np.float32))]
             return np.array(low).T, np.array(high).T
 
         counts = np.zeros((len(given), n), dtype=np.uint8)
         verified: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(given)
         open_ = np.arange(len(given))
-        radius = FIRST_RADIUS * largest
-        low = high = edges(open_, 0.0)[0]  # empty windows at first
+        final = np.isfinite(bounds)
+        reach = np.sqrt(np.maximum(0.0, 2 * largest**2 - 2 * largest * np.where(final, bounds, 0.0) / norms))
+        radius = np.where(final, reach, FIRST_RADIUS * largest)
+        low = high = edges(open_, np.zeros(len(given)))[0]  # empty windows at first
         while len(open_):
             new_low, new_high = edges(open_, radius)
             added = (new_high - new_low - high + low).sum(axis=1)
@@ -110,8 +115,8 @@ def search(k: int, largest: float, size: int):
                 scores = np.concatenate((scores, rows[new] @ given[q]))
                 verified[q] = rows_seen, scores
                 # |x' - q'|^2 = 2 M^2 - 2 M <x, q> / |q|
-                near = 2 * largest**2 - 2 * largest * scores / norms[q] <= radius**2
-                if near.sum() - (rows_seen[near] == own[q]).sum() < k and len(rows_seen) < n:
+                near = 2 * largest**2 - 2 * largest * scores / norms[q] <= radius[q] ** 2
+                if not final[q] and near.sum() - (rows_seen[near] == own[q]).sum() < k and len(rows_seen) < n:
                     left.append(at)
             open_, low, high = open_[left], new_low[left], new_high[left]
             radius *= GROWTH
@@ -133,7 +138,7 @@ def nearest(vectors: DataFrame, query: F.Column, k: int = K, id_col: str = "vec_
     rows = written(sound(vectors, id_col, vector_col).filter(square > 0))
     found = rows.agg(F.sqrt(F.max(square)), F.max(F.size("vector"))).first()
     largest, size = found[0] or 1.0, found[1] or 1
-    return best_of_all(rows, query, indexed(largest, size), search(k, largest, size), k, "double", BLOCK)
+    return best_of_all(rows, query, indexed(largest, size), search(k, largest, size), k, "double", BLOCK, bounded=True)
 
 
 def op10_nearest(vectors: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def inverted(ids: np.ndarray, matrix: np.ndarray) -> Inverted:
 
 
 def search(k: int):
-    def run(block: Inverted, own: np.ndarray, queries: np.ndarray) -> Found:
+    def run(block: Inverted, own: np.ndarray, queries: np.ndarray, _: np.ndarray) -> Found:
         ids, starts, rows, weights = block.ids, block.starts, block.rows, block.weights
         wanted = weights_of(queries)
         if float(np.abs(wanted).max(initial=0)) * float(np.abs(weights).max(initial=0)) * max(1, wanted.shape[1]) >= 2.0**63:

@@ -34,7 +34,7 @@ def odd_rows():
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_top_k_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(vectors.best_of_all, "__defaults__", (block,))
+    monkeypatch.setattr(vectors.best_of_all, "__defaults__", (block, False))
     rows = odd_rows()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA).repartition(3)
     got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.op2_top_k(df).collect())
@@ -55,9 +55,10 @@ def test_both_ways_of_counting_agree(monkeypatch, sparse):
     largest = float(np.sqrt((matrix**2).sum(axis=1).max()))
     block = ann.indexed(largest, 12)(ids, matrix)
     own = np.where(np.arange(0, 300, 9) % 2 == 0, np.arange(0, 300, 9), -1)
-    want = ann.search(7, largest, 12)(block, own, matrix[::9])
+    bounds = np.where(np.arange(len(own)) % 3 == 0, 0.5, -np.inf)
+    want = ann.search(7, largest, 12)(block, own, matrix[::9], bounds)
     monkeypatch.setattr(ann, "SPARSE", sparse)
-    got = ann.search(7, largest, 12)(block, own, matrix[::9])
+    got = ann.search(7, largest, 12)(block, own, matrix[::9], bounds)
     assert all((a == b).all() for a, b in zip(got, want))
 
 
@@ -101,3 +102,24 @@ def test_products_beyond_64_bits_are_named(spark):
     df = spark.createDataFrame([(0, [2.0**50], 1), (1, [2.0**50], 1)], SCHEMA)
     with pytest.raises(Exception, match="too large"):
         topk.op2_top_k(df).collect()
+
+
+def test_bounds_lower_the_share_of_verified_rows():
+    """A block searched with the score of the k-th best row of a larger and larger table: fewer of its rows
+    are verified, and at least 0.9 of those above the bound are found."""
+    rng = np.random.default_rng(7)
+    matrix = rng.normal(size=(48000, 64))
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    queries, own = matrix[:40], np.arange(40)
+    scores = queries @ matrix.T
+    np.put_along_axis(scores, own[:, None], -np.inf, axis=1)
+    block = ann.indexed(1.0, 64)(np.arange(6000), matrix[:6000])
+    shares = []
+    for n in (6000, 24000, 48000):
+        bounds = np.partition(scores[:, :n], n - 20, axis=1)[:, n - 20]
+        places, ids, _ = ann.search(6000, 1.0, 64)(block, own, queries, bounds)  # all that is verified
+        found = set(zip(places.tolist(), ids.tolist()))
+        wanted = set(zip(*(x.tolist() for x in np.nonzero(scores[:, :6000] >= bounds[:, None]))))
+        assert len(wanted & found) >= 0.9 * len(wanted)
+        shares.append(len(found) / (40 * 6000))
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.3
