@@ -12,7 +12,7 @@ what stands before it, so the file is read three times, each time by all tasks a
    its ends; pieces of one record are put together by their record's place.
 
 One small row for each split (of about ``spark.sql.files.maxPartitionBytes``) passes the driver at each
-of the first two passes; texts never do. A record has to fit in one row (``LIMIT`` bytes); one that does
+of the first two passes; texts never do. A record has to fit in one value (``LIMIT`` bytes); one that does
 not fails the job, named by file and byte. Each record is parsed by Spark afterwards; what lies outside
 the chosen list is checked for strings and brackets only.
 """
@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a record that fit in one row.
-LIMIT = 1 << 30
+#: Bytes of a record that fit in one VARIANT value.
+LIMIT = 1 << 27
 #: Bytes looked at together.
 CHUNK = 1 << 23
 QUOTE, BACKSLASH, COMMA = 34, 92, 44

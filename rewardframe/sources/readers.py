@@ -74,7 +74,8 @@ def read_json_document(spark: SparkSession, path: str, whole_file: int = WHOLE_F
 
     A file of at most ``whole_file`` bytes is one row and parsed at once; larger ones are cut into
     records by all the tasks that their splits make (see ``json_records``). A record of over ``limit``
-    bytes fails the job and is named.
+    bytes fails the job and is named; so is one that Spark cannot parse, as it is no JSON or holds a string
+    of over 20,000,000 characters.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     large = [r.path for r in files.filter(F.col("length") > whole_file).collect()]
@@ -82,7 +83,8 @@ def read_json_document(spark: SparkSession, path: str, whole_file: int = WHOLE_F
         return _small_documents(spark, path)
     cut = read_large_documents(spark, large, RECORD_LIST_KEYS, limit)
     v = F.try_parse_json(scrub_surrogates("raw"))
-    corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file"))).cast("variant")
+    place = [F.lit(", record "), F.col("src_pos").cast("string"), F.lit(" of the split at byte "), F.col("src_block").cast("string")]
+    corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file"), *place)).cast("variant")
     records = cut.select(*ORIGIN, v.alias("v")).select(*ORIGIN, F.when(F.col("v").isNull(), corrupt).otherwise(F.col("v")).alias("v"))
     small = [r.path for r in files.filter(F.col("length") <= whole_file).collect()]
     return records.unionByName(_small_documents(spark, small)) if small else records

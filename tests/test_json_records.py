@@ -101,6 +101,22 @@ def test_corrupt_files_are_named(spark, tmp_path, small_splits, text, what):
     assert "bad.json" in str(e.value)
 
 
+def test_a_file_of_more_than_one_value_can_hold(spark, tmp_path):
+    """140 MB, more than fits in one VARIANT, and one string too long to parse."""
+    row = '{"k": [1, "' + "x" * 1000 + '"]}'
+    n = 140_000
+    with open(tmp_path / "large.json", "w") as f:
+        f.write('{"version": 1, "data": [')
+        f.write(",\n".join([row] * n))
+        f.write("]}")
+    rows = RD.read_json_document(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 1
+    assert rows.agg(F.count(F.lit(1)), F.sum(F.length(F.try_variant_get("v", "$.k[1]", "string")))).first()[:] == (n, 1000 * n)
+    (tmp_path / "large.json").write_text('[{"a": 1}, {"b": "' + "x" * 20_000_001 + '"}]')
+    with pytest.raises(Exception, match="large.json, record 1"):
+        RD.read_json_document(spark, str(tmp_path), whole_file=1 << 20).select(F.to_json("v")).collect()
+
+
 def test_a_record_beyond_the_limit_is_named(spark, tmp_path, small_splits):
     small_splits(100)
     (tmp_path / "wide.json").write_text(json.dumps([{"a": 1}, {"b": ["}" * 50] * 40}, {"c": 2}]))
