@@ -10,6 +10,7 @@ outcomes  : one row per executed (sample, run, test): ``id_col, run, test_idx, s
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +19,26 @@ from pyspark.sql import functions as F
 from rewardframe.functions.text import pct1, py_strip
 from rewardframe.sources.sinks import _fs
 
+
+class Outcome(NamedTuple):
+    """What a class of outcomes says where the output is empty, and its error type."""
+
+    message: str
+    error_type: str | None
+
+
 # Fixed values that must equal the reference's for equal results.
 SENTINEL_PREFIX = "__TESTS_COMPLETED__:"
 SCRIPT_HEADER = "# -*- coding: utf-8 -*-"
-# outcome classes in the order they are tested: (message text used when the output is empty, error type)
-OUTCOME_BLOCKED = ("Security violation", "SECURITY_VIOLATION")
-OUTCOME_TIMEOUT = ("Timeout", "TIMEOUT")
-OUTCOME_INCOMPLETE = ("Program exited before tests completed", "INCOMPLETE_TEST_RUN")
-OUTCOME_SUCCESS = ("All tests passed", None)
-OUTCOME_ASSERTION = ("Test failed", "ASSERTION_ERROR")  # output mentions AssertionError
-OUTCOME_SYNTAX = ("Syntax error", "SYNTAX_ERROR")  # output mentions SyntaxError
-OUTCOME_NO_SANDBOX = ("", "FIREJAIL_NOT_AVAILABLE")  # output mentions FIREJAIL_NOT_AVAILABLE
-OUTCOME_OTHER = ("Execution failed", "RUNTIME_ERROR")
+# outcome classes in the order they are tested
+OUTCOME_BLOCKED = Outcome("Security violation", "SECURITY_VIOLATION")
+OUTCOME_TIMEOUT = Outcome("Timeout", "TIMEOUT")
+OUTCOME_INCOMPLETE = Outcome("Program exited before tests completed", "INCOMPLETE_TEST_RUN")
+OUTCOME_SUCCESS = Outcome("All tests passed", None)
+OUTCOME_ASSERTION = Outcome("Test failed", "ASSERTION_ERROR")  # output mentions AssertionError
+OUTCOME_SYNTAX = Outcome("Syntax error", "SYNTAX_ERROR")  # output mentions SyntaxError
+OUTCOME_NO_SANDBOX = Outcome("", "FIREJAIL_NOT_AVAILABLE")  # output mentions FIREJAIL_NOT_AVAILABLE
+OUTCOME_OTHER = Outcome("Execution failed", "RUNTIME_ERROR")
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 STABLE_SPREAD = 0.1  # max - min of run pass rates must stay below this
 DEFAULT_N_RUNS = 4
@@ -202,14 +211,14 @@ def classify_outcome(
 
     none = F.lit(None).cast("string")
     return (
-        F.when(F.coalesce(blocked, F.lit(False)), res("error", msg_or(OUTCOME_BLOCKED[0]), F.coalesce(given, F.lit(OUTCOME_BLOCKED[1]))))
-        .when(F.coalesce(timed_out, F.lit(False)), res("error", F.lit(OUTCOME_TIMEOUT[0]), F.lit(OUTCOME_TIMEOUT[1])))
-        .when(rc0 & ~saw_sentinel, res("error", F.lit(OUTCOME_INCOMPLETE[0]), F.lit(OUTCOME_INCOMPLETE[1])))
-        .when(rc0 & saw_sentinel, res("success", F.lit(OUTCOME_SUCCESS[0]), none))
-        .when(F.instr(out, "AssertionError") > 0, res("error", msg_or(OUTCOME_ASSERTION[0]), F.lit(OUTCOME_ASSERTION[1])))
-        .when(F.instr(out, "SyntaxError") > 0, res("error", msg_or(OUTCOME_SYNTAX[0]), F.lit(OUTCOME_SYNTAX[1])))
-        .when(F.instr(out, "FIREJAIL_NOT_AVAILABLE") > 0, res("error", cleaned, F.lit(OUTCOME_NO_SANDBOX[1])))
-        .otherwise(res("error", msg_or(OUTCOME_OTHER[0]), F.coalesce(given, F.lit(OUTCOME_OTHER[1]))))
+        F.when(F.coalesce(blocked, F.lit(False)), res("error", msg_or(OUTCOME_BLOCKED.message), F.coalesce(given, F.lit(OUTCOME_BLOCKED.error_type))))
+        .when(F.coalesce(timed_out, F.lit(False)), res("error", F.lit(OUTCOME_TIMEOUT.message), F.lit(OUTCOME_TIMEOUT.error_type)))
+        .when(rc0 & ~saw_sentinel, res("error", F.lit(OUTCOME_INCOMPLETE.message), F.lit(OUTCOME_INCOMPLETE.error_type)))
+        .when(rc0 & saw_sentinel, res("success", F.lit(OUTCOME_SUCCESS.message), none))
+        .when(F.instr(out, "AssertionError") > 0, res("error", msg_or(OUTCOME_ASSERTION.message), F.lit(OUTCOME_ASSERTION.error_type)))
+        .when(F.instr(out, "SyntaxError") > 0, res("error", msg_or(OUTCOME_SYNTAX.message), F.lit(OUTCOME_SYNTAX.error_type)))
+        .when(F.instr(out, "FIREJAIL_NOT_AVAILABLE") > 0, res("error", cleaned, F.lit(OUTCOME_NO_SANDBOX.error_type)))
+        .otherwise(res("error", msg_or(OUTCOME_OTHER.message), F.coalesce(given, F.lit(OUTCOME_OTHER.error_type))))
     )
 
 
