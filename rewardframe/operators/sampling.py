@@ -211,8 +211,8 @@ def dense_index(df: DataFrame, order_col: str, out: str = "index", n_parts: int
 def index_in_file_order(rows: DataFrame, out: str = "index") -> DataFrame:
     """0-based position of each row of ``readers`` output in the order of the files, their splits
     and the rows in them; the source columns go. The rows are written once (so each is parsed
-    once) and numbered within their split; a split's offset is the sum of the splits before it,
-    from one count per split."""
+    once). Their places alone are numbered within their split and meet the rows by the place, so a task
+    holds no whole split; a split's offset is the sum of the splits before it, from one count per split."""
     rows = materialize(rows)
     split = ["src_file", "src_block"]
     counts = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_c"))
@@ -220,9 +220,9 @@ def index_in_file_order(rows: DataFrame, out: str = "index") -> DataFrame:
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(*split, (F.sum("_c").over(before) - F.col("_c")).alias("_off"))
     place = F.row_number().over(Window.partitionBy(*split).orderBy("src_pos")) - 1
-    return rows.withColumn("_n", place).join(offsets, split).withColumn(out, (F.col("_off") + F.col("_n")).cast("bigint")).drop(
-        *split, "src_pos", "_off", "_n"
-    )
+    numbered = rows.select(*split, "src_pos").withColumn("_n", place).join(offsets, split)
+    index = numbered.select(*split, "src_pos", (F.col("_off") + F.col("_n")).cast("bigint").alias(out))
+    return rows.join(index, [*split, "src_pos"]).drop(*split, "src_pos")
 
 
 def with_position_id(df: DataFrame, id_col: str, order_col: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -34,15 +37,77 @@ def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_json_array(df: DataFrame, path: str, one_file: bool = False) -> None:
     """JSON arrays (K3): each file of the output is one array of its partition's rows, written line
-    by line, so no row count is too many; an empty table gives an empty array.
+    by line, so no row count is too many; an empty table gives an empty array. With ``one_file`` all rows
+    are one array in one file, in the order of ``df`` (see ``_write_one_array``).
     ``readers.read_json_document`` reads the folder back."""
     rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    fs, folder = _fs(df.sparkSession, path)
+    if one_file and fs.makeQualified(folder).toUri().getScheme() == "file":
+        _write_one_array(rows, path)
+        return
     # a null row, which is left out of the arrays, so that there is always a partition to write
     rows = rows.unionByName(df.sparkSession.range(1, numPartitions=1).select(F.lit(None).cast("string").alias("value")))
-    rows = rows.coalesce(1) if one_file else rows
+    rows = rows.coalesce(1) if one_file else rows  # other file systems let one task write a file
     rows.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
 
 
+#: Bytes that are copied together.
+COPY_BYTES = 1 << 23
+
+
+def _copy_parts(batches: Iterator[pa.RecordBatch], target: str) -> Iterator[pa.RecordBatch]:
+    """Copy files (part) to their places (at) in the file ``target``; their bytes. A task that runs twice
+    writes the same bytes to the same place."""
+    for batch in batches:
+        copied = []
+        for part, at in zip(batch.column("part").to_pylist(), batch.column("at").to_pylist()):
+            with open(part, "rb") as source, open(target, "r+b") as out:
+                out.seek(at)
+                shutil.copyfileobj(source, out, COPY_BYTES)
+                copied.append(out.tell() - at)
+        yield pa.RecordBatch.from_arrays([pa.array(copied, pa.int64())], names=["copied"])
+
+
+def _write_one_array(rows: DataFrame, path: str) -> None:
+    """JSON texts (value) as one array in one file of a mounted file system, written by as many tasks as
+    ``rows`` has partitions: each writes a part beside the path, then copies it to its place in the file,
+    which follows from the sizes of the parts before it. The file shows up in the folder when it is whole."""
+    spark, base, mark = rows.sparkSession, path.rstrip("/"), uuid.uuid4().hex
+    fs, folder = _fs(spark, base)
+    _, staged = _fs(spark, f"{base}.parts-{mark}")
+    try:
+        lines = rows.select(F.concat(F.lit(","), "value").alias("value"))
+        lines.write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", 0).text(str(staged))
+        parts = [(f.getPath().toUri().getPath(), f.getLen()) for f in fs.listStatus(staged) if f.getPath().getName().startswith("part-")]
+        parts.sort(key=lambda p: int(re.search(r"/part-(\d+)-[^/]*$", p[0])[1]))
+        places, size = [], 0
+        for part, n in parts:
+            if n:
+                places.append((part, size))
+            size += n
+        _, whole = _fs(spark, f"{base}.parts-{mark}/_array")
+        target = fs.makeQualified(whole).toUri().getPath()
+        with open(target, "wb") as out:
+            out.truncate(size)
+        if places:
+            dealt = spark.createDataFrame(places, "part string, at long").repartition(len(places))
+            copied = dealt.mapInArrow(lambda it: _copy_parts(it, target), "copied long").agg(F.sum("copied")).first()[0]
+            if copied != size:
+                raise OSError(f"{copied} of {size} bytes of {base} were written")
+        with open(target, "r+b") as out:
+            out.write(b"[")  # for the comma before the first row
+            out.seek(0, os.SEEK_END)
+            out.write(b"]\n")
+        fs.delete(folder, True)
+        fs.mkdirs(folder)
+        _, named = _fs(spark, f"{base}/part-00000-{mark}.json")
+        if not fs.rename(whole, named):
+            raise OSError(f"could not move {whole} to {named}")
+        fs.create(_fs(spark, f"{base}/_SUCCESS")[1]).close()
+    finally:
+        fs.delete(staged, True)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Result rows (benchmark or evaluation results) as one JSON array in one file (K7). A results
     table has one row per model and benchmark, so one file holds it; larger tables belong in
