@@ -9,7 +9,8 @@ what stands before it, so the file is read three times, each time by all tasks a
 2. outline: with the start known, each split reports the record lists that it opens, their commas and
    whether they hold anything. This chooses each file's list of records as ``read_json_document`` does.
 3. cut: each split gives the records that lie in it whole, and the pieces of those that go across
-   its ends; pieces of one record are put together by their record's place.
+   its ends (a pass of its own, if a file has several splits); pieces of one record are put together by
+   their record's place.
 
 One small row for each split (of about ``spark.sql.files.maxPartitionBytes``) passes the driver at each
 of the first two passes; texts never do. A record has to fit in one value (``LIMIT`` bytes); one that does
@@ -66,7 +67,7 @@ class Start:
     """What is known of a split before it is read: its first byte's place in the file, whether the document
     has begun before, whether the split lies in a string, how deep, the depth of the file's records (0:
     the file is one record), the list of records (split and number in it), whether that is open here,
-    and the record begun before."""
+    the record begun before, and whether the split is a whole file that is one record."""
 
     offset: int = 0
     begun: bool = False
@@ -76,6 +77,7 @@ class Start:
     chosen: tuple[int, int] | None = None
     active: bool = False
     owner: tuple[int, int] = (0, 0)
+    alone: bool = False
 
 
 @dataclass
@@ -93,8 +95,10 @@ class Split:
     start: Start = field(default_factory=Start)
 
 
-def _pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.option("lineSep", "}").text(paths).select(
+def pieces_of(spark: SparkSession, paths: str | list[str], larger_than: int = -1) -> DataFrame:
+    """The files of over ``larger_than`` bytes, cut at every bracket; the others are not opened."""
+    files = spark.read.option("lineSep", "}").text(paths).where(F.col("_metadata.file_size") > larger_than)
+    return files.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"),
     )
@@ -282,7 +286,7 @@ def _with_lists(splits: list[Split], outline: list, keys: list[bytes], limit: in
             return splits  # an empty list: no records
         if splits[-1].size > limit:
             raise _fail(splits[0].file, f"the document is one record of over {limit} bytes")
-        return [replace(s, start=replace(s.start, level=0, active=True, owner=(splits[0].block, 0))) for s in splits]
+        return [replace(s, start=replace(s.start, level=0, active=True, owner=(splits[0].block, 0), alone=len(splits) == 1)) for s in splits]
     out, owner, through = [], (chosen[0], 0), 0
     for s, at in zip(splits, open_at):
         out.append(replace(s, start=replace(s.start, chosen=chosen, active=at == chosen, owner=owner)))
@@ -326,10 +330,10 @@ def _cut(batches: Iterator[pa.RecordBatch], starts: dict, keys: list[bytes], lim
     for nxt, text, first in _scans(batches, starts):
         if first:
             if scan is not None and active:
-                give(False)
+                give(scan.start.alone)
             pending.clear()
             scan = nxt
-            active, whole, owner, number = scan.start.active, False, scan.start.owner, 0
+            active, whole, owner, number = scan.start.active, scan.start.alone, scan.start.owner, 0
         text, events = scan.events(text, keys)
         begin = 0
         for place, kind, _ in events:
@@ -352,15 +356,15 @@ def _cut(batches: Iterator[pa.RecordBatch], starts: dict, keys: list[bytes], lim
             yield batch_of()
             rows, have = [], 0
     if scan is not None and active:
-        give(False)
+        give(scan.start.alone)
     yield batch_of()
 
 
-def read_large_documents(spark: SparkSession, paths: list[str], keys: list[str], limit: int = LIMIT) -> DataFrame:
-    """Records of the JSON files ``paths``: src_file, src_block, src_pos (together in file order) and
-    raw (the record's text)."""
-    names = [k.encode() for k in keys]
-    tallied = _pieces(spark, paths).mapInArrow(
+def read_large_documents(pieces: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:
+    """Records of the JSON files of ``pieces_of``: src_file, src_block, src_pos (together in file order)
+    and raw (the record's text). The files are listed once, for all passes."""
+    spark, names = pieces.sparkSession, [k.encode() for k in keys]
+    tallied = pieces.mapInArrow(
         _tally, "file string, block long, size long, bytes long, quotes long, out_delta long, in_delta long, root long"
     ).collect()
     files: dict[str, list[Split]] = {}
@@ -368,7 +372,7 @@ def read_large_documents(spark: SparkSession, paths: list[str], keys: list[str],
         files.setdefault(r.file, []).append(Split(**r.asDict()))
     files = {f: _with_starts(splits) for f, splits in files.items()}
     starts = spark.sparkContext.broadcast({(s.file, s.block): s.start for splits in files.values() for s in splits})
-    outlined = _pieces(spark, paths).mapInArrow(
+    outlined = pieces.mapInArrow(
         lambda it: _outline(it, starts.value, names), "file string, block long, list long, key binary, commas long, filled boolean, open boolean"
     ).collect()
     by_file: dict[str, list] = {}
@@ -378,13 +382,14 @@ def read_large_documents(spark: SparkSession, paths: list[str], keys: list[str],
     known = spark.sparkContext.broadcast({(s.file, s.block): s.start for splits in files.values() for s in splits})
 
     def cut(across: bool) -> DataFrame:
-        return _pieces(spark, paths).mapInArrow(
+        return pieces.mapInArrow(
             lambda it: _cut(it, known.value, names, limit, across), "file string, block long, pos long, part long, text binary"
         )
 
     place = [F.col("file").alias("src_file"), F.col("block").alias("src_block"), F.col("pos").alias("src_pos")]
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"].cast("string"))
-    begun_before = cut(True).groupBy("file", "block", "pos").agg(pieces.alias("pieces"))
-    return cut(False).select(*place, F.col("text").cast("string").alias("raw")).unionByName(
-        begun_before.select(*place, F.array_join("pieces", "").alias("raw"))
-    )
+    within = cut(False).select(*place, F.col("text").cast("string").alias("raw"))
+    if all(len(splits) == 1 for splits in files.values()):
+        return within  # no record goes across the ends of a split
+    pieces_text = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"].cast("string"))
+    begun_before = cut(True).groupBy("file", "block", "pos").agg(pieces_text.alias("pieces"))
+    return within.unionByName(begun_before.select(*place, F.array_join("pieces", "").alias("raw")))

@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardframe.sources.json_records import LIMIT, read_large_documents
+from rewardframe.sources.json_records import LIMIT, pieces_of, read_large_documents
 from rewardframe.sources.sinks import current_version
 
 #: Bytes of a JSON file that is read as one row.
@@ -77,22 +77,22 @@ def read_json_document(spark: SparkSession, path: str, whole_file: int = WHOLE_F
     bytes fails the job and is named; so is one that Spark cannot parse, as it is no JSON or holds a string
     of over 20,000,000 characters.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    large = [r.path for r in files.filter(F.col("length") > whole_file).collect()]
-    if not large:
+    pieces = pieces_of(spark, path, whole_file)
+    if pieces.select("size").isEmpty():
         return _small_documents(spark, path)
-    cut = read_large_documents(spark, large, RECORD_LIST_KEYS, limit)
+    cut = read_large_documents(pieces, RECORD_LIST_KEYS, limit)
     v = F.try_parse_json(scrub_surrogates("raw"))
     place = [F.lit(", record "), F.col("src_pos").cast("string"), F.lit(" of the split at byte "), F.col("src_block").cast("string")]
     corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file"), *place)).cast("variant")
     records = cut.select(*ORIGIN, v.alias("v")).select(*ORIGIN, F.when(F.col("v").isNull(), corrupt).otherwise(F.col("v")).alias("v"))
-    small = [r.path for r in files.filter(F.col("length") <= whole_file).collect()]
-    return records.unionByName(_small_documents(spark, small)) if small else records
+    return records.unionByName(_small_documents(spark, path, whole_file))
 
 
-def _small_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files of one row each."""
-    files = spark.read.text(path, wholetext=True).select(*_origin(F.lit(0).cast("bigint")), F.col("value").alias("raw"))
+def _small_documents(spark: SparkSession, path: str, up_to: int | None = None) -> DataFrame:
+    """Files (of at most ``up_to`` bytes; the others are not opened) of one row each."""
+    files = spark.read.text(path, wholetext=True)
+    files = files if up_to is None else files.where(F.col("_metadata.file_size") <= up_to)
+    files = files.select(*_origin(F.lit(0).cast("bigint")), F.col("value").alias("raw"))
     parsed = files.withColumn("doc", F.try_parse_json(scrub_surrogates("raw")))
     corrupt = F.raise_error(F.concat(F.lit("not a JSON document: "), F.col("src_file")))
     as_list = F.try_variant_get("doc", "$", "array<variant>")
