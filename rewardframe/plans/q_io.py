@@ -72,19 +72,26 @@ def convert_extra(spark, sf_dir):
 def _documents_as_files(spark, sf_dir, name: str):
     """documents -> JSON files, named in order: one for each 128 of them, in turn a top-level array or
     an object with a record list; before it, of every 32 one by itself, as an object whose first
-    record list is empty (which is one record)."""
-    d = table(spark, sf_dir, "documents")
+    record list is empty (which is one record). A folder holds the files of 2,048 documents; each is
+    written by one task, a file for each row."""
     alone = F.col("doc_id") % 32 == 2
-    grp = F.lpad(F.floor(F.col("doc_id") / 128).cast("string"), 9, "0")
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang")))
-    as_list = F.when(F.col("grp").cast("bigint") % 2 == 0, F.to_json("rows")).otherwise(
-        F.to_json(F.struct(F.lit(1).alias("version"), F.col("rows").alias("data")))
+    grp = F.floor(F.col("doc_id") / 128)
+    digits = F.lpad(grp.cast("string"), 9, "0")
+    folder = F.lpad(F.floor(F.col("doc_id") / 2048).cast("string"), 9, "0")
+    named = F.when(alone, F.concat(digits, F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))).otherwise(F.concat(digits, F.lit("~")))
+    d = table(spark, sf_dir, "documents").where(alone.isNotNull()).select(
+        folder.alias("folder"), named.alias("name"), grp.alias("grp"), alone.alias("alone"), "doc_id", "text", "lang"
     )
-    lists = d.where(~alone).groupBy(grp.alias("grp")).agg(rows.alias("rows")).select("grp", as_list.alias("value"))
-    one = F.struct(F.array().cast("array<int>").alias("data"), F.array("doc_id").alias("items"), "doc_id", "text", "lang")
-    singles = d.where(alone).select(F.concat(grp, F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("grp"), F.to_json(one).alias("value"))
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", "text", "lang")))
+    # one shuffle: the files of a folder are made where its rows are
+    files = d.repartition("folder").groupBy("folder", "name", "grp", "alone").agg(rows.alias("rows"))
+    as_list = F.when(F.col("grp") % 2 == 0, F.to_json("rows")).otherwise(F.to_json(F.struct(F.lit(1).alias("version"), F.col("rows").alias("data"))))
+    one = F.transform("rows", lambda r: F.to_json(
+        F.struct(F.array().cast("array<int>").alias("data"), F.array(r["doc_id"]).alias("items"), r["doc_id"].alias("doc_id"), r["text"].alias("text"), r["lang"].alias("lang"))
+    ))
+    values = files.select("folder", "name", F.explode(F.when(F.col("alone"), one).otherwise(F.array(as_list))).alias("value"))
     out = SK.scratch_dir(spark, name)
-    lists.unionByName(singles).repartition("grp").write.partitionBy("grp").text(out)
+    values.sortWithinPartitions("folder", "name").drop("name").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(out)
     return out
 
 
