@@ -12,8 +12,10 @@ is repeated after a crash count once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,40 +47,40 @@ def _mark(seen: bytes, test: int) -> tuple[bytes, bool]:
     return bytes(bits), new
 
 
-def _meet(timeout_as: str):
-    """The state function: rows of one response in this batch, and what is known of it."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(STATE, state.get)) if state.exists else {"done": False, "known": False, "seen": b"", **dict.fromkeys(FLAGS), **dict.fromkeys(COUNTS, 0)}
-        if now["done"]:
-            return
-        now["execution_time"] = float(now["execution_time"])
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                if row["is_response"]:
-                    if not now["known"]:
-                        now.update({k: None if pd.isna(row[k]) else (bool if t == "boolean" else int)(row[k]) for k, t in FLAGS.items()}, known=True)
-                    continue
-                now["seen"], new = _mark(now["seen"], int(row["test_idx"]))
-                if not new:
-                    continue
-                status, error = row["status"], row["error_type"]
-                if timeout_as == "timeout" and status != "success" and error == "TIMEOUT":
-                    status = "timeout"
-                now["passed_n"] += status == "success"
-                now["timeouts_n"] += status == "timeout"
-                now["runtime_errors_n"] += status in ("error", "runtime_error")
-                now["outcomes_n"] += 1
-                now["crashed_n"] += error == RUNNER_ERROR
-                now["execution_time"] += 0.0 if pd.isna(row["run_time_s"]) else float(row["run_time_s"])
-        valid = now["known"] and now["has_code"] and now["syntax_valid"] and now["compile_valid"]
-        planned = now["n_tests"] if valid else 0
-        if now["known"] and (now["crashed_n"] or now["outcomes_n"] >= planned):
-            yield pd.DataFrame([{"id": key[0], **{k: now[k] for k in (*FLAGS, *COUNTS)}}])
-            now.update({**dict.fromkeys(FLAGS), **dict.fromkeys(COUNTS, 0), "seen": b"", "done": True})
-        state.update(tuple(int(now[k]) if t == "bigint" else now[k] for k, t in STATE.items()))
-
-    return run
+#: Columns of a response that is scored.
+MET = pd.Index(["id", *FLAGS, *COUNTS])
+#: How an outcome's status counts; its place is the code that the state function gets.
+STATUS_COUNTS = ("passed_n", "timeouts_n", "runtime_errors_n")
+
+
+def _meet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The state function: rows of one response in this batch, and what is known of it. It is called for
+    each response, so rows come as one column of texts, and pandas is asked for little."""
+    now = dict(zip(STATE, state.get)) if state.exists else {"done": False, "known": False, "seen": b"", **dict.fromkeys(FLAGS), **dict.fromkeys(COUNTS, 0)}
+    if now["done"]:
+        return
+    now["execution_time"] = float(now["execution_time"])
+    for batch in batches:
+        for text in batch["row"].tolist():
+            row = json.loads(text)
+            if "response" in row:
+                if not now["known"]:
+                    now.update({k: row["response"].get(k) for k in FLAGS}, known=True)
+                continue
+            now["seen"], new = _mark(now["seen"], row["test_idx"])
+            if not new:
+                continue
+            if "counts_as" in row:
+                now[STATUS_COUNTS[row["counts_as"]]] += 1
+            now["outcomes_n"] += 1
+            now["crashed_n"] += row["crashed"]
+            now["execution_time"] += float(row.get("run_time_s", 0.0))
+    valid = now["known"] and now["has_code"] and now["syntax_valid"] and now["compile_valid"]
+    planned = now["n_tests"] if valid else 0
+    if now["known"] and (now["crashed_n"] or now["outcomes_n"] >= planned):
+        yield pd.DataFrame(np.array([[key[0], *(now[k] for k in (*FLAGS, *COUNTS))]], dtype=object), columns=MET)
+        now.update({**dict.fromkeys(FLAGS), **dict.fromkeys(COUNTS, 0), "seen": b"", "done": True})
+    state.update(tuple(int(now[k]) if t == "bigint" else now[k] for k, t in STATE.items()))
 
 
 def score_arrivals(
@@ -95,19 +97,21 @@ def score_arrivals(
     kind = prepared.schema[id_col].dataType.simpleString()
 
     def column(df: DataFrame, name: str, dtype: str):
-        return (F.col(name) if name in df.columns else F.lit(None)).cast(dtype).alias(name)
-
-    outcome_fields = {"test_idx": "bigint", "status": "string", "error_type": "string", "run_time_s": "double"}
-    rows = [
-        df.select(
-            F.col(id_col).cast(kind).alias("id"), F.lit(is_response).alias("is_response"),
-            *(column(df, k, t) if is_response else F.lit(None).cast(t).alias(k) for k, t in FLAGS.items()),
-            *(F.lit(None).cast(t).alias(k) if is_response else column(df, k, t) for k, t in outcome_fields.items()),
-        )
-        for df, is_response in ((prepared, True), (outcomes, False))
-    ]
+        return (F.col(name) if name in df.columns else F.lit(None)).cast(dtype)
+
+    response = F.struct(F.struct(*(column(prepared, k, t).alias(k) for k, t in FLAGS.items())).alias("response"))
+    status, error, seconds = column(outcomes, "status", "string"), column(outcomes, "error_type", "string"), column(outcomes, "run_time_s", "double")
+    if timeout_as == "timeout":
+        status = F.when(~status.eqNullSafe("success") & error.eqNullSafe("TIMEOUT"), "timeout").otherwise(status)
+    outcome = F.struct(
+        column(outcomes, "test_idx", "bigint").alias("test_idx"),
+        F.when(status == "success", 0).when(status == "timeout", 1).when(status.isin("error", "runtime_error"), 2).alias("counts_as"),
+        error.eqNullSafe(RUNNER_ERROR).alias("crashed"),
+        F.when(~F.isnan(seconds), seconds).alias("run_time_s"),
+    )
+    rows = [df.select(F.col(id_col).cast(kind).alias("id"), F.to_json(r).alias("row")) for df, r in ((prepared, response), (outcomes, outcome))]
     met = rows[0].unionByName(rows[1]).groupBy("id").applyInPandasWithState(
-        _meet(timeout_as), _schema({"id": kind, **FLAGS, **COUNTS}), _schema(STATE), "append", GroupStateTimeout.NoTimeout
+        _meet, _schema({"id": kind, **FLAGS, **COUNTS}), _schema(STATE), "append", GroupStateTimeout.NoTimeout
     )
     # a response whose scoring raised loses its flags and gets the crash row
     flagged = met.withColumn("has_code", F.when(F.col("crashed_n") == 0, F.col("has_code")))
