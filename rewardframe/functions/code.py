@@ -31,11 +31,19 @@ CHECK_TYPE = T.StructType(
 )
 
 
+#: Rows of a batch that are looked at together: their texts are copied into Python objects.
+SLICE_ROWS = 256
+
+
 def _distinct(values: pa.Array, fn: Callable, kind: pa.DataType) -> pa.Array:
-    """``fn`` of every value, computed once for each distinct one; null stays null."""
-    coded = values.dictionary_encode()
-    results = pa.array([fn(v) for v in coded.dictionary.to_pylist()], kind)
-    return results.take(coded.indices)
+    """``fn`` of every value, computed once for each distinct one of a slice; null stays null. Only one
+    slice's texts and results are Python objects at a time, however large the batch is."""
+    parts = []
+    for at in range(0, len(values), SLICE_ROWS):
+        coded = values.slice(at, SLICE_ROWS).dictionary_encode()
+        results = pa.array((fn(v.as_py()) for v in coded.dictionary), kind)
+        parts.append(results.take(coded.indices))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def check_source(text: str) -> dict:
