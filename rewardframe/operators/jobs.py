@@ -46,11 +46,10 @@ def verify_job(
     if outcomes is None:
         if runner is None:
             raise ValueError("give outcomes or a runner")
-        plan = V.plan_executions(samples, n_runs, id_col=id_col)
         if log_path is None:
-            raw = V.run_executions(plan, runner, id_col, num_partitions)
+            raw = V.run_executions(V.plan_executions(samples, n_runs, id_col=id_col), runner, id_col, num_partitions)
         else:
-            raw = V.resume_executions(plan, runner, log_path, id_col)
+            raw = V.resume_samples(samples, runner, log_path, n_runs, id_col)
         outcomes = V.classify_outcomes(raw, [id_col, "run", "test_idx"])
     # the outcomes are read once; the results, by four outputs
     results = materialize(V.verify_results(samples, outcomes, id_col=id_col))

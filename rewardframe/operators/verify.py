@@ -9,7 +9,7 @@ outcomes  : one row per executed (sample, run, test): ``id_col, run, test_idx, s
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import pandas as pd
@@ -88,10 +88,17 @@ def plan_executions(
     (rows x tests x runs) stays narrow. Explode is a narrow operator: no shuffle here.
     """
     runnable = samples.where((F.col(code_col) != "") & (F.size(tests_col) > 0))
-    fan = runnable.select(
-        F.col(id_col), F.col(code_col), F.posexplode(tests_col).alias("test_idx", "test")
+    return _plan_rows(runnable, F.sequence(F.lit(0), F.lit(n_runs - 1)), F.lit(0), id_col, code_col, tests_col, timeout_s)
+
+
+def _plan_rows(
+    samples: DataFrame, runs: Column, first_test: Column, id_col: str, code_col: str, tests_col: str, timeout_s: float, keep: Sequence[str] = ()
+) -> DataFrame:
+    """A row for each of the samples' runs and tests, the first of which has the number ``first_test``."""
+    fan = samples.select(
+        F.col(id_col), F.col(code_col), *keep, runs.alias("_runs"), first_test.alias("_first"), F.posexplode(tests_col).alias("test_idx", "test")
     ).select(
-        id_col, code_col, "test_idx", "test", F.explode(F.sequence(F.lit(0), F.lit(n_runs - 1))).alias("run")
+        id_col, code_col, *keep, (F.col("_first") + F.col("test_idx")).alias("test_idx"), "test", F.explode("_runs").alias("run")
     )
     sentinel = sentinel_for(F.col(id_col), F.col("run"), F.col("test_idx"))
     return fan.select(
@@ -101,6 +108,7 @@ def plan_executions(
         sentinel.alias("sentinel"),
         build_script(F.col(code_col), F.col("test"), sentinel).alias("script"),
         F.lit(float(timeout_s)).alias("timeout_s"),
+        *keep,
     )
 
 
@@ -125,6 +133,11 @@ def run_executions(plan: DataFrame, runner, id_col: str = "sample_id", num_parti
 
 #: Executions of one task, whose outcomes are committed together.
 COMMIT_ROWS = 500
+#: Runs and tests of one id that go to the same task.
+CHUNK = {"run": 8, "test_idx": 4}
+AT = ["_id", "_run", "_test_idx"]
+#: What, with the id, tells one execution from another.
+LOG_KEY = ["run", "test_idx", "script_hash"]
 
 
 def logged_attempts(spark: SparkSession, log_path: str, id_col: str = "sample_id") -> DataFrame | None:
@@ -145,16 +158,83 @@ def resume_executions(
     Tasks of about ``commit_rows`` executions commit their outcomes one by one, as they end (file output
     committer, algorithm 2): if the job fails or is stopped, what committed tasks have done stays, and
     the next call plans only the rest. A task that a lost executor ran is run again as a whole; if both
-    attempts come to be committed, the log's reader takes one."""
-    spark, keys = plan.sparkSession, [id_col, "run", "test_idx", "script_hash"]
+    attempts come to be committed, the log's reader takes one.
+
+    Scripts are shuffled once, to the task that runs them, where the log's keys (no scripts) meet them. A
+    few runs and tests of one id go together (``CHUNK``)."""
     hashed = plan.withColumn("script_hash", F.sha2("script", 256))
+
+    def deal(before: DataFrame | None, tasks: int) -> DataFrame:
+        rows = hashed.select("*", *_chunk(id_col)).repartition(tasks, *AT)
+        met = rows if before is None else _with_logged(rows, before, tasks, id_col)
+        return (met if before is None else _unlogged(met)).drop(*AT)
+
+    return _resumed(hashed, deal, runner, log_path, id_col, commit_rows)
+
+
+def resume_samples(
+    samples: DataFrame,
+    runner,
+    log_path: str,
+    n_runs: int = DEFAULT_N_RUNS,
+    id_col: str = "sample_id",
+    code_col: str = "solution",
+    tests_col: str = "tests",
+    timeout_s: float = VERIFY_TIMEOUT_S,
+    commit_rows: int = COMMIT_ROWS,
+) -> DataFrame:
+    """``resume_executions`` of ``plan_executions``, with the same scripts and log. Code is shuffled once for
+    each ``CHUNK`` of a sample's runs and tests, and the scripts are built in the task that runs them."""
+    runnable = samples.where((F.col(code_col) != "") & (F.size(tests_col) > 0))
+    of_run, of_test = CHUNK["run"], CHUNK["test_idx"]
+    chunks = runnable.select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit((n_runs - 1) // of_run).cast("bigint"))).alias("_run")
+    ).select(
+        id_col, code_col, tests_col, "_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.size(tests_col) - 1) / of_test))).alias("_test_idx")
+    ).select(
+        id_col, code_col, F.slice(tests_col, (F.col("_test_idx") * of_test + 1).cast("int"), F.lit(of_test)).alias(tests_col),
+        F.col(id_col).alias("_id"), "_run", "_test_idx",
+    )
+
+    def planned(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        first_run = F.col("_run") * of_run
+        runs = F.sequence(first_run, F.least(first_run + (of_run - 1), F.lit(n_runs - 1).cast("bigint")))
+        plan = _plan_rows(rows, runs, F.col("_test_idx") * of_test, id_col, code_col, tests_col, timeout_s, keep)
+        return plan.withColumn("script_hash", F.sha2("script", 256))
+
+    def deal(before: DataFrame | None, tasks: int) -> DataFrame:
+        rows = chunks.repartition(tasks, *AT)
+        return planned(rows) if before is None else _unlogged(planned(_with_logged(rows, before, tasks, id_col), ["_logged"]))
+
+    return _resumed(planned(chunks), deal, runner, log_path, id_col, commit_rows)
+
+
+def _chunk(id_col: str) -> list[Column]:
+    """The columns ``AT`` of a row of a plan or a log."""
+    return [F.col(id_col).alias("_id"), *(F.floor(F.col(c) / size).alias(f"_{c}") for c, size in CHUNK.items())]
+
+
+def _with_logged(rows: DataFrame, before: DataFrame, tasks: int, id_col: str) -> DataFrame:
+    """Rows dealt by ``AT`` with what the log holds of their chunk (``_logged``). The join is built from the
+    log, so that code and scripts are not sorted for it."""
+    held = before.select(*_chunk(id_col), F.struct(*LOG_KEY).alias("key")).repartition(tasks, *AT)
+    return rows.join(held.groupBy(*AT).agg(F.collect_list("key").alias("_logged")).hint("shuffle_hash"), AT, "left")
+
+
+def _unlogged(plan: DataFrame) -> DataFrame:
+    """Rows of a plan that are not in ``_logged``; a null script is in no log."""
+    there = F.col("_logged").isNotNull() & F.col("script_hash").isNotNull() & F.array_contains("_logged", F.struct(*LOG_KEY))
+    return plan.where(~there).drop("_logged")
+
+
+def _resumed(hashed: DataFrame, deal: Callable, runner, log_path: str, id_col: str, commit_rows: int) -> DataFrame:
+    """Run the rows of a plan that ``deal(log, number of tasks)`` gives, log them, and return the plan's outcomes."""
+    spark, keys = hashed.sparkSession, [id_col, *LOG_KEY]
     before = logged_attempts(spark, log_path, id_col)
-    todo = hashed if before is None else hashed.join(before.select(*keys), keys, "left_anti")
-    n = todo.count()
+    n = (hashed if before is None else hashed.join(before.select(*keys), keys, "left_anti")).count()
     if n:
-        tasks = max(1, -(-n // commit_rows))
         kinds = {f.name: f.simpleString() for f in hashed.schema.fields}
-        ran = todo.repartition(tasks, *keys).mapInPandas(
+        ran = deal(before, max(1, -(-n // commit_rows))).mapInPandas(
             lambda batches: _with_hashes(runner, batches, [id_col, "run", "test_idx"]),
             ", ".join([*(kinds[c] for c in (*keys, "sentinel")), OUTCOME_SCHEMA]),
         )

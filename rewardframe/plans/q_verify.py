@@ -194,13 +194,16 @@ from keyed
 """,
 )
 def plan_executions(spark, sf_dir):
+    return V.plan_executions(_code_samples(spark, sf_dir), n_runs=4)
+
+
+def _code_samples(spark, sf_dir):
     s = fixture(spark, sf_dir, "fx_code_samples")
     tests = F.transform(
         F.sequence(F.lit(0), F.col("n_tests") - 1),
         lambda i: F.concat(F.lit("assert solve() == "), F.col("n_chars").cast("string"), F.lit("  # "), i.cast("string")),
     )
-    samples = s.select("sample_id", "solution", F.when(F.col("n_tests") > 0, tests).otherwise(F.array().cast("array<string>")).alias("tests"))
-    return V.plan_executions(samples, n_runs=4)
+    return s.select("sample_id", "solution", F.when(F.col("n_tests") > 0, tests).otherwise(F.array().cast("array<string>")).alias("tests"))
 
 
 _RESUMED_SQL = (
@@ -227,10 +230,10 @@ def _settled(batches):
 def resumed_executions(spark, sf_dir):
     """Executions kept in a log: a first run that ends after half of the runs, then the whole plan, which
     executes what the log does not hold; every test has been executed once (E3)."""
-    plan = plan_executions(spark, sf_dir)
+    samples = _code_samples(spark, sf_dir)
     log = scratch_dir(spark, "executions")
-    V.resume_executions(plan.where("run < 2"), _settled, log)
-    done = V.resume_executions(plan, _settled, log)
+    V.resume_samples(samples, _settled, log, n_runs=2)
+    done = V.resume_samples(samples, _settled, log, n_runs=4)
     attempts = spark.read.parquet(log).groupBy("sample_id", "run", "test_idx").agg(F.count(F.lit(1)).alias("attempts"))
     return done.select("sample_id", "run", "test_idx", "ok").join(attempts, ["sample_id", "run", "test_idx"])
 
