@@ -89,7 +89,7 @@ def _documents_as_files(spark, sf_dir, name: str):
     one = F.transform("rows", lambda r: F.to_json(
         F.struct(F.array().cast("array<int>").alias("data"), F.array(r["doc_id"]).alias("items"), r["doc_id"].alias("doc_id"), r["text"].alias("text"), r["lang"].alias("lang"))
     ))
-    values = files.select("folder", "name", F.explode(F.when(F.col("alone"), one).otherwise(F.array(as_list))).alias("value"))
+    values = files.select("folder", "name", F.when(F.col("alone"), F.array_join(one, "\n")).otherwise(as_list).alias("value"))
     out = SK.scratch_dir(spark, name)
     values.sortWithinPartitions("folder", "name").drop("name").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(out)
     return out
