@@ -21,8 +21,10 @@ and of the unknown one add up to 1 after every word, known or not. A token's sco
 Plan: words are numbered by the rank of their 64-bit hash, by which they are told apart: blocks of
 BLOCK_TOKENS send their words to ranges of hashes, which answer with numbers. A block then sends its
 distinct pairs once, as packed columns, to the pair's bucket (a hash of the word
-before, and of the word's high bits, so a common word's followers are spread); there the counts of all
-blocks meet. Pairs that occur once have one table in every sweep and are not drawn again; the others stay
+before, and of the word's high bits, so a common word's followers are spread, over the more buckets the
+more there are); there the counts of all blocks meet. A block handles the pairs of PIECE_TOKENS tokens at
+a time, bucket after bucket, both when it sends them and when it scores them: besides its texts, it holds
+a few bytes for each token and the totals of its words. Pairs that occur once have one table in every sweep and are not drawn again; the others stay
 in their buckets. Between sweeps only sums by word travel: buckets send their tables to the ranges of
 words, which hold the restaurants' and the parent's totals, and get back what they asked about. At the
 end each bucket answers the blocks' lists in their order, and ranges answer with the words' totals.
@@ -57,8 +59,11 @@ BLOCK_TOKENS = 3_000_000
 TEXT_TOKENS = 1 << 18
 #: Training tokens for each bucket of pairs, and the most buckets.
 BUCKET_TOKENS, MOST_BUCKETS = 1 << 21, 1 << 16
-#: Followers of one word that share a bucket: those whose numbers agree but for so many bits.
-NEAR_BITS = 22
+#: Tokens whose pairs a block handles at once.
+PIECE_TOKENS = 1 << 19
+#: Followers of one word that share a bucket: those whose numbers agree but for so many bits at most; and
+#: fewer, if that spreads them over less than this part of the buckets.
+NEAR_BITS, SPREAD = 22, 32
 #: Words of a range, and the most ranges of hashes.
 RANGE, MOST_HASHES = 1 << 16, 1 << 16
 #: Values of one row at most.
@@ -101,10 +106,10 @@ class Letters:
         self.rows: list[tuple] = []
         self.size = 0
 
-    def add(self, address: str, to: int, kind: int, origin: int, *parts: np.ndarray, stats: tuple = (None,) * 4) -> None:
-        """``parts``: arrays of m columns; long ones make several rows."""
+    def add(self, address: str, to: int, kind: int, origin: int, *parts: np.ndarray, stats: tuple = (None,) * 4, seq: int = 0) -> None:
+        """``parts``: arrays of m columns; long ones make several rows, numbered from ``seq``."""
         m = parts[0].shape[-1] if parts else 0
-        for seq, a in enumerate(range(0, max(m, 1), ROW)):
+        for seq, a in enumerate(range(0, max(m, 1), ROW), seq):
             packed = [_packed(p[..., a : a + ROW]) for p in parts] + [None] * (4 - len(parts))
             self.size += sum(len(p) for p in packed if p)
             self.rows.append((address, to, kind, origin, seq, min(m - a, ROW), *packed, *stats))
@@ -150,7 +155,10 @@ def _in_order(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Order by word before, then word."""
     if max(int(before.max(initial=0)), int(word.max(initial=0))) >= 1 << 32:
         return np.lexsort((word, before))
-    return np.argsort(before.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), kind="stable")
+    keys = before.astype(np.uint64)
+    keys <<= np.uint64(32)
+    keys |= word.view(np.uint64)
+    return np.argsort(keys, kind="stable")
 
 
 def _addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[pa.RecordBatch]]]]:
@@ -172,8 +180,8 @@ def _addressed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[in
 
 
 def _letters(got: dict[int, list[pa.RecordBatch]], kind: int) -> list[dict]:
-    """Rows of one kind by their sender and in the order in which it wrote them."""
-    return sorted((row for part in got.get(kind, []) for row in part.to_pylist()), key=lambda r: (r["origin"], r["seq"]))
+    """Rows of one kind by their sender and in the order in which it wrote them, taken from what came."""
+    return sorted((row for part in got.pop(kind, []) for row in part.to_pylist()), key=lambda r: (r["origin"], r["seq"]))
 
 
 def _column(rows: list[dict], name: str, height: int = 1) -> np.ndarray:
@@ -216,12 +224,14 @@ def _numbered(batches: Iterator[pa.RecordBatch], block_tokens: int, bits: int) -
         out.add(BLOCK, block, LOCALS, block, order)
         for letters in out.rest():
             yield with_texts(letters)
+        seq = 0
         for ids, held, numbers in kept:
             for a, b in _stretches(np.array([len(x) for x in numbers]), TEXT_TOKENS):
                 part = np.concatenate(numbers[a:b])
-                out.rows.append((BLOCK, block, TEXTS, block, 0, b - a, _packed(part), _packed(np.array([len(x) for x in numbers[a:b]])), _packed(np.array(held[a:b])), None, *[None] * 4))
+                out.rows.append((BLOCK, block, TEXTS, block, seq, b - a, _packed(part), _packed(np.array([len(x) for x in numbers[a:b]])), _packed(np.array(held[a:b])), None, *[None] * 4))
                 for letters in out.rest():
                     yield with_texts(letters, ids.slice(a, b - a))
+                seq += 1
 
     tokens = 0
     for batch in batches:
@@ -295,67 +305,74 @@ def _text(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unpacked(row["a"], int(lengths.sum()), kind=np.int32)[0], lengths, _unpacked(row["c"], row["m"])[0].astype(bool)
 
 
-def _flat(texts: list[dict], begin: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of texts: all their tokens' pairs as word before * (begin + 1) + word, and whether each is
-    learned from."""
-    read = [_text(row) for row in texts]
-    keys = [_pair_keys(flat, np.cumsum(lengths) - lengths, begin) for flat, lengths, _ in read]
-    return np.concatenate(keys), np.concatenate([np.repeat(~held, lengths) for _, lengths, held in read])
-
-
-def _pair_keys(flat: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
-    """For each token of texts that begin at ``starts`` one number of the word before and the word."""
-    keys = np.empty(len(flat), dtype=np.int64)
-    keys[1:] = flat[:-1]
-    keys[starts] = begin
-    keys *= begin + 1
-    keys += flat
-    return keys
-
-
-def _bucket_of(before: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
-    h = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (word >> NEAR_BITS).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _bucket_of(before: np.ndarray, word: np.ndarray, buckets: int, near: int) -> np.ndarray:
+    h = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (word >> near).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    return ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16)
 
 
-def _block_pairs(texts: list[dict], ids: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
-    """A block's distinct pairs by local numbers, the pair of each token, whether it is learned from, and the
-    pairs' order by bucket, then by the words' numbers, with words before, words and buckets in it."""
-    keys, learned = _flat(texts, len(ids) - 1)
-    local, of = np.unique(keys, return_inverse=True)
-    first, second = np.divmod(local, len(ids))
-    before, word = ids[first], ids[second]
-    order = _in_order(before, word)
-    bucket = _bucket_of(before[order], word[order], buckets)
-    by_bucket = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
-    order = order[by_bucket]
-    return local, of, learned, order, before[order], word[order], bucket[by_bucket]
-
-
-def _block_ids(got: dict[int, list[pa.RecordBatch]]) -> np.ndarray:
-    """Numbers of a block's words in the order of their local numbers."""
+def _block_ids(got: dict[int, list[pa.RecordBatch]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a block's words in order, and the place there of each local number."""
     order, ids = _column(_letters(got, LOCALS), "a"), _column(_letters(got, IDS), "a")
-    out = np.empty(len(ids), dtype=np.int64)
-    out[order] = ids
-    return out
-
-
-def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    place = np.empty(len(ids), dtype=np.int32)
+    place[order] = np.arange(len(ids), dtype=np.int32)
+    return ids, place
+
+
+def _block_tokens(texts: list[dict], ids: np.ndarray, place: np.ndarray, buckets: int, near: int) -> tuple[np.ndarray, ...]:
+    """Of a block's texts: for each token the word before and the word, as places in ``ids``, whether it is
+    learned from, and the bucket of its pair."""
+    rows = []
+    for row in texts:
+        local, lengths, held = _text(row)
+        word = place[local]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[np.cumsum(lengths) - lengths] = place[-1]  # the begin is the last local number
+        rows.append((before, word, np.repeat(~held, lengths), _bucket_of(ids[before], ids[word], buckets, near)))
+    return tuple(np.concatenate(x) for x in zip(*rows))
+
+
+def _pieces(before: np.ndarray, word: np.ndarray, bucket: np.ndarray, words: int, piece_tokens: int) -> Iterator[tuple]:
+    """A block's distinct pairs by buckets, those of so many tokens at a time: the tokens' places, the pair
+    of each; the pairs' words before, words and buckets, in the order of bucket, word before and word; and
+    the number of the first row that a bucket gets. A bucket of more tokens comes in several pieces, and a
+    pair may be in more than one of them."""
+    for a, b in _stretches(np.bincount(bucket), piece_tokens):
+        places = np.flatnonzero((bucket >= a) & (bucket < b))
+        for part, c in enumerate(range(0, len(places), piece_tokens)):
+            at = places[c : c + piece_tokens]
+            keys = before[at].astype(np.int64)
+            keys *= words
+            keys += word[at]
+            keys, of = np.unique(keys, return_inverse=True)
+            to = np.empty(len(keys), dtype=bucket.dtype)
+            to[of] = bucket[at]
+            order = np.argsort(to, kind="stable")
+            turn = np.empty(len(keys), dtype=np.int64)
+            turn[order] = np.arange(len(keys))
+            yield at, turn[of], *np.divmod(keys[order], words), to[order], part * -(-piece_tokens // ROW)
+
+
+def _paired(batches: Iterator[pa.RecordBatch], buckets: int, near: int, piece_tokens: int) -> Iterator[pa.RecordBatch]:
     """For each block: its pairs (to their buckets), the words it asks about (to their ranges)."""
     out = Letters()
     for block, got in _addressed(batches):
-        ids = _block_ids(got)
-        local, of, learned, order, before, word, bucket = _block_pairs(_letters(got, TEXTS), ids, buckets)
-        n = np.bincount(of[learned], minlength=len(local))[order]
-        edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        yield from _block_pairs(out, block, got, buckets, near, piece_tokens)
+    yield from out.rest()
+
+
+def _block_pairs(out: Letters, block: int, got: dict[int, list[pa.RecordBatch]], buckets: int, near: int, piece_tokens: int) -> Iterator[pa.RecordBatch]:
+    ids, place = _block_ids(got)
+    before, word, learned, bucket = _block_tokens(_letters(got, TEXTS), ids, place, buckets, near)
+    for at, of, first, second, to, seq in _pieces(before, word, bucket, len(ids), piece_tokens):
+        n = np.bincount(of[learned[at]], minlength=len(to))
+        edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
         for a, b in zip(edges, edges[1:]):
-            out.add(BUCKET, int(bucket[a]), PAIRS, block, before[a:b], word[a:b], n[a:b])
+            out.add(BUCKET, int(to[a]), PAIRS, block, ids[first[a:b]], ids[second[a:b]], n[a:b], seq=seq)
             yield from out.full()
-        asked = np.sort(ids)
-        out.add_by_range(ASKED, block, asked, np.empty((0, len(asked)), dtype=np.int64))
-        yield from out.full()
-    yield from out.rest()
+    out.add_by_range(ASKED, block, ids, np.empty((0, len(ids)), dtype=np.int64))
+    yield from out.full()
 
 
 # ------------------------------------------------------------------ buckets of pairs
@@ -517,42 +534,67 @@ class Model:
         return np.maximum(customers - self.discount, 0.0) / (STRENGTH + np.array(self.customers))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks come as texts, their words' numbers, the words' totals and the pairs' answers."""
+def _word_terms(rows: list[dict], words: int, model: Model) -> tuple[np.ndarray, ...]:
+    """Of a block's words, in order, from the ranges' answers (which come in that order): whether each is
+    known, its base score; for each sweep the customers after it with the strength, the part that goes to
+    the parent, and its own probability there."""
     base_total = math.log10(model.tokens + 0.5 * (model.distinct + 1))
     strengths = np.array(model.strengths)
     sweeps = len(strengths)
+    seen, base = np.empty(words, dtype=bool), np.empty(words)
+    customers, free, parent = (np.empty((words, sweeps)) for _ in range(3))
+    a = 0
+    for row in rows:
+        totals = _unpacked(row["b"], row["m"], TOTALS + 2 * sweeps)
+        at = slice(a, a + row["m"])
+        a = at.stop
+        seen[at] = totals[0] > 0
+        base[at] = np.log10(totals[0] + 0.5) - base_total
+        customers[at] = totals[1][:, None] + strengths
+        free[at] = (strengths + DISCOUNT * totals[TOTALS::2].T) / customers[at]
+        parent[at] = np.where(seen[at, None], model.known_word(totals[TOTALS + 1 :: 2].T), model.new_word())
+    return seen, base, customers, free, parent
+
+
+def _next_answers(rows: Iterator[dict], pairs: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the next so many pairs: training times, and tables by sweep."""
+    own = []
+    while pairs:
+        own.append(next(rows))
+        pairs -= own[-1]["m"]
+    return _column(own, "a"), _column(own, "b", sweeps).reshape(sweeps, -1)
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, buckets: int, near: int, piece_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Blocks come as texts, their words' numbers, the words' totals and the pairs' answers."""
     for _, got in _addressed(batches):
-        ids = _block_ids(got)
-        # the ranges answer in the order of the words' numbers
-        totals = np.empty((TOTALS + 2 * sweeps, len(ids)), dtype=np.int64)
-        totals[:, _column(_letters(got, LOCALS), "a")] = _column(_letters(got, STATES), "b", len(totals))
-        seen = totals[0] > 0
-        base = np.log10(totals[0] + 0.5) - base_total
-        customers = totals[1][:, None] + strengths
-        free = (strengths + DISCOUNT * totals[TOTALS::2].T) / customers
-        parent = np.where(seen[:, None], model.known_word(totals[TOTALS + 1 :: 2].T), model.new_word())
-        id_type = got[TEXTS][0].schema.field("doc_ids").type.value_type
-        texts = _letters(got, TEXTS)
-        local, of, _, order, *_ = _block_pairs(texts, ids, buckets)
-        answers = _letters(got, ANSWERS)
-        n, tables = np.empty(len(local), dtype=np.int64), np.empty((sweeps, len(local)), dtype=np.int64)
-        n[order], tables[:, order] = _column(answers, "a"), _column(answers, "b", sweeps).reshape(sweeps, -1)
-        first, second = np.divmod(local, len(ids))
+        yield from _block_scores(got, model, buckets, near, piece_tokens)
+
+
+def _block_scores(got: dict[int, list[pa.RecordBatch]], model: Model, buckets: int, near: int, piece_tokens: int) -> Iterator[pa.RecordBatch]:
+    sweeps = len(model.strengths)
+    ids, place = _block_ids(got)
+    seen, base, customers, free, parent = _word_terms(_letters(got, STATES), len(ids), model)
+    id_type = got[TEXTS][0].schema.field("doc_ids").type.value_type
+    texts = _letters(got, TEXTS)
+    before, word, _, bucket = _block_tokens(texts, ids, place, buckets, near)
+    scores = np.empty(len(word))
+    answers = iter(_letters(got, ANSWERS))
+    for at, of, first, second, *_ in _pieces(before, word, bucket, len(ids), piece_tokens):
+        n, tables = _next_answers(answers, len(first), sweeps)
         chance = sum(
             np.maximum(n - DISCOUNT * tables[s], 0.0) / customers[first, s] + free[first, s] * parent[second, s] for s in range(sweeps)
         ) / sweeps
-        score = np.log10(chance)
-        del n, tables, first, second, chance, answers, totals, local, order
-        at = 0
-        for row in texts:
-            flat, lengths, held = _text(row)
-            starts = np.cumsum(lengths) - lengths
-            scores = score[of[at : at + len(flat)]]
-            at += len(flat)
-            sums = (np.add.reduceat(x, starts) for x in (seen[flat].astype(np.int64), base[flat], scores))
-            columns = [pa.array(row["doc_ids"], id_type), pa.array(held), pa.array(lengths), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        scores[at] = np.log10(chance)[of]
+    a = 0
+    for row in texts:
+        _, lengths, held = _text(row)
+        starts = np.cumsum(lengths) - lengths
+        at = slice(a, a + int(lengths.sum()))
+        a = at.stop
+        sums = (np.add.reduceat(x, starts) for x in (seen[word[at]].astype(np.int64), base[word[at]], scores[at]))
+        columns = [pa.array(row["doc_ids"], id_type), pa.array(held), pa.array(lengths), *map(pa.array, sums)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 # ------------------------------------------------------------------ the plan
@@ -594,7 +636,7 @@ def gibbs(spark: SparkSession, pairs: DataFrame, counts: DataFrame, model: Model
     return _only(seated, BUCKET, SEATED), _only(totals, WORDS, STATE)
 
 
-def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, piece_tokens: int = PIECE_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``
     (doc_id, text), learned from the rows that ``held_out`` does not hold for."""
     spark = docs.sparkSession
@@ -614,10 +656,11 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     model = Model(tokens, known, min(0.95, max(0.05, once / max(1, once + 2 * twice))))
     ranges = max(1, -(-words // RANGE))
     buckets = min(MOST_BUCKETS, max(1, -(-tokens // bucket_tokens)))
+    near = min(NEAR_BITS, (SPREAD * words // buckets).bit_length())
     texts = parts.filter((F.col("address") == BLOCK) & F.col("kind").isin(TEXTS, LOCALS)).select(*Letters.names, "doc_ids")
     blocks = _only(parts, BLOCK, LOCALS).select("to").distinct().count()
     at_blocks = texts.unionByName(_only(placed, BLOCK, IDS), allowMissingColumns=True)
-    sent = written(_sent(at_blocks, lambda it: _paired(it, buckets), blocks))
+    sent = written(_sent(at_blocks, lambda it: _paired(it, buckets, near, piece_tokens), blocks))
     release(spark)
     pairs = _only(sent, BUCKET, PAIRS)
     seated, totals = gibbs(spark, pairs, _only(placed, WORDS, COUNTS), model, buckets, ranges)
@@ -628,7 +671,7 @@ def score_texts(docs: DataFrame, held_out: Column, block_tokens: int = BLOCK_TOK
     release(spark)
     told = _only(states, BLOCK, STATES).unionByName(_only(answers, BLOCK, ANSWERS))
     scored = _sent(
-        at_blocks.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets), blocks,
+        at_blocks.unionByName(told, allowMissingColumns=True), lambda it: _scored(it, model, buckets, near, piece_tokens), blocks,
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

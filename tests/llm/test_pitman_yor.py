@@ -2,10 +2,12 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -199,3 +201,65 @@ def test_odd_rows(spark):
     assert pitman_yor.op5_score(df.limit(0)).count() == 0
     nothing = pitman_yor.score_texts(df, df["block"] == 1).collect()
     assert {(r.train_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in nothing} == {(0, 0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("sizes", [(pitman_yor.BLOCK_TOKENS, pitman_yor.BUCKET_TOKENS, 50), (300, 90, 7)])
+def test_pieces_leave_the_scores(spark, sizes):
+    """Blocks that handle a few tokens' pairs at a time, buckets cut and not."""
+    docs = small_corpus()
+    df = spark.createDataFrame([(i, x, h) for i, (x, h) in enumerate(docs)], "doc_id long, text string, held boolean").repartition(3)
+    plain = Plain(docs)
+    rows = pitman_yor.score_texts(df, df["held"], *sizes).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.score == pytest.approx(plain.score(docs[r.doc_id][0]), abs=1e-9)
+
+
+def by_address(batches, address, *kinds):
+    """What Spark sends on: rows for an address, sorted by place and kind, their texts' ids too."""
+    table = pa.concat_tables([pa.Table.from_batches([b]) for b in batches], promote_options="default")
+    rows = [r for r in table.to_pylist() if r["address"] == address and r["kind"] in kinds]
+    return pa.Table.from_pylist(sorted(rows, key=lambda r: (r["to"], r["kind"])), table.schema).to_batches()
+
+
+def test_a_block_holds_little_beside_its_texts():
+    """Bytes for each token of a block, while it sends its pairs and while it scores them; with all pairs
+    at once it took 103 and 141."""
+    rng = np.random.default_rng(11)
+    size, docs, buckets, near = 1000, 600, 8, 22
+    texts = [" ".join(f"w{x}" for x in (rng.random(size - 1) ** 3 * 30000).astype(int)) for _ in range(docs)]
+    given = pa.RecordBatch.from_pydict({"doc_id": range(docs), "text": texts, "held": [i % 5 == 1 for i in range(docs)]})
+    piece = size * docs // 8
+
+    def peak(run):
+        tracemalloc.start()
+        out = list(run())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / (size * docs)
+
+    P = pitman_yor
+    numbered = list(P._numbered(iter([given]), 2 * size * docs, 1))
+    dictionary = by_address(numbered, P.HASHES, P.DICTIONARY)
+    merged = list(P._merged(iter(dictionary)))
+    stats = by_address(merged, P.HASHES, P.STATS)
+    offsets, n = {}, 0
+    for r in sorted((r for b in stats for r in b.to_pylist()), key=lambda r: r["to"]):
+        offsets[r["to"]], n = n, n + r["origin"]
+    placed = list(P._placed(iter(by_address([*dictionary, *merged], P.HASHES, P.DICTIONARY, P.VOCABULARY)), offsets))
+    blocks = by_address([*numbered, *placed], P.BLOCK, P.TEXTS, P.LOCALS, P.IDS)
+    paired, most = peak(lambda: P._paired(iter(blocks), buckets, near, piece))
+    assert most < 75
+    replies, model = P.Letters(), P.Model(size * docs, n, 0.5)
+    model.customers, model.strengths = [1e6] * 3, [1.0] * 3
+    for r in (r for b in paired for r in b.to_pylist()):
+        if r["kind"] == P.PAIRS:
+            times = P._unpacked(r["c"], r["m"])
+            replies.add(P.BLOCK, r["origin"], P.ANSWERS, r["to"] * P.MOST_HASHES + r["seq"], times, np.minimum(times, 1).repeat(3, axis=0))
+        else:
+            ids = P._unpacked(r["a"], r["m"])
+            replies.add(P.BLOCK, r["origin"], P.STATES, r["to"] * P.MOST_HASHES + r["seq"], ids, np.ones((P.TOTALS + 6, r["m"]), dtype=np.int64))
+    given = by_address([*blocks, *replies.rest()], P.BLOCK, P.TEXTS, P.LOCALS, P.IDS, P.STATES, P.ANSWERS)
+    scored, most = peak(lambda: P._scored(iter(given), model, buckets, near, piece))
+    assert most < 75
+    assert sum(b.num_rows for b in scored) == docs
